@@ -41,13 +41,24 @@ _COST = f"cast({_LIST} * 0.02 as decimal(14,2))"
 _EXTRA = f"cast({_LIST} * 0.005 as decimal(14,2))"
 _LOC = "case when l_suppkey % 2 = 0 then '30' || cast(l_linenumber as string) || '0' else 'L' || cast(l_linenumber as string) end"
 
+_CUSTOMER_DAY = """
+        select cast(o_orderdate as date) as ord_state_date, c_nationkey as shop_no,
+          case c_mktsegment when 'FURNITURE' then '' when 'MACHINERY' then 'F' when 'BUILDING' then 'M' else 'X' end as sex,
+          case when c_custkey % 6 = 5 then null else 'A' || cast(c_custkey % 6 as string) end as age_band_custom,
+          case when c_acctbal > 0 then 'Y' else '' end as mssid_yn, '[unit]' as summary_period_unit,
+          cast(o_totalprice as decimal(14,2)) as gmv, cast(cast(o_totalprice as decimal(14,2)) * 1.1 as decimal(14,2)) as normal_gmv,
+          case when o_orderpriority = '1-URGENT' then cast(o_totalprice as decimal(14,2)) else cast(0 as decimal(14,2)) end as tax_gmv,
+          cast(1 as bigint) as qty, cast(1 as bigint) as buyer,
+          cast(case when o_orderpriority = '1-URGENT' then 1 else 0 end as bigint) as tax_buyer
+        from {orders} join {customer} on c_custkey = o_custkey"""
+
 ROLES = {
     "shop": """
         select n_nationkey as shop_no, lower(r_name) as shop_type, n_name as shop_nm
         from {nation} join {region} on n_regionkey = r_regionkey""",
     "shop_name": """
         select n_nationkey as shop_no, '  ' || n_name || '   store ' as shop_name
-        from {nation} where n_nationkey % 2 = 0""",
+        from {nation} where n_regionkey <> 1""",
     "order_header": """
         select o_orderkey as order_id, c_nationkey as shop_no,
           case when o_orderkey % 10 = 0 then null
@@ -76,7 +87,7 @@ ROLES = {
         from {supplier}""",
     "company_brand": """
         select distinct cast(l_suppkey as string) as com_id, p_brand as brand
-        from {lineitem} join {part} on p_partkey = l_partkey where l_suppkey % 20 <> 0""",
+        from {lineitem} join {part} on p_partkey = l_partkey where p_brand <> 'Brand#9'""",
     "brand": f"""
         select distinct p_brand as brand, {_BRAND_NM.format(b="p_brand")} as brand_nm from {{part}}""",
     "stock_summary": f"""
@@ -98,19 +109,19 @@ ROLES = {
           case when p_partkey % 6 = 0 then null
                else cast(cast(p_retailprice as decimal(14,2)) * 0.9 as decimal(14,2)) end as price,
           'md' || cast(p_partkey % 9 as string) as md_id, 'Name ' || cast(p_partkey % 2 as string) as md_nm
-        from {{part}} where p_partkey % 10 <> 3""",
+        from {{part}} where p_type <> 'SMALL'""",
     "goods_secondary": """
-        select p_partkey as goods_id, p_name || ' v1' as goods_name, replace(p_brand, '#', '-') as brand_name,
+        select p_partkey as goods_id, p_name || ' v1' as goods_name, case when p_size < 10 then '' else replace(p_brand, '#', '-') end as brand_name,
           cast(p_retailprice as decimal(14,2)) as basic_price, cast(cast(p_retailprice as decimal(14,2)) * 0.80 as decimal(14,2)) as sale_price,
           cast(date '2000-01-01' + interval '1' day * p_size as date) as updated_at from {part}
         union all
-        select p_partkey, p_name || ' v2', replace(p_brand, '#', '-'),
+        select p_partkey, p_name || ' v2', case when p_size < 10 then '' else replace(p_brand, '#', '-') end,
           cast(cast(p_retailprice as decimal(14,2)) * 0.95 as decimal(14,2)), cast(cast(p_retailprice as decimal(14,2)) * 0.75 as decimal(14,2)),
           cast(date '2000-01-02' + interval '1' day * p_size as date) from {part}""",
     "price_feed": """
         select l_partkey as goods_id, l_shipdate as created_at, case when l_linenumber <= 4 then 1 else 2 end as channel_id,
           cast(l_extendedprice as decimal(14,2)) as sale_price, cast(p_retailprice as decimal(14,2)) as basic_price
-        from {lineitem} join {part} on p_partkey = l_partkey where l_partkey % 4 <> 1""",
+        from {lineitem} join {part} on p_partkey = l_partkey where p_type <> 'PROMO'""",
     "goods_scope": f"""
         select p_partkey as goods_no, p_name as goods_nm, p_brand as brand, {_BRAND_NM.format(b="p_brand")} as brand_nm,
           cast(p_partkey % 100 as string) as com_id,
@@ -134,7 +145,7 @@ ROLES = {
         union all
         select cast(o_orderkey as string), case when c_custkey % 11 = 0 then null else n_name end
         from {orders} join {customer} on c_custkey = o_custkey join {nation} on n_nationkey = c_custkey % 25
-        where o_orderpriority = '1-URGENT' and o_orderkey % 3 = 0""",
+        where o_orderpriority = '1-URGENT' and o_orderstatus = 'O'""",
     "settlement_summary": f"""
         select cast(o_orderdate as date) as ord_state_date, c_nationkey as shop_no, l_partkey as goods_no, p_name as goods_nm,
           'L' || cast(l_linenumber as string) as option_nm, p_brand as brand_id, {_BRAND_NM.format(b="p_brand")} as brand_nm,
@@ -150,17 +161,7 @@ ROLES = {
           join {{part}} on p_partkey = l_partkey
         where o_orderstatus in ('F', 'O') and o_orderpriority <> '4-NOT SPECIFIED'
           and o_orderdate <= timestamp '2001-06-30 00:00:00' and p_size <> 1""",
-    "customer_summary": """
-        select cast(o_orderdate as date) as ord_state_date, c_nationkey as shop_no,
-          case c_mktsegment when 'FURNITURE' then '' when 'MACHINERY' then 'F' when 'BUILDING' then 'M' else 'X' end as sex,
-          case when c_custkey % 6 = 5 then null else 'A' || cast(c_custkey % 6 as string) end as age_band_custom,
-          case when c_acctbal > 0 then 'Y' else '' end as mssid_yn, unit as summary_period_unit,
-          cast(o_totalprice as decimal(14,2)) as gmv, cast(cast(o_totalprice as decimal(14,2)) * 1.1 as decimal(14,2)) as normal_gmv,
-          case when o_orderpriority = '1-URGENT' then cast(o_totalprice as decimal(14,2)) else cast(0 as decimal(14,2)) end as tax_gmv,
-          cast(1 as bigint) as qty, cast(1 as bigint) as buyer,
-          cast(case when o_orderpriority = '1-URGENT' then 1 else 0 end as bigint) as tax_buyer
-        from {orders} join {customer} on c_custkey = o_custkey
-          join (select 'daily_total' as unit union all select 'monthly') u on o_orderkey >= 0""",
+    "customer_summary": " union all ".join(_CUSTOMER_DAY.replace("[unit]", u) for u in ("daily_total", "monthly")),
     "erp_stock": f"""
         select cast(date_trunc('year', l_shipdate) as date) as dt, case when l_suppkey % 3 = 0 then '1700' else '1000' end as store_cd,
           case l_linenumber when 1 then '2000' when 2 then '2010' when 3 then '2020' when 4 then '2060' else '2011' end as lgort,
