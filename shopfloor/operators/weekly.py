@@ -91,7 +91,9 @@ def store_locations(
 
 
 def _not_excluded(scope: Scope, col: str = "com_id") -> Column:
-    return ~F.coalesce(F.col(col), F.lit("")).isin(list(scope.excluded_companies or [""]))
+    if not scope.excluded_companies:
+        return F.lit(True)
+    return ~F.coalesce(F.col(col), F.lit("")).isin(list(scope.excluded_companies))
 
 
 def _with_location_flag(history: DataFrame, locations: DataFrame) -> DataFrame:

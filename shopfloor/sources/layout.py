@@ -81,6 +81,25 @@ def replace_window_on_disk(spark: SparkSession, path: str, build, days: int, dat
     write_monthly(spark.read.schema(current.schema).parquet(staged), path, date_col)
 
 
+class Store:
+    """Datasets written once under a shared folder and read back as tables: reports then start from
+    a pruned columnar scan, and a lost executor costs a re-read instead of the whole lineage."""
+
+    def __init__(self, spark: SparkSession, root: str | None = None):
+        self.spark, self.root = spark, root or scratch_path(spark, "store")
+        self.done: dict[str, DataFrame] = {}
+
+    def keep(self, name: str, df: DataFrame, date_col: str | None = None) -> DataFrame:
+        if name not in self.done:
+            path = os.path.join(self.root, name)
+            if date_col:
+                self.done[name] = write_clustered(df, path, date_col)
+            else:
+                df.write.mode("overwrite").parquet(path)
+                self.done[name] = self.spark.read.schema(df.schema).parquet(path)
+        return self.done[name]
+
+
 def freshness(name: str, df: DataFrame, date_col: str | None = None, event_time: Column | None = None) -> DataFrame:
     """Row count, newest date and newest event time of one dataset, in one pass."""
     newest = F.max(date_col).cast("date") if date_col else F.lit(None).cast("date")
