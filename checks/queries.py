@@ -341,7 +341,7 @@ def _(x):
 
 @query("d6_drill_stock_filter")
 def _(x):
-    f = SalesFilter(biz=[L.CONSIGNMENT], cat_top=["ECONOMY", L.UNCLASSIFIED], name_like="widget")
+    f = SalesFilter(biz=[L.PURCHASE, L.OTHER], cat_top=["ECONOMY", L.UNCLASSIFIED], name_like="widget")
     return P.drill_stock_filter(x.stock_store, x.sales, f)
 
 
