@@ -111,9 +111,9 @@ def _(x):
 def _(x):
     spark = x.inputs.spark
     root = layout.scratch_path(spark, "refresh")
-    lazy = X.Datasets(x.inputs, x.settings)
-    X.refresh(spark, lazy, root, "sales")
-    names = X.refresh(spark, lazy, root, "snap", ("settlement_daily", "target_daily", "footfall"))
+    fresh = X.Datasets(x.inputs, x.settings, layout.Store(spark))
+    X.refresh(spark, fresh, root, "sales")
+    names = X.refresh(spark, fresh, root, "snap", ("settlement_daily", "target_daily", "footfall"))
     return union(
         *[
             X.read_dataset(spark, root, n).agg(F.count(F.lit(1)).alias("row_count"), F.max("sales_date").alias("max_date")).select(
@@ -141,7 +141,7 @@ def _(x):
 def _(x):
     spark = x.inputs.spark
     f = SalesFilter(store=[STORES[0]])
-    rows = E.drill(x.sales, x.stock_store, "brand", f)
+    rows = E.drill(x.sales, x.stock_store, x.goods_attr, "brand", f)
     cols = ["key", "qty", "gmv", "normal_amt", "foreign_gmv", "goods_count", "stock"]
     path = tables.export_csv(decimals_to_double(rows), layout.scratch_path(spark, "csv"), cols, E.drill_context("brand", f))
     ddl = "in_store STRING, key STRING, qty BIGINT, gmv DOUBLE, normal_amt DOUBLE, foreign_gmv DOUBLE, goods_count BIGINT, stock BIGINT"
@@ -153,17 +153,17 @@ def _(x):
 
 @query("b1_dim_store")
 def _(x):
-    return x.stores
+    return plan(x, "stores")
 
 
 @query("b2_dim_brand")
 def _(x):
-    return x.brands
+    return plan(x, "brands")
 
 
 @query("b3_category_map")
 def _(x):
-    return x.categories
+    return plan(x, "categories")
 
 
 @query("b4_sold_goods")
@@ -342,7 +342,7 @@ def _(x):
 @query("d6_drill_stock_filter")
 def _(x):
     f = SalesFilter(biz=[L.PURCHASE, L.OTHER], cat_top=["ECONOMY", L.UNCLASSIFIED], name_like="widget")
-    return P.drill_stock_filter(x.stock_store, x.sales, f)
+    return P.drill_stock_filter(x.stock_store, x.goods_attr, f).drop("goods_nm")
 
 
 @query("d7_cross_facets")
@@ -454,14 +454,14 @@ def _(x):
 
 @query("e16_drill")
 def _(x):
-    levels = [tagged(E.drill(x.sales, x.stock_store, lv), "level", lv) for lv in E.LEVELS]
+    levels = [tagged(E.drill(x.sales, x.stock_store, x.goods_attr, lv), "level", lv) for lv in E.LEVELS]
     return union(*levels)
 
 
 @query("e16_drill_filtered")
 def _(x):
     f = SalesFilter(store=[STORES[2]], brand=["Brand 1", "Brand 5"], date_from="2000-01-01")
-    return E.drill(x.sales, x.stock_store, "cat_large", f, limit=50)
+    return E.drill(x.sales, x.stock_store, x.goods_attr, "cat_large", f, limit=50)
 
 
 @query("e17_brand_detail")
@@ -490,7 +490,7 @@ def _(x):
 
 @query("e21_brand_by_store")
 def _(x):
-    return E.brand_by_store(x.sales, x.stock_store, SalesFilter(date_from="2001-01-01", cat_top=["ECONOMY", "PROMO"]))
+    return E.brand_by_store(x.sales, x.stock_store, x.goods_attr, SalesFilter(date_from="2001-01-01", cat_top=["ECONOMY", "PROMO"]))
 
 
 @query("e22_target_attainment")
@@ -769,7 +769,7 @@ def _(x):
 
 @query("i2_store_locations")
 def _(x):
-    return x.locations
+    return plan(x, "locations")
 
 
 @query("i3_purchase_brands")
@@ -779,12 +779,12 @@ def _(x):
 
 @query("i4_weekly_sums")
 def _(x):
-    return x.offline
+    return plan(x, "offline")
 
 
 @query("i4_weekly_sums_online")
 def _(x):
-    return x.online
+    return plan(x, "online")
 
 
 @query("i5_representative")
@@ -794,7 +794,7 @@ def _(x):
 
 @query("i6_brand_scope")
 def _(x):
-    return x.brand_scope
+    return plan(x, "brand_scope")
 
 
 @query("i7_classify_stock")

@@ -36,16 +36,26 @@ def refund_claims(claims: DataFrame, since: DateLike | None = None) -> DataFrame
 
 def ledger_events(orders: DataFrame, claims: DataFrame, stores: DataFrame, since: DateLike | None = None) -> DataFrame:
     """One row per booking of an order: +1 on the sale date of a completed order, -1 on each refund
-    date of any non-dummy order. The (large) lines are joined to this once, instead of once per sign."""
+    date of any non-dummy order.
+
+    Orders are scanned once and meet their refund dates by order id; the bookings are unfolded in
+    place, so the result is still partitioned by order id when the (large) lines are joined to it,
+    once for both signs. The dates of an order form a set, whose size is bounded by the calendar."""
     head = order_date(foreign_flag(orders.filter(F.col("dummy_order") == 0))).join(stores, "shop_no")
-    head = head.select("order_id", "sales_date", "store_name", "shop_type", "is_foreign", "order_status")
-    sold = head.filter(F.col("order_status") == L.STATUS_COMPLETE)
+    dates = refund_claims(claims, since).groupBy("order_id").agg(F.collect_set("refund_date").alias("refund_dates"))
+    booked = F.col("order_status") == L.STATUS_COMPLETE
     if since is not None:
-        sold = sold.filter(F.col("sales_date") >= as_date(since))
-    sold = sold.withColumn("sign", F.lit(1))
-    back = head.join(refund_claims(claims, since), "order_id").withColumn("sales_date", F.col("refund_date")).withColumn("sign", F.lit(-1))
-    cols = ["order_id", "sales_date", "store_name", "shop_type", "is_foreign", "sign"]
-    return sold.select(cols).unionByName(back.select(cols))
+        booked = booked & (F.col("sales_date") >= as_date(since))
+    sale = F.filter(F.array(F.struct(F.col("sales_date").alias("sales_date"), F.lit(1).alias("sign"))), lambda _: booked)
+    refunds = F.transform(
+        F.coalesce("refund_dates", F.array().cast("array<date>")),
+        lambda d: F.struct(d.alias("sales_date"), F.lit(-1).alias("sign")),
+    )
+    return (
+        head.join(dates, "order_id", "left")
+        .select("order_id", "store_name", "shop_type", "is_foreign", F.explode(F.concat(sale, refunds)).alias("b"))
+        .select("order_id", "b.sales_date", "store_name", "shop_type", "is_foreign", "b.sign")
+    )
 
 
 def _signed(col: str) -> Column:

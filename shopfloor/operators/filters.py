@@ -106,22 +106,16 @@ def apply_stock_filter(stock: DataFrame, f: SalesFilter, store_types: DataFrame
 
 
 def goods_attributes(sales: DataFrame) -> DataFrame:
-    """One row per goods with its dimensions, so that joining it to stock cannot repeat stock."""
-    cols = ["brand_nm", "cat_top", "cat_large", "cat_medium", "business_type"]
+    """One row per goods with its dimensions and name, so that joining it to stock cannot repeat
+    stock. Worth keeping as a table: the stock side of every drill reads it instead of the sales."""
+    cols = ["goods_nm", "brand_nm", "cat_top", "cat_large", "cat_medium", "business_type"]
     return sales.groupBy("goods_no").agg(*[F.min(c).alias(c) for c in cols])
 
 
-def drill_stock_filter(stock_store: DataFrame, sales: DataFrame, f: SalesFilter) -> DataFrame:
-    """goods x store stock under the stock-side filters: no date, store type or MD. Names live in
-    the sales, so a name filter becomes a semi join."""
-    df = stock_store.join(goods_attributes(sales), "goods_no", "left")
-    df = _where(df, _members(f, ("biz", "store", "brand", "cat_top", "cat_large", "cat_medium")))
-    if f.goods:
-        df = df.filter(F.col("goods_no").isin([int(g) for g in f.goods]))
-    if f.name_like and f.name_like.strip():
-        hit = sales.filter(F.lower("goods_nm").contains(f.name_like.strip().lower())).select("goods_no").distinct()
-        df = df.join(hit, "goods_no", "left_semi")
-    return df
+def drill_stock_filter(stock_store: DataFrame, attributes: DataFrame, f: SalesFilter) -> DataFrame:
+    """goods x store stock under the stock-side filters: no date, store type or MD."""
+    df = stock_store.join(attributes, "goods_no", "left")
+    return _where(df, _members(f, ("biz", "store", "brand", "cat_top", "cat_large", "cat_medium")) + _goods(f))
 
 
 def cross_facets(sales: DataFrame, f: SalesFilter, dims: list[str]) -> DataFrame:

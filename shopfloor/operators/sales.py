@@ -3,12 +3,11 @@
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from shopfloor.functions import labels as L
-from shopfloor.functions.dates import DateLike, add_days, as_date, bucket, within
+from shopfloor.functions.dates import DateLike, as_date, bucket, within
 from shopfloor.functions.numeric import MONEY, change, dbl, discount_rate, money_sum, ratio, sum_if, total
 from shopfloor.operators.dimensions import CATEGORIES
 from shopfloor.operators.filters import (
     NO_FILTER, SalesFilter, apply_receipt_filter, apply_sales_filter, apply_settlement_filter, drill_stock_filter,
-    goods_attributes,
 )
 
 MEASURES = ("qty", "gmv", "normal_amt", "pay", "foreign_gmv")
@@ -196,7 +195,9 @@ LEVELS = {"shop": "store_name", "brand": "brand_nm", "cat_large": "cat_large", "
 LEVEL_FILTERS = {"shop": "store", "brand": "brand", "cat_large": "cat_large", "cat_medium": "cat_medium", "goods": "goods"}
 
 
-def drill(sales: DataFrame, stock_store: DataFrame, level: str, f: SalesFilter = NO_FILTER, limit: int | None = None) -> DataFrame:
+def drill(
+    sales: DataFrame, stock_store: DataFrame, attributes: DataFrame, level: str, f: SalesFilter = NO_FILTER, limit: int | None = None
+) -> DataFrame:
     """One level of store > brand > large category > medium category > goods, with stock.
 
     Stock reaches a brand or category through one row per goods, so it is never repeated."""
@@ -209,7 +210,7 @@ def drill(sales: DataFrame, stock_store: DataFrame, level: str, f: SalesFilter =
     )
     if level != "goods":
         out = out.withColumn("name", F.col("key"))
-    stock = drill_stock_filter(stock_store, sales, f).groupBy(key).agg(total("stock").cast("bigint").alias("stock"))
+    stock = drill_stock_filter(stock_store, attributes, f).groupBy(key).agg(total("stock").cast("bigint").alias("stock"))
     out = with_rates(out.join(stock, "key", "left").withColumn("stock", F.coalesce("stock", F.lit(0)).cast("bigint")))
     out = out.orderBy(F.desc("gmv"), "key")
     return out if limit is None else out.limit(limit)
@@ -268,14 +269,14 @@ def goods_by_store(sales: DataFrame, stock_store: DataFrame, settlement: DataFra
     return out
 
 
-def brand_by_store(sales: DataFrame, stock_store: DataFrame, f: SalesFilter = NO_FILTER) -> DataFrame:
+def brand_by_store(sales: DataFrame, stock_store: DataFrame, attributes: DataFrame, f: SalesFilter = NO_FILTER) -> DataFrame:
     """Sales and stock by brand x store, full outer. Stock ignores the dates but keeps the goods of
     the other filters; a goods counts for one brand."""
     s = apply_sales_filter(sales, f).groupBy("business_type", "brand_nm", "store_name").agg(*measure_sums())
     s = s.filter((F.col("qty") != 0) | (F.col("gmv") != 0))
     biz = s.groupBy("brand_nm").agg(F.min("business_type").alias("brand_business"))
     in_scope = apply_sales_filter(sales, f.without("date_from", "date_to")).select("goods_no").distinct()
-    owner = goods_attributes(sales).select("goods_no", "brand_nm").join(in_scope, "goods_no", "left_semi")
+    owner = attributes.select("goods_no", "brand_nm").join(in_scope, "goods_no", "left_semi")
     k = stock_store.join(owner, "goods_no").join(biz.select("brand_nm"), "brand_nm", "left_semi")
     k = k.groupBy("brand_nm", "store_name").agg(total("stock").cast("bigint").alias("stock"))
     # one sales row per brand and store, so that stock is not repeated per business type

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shopfloor.functions import labels as L
 from shopfloor.functions.dates import DateLike
-from shopfloor.operators import dimensions as D, facts as A, stock as S, weekly as K
+from shopfloor.operators import dimensions as D, facts as A, filters as P, stock as S, weekly as K
 from shopfloor.sources import layout
 
 
@@ -48,15 +48,15 @@ class Datasets:
         self.inputs, self.settings, self.store = inputs, settings, store
 
     # dimensions
-    @cached_property
+    @kept()
     def stores(self) -> DataFrame:
         return D.dim_store(self.inputs["shop"], self.inputs["shop_name"], self.settings.shop_types, self.settings.special_shops)
 
-    @cached_property
+    @kept()
     def brands(self) -> DataFrame:
         return D.dim_brand(self.inputs["company_brand"], self.inputs["brand"], self.inputs["company"])
 
-    @cached_property
+    @kept()
     def categories(self) -> DataFrame:
         return D.category_map(self.inputs["stock_summary"])
 
@@ -66,7 +66,7 @@ class Datasets:
         sold = D.sold_goods(i["order_line"], i["order_header"], self.stores)
         return D.goods_master(sold, i["goods_main"], i["brand"], i["price_feed"], i["goods_secondary"])
 
-    @cached_property
+    @kept()
     def concepts(self) -> DataFrame:
         return D.concept_map(self.inputs["settlement_summary"])
 
@@ -101,6 +101,11 @@ class Datasets:
     def sales(self) -> DataFrame:
         return self.net_sales()
 
+    @kept()
+    def goods_attr(self) -> DataFrame:
+        """goods -> the one set of attributes stock is reported under."""
+        return P.goods_attributes(self.sales)
+
     @kept("sales_date")
     def sales_option(self) -> DataFrame:
         return self.net_sales_option()
@@ -174,7 +179,7 @@ class Datasets:
     def weeks(self) -> K.Weeks:
         return K.weeks_of(self.settings.as_of, self.inputs["stock_history"], self.inputs["stock_summary"])
 
-    @cached_property
+    @kept()
     def locations(self) -> DataFrame:
         return K.store_locations(self.inputs["closing"], self.settings.as_of)
 
@@ -183,7 +188,7 @@ class Datasets:
         i = self.inputs
         return K.purchase_brands(i["stock_history"], i["goods_scope"], self.locations, self.weeks, self.settings.scope)
 
-    @cached_property
+    @kept()
     def brand_scope(self) -> DataFrame:
         return K.brand_scope(self.inputs["online_orders"], self.purchase_brands, self.weeks, self.settings.scope)
 
@@ -191,11 +196,11 @@ class Datasets:
     def online_divisions(self) -> DataFrame:
         return K.online_by_division(self.inputs["online_orders"], self.purchase_brands, self.weeks, self.settings.scope)
 
-    @cached_property
+    @kept()
     def online(self) -> DataFrame:
         return K.online_weekly(self.online_divisions)
 
-    @cached_property
+    @kept()
     def offline(self) -> DataFrame:
         return K.offline_weekly(self.inputs["settlement_summary"], self.weeks)
 
