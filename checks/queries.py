@@ -103,7 +103,7 @@ def _(x):
     full = x.settlement
     since = layout.window_start(full, 90)
     # a copy whose last 90 days are out of date
-    stale = full.withColumn("net_take", F.when(F.col("sales_date") >= since, F.lit(-1).cast("decimal(20,2)")).otherwise(F.col("net_take")))
+    stale = full.withColumn("net_take", F.when(F.col("sales_date") >= since, F.lit(-1).cast("decimal(18,2)")).otherwise(F.col("net_take")))
     return layout.replace_window(stale, x.settlement_rows(since), since)
 
 

@@ -50,6 +50,24 @@ def within(col: str, start: DateLike, end: DateLike) -> Column:
     return (F.col(col) >= as_date(start)) & (F.col(col) < add_days(end, 1))
 
 
+MONTH = "sales_month"
+
+
+def month_key(d: DateLike) -> Column:
+    return F.date_format(as_date(d), "yyyy-MM")
+
+
+def prune(df: DataFrame, start: DateLike | None = None, end: DateLike | None = None) -> DataFrame:
+    """Bound the month partition of a stored dataset, so whole directories are skipped. A frame
+    without that column is returned as it is."""
+    if MONTH in df.columns:
+        if start is not None:
+            df = df.filter(F.col(MONTH) >= month_key(start))
+        if end is not None:
+            df = df.filter(F.col(MONTH) <= month_key(end))
+    return df
+
+
 def week_start(d: DateLike) -> Column:
     return F.date_trunc("week", as_date(d)).cast("date")
 

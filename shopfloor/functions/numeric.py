@@ -2,7 +2,8 @@
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-MONEY = T.DecimalType(20, 2)
+# 18 digits fit a long: Parquet stores them as INT64 with statistics, and rows carry no byte arrays
+MONEY = T.DecimalType(18, 2)
 
 
 def _c(x) -> Column:

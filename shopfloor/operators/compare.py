@@ -5,7 +5,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shopfloor.functions import labels as L
-from shopfloor.functions.dates import DateLike, as_date, max_date, min_date, month_start, within, week_start, year_start
+from shopfloor.functions.dates import DateLike, as_date, max_date, min_date, month_start, prune, within, week_start, year_start
 from shopfloor.functions.numeric import MONEY, dbl, money_sum, sum_if
 from shopfloor.operators.filters import NO_FILTER, SalesFilter, apply_sales_filter
 
@@ -75,7 +75,7 @@ def windows_frame(sales: DataFrame, ref: DateLike | None = None) -> DataFrame:
 def compare_sums(sales: DataFrame, windows: Windows, keys: list[str], extra: list[Column] = ()) -> DataFrame:
     """Eight conditional sums in a single scan that starts at the earliest window."""
     sums = [sum_if(within("sales_date", *windows.ranges[n]), "gmv").cast(MONEY).alias(f"g_{n}") for n in WINDOW_NAMES]
-    rows = sales.filter(F.col("sales_date") >= windows.floor)
+    rows = prune(sales, windows.floor, windows.ref).filter(F.col("sales_date") >= windows.floor)
     return rows.groupBy(*keys).agg(*sums, *extra) if keys else rows.agg(*sums, *extra)
 
 
@@ -87,23 +87,21 @@ def growth_label(cur: Column, base: Column, valid: Column, new_ok: Column) -> Co
 
 def add_growth(df: DataFrame, windows: Windows, new_ok: Column | None = None) -> DataFrame:
     ok = F.lit(True) if new_ok is None else new_ok
-    for cur, base in GROWTH:
-        label = growth_label(F.col(f"g_{cur}"), F.col(f"g_{base}"), windows.valid[cur], ok)
-        df = df.withColumn(f"growth_{cur}", label)
-    return df
+    labels = {f"growth_{c}": growth_label(F.col(f"g_{c}"), F.col(f"g_{b}"), windows.valid[c], ok) for c, b in GROWTH}
+    return df.withColumns(labels)
 
 
 def _capped_with_total(
     rows: DataFrame, windows: Windows, keys: list[str], cap: int | None, new_ok: Column | None = None
 ) -> DataFrame:
     """Total over all rows, then the largest `cap` rows."""
-    total = rows.agg(*[money_sum(f"g_{n}").alias(f"g_{n}") for n in WINDOW_NAMES])
-    total = add_growth(total, windows).withColumn("is_total", F.lit(True))
+    total = rows.agg(*[money_sum(f"g_{n}").alias(f"g_{n}") for n in WINDOW_NAMES]).withColumn("is_total", F.lit(True))
     shown = rows.orderBy(F.desc("g_day"), *keys)
     if cap is not None:
         shown = shown.limit(cap)
-    shown = add_growth(shown, windows, new_ok).withColumn("is_total", F.lit(False))
-    return shown.drop("is_new").unionByName(total, allowMissingColumns=True)
+    both = shown.withColumn("is_total", F.lit(False)).unionByName(total, allowMissingColumns=True)
+    ok = None if new_ok is None else F.col("is_total") | new_ok
+    return add_growth(both, windows, ok).drop("is_new")
 
 
 def compare_by(

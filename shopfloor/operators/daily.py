@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from shopfloor.functions import labels as L
-from shopfloor.functions.dates import DateLike, as_date
+from shopfloor.functions.dates import DateLike, as_date, prune
 from shopfloor.functions.numeric import MONEY, change, dbl, money_sum, ratio, sum_if, total
 
 RECENT_DATES = 21
@@ -14,7 +14,7 @@ ISSUE_BELOW = -5.0
 def recent_dates(sales: DataFrame, as_of: DateLike, n: int = RECENT_DATES) -> DataFrame:
     """Sale dates before `as_of`, newest first."""
     d = F.col("sales_date").cast("date")
-    return sales.filter(F.col("sales_date") < as_date(as_of)).select(d.alias("d")).distinct().orderBy(F.desc("d")).limit(n)
+    return prune(sales, None, as_of).filter(F.col("sales_date") < as_date(as_of)).select(d.alias("d")).distinct().orderBy(F.desc("d")).limit(n)
 
 
 def recent_day(sales: DataFrame, as_of: DateLike, back: int, n: int = RECENT_DATES) -> Column:
@@ -41,10 +41,15 @@ def _on(day: Column) -> Column:
     return F.col("sales_date") == day
 
 
+def _span(sales: DataFrame, days: ReportDays, back: int) -> DataFrame:
+    """Rows of the months between d<back> (or the oldest day there is) and d0."""
+    return prune(sales, F.coalesce(*[days[i] for i in range(back, -1, -1)]), days[0])
+
+
 def day_totals(sales: DataFrame, days: ReportDays) -> DataFrame:
     """Totals of d0 and the change against d1."""
     now, before = _on(days[0]), _on(days[1])
-    cells = sales.filter(now | before).groupBy("goods_no", "store_name").agg(
+    cells = _span(sales, days, 1).filter(now | before).groupBy("goods_no", "store_name").agg(
         F.max(now).alias("_now"),
         *[sum_if(now, c).alias(c) for c in ("gmv", "qty", "foreign_gmv")],
         sum_if(before, "gmv").alias("gmv_prev"),
@@ -63,7 +68,7 @@ def day_totals(sales: DataFrame, days: ReportDays) -> DataFrame:
 
 def recent_trend(sales: DataFrame, days: ReportDays) -> DataFrame:
     """Amount and units by day from the 14th date back; the last four dates carry their label."""
-    by = sales.filter(F.col("sales_date") >= days.trend_from).groupBy(F.col("sales_date").cast("date").alias("d")).agg(
+    by = prune(sales, days.trend_from).filter(F.col("sales_date") >= days.trend_from).groupBy(F.col("sales_date").cast("date").alias("d")).agg(
         money_sum("gmv").alias("gmv"), total("qty").cast("bigint").alias("qty")
     )
     label = F.lit(None).cast("string")
@@ -77,7 +82,7 @@ RANK_TEXTS = {"store_name": {"shop_type": "shop_type"}, "brand_nm": {}, "goods_n
 
 def rank_by(sales: DataFrame, days: ReportDays, key: str, n: int | None = None) -> DataFrame:
     """Largest members of d0 with their share of the day; the first row leads."""
-    today = sales.filter(_on(days[0]))
+    today = _span(sales, days, 0).filter(_on(days[0]))
     whole = today.agg(money_sum("gmv").alias("g")).scalar()
     out = today.groupBy(key).agg(
         *[F.min(a).alias(b) for a, b in RANK_TEXTS[key].items()],
@@ -97,7 +102,7 @@ def rank_in_category(sales: DataFrame, days: ReportDays, entity: str, cats: int
     d1 = F.coalesce(days[1], d0)
     now, before = _on(d0), _on(d1)
     texts = RANK_TEXTS[entity]
-    g = sales.filter(now | before).groupBy("cat_medium", entity).agg(
+    g = _span(sales, days, 1).filter(now | before).groupBy("cat_medium", entity).agg(
         *[F.min(a).alias(b) for a, b in texts.items()],
         sum_if(now, "gmv").cast(MONEY).alias("gmv"),
         sum_if(before, "gmv").cast(MONEY).alias("gmv_prev"),
@@ -114,7 +119,7 @@ def notable_goods(sales: DataFrame, stock_goods: DataFrame, days: ReportDays, n:
     """Best sellers, biggest rises and biggest falls, one tag per goods in that order of
     precedence, with the units of four days and the stock."""
     seen = _on(days[0]) | _on(days[1]) | _on(days[2]) | _on(days[3])
-    g = sales.filter(seen).groupBy("goods_no").agg(
+    g = _span(sales, days, 3).filter(seen).groupBy("goods_no").agg(
         F.min("goods_nm").alias("name"), F.min("brand_nm").alias("brand"),
         *[sum_if(_on(days[i]), "qty").cast("bigint").alias(f"q{i}") for i in range(4)],
     )
@@ -131,9 +136,7 @@ def notable_goods(sales: DataFrame, stock_goods: DataFrame, days: ReportDays, n:
     )
     tags = picks.groupBy("goods_no").agg(F.min("t").alias("t")).select("goods_no", "t.pos", "t.tag", "t.tag_pct")
     out = g.join(tags, "goods_no").join(stock_goods.select("goods_no", "store_stock", *_HUB_COLS), "goods_no", "left")
-    for c in ("store_stock", *_HUB_COLS):
-        out = out.withColumn(c, F.coalesce(c, F.lit(0)).cast("bigint"))
-    return out
+    return out.withColumns({c: F.coalesce(c, F.lit(0)).cast("bigint") for c in ("store_stock", *_HUB_COLS)})
 
 
 _HUB_COLS = ("hub1000", "hub1700", "mfs")
@@ -141,7 +144,7 @@ _HUB_COLS = ("hub1000", "hub1700", "mfs")
 
 def restock(sales: DataFrame, stock_store: DataFrame, stock_goods: DataFrame, days: ReportDays) -> DataFrame:
     """Goods sold on d0 that the hub has and the store holds less than twice the day's units of."""
-    sold = sales.filter(_on(days[0])).groupBy("store_name", "goods_no").agg(
+    sold = _span(sales, days, 0).filter(_on(days[0])).groupBy("store_name", "goods_no").agg(
         F.min("goods_nm").alias("goods_nm"), F.min("brand_nm").alias("brand_nm"), total("qty").cast("bigint").alias("sold")
     )
     hub = stock_goods.filter(F.col("hub_total") > 0).select("goods_no", "hub_total")
@@ -173,7 +176,7 @@ def urgent_restock(rows: DataFrame) -> DataFrame:
 
 def store_spikes(sales: DataFrame, days: ReportDays, minimum: int = 3) -> DataFrame:
     """Largest rise and largest fall of a store's units from d1 to d0."""
-    g = sales.filter(_on(days[0]) | _on(days[1])).groupBy("store_name").agg(
+    g = _span(sales, days, 1).filter(_on(days[0]) | _on(days[1])).groupBy("store_name").agg(
         sum_if(_on(days[0]), "qty").cast("bigint").alias("q0"), sum_if(_on(days[1]), "qty").cast("bigint").alias("q1")
     )
     g = g.filter(F.col("q1") >= minimum).withColumn("pct", (dbl("q0") - dbl("q1")) / dbl("q1") * F.lit(100.0))

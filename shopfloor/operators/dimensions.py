@@ -169,11 +169,12 @@ def catalog_enrich(rows: DataFrame, goods: DataFrame) -> DataFrame:
         F.when(F.col("sale_price") > 0, F.col("sale_price")).otherwise(F.col("normal_price")).alias("sale_price"),
     )
     out = rows.join(cat, "goods_no", "left")
-    return (
-        out.withColumn("style_no", F.coalesce("style_no", F.lit("")))
-        .withColumn("normal_price", F.coalesce("normal_price", F.lit(0).cast(MONEY)))
-        .withColumn("sale_price", F.coalesce("sale_price", F.lit(0).cast(MONEY)))
-    )
+    zero = F.lit(0).cast(MONEY)
+    return out.withColumns({
+        "style_no": F.coalesce("style_no", F.lit("")),
+        "normal_price": F.coalesce("normal_price", zero),
+        "sale_price": F.coalesce("sale_price", zero),
+    })
 
 
 def brand_override(sales: DataFrame, goods: DataFrame) -> DataFrame:
@@ -188,11 +189,12 @@ def brand_override(sales: DataFrame, goods: DataFrame) -> DataFrame:
         "sale_price",
     )
     out = sales.join(names, "goods_no", "left")
-    out = out.withColumn("brand_nm", F.coalesce(F.nullif("_brand", F.lit("")), "brand_nm", F.lit(L.UNMATCHED_BRAND)))
-    out = out.withColumn("goods_nm", F.coalesce("_nm", F.lit("")))
-    for c in CATEGORIES:
-        out = out.withColumn(c, F.coalesce(c, F.lit(L.UNCLASSIFIED)))
-    return out.withColumn("off_md_id", F.coalesce("off_md_id", F.lit(""))).drop("_brand", "_nm")
+    return out.withColumns({
+        "brand_nm": F.coalesce(F.nullif("_brand", F.lit("")), "brand_nm", F.lit(L.UNMATCHED_BRAND)),
+        "goods_nm": F.coalesce("_nm", F.lit("")),
+        **{c: F.coalesce(c, F.lit(L.UNCLASSIFIED)) for c in CATEGORIES},
+        "off_md_id": F.coalesce("off_md_id", F.lit("")),
+    }).drop("_brand", "_nm")
 
 
 def zero_qty_brand(sales: DataFrame, brand: str = L.SHOPPING_BAG_BRAND) -> DataFrame:

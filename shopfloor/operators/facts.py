@@ -118,9 +118,10 @@ def net_sales_option(
         [F.min("goods_name").alias("goods_nm")],
     )
     out = _with_brand(booked, brands).join(categories, "goods_no", "left")
-    out = out.withColumn("brand_nm", F.coalesce("brand_nm", F.lit(L.UNMATCHED_BRAND)))
-    for c in (*CATEGORIES, "off_md_id"):
-        out = out.withColumn(c, F.coalesce(c, F.lit("")))
+    out = out.withColumns({
+        "brand_nm": F.coalesce("brand_nm", F.lit(L.UNMATCHED_BRAND)),
+        **{c: F.coalesce(c, F.lit("")) for c in (*CATEGORIES, "off_md_id")},
+    })
     keys = ["sales_date", "store_name", "shop_type", "business_type", "brand_nm", "goods_no", "option_nm", *CATEGORIES, "off_md_id"]
     out = out.groupBy(keys).agg(
         F.coalesce(F.min("goods_nm"), F.lit("")).alias("goods_nm"),
@@ -153,9 +154,10 @@ def receipts(
         .agg(F.sum("order_amount").alias("gmv"))
     )
     out = _with_brand(sold, brands).join(attrs, "goods_no", "left")
-    out = out.withColumn("brand_nm", F.coalesce(F.nullif("_own", F.lit("")), "brand_nm", F.lit(L.UNMATCHED_BRAND)))
-    for c in CATEGORIES:
-        out = out.withColumn(c, F.coalesce(c, F.lit(L.UNCLASSIFIED)))
+    out = out.withColumns({
+        "brand_nm": F.coalesce(F.nullif("_own", F.lit("")), "brand_nm", F.lit(L.UNMATCHED_BRAND)),
+        **{c: F.coalesce(c, F.lit(L.UNCLASSIFIED)) for c in CATEGORIES},
+    })
     return out.groupBy(
         "order_id", "sales_date", "store_name", "shop_type", "is_foreign", "business_type", "brand_nm", *CATEGORIES, "hour"
     ).agg(money_sum("gmv").alias("gmv"))
@@ -232,9 +234,7 @@ def settlement_option(summary: DataFrame, stores: DataFrame, since: DateLike | N
         money_sum("profit").alias("net_take"),
         money_sum("contribution_profit_pre").alias("cp"),
     )
-    for c in keys.values():
-        out = out.withColumn(c, F.coalesce(c, F.lit("")))
-    return out
+    return out.withColumns({c: F.coalesce(c, F.lit("")) for c in keys.values()})
 
 
 def settlement_daily(summary: DataFrame, stores: DataFrame, since: DateLike | None = None) -> DataFrame:

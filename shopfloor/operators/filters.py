@@ -6,7 +6,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shopfloor.functions import labels as L
-from shopfloor.functions.dates import add_days, as_date, max_date, min_date, month_start, week_start, year_start
+from shopfloor.functions.dates import add_days, as_date, max_date, min_date, month_start, prune, week_start, year_start
 from shopfloor.functions.numeric import money_sum, total
 
 IN_COLUMNS = {
@@ -70,17 +70,21 @@ def _where(df: DataFrame, preds: list[Column]) -> DataFrame:
     return df
 
 
+def _pruned(df: DataFrame, f: SalesFilter) -> DataFrame:
+    return prune(df, f.date_from or None, f.date_to or None)
+
+
 def apply_sales_filter(df: DataFrame, f: SalesFilter = NO_FILTER) -> DataFrame:
-    return _where(df, _dates(f) + _members(f, SALES) + _goods(f))
+    return _where(_pruned(df, f), _dates(f) + _members(f, SALES) + _goods(f))
 
 
 def apply_receipt_filter(df: DataFrame, f: SalesFilter = NO_FILTER) -> DataFrame:
     """The receipt grain has no MD, goods or name."""
-    return _where(df, _dates(f) + _members(f, RECEIPTS))
+    return _where(_pruned(df, f), _dates(f) + _members(f, RECEIPTS))
 
 
 def apply_settlement_filter(df: DataFrame, f: SalesFilter = NO_FILTER) -> DataFrame:
-    return _where(df, _dates(f) + _members(f, STORES))
+    return _where(_pruned(df, f), _dates(f) + _members(f, STORES))
 
 
 def apply_traffic_filter(df: DataFrame, date_from=None, date_to=None, stores=(), types=()) -> DataFrame:

@@ -1,8 +1,8 @@
 """Profit from the settlement, joined to sales."""
 
-from pyspark.sql import Column, DataFrame, functions as F, Window as W
+from pyspark.sql import Column, DataFrame, functions as F
 
-from shopfloor.functions.dates import DateLike, add_days, as_date, max_date, month_start, within
+from shopfloor.functions.dates import DateLike, as_date, max_date, month_start, prune, within
 from shopfloor.functions.numeric import MONEY, change, dbl, money_sum, ratio, sum_if, total
 from shopfloor.operators.filters import NO_FILTER, SalesFilter, apply_sales_filter, apply_settlement_filter
 
@@ -24,8 +24,8 @@ def take_rate(
     """Per goods over the last `days` days, all stores: profit / amount on settled days, the number
     of settled days, and beside them the rate over all goods."""
     start = F.date_sub(as_date(as_of), days)
-    recent = sales.filter(F.col("sales_date") >= start).join(goods_scope.select("goods_no").distinct(), "goods_no", "left_semi")
-    rows = _per_day(recent, settlement.filter(F.col("sales_date") >= start))
+    recent = prune(sales, start).filter(F.col("sales_date") >= start).join(goods_scope.select("goods_no").distinct(), "goods_no", "left_semi")
+    rows = _per_day(recent, prune(settlement, start).filter(F.col("sales_date") >= start))
     settled = F.col("net_take").isNotNull()
     by = rows.groupBy("goods_no").agg(
         F.sum("net_take").alias("profit"),
@@ -148,12 +148,12 @@ PNL_LEVELS = {"store": "store_name", "brand": "brand_nm"}
 
 
 def _pnl_rates(df: DataFrame) -> DataFrame:
-    return (
-        df.withColumn("cp_rate", contribution_rate("cp", "gmv"))
-        .withColumn("nt_rate", ratio("net_take", "gmv"))
-        .withColumn("pm_delta", change("cp", "pm_cp", absolute=True))
-        .withColumn("py_delta", change("cp", "py_cp", absolute=True))
-    )
+    return df.withColumns({
+        "cp_rate": contribution_rate("cp", "gmv"),
+        "nt_rate": ratio("net_take", "gmv"),
+        "pm_delta": change("cp", "pm_cp", absolute=True),
+        "py_delta": change("cp", "py_cp", absolute=True),
+    })
 
 
 def pnl(
@@ -163,7 +163,8 @@ def pnl(
     """Profit and loss by store or brand: one scan, conditional sums for the three ranges."""
     ranges = pnl_ranges(daily, mode, period, date_to)
     cur, prev, last = [within("sales_date", a, b) for a, b in ranges]
-    rows = daily.filter(cur | prev | last)
+    starts, ends = zip(*ranges)
+    rows = prune(daily, F.least(*starts), F.greatest(*ends)).filter(cur | prev | last)
     for col, vals in (("shop_type", types), ("store_name", stores), ("brand_nm", brands)):
         if vals:
             rows = rows.filter(F.col(col).isin(list(vals)))

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from shopfloor.functions import labels as L
-from shopfloor.functions.dates import DateLike, as_date, bucket, within
+from shopfloor.functions.dates import DateLike, as_date, bucket, prune, within
 from shopfloor.functions.numeric import MONEY, change, dbl, discount_rate, money_sum, ratio, sum_if, total
 from shopfloor.operators.dimensions import CATEGORIES
 from shopfloor.operators.filters import (
@@ -18,9 +18,13 @@ def measure_sums(names=MEASURES) -> list[Column]:
 
 
 def with_rates(df: DataFrame) -> DataFrame:
-    return df.withColumn("discount_rate", discount_rate("gmv", "normal_amt")).withColumn(
-        "foreign_ratio", ratio("foreign_gmv", "gmv")
-    )
+    return df.withColumns({"discount_rate": discount_rate("gmv", "normal_amt"), "foreign_ratio": ratio("foreign_gmv", "gmv")})
+
+
+def distinct_count(rows: DataFrame, col: str) -> Column:
+    """Number of distinct non-null values as a scalar subquery. It reads its one column, combines on
+    the map side, and leaves the sums beside it free of an expanded copy of the rows."""
+    return rows.select(col).filter(F.col(col).isNotNull()).distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
 
 
 def facets(sales: DataFrame) -> DataFrame:
@@ -49,13 +53,12 @@ def facets(sales: DataFrame) -> DataFrame:
 
 
 def summary(sales: DataFrame, f: SalesFilter = NO_FILTER) -> DataFrame:
-    """One row of KPIs. Sums per (goods, store) come first: the two distinct counts then run on
-    that small frame and not on an expanded copy of the sales."""
-    cells = apply_sales_filter(sales, f).groupBy("goods_no", "store_name").agg(*measure_sums())
-    out = cells.agg(
-        *measure_sums(), F.countDistinct("goods_no").alias("goods_count"), F.countDistinct("store_name").alias("store_count")
+    """One row of KPIs: sums without a shuffle, and two distinct counts beside them."""
+    rows = apply_sales_filter(sales, f)
+    out = rows.agg(*measure_sums())
+    return with_rates(
+        out.select("*", distinct_count(rows, "goods_no").alias("goods_count"), distinct_count(rows, "store_name").alias("store_count"))
     )
-    return with_rates(out)
 
 
 def _orders(receipts: DataFrame, *keys: str) -> DataFrame:
@@ -75,11 +78,11 @@ def basket_value(receipts: DataFrame, f: SalesFilter = NO_FILTER) -> DataFrame:
         total(F.col("is_foreign").cast("bigint")).cast("bigint").alias("foreign_receipts"),
         money_sum("foreign_gmv").alias("foreign_gmv"),
     )
-    t = t.withColumn("domestic_receipts", F.col("receipts") - F.col("foreign_receipts"))
-    t = t.withColumn("domestic_gmv", (F.col("gmv") - F.col("foreign_gmv")).cast(MONEY))
-    for p in ("", "foreign_", "domestic_"):
-        t = t.withColumn(f"{p}aov", ratio(f"{p}gmv", f"{p}receipts", None))
-    return t
+    t = t.withColumns({
+        "domestic_receipts": F.col("receipts") - F.col("foreign_receipts"),
+        "domestic_gmv": (F.col("gmv") - F.col("foreign_gmv")).cast(MONEY),
+    })
+    return t.withColumns({f"{p}aov": ratio(f"{p}gmv", f"{p}receipts", None) for p in ("", "foreign_", "domestic_")})
 
 
 def hourly(receipts: DataFrame, f: SalesFilter = NO_FILTER, first: int = 10, last: int = 23) -> DataFrame:
@@ -128,7 +131,7 @@ def trend_overlay(sales: DataFrame, f: SalesFilter, grain: str = "day") -> DataF
     from one scan; positions are numbered over calendar buckets, of which there are few."""
     prev_from, prev_to = previous_range(f.date_from, f.date_to)
     rows = apply_sales_filter(sales, f.without("date_from", "date_to"))
-    rows = rows.filter(within("sales_date", prev_from, f.date_to))
+    rows = prune(rows, prev_from, f.date_to).filter(within("sales_date", prev_from, f.date_to))
     current = F.col("sales_date") >= as_date(f.date_from)
     by = rows.groupBy(current.alias("is_current"), bucket("sales_date", grain).alias("bucket")).agg(money_sum("gmv").alias("gmv"))
     by = by.withColumn("pos", F.row_number().over(W.partitionBy("is_current").orderBy("bucket")))
@@ -247,12 +250,10 @@ def goods_detail(
     out = out.filter(F.col("qty") > 0)
     if limit is not None:
         out = out.orderBy(F.desc("gmv"), *keys).limit(limit)
-    out = with_rates(out).withColumn("sale_unit", ratio("gmv", "qty", None)).withColumn("pay_unit", ratio("pay", "qty", None))
+    out = with_rates(out).withColumns({"sale_unit": ratio("gmv", "qty", None), "pay_unit": ratio("pay", "qty", None)})
     stock = stock_goods.select("goods_no", F.col("store_stock").alias("jaego"), F.col("hub_total").alias("hub"))
     out = out.join(stock, "goods_no", "left").join(profit_goods.select("goods_no", "net_take", "cp"), "goods_no", "left")
-    for c in ("jaego", "hub"):
-        out = out.withColumn(c, F.coalesce(c, F.lit(0)).cast("bigint"))
-    return out
+    return out.withColumns({c: F.coalesce(c, F.lit(0)).cast("bigint") for c in ("jaego", "hub")})
 
 
 def goods_by_store(sales: DataFrame, stock_store: DataFrame, settlement: DataFrame, f: SalesFilter = NO_FILTER) -> DataFrame:
@@ -263,10 +264,9 @@ def goods_by_store(sales: DataFrame, stock_store: DataFrame, settlement: DataFra
     pair = ["store_name", "goods_no"]
     settled = apply_settlement_filter(settlement, f).groupBy(*pair).agg(money_sum("net_take").alias("net_take"), money_sum("cp").alias("cp"))
     out = out.join(stock_store, pair, "left").join(settled, pair, "left")
-    out = out.withColumn("stock", F.coalesce("stock", F.lit(0)).cast("bigint"))
-    for c in ("net_take", "cp"):
-        out = out.withColumn(c, F.coalesce(c, F.lit(0)).cast(MONEY))
-    return out
+    return out.withColumns({
+        "stock": F.coalesce("stock", F.lit(0)).cast("bigint"), **{c: F.coalesce(c, F.lit(0)).cast(MONEY) for c in ("net_take", "cp")}
+    })
 
 
 def brand_by_store(sales: DataFrame, stock_store: DataFrame, attributes: DataFrame, f: SalesFilter = NO_FILTER) -> DataFrame:
@@ -311,13 +311,12 @@ def conversion(visitors: DataFrame, receipts: DataFrame, f: SalesFilter = NO_FIL
     rows = apply_settlement_filter(receipts, f)
     r = _orders(rows, "store_name").groupBy("store_name").agg(F.count(F.lit(1)).alias("receipts"), money_sum("gmv").alias("gmv"))
     out = v.join(r, "store_name", "left")
-    out = out.withColumn("receipts", F.coalesce("receipts", F.lit(0)).cast("bigint"))
-    out = out.withColumn("gmv", F.coalesce("gmv", F.lit(0)).cast(MONEY))
+    out = out.withColumns({"receipts": F.coalesce("receipts", F.lit(0)).cast("bigint"), "gmv": F.coalesce("gmv", F.lit(0)).cast(MONEY)})
     return conversion_rates(out)
 
 
 def conversion_rates(df: DataFrame) -> DataFrame:
-    return df.withColumn("conversion", ratio("receipts", "visitors")).withColumn("aov", ratio("gmv", "receipts", None))
+    return df.withColumns({"conversion": ratio("receipts", "visitors"), "aov": ratio("gmv", "receipts", None)})
 
 
 def conversion_totals(rows: DataFrame) -> DataFrame:
@@ -349,15 +348,14 @@ def foreign_ratio_by(sales: DataFrame, dim: str) -> DataFrame:
 def previous_period_growth(sales: DataFrame, f: SalesFilter) -> DataFrame:
     """KPIs of the range and of the equal range before it, from one pass; percent on |previous|."""
     prev_from, prev_to = previous_range(f.date_from, f.date_to)
-    rows = apply_sales_filter(sales, f.without("date_from", "date_to")).filter(within("sales_date", prev_from, f.date_to))
+    rows = apply_sales_filter(sales, f.without("date_from", "date_to"))
+    rows = prune(rows, prev_from, f.date_to).filter(within("sales_date", prev_from, f.date_to))
     cur = within("sales_date", f.date_from, f.date_to)
     prev = within("sales_date", prev_from, prev_to)
     side = lambda cond, m: sum_if(cond, m).cast("bigint" if m == "qty" else MONEY)
     cols = [side(c, m).alias(f"{p}{m}") for p, c in (("", cur), ("prev_", prev)) for m in MEASURES]
     out = rows.agg(*cols)
-    for m in MEASURES:
-        out = out.withColumn(f"{m}_change", change(m, f"prev_{m}", absolute=True))
-    return out
+    return out.withColumns({f"{m}_change": change(m, f"prev_{m}", absolute=True) for m in MEASURES})
 
 
 def with_totals(df: DataFrame, label: str, sums: list[str], ratios: dict[str, Column], base: DataFrame | None = None) -> DataFrame:
@@ -365,8 +363,7 @@ def with_totals(df: DataFrame, label: str, sums: list[str], ratios: dict[str, Co
     ratio expressions are evaluated on those sums, never averaged."""
     types = {x.name: x.dataType for x in df.schema.fields}
     t = (df if base is None else base).agg(*[total(c).cast(types[c]).alias(c) for c in sums])
-    for name, expr in ratios.items():
-        t = t.withColumn(name, expr)
+    t = t.withColumns(ratios)
     known = {*sums, *ratios}
     t = t.select(
         *[
@@ -395,7 +392,9 @@ def ab_compare(
     """Two free ranges side by side, from one pass. Groups are merged in full and cut afterwards,
     so a group never looks new because the other side was cut."""
     in_a, in_b = within("sales_date", *a), within("sales_date", *b)
-    rows = apply_sales_filter(sales, f.without("date_from", "date_to")).filter(in_a | in_b)
+    rows = apply_sales_filter(sales, f.without("date_from", "date_to"))
+    starts, ends = zip(*[(as_date(x), as_date(y)) for x, y in (a, b)])
+    rows = prune(rows, F.least(*starts), F.greatest(*ends)).filter(in_a | in_b)
     side = lambda c, m: sum_if(c, m)
     sums = [side(in_a, "gmv").cast(MONEY).alias("a_gmv"), side(in_b, "gmv").cast(MONEY).alias("b_gmv")]
     if dim == "goods":

@@ -4,7 +4,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shopfloor.functions.dates import DateLike, as_date, max_date, month_start, within
+from shopfloor.functions.dates import DateLike, as_date, max_date, month_start, prune, within
 from shopfloor.functions.numeric import MONEY, dbl, money_sum, ratio, sum_if
 from shopfloor.operators.filters import SalesFilter, apply_settlement_filter
 
@@ -37,12 +37,8 @@ def target_month(targets: DataFrame, sales: DataFrame, as_of: DateLike, month: D
 
 def _rates(df: DataFrame, tm: TargetMonth) -> DataFrame:
     proj = F.coalesce(dbl("actual_mtd") / F.nullif(dbl(tm.elapsed), F.lit(0.0)) * dbl(tm.days), F.lit(0.0))
-    return (
-        df.withColumn("rate_day", ratio("actual_day", "goal_day"))
-        .withColumn("rate_mtd", ratio("actual_mtd", "goal_mtd"))
-        .withColumn("proj", proj)
-        .withColumn("proj_rate", ratio("proj", "goal_full"))
-    )
+    rates = {"rate_day": ratio("actual_day", "goal_day"), "rate_mtd": ratio("actual_mtd", "goal_mtd"), "proj": proj}
+    return df.withColumns(rates).withColumn("proj_rate", ratio("proj", "goal_full"))
 
 
 def target_attainment(targets: DataFrame, sales: DataFrame, tm: TargetMonth, stores=(), types=()) -> DataFrame:
@@ -60,7 +56,7 @@ def target_attainment(targets: DataFrame, sales: DataFrame, tm: TargetMonth, sto
     prev, last = F.add_months(tm.start, -1), F.add_months(tm.start, -12)
     cur = within("sales_date", tm.start, tm.end)
     in_prev, in_last = within("sales_date", prev, F.last_day(prev)), within("sales_date", last, F.last_day(last))
-    actual = apply_settlement_filter(sales, f).filter(cur | in_prev | in_last).groupBy("store_name").agg(
+    actual = prune(apply_settlement_filter(sales, f), last, tm.end).filter(cur | in_prev | in_last).groupBy("store_name").agg(
         F.count(F.when(cur, 1)).alias("_n"),
         F.min(F.when(cur, F.col("shop_type"))).alias("actual_type"),
         m(cur & (F.col("sales_date").cast("date") <= tm.last_actual), "gmv").alias("actual_mtd"),

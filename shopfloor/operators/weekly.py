@@ -311,11 +311,13 @@ W4 = range(4)
 def rates(df: DataFrame, sold: Column, off: Column | None = None) -> DataFrame:
     """Sell-through and cover days on the four-week sales; null where undefined."""
     cur = dbl("total_cur")
-    df = df.withColumn("sell_through", F.round(dbl(sold) / F.nullif(dbl(sold) + cur, F.lit(0.0)) * F.lit(100.0), 1))
-    df = df.withColumn("days_all", F.when(sold > 0, F.round(cur / (dbl(sold) / F.lit(28.0)), 1)))
+    cols = {
+        "sell_through": F.round(dbl(sold) / F.nullif(dbl(sold) + cur, F.lit(0.0)) * F.lit(100.0), 1),
+        "days_all": F.when(sold > 0, F.round(cur / (dbl(sold) / F.lit(28.0)), 1)),
+    }
     if off is not None:
-        df = df.withColumn("days_off", F.when(off > 0, F.round(dbl("store_cur") / (dbl(off) / F.lit(28.0)), 1)))
-    return df
+        cols["days_off"] = F.when(off > 0, F.round(dbl("store_cur") / (dbl(off) / F.lit(28.0)), 1))
+    return df.withColumns(cols)
 
 
 STOCK_COLUMNS = ("total_cur", "store_cur", "logi_cur", "total_base", "store_base", "st_w0", "st_w1", "st_w2", "st_w3")
@@ -350,9 +352,8 @@ def sell_through(
     rows = rows.join(names, "brand_id", "left")
     zero = F.lit(0)
     value_cols = [f"{ch}_{m}_w{i}" for ch in ("on", "off") for m in ("qty", "gmv", "nt", "cp") for i in W4]
-    for c in [*value_cols, "on_nggmv_4w", "off_namt_4w", *STOCK_COLUMNS]:
-        rows = rows.withColumn(c, F.coalesce(c, zero))
-    rows = rows.withColumn("normal_price", F.coalesce("normal_price", F.lit(0.0)))
+    filled = {c: F.coalesce(c, zero) for c in [*value_cols, "on_nggmv_4w", "off_namt_4w", *STOCK_COLUMNS]}
+    rows = rows.withColumns({**filled, "normal_price": F.coalesce("normal_price", F.lit(0.0))})
 
     week = lambda ch, m: [f"{ch}_{m}_w{i}" for i in W4]
     on_gmv, off_gmv = _add(week("on", "gmv")), _add(week("off", "gmv"))
@@ -462,9 +463,7 @@ def channel_view(df: DataFrame, channel: str) -> DataFrame:
     """Week columns and four-week sums of one channel: tot, on or off."""
     weeks = [f"{m}_{channel}_w{i}" for m in ("qty", "gmv", "nt") for i in W4]
     out = df.select("sil", "gubun", "brand_code", "brand_nm", *weeks)
-    for m in ("qty", "gmv", "nt"):
-        out = out.withColumn(f"{m}_{channel}_sum", _add([f"{m}_{channel}_w{i}" for i in W4]))
-    return out
+    return out.withColumns({f"{m}_{channel}_sum": _add([f"{m}_{channel}_w{i}" for i in W4]) for m in ("qty", "gmv", "nt")})
 
 
 def sell_through_drill(goods_rows: DataFrame, brand_code: str, kind: str, limit: int | None = 2000) -> DataFrame:

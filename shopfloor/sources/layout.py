@@ -6,10 +6,9 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from shopfloor.functions.dates import max_date, month_start
+from shopfloor.functions.dates import MONTH, max_date, month_key, month_start, prune
 
 ROW_GROUP_BYTES = 32 * 1024 * 1024
-MONTH = "sales_month"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -51,7 +50,7 @@ def replace_window(current: DataFrame, fresh: DataFrame, since: Column, date_col
 def write_monthly(df: DataFrame, path: str, date_col: str = "sales_date") -> None:
     """Partition by month. Only the months present in `df` are replaced; the others stay. The
     shuffle key carries the day and a row hash beside the month, so a hot month spreads over tasks."""
-    df = df.withColumn(MONTH, F.date_format(month_start(F.col(date_col)), "yyyy-MM"))
+    df = df.withColumn(MONTH, month_key(F.col(date_col)))
     (
         df.repartitionByRange(F.col(MONTH), F.col(date_col), F.xxhash64(*df.columns))
         .sortWithinPartitions(MONTH, date_col)
@@ -64,8 +63,9 @@ def write_monthly(df: DataFrame, path: str, date_col: str = "sales_date") -> Non
 
 
 def read_monthly(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """The month column stays in the frame: `prune` turns a date range into a partition filter."""
     reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(path).drop(MONTH)
+    return reader.parquet(path).withColumn(MONTH, F.col(MONTH).cast("string"))
 
 
 def replace_window_on_disk(spark: SparkSession, path: str, build, days: int, date_col: str = "sales_date") -> None:
@@ -75,10 +75,10 @@ def replace_window_on_disk(spark: SparkSession, path: str, build, days: int, dat
     current = read_monthly(spark, path)
     watermark = current.agg(F.max(date_col).cast("date")).first()[0]
     since = F.date_sub(F.lit(watermark), days)
-    touched = current.filter(F.col(date_col) >= month_start(since))
+    touched = prune(current, since).filter(F.col(date_col) >= month_start(since)).drop(MONTH)
     staged = scratch_path(spark, "window")
     replace_window(touched, build(since), since, date_col).write.parquet(staged)
-    write_monthly(spark.read.schema(current.schema).parquet(staged), path, date_col)
+    write_monthly(spark.read.schema(touched.schema).parquet(staged), path, date_col)
 
 
 class Store:
@@ -92,11 +92,11 @@ class Store:
     def keep(self, name: str, df: DataFrame, date_col: str | None = None) -> DataFrame:
         if name not in self.done:
             path = os.path.join(self.root, name)
-            if date_col:
-                self.done[name] = write_clustered(df, path, date_col)
-            else:
-                df.write.mode("overwrite").parquet(path)
-                self.done[name] = self.spark.read.schema(df.schema).parquet(path)
+            # sorted within the tasks that already hold the rows: date filters skip row groups, and
+            # no further shuffle or sampling pass is paid for a working copy
+            out = df.sortWithinPartitions(date_col) if date_col else df
+            out.write.mode("overwrite").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+            self.done[name] = self.spark.read.schema(df.schema).parquet(path)
         return self.done[name]
 
 
