@@ -1,12 +1,11 @@
-"""Dates as columns. A date argument may be a Python date, an ISO string or a Column
-(for instance a one-row aggregate turned into a scalar subquery)."""
+"""Dates as columns. A date argument may be a Python date, an ISO string or a Column."""
 
 import datetime as dt
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-DateLike = dt.date | str | Column
+DateLike = dt.date | str | Column | None
 
 # Public holidays of Korea for the years the calendar lists in full.
 HOLIDAY_YEARS = (2023, 2026)
@@ -29,16 +28,24 @@ def as_date(d: DateLike) -> Column:
         return d.cast("date")
     if isinstance(d, str):
         d = dt.date.fromisoformat(d[:10])
-    return F.lit(d)
+    return F.lit(d).cast("date")
 
 
 def max_date(df: DataFrame, col: str) -> Column:
-    """Largest date of a frame as a scalar subquery: evaluated once, no driver round trip."""
+    """Largest date of a frame as a scalar subquery: evaluated once, no driver round trip. Good for
+    one equality, which Spark still pushes to the scan."""
     return df.agg(F.max(col).cast("date").alias("d")).scalar()
 
 
-def min_date(df: DataFrame, col: str) -> Column:
-    return df.agg(F.min(col).cast("date").alias("d")).scalar()
+def date_span(df: DataFrame, col: str) -> tuple[Column, Column]:
+    """Oldest and newest date as literals. One small job over one column; in return every range
+    built on them is folded, pushed to the scan and pruned to partitions before the report starts."""
+    lo, hi = df.agg(F.min(col).cast("date"), F.max(col).cast("date")).first()
+    return as_date(lo), as_date(hi)
+
+
+def newest(df: DataFrame, col: str) -> Column:
+    return date_span(df, col)[1]
 
 
 def add_days(d: DateLike, n: int | Column) -> Column:

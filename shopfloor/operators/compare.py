@@ -5,7 +5,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shopfloor.functions import labels as L
-from shopfloor.functions.dates import DateLike, as_date, max_date, min_date, month_start, prune, within, week_start, year_start
+from shopfloor.functions.dates import DateLike, as_date, date_span, month_start, prune, within, week_start, year_start
 from shopfloor.functions.numeric import MONEY, dbl, money_sum, sum_if
 from shopfloor.operators.filters import NO_FILTER, SalesFilter, apply_sales_filter
 
@@ -55,8 +55,8 @@ def compare_windows(ref: DateLike, dmin: Column, dmax: Column) -> Windows:
 
 def sales_windows(sales: DataFrame, ref: DateLike | None = None) -> Windows:
     """Windows over one sales dataset; the newest day is the default reference."""
-    dmax = max_date(sales, "sales_date")
-    return compare_windows(dmax if ref is None else ref, min_date(sales, "sales_date"), dmax)
+    dmin, dmax = date_span(sales, "sales_date")
+    return compare_windows(dmax if ref is None else ref, dmin, dmax)
 
 
 def windows_frame(sales: DataFrame, ref: DateLike | None = None) -> DataFrame:

@@ -17,21 +17,15 @@ def recent_dates(sales: DataFrame, as_of: DateLike, n: int = RECENT_DATES) -> Da
     return prune(sales, None, as_of).filter(F.col("sales_date") < as_date(as_of)).select(d.alias("d")).distinct().orderBy(F.desc("d")).limit(n)
 
 
-def recent_day(sales: DataFrame, as_of: DateLike, back: int, n: int = RECENT_DATES) -> Column:
-    """The date `back` sale dates before the newest one, null when there is none, as a scalar
-    subquery: no date travels through the driver and the scan still gets an equality filter."""
-    days = recent_dates(sales, as_of, n).agg(F.sort_array(F.collect_list("d"), asc=False).alias("ds"))
-    return days.select(F.get("ds", F.lit(back)).alias("d")).scalar()
-
-
 class ReportDays:
-    """d0 (newest complete day) to d3."""
+    """d0 (newest complete day) to d3, null where there are fewer, and the start of the trend. The
+    at most 21 dates are fetched once; as literals they reach the scans of every section."""
 
     def __init__(self, sales: DataFrame, as_of: DateLike):
-        self.days = [recent_day(sales, as_of, i) for i in range(4)]
+        found = [r["d"] for r in recent_dates(sales, as_of).collect()]
+        self.days = [as_date(d) for d in [*found[:4], None, None, None, None][:4]]
         # the 14th date back, or the oldest one when there are fewer
-        recent = recent_dates(sales, as_of, TREND_DATES)
-        self.trend_from = recent.agg(F.min("d").alias("d")).scalar()
+        self.trend_from = as_date(found[: TREND_DATES][-1] if found else None)
 
     def __getitem__(self, i: int) -> Column:
         return self.days[i]

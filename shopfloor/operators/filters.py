@@ -6,7 +6,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shopfloor.functions import labels as L
-from shopfloor.functions.dates import add_days, as_date, max_date, min_date, month_start, prune, week_start, year_start
+from shopfloor.functions.dates import add_days, as_date, date_span, month_start, prune, week_start, year_start
 from shopfloor.functions.numeric import money_sum, total
 
 IN_COLUMNS = {
@@ -162,9 +162,10 @@ def preset_ranges(last: Column, first: Column) -> dict[str, tuple[Column, Column
 def kpis_by_preset(sales: DataFrame, f: SalesFilter = NO_FILTER) -> DataFrame:
     """KPI sums of each quick range. Days are summed first; each day then counts for the ranges
     that hold it, so no row is multiplied before aggregation."""
-    last, first = max_date(sales, "sales_date"), min_date(sales, "sales_date")
+    first, last = date_span(sales, "sales_date")
     ranges = preset_ranges(last, first)
-    rows = apply_sales_filter(sales, f.without("date_from", "date_to"))
+    earliest = F.least(*[a for a, _ in ranges.values()])
+    rows = prune(apply_sales_filter(sales, f.without("date_from", "date_to")), earliest).filter(F.col("sales_date") >= earliest)
     measures = ["gmv", "normal_amt", "pay", "foreign_gmv"]
     days = rows.groupBy(F.col("sales_date").cast("date").alias("d")).agg(
         F.sum("qty").alias("qty"), *[F.sum(m).alias(m) for m in measures]

@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shopfloor.functions.dates import DateLike, as_date, max_date, month_start, prune, within
+from shopfloor.functions.dates import DateLike, as_date, month_start, newest, prune, within
 from shopfloor.functions.numeric import MONEY, change, dbl, money_sum, ratio, sum_if, total
 from shopfloor.operators.filters import NO_FILTER, SalesFilter, apply_sales_filter, apply_settlement_filter
 
@@ -130,16 +130,17 @@ def year_ago(d: Column) -> Column:
 
 def pnl_ranges(daily: DataFrame, mode: str, period: DateLike | None = None, date_to: DateLike | None = None) -> list[tuple[Column, Column]]:
     """Current, previous and last year's range of one view; the newest date when no period is given."""
-    newest = max_date(daily, "sales_date")
+    if period is None or (mode == "range" and date_to is None):
+        last = newest(daily, "sales_date")
     if mode == "day":
-        d = newest if period is None else as_date(period)
+        d = last if period is None else as_date(period)
         return [(d, d), (F.date_sub(d, 1), F.date_sub(d, 1)), (year_ago(d), year_ago(d))]
     if mode == "range":
-        x = month_start(newest) if period is None else as_date(period)
-        y = newest if date_to is None else as_date(date_to)
+        x = month_start(last) if period is None else as_date(period)
+        y = last if date_to is None else as_date(date_to)
         a, b = F.least(x, y), F.greatest(x, y)
         return [(a, b), (F.date_sub(a, F.datediff(b, a) + 1), F.date_sub(a, 1)), (year_ago(a), year_ago(b))]
-    m = month_start(newest if period is None else period)
+    m = month_start(last if period is None else period)
     whole = lambda s: (s, F.last_day(s))
     return [whole(m), whole(F.add_months(m, -1)), whole(F.add_months(m, -12))]
 
@@ -195,5 +196,5 @@ def pnl_months(daily: DataFrame) -> DataFrame:
 def pnl_provisional(daily: DataFrame, mode: str = "month", period: DateLike | None = None, date_to: DateLike | None = None) -> DataFrame:
     """Costs of about two months are forecasts: is the range one of them?"""
     end = pnl_ranges(daily, mode, period, date_to)[0][1]
-    newest = daily.agg(F.max("sales_date").cast("date").alias("max_date"))
-    return newest.select("max_date", end.alias("range_end"), (end >= F.date_sub(month_start(F.col("max_date")), 62)).alias("provisional"))
+    top = daily.agg(F.max("sales_date").cast("date").alias("max_date"))
+    return top.select("max_date", end.alias("range_end"), (end >= F.date_sub(month_start(F.col("max_date")), 62)).alias("provisional"))

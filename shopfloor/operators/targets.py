@@ -4,7 +4,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shopfloor.functions.dates import DateLike, as_date, max_date, month_start, prune, within
+from shopfloor.functions.dates import DateLike, as_date, month_start, newest, prune, within
 from shopfloor.functions.numeric import MONEY, dbl, money_sum, ratio, sum_if
 from shopfloor.operators.filters import SalesFilter, apply_settlement_filter
 
@@ -23,12 +23,12 @@ class TargetMonth:
 def target_month(targets: DataFrame, sales: DataFrame, as_of: DateLike, month: DateLike | None = None) -> TargetMonth:
     """The given month if it has goals, else the month of the last complete day if it has, else the
     newest month with goals."""
-    done = F.least(max_date(sales, "sales_date"), F.date_sub(as_date(as_of), 1))
+    done = F.least(newest(sales, "sales_date"), F.date_sub(as_date(as_of), 1))
     m = month_start(F.col("sales_date"))
     picks = [F.max(F.when(m == month_start(done), m)), F.max(m)]
     if month is not None:
         picks.insert(0, F.max(F.when(m == month_start(month), m)))
-    start = targets.agg(F.coalesce(*picks).alias("m")).scalar()
+    start = as_date(targets.agg(F.coalesce(*picks)).first()[0])
     end = F.last_day(start)
     reached = done >= start
     last = F.when(reached, F.least(end, done)).otherwise(start)

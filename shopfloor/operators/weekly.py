@@ -6,7 +6,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shopfloor.functions import labels as L
-from shopfloor.functions.dates import DateLike, as_date, max_date, week_start
+from shopfloor.functions.dates import DateLike, as_date, max_date, newest, week_start
 from shopfloor.functions.numeric import MONEY, dbl, money_sum, total
 
 BIZ_OWN = "1P"
@@ -61,7 +61,7 @@ def week_frame(as_of: DateLike, newest_history: Column, newest_stock: Column) ->
 
 
 def weeks_of(as_of: DateLike, stock_history: DataFrame, stock_summary: DataFrame) -> Weeks:
-    return week_frame(as_of, max_date(stock_history, "base_date"), max_date(stock_summary, "ord_state_date"))
+    return week_frame(as_of, newest(stock_history, "base_date"), newest(stock_summary, "ord_state_date"))
 
 
 def weeks_row(as_of: DateLike, stock_history: DataFrame, stock_summary: DataFrame) -> DataFrame:
