@@ -88,9 +88,13 @@ def latest_by_key(df: DataFrame, keys: list[str], order_col: str, tie_break: lis
 
 
 def latest_prices(price_feed: DataFrame, channel: int = L.PRICE_CHANNEL) -> DataFrame:
-    """Newest trustworthy price of one channel per goods."""
-    feed = price_feed.filter(F.col("channel_id") == channel).select("goods_id", "created_at", "sale_price", "basic_price")
-    return latest_by_key(quarantine_prices(feed), ["goods_id"], "created_at")
+    """Newest trustworthy price of one channel per goods. The batches are reduced to one row each,
+    and those with conflicting prices dropped, in the same pass, so the feed is read once."""
+    batches = price_feed.filter(F.col("channel_id") == channel).groupBy("goods_id", "created_at").agg(
+        F.min("sale_price").alias("lo"), F.max("sale_price").alias("sale_price"), F.max("basic_price").alias("basic_price")
+    )
+    good = batches.filter(F.col("lo").eqNullSafe(F.col("sale_price"))).drop("lo")
+    return latest_by_key(good, ["goods_id"], "created_at")
 
 
 def goods_master(

@@ -21,6 +21,14 @@ def with_rates(df: DataFrame) -> DataFrame:
     return df.withColumns({"discount_rate": discount_rate("gmv", "normal_amt"), "foreign_ratio": ratio("foreign_gmv", "gmv")})
 
 
+def sums_with_name(rows: DataFrame, keys: list[str], measures=MEASURES) -> DataFrame:
+    """Sums per key with one goods name each. A text minimum would turn the whole aggregation into
+    a sort of all rows; with the name as a key the rows are hashed, and the minimum is taken over
+    the few groups left."""
+    level = rows.groupBy(*keys, "goods_nm").agg(*measure_sums(measures))
+    return level.groupBy(*keys).agg(F.min("goods_nm").alias("goods_nm"), *measure_sums(measures))
+
+
 def distinct_count(rows: DataFrame, col: str) -> Column:
     """Number of distinct non-null values as a scalar subquery. It reads its one column, combines on
     the map side, and leaves the sums beside it free of an expanded copy of the rows."""
@@ -206,12 +214,12 @@ def drill(
     Stock reaches a brand or category through one row per goods, so it is never repeated."""
     col = LEVELS[level]
     key = F.col(col).cast("string").alias("key")
-    out = apply_sales_filter(sales, f).groupBy(key).agg(
-        *([F.min("goods_nm").alias("name")] if level == "goods" else []),
-        *measure_sums(("qty", "gmv", "normal_amt", "foreign_gmv")),
-        F.countDistinct("goods_no").alias("goods_count"),
-    )
-    if level != "goods":
+    rows, measures = apply_sales_filter(sales, f), ("qty", "gmv", "normal_amt", "foreign_gmv")
+    if level == "goods":
+        out = sums_with_name(rows, ["goods_no"], measures)
+        out = out.select(key, F.col("goods_nm").alias("name"), *measures, F.lit(1).cast("bigint").alias("goods_count"))
+    else:
+        out = rows.groupBy(key).agg(*measure_sums(measures), F.countDistinct("goods_no").alias("goods_count"))
         out = out.withColumn("name", F.col("key"))
     stock = drill_stock_filter(stock_store, attributes, f).groupBy(key).agg(total("stock").cast("bigint").alias("stock"))
     out = with_rates(out.join(stock, "key", "left").withColumn("stock", F.coalesce("stock", F.lit(0)).cast("bigint")))
@@ -246,8 +254,7 @@ def goods_detail(
 ) -> DataFrame:
     """Goods with units sold: sums, unit prices, rates, profit, store and hub stock."""
     keys = ["business_type", *CATEGORIES, "brand_nm", "goods_no"]
-    out = apply_sales_filter(sales, f).groupBy(*keys).agg(F.min("goods_nm").alias("goods_nm"), *measure_sums())
-    out = out.filter(F.col("qty") > 0)
+    out = sums_with_name(apply_sales_filter(sales, f), keys).filter(F.col("qty") > 0)
     if limit is not None:
         out = out.orderBy(F.desc("gmv"), *keys).limit(limit)
     out = with_rates(out).withColumns({"sale_unit": ratio("gmv", "qty", None), "pay_unit": ratio("pay", "qty", None)})
@@ -259,8 +266,7 @@ def goods_detail(
 def goods_by_store(sales: DataFrame, stock_store: DataFrame, settlement: DataFrame, f: SalesFilter = NO_FILTER) -> DataFrame:
     """Long store x goods rows with stock and settled profit."""
     keys = ["store_name", "business_type", *CATEGORIES, "brand_nm", "goods_no"]
-    out = apply_sales_filter(sales, f).groupBy(*keys).agg(F.min("goods_nm").alias("goods_nm"), *measure_sums())
-    out = out.filter((F.col("qty") != 0) | (F.col("gmv") != 0))
+    out = sums_with_name(apply_sales_filter(sales, f), keys).filter((F.col("qty") != 0) | (F.col("gmv") != 0))
     pair = ["store_name", "goods_no"]
     settled = apply_settlement_filter(settlement, f).groupBy(*pair).agg(money_sum("net_take").alias("net_take"), money_sum("cp").alias("cp"))
     out = out.join(stock_store, pair, "left").join(settled, pair, "left")

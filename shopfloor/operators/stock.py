@@ -13,12 +13,13 @@ from shopfloor.operators.sales import top_plus_other
 from shopfloor.sources.tables import latest_snapshot
 
 
-def _latest_in_stores(stock_summary: DataFrame, stores: DataFrame) -> DataFrame:
+def latest_in_stores(stock_summary: DataFrame, stores: DataFrame) -> DataFrame:
+    """Rows of the newest store snapshot; every stock dataset starts from them, so keep them."""
     now = latest_snapshot(stock_summary, "ord_state_date").filter(F.col("barcode").isNotNull())
     return now.withColumn("shop_no", F.col("shop_no").cast("int")).join(stores, "shop_no")
 
 
-def _plant2_in_stores(plant_stock: DataFrame, shop_location: DataFrame, stores: DataFrame) -> DataFrame:
+def plant2_in_stores(plant_stock: DataFrame, shop_location: DataFrame, stores: DataFrame) -> DataFrame:
     """Store stock the second plant keeps, placed through the location map."""
     rows = plant_stock.filter((F.col("plant_code") == L.PLANT2) & F.col("barcode").isNotNull())
     where = shop_location.select(
@@ -29,10 +30,10 @@ def _plant2_in_stores(plant_stock: DataFrame, shop_location: DataFrame, stores:
 
 
 def hub_stock(
-    stock_summary: DataFrame, erp_stock: DataFrame, fulfil_stock: DataFrame, hub_meta: DataFrame, stores: DataFrame
+    store_rows: DataFrame, erp_stock: DataFrame, fulfil_stock: DataFrame, hub_meta: DataFrame
 ) -> DataFrame:
     """(barcode, hub, qty) of both plants and the fulfilment centre."""
-    in_stores = _latest_in_stores(stock_summary, stores).select("barcode").distinct()
+    in_stores = store_rows.select("barcode").distinct()
     erp = latest_snapshot(erp_stock, "dt").filter(F.col("barcode").isNotNull())
     plant1 = erp.filter((F.col("store_cd") == L.PLANT1) & F.col("lgort").isin(list(L.PLANT1_WAREHOUSES)))
     plant1 = plant1.join(in_stores, "barcode", "left_semi")
@@ -48,12 +49,10 @@ def hub_stock(
     return reduce(DataFrame.unionByName, [side(plant1, L.HUB_PLANT1), plant2, centre]).select("barcode", "hub", "qty")
 
 
-def stock_long(
-    stock_summary: DataFrame, plant_stock: DataFrame, shop_location: DataFrame, hubs: DataFrame, stores: DataFrame
-) -> DataFrame:
+def stock_long(store_rows: DataFrame, plant_rows: DataFrame, hubs: DataFrame) -> DataFrame:
     """barcode x location with its quantity, stores and hubs alike."""
-    a = _latest_in_stores(stock_summary, stores).select("barcode", "store_name", F.col("sellable_qty").alias("qty"))
-    b = _plant2_in_stores(plant_stock, shop_location, stores).select("barcode", "store_name", F.col("available_stock").alias("qty"))
+    a = store_rows.select("barcode", "store_name", F.col("sellable_qty").alias("qty"))
+    b = plant_rows.select("barcode", "store_name", F.col("available_stock").alias("qty"))
     s = a.unionByName(b).groupBy("barcode", F.col("store_name").alias("location")).agg(total("qty").cast("bigint").alias("qty"))
     s = s.withColumn("location_kind", F.lit(L.STORE))
     h = hubs.select("barcode", F.col("hub").alias("location"), "qty").withColumn("location_kind", F.lit(L.HUB))
@@ -61,19 +60,19 @@ def stock_long(
 
 
 def stock_meta(
-    stock_summary: DataFrame, plant_stock: DataFrame, shop_location: DataFrame, hubs: DataFrame, hub_meta: DataFrame,
-    goods_main: DataFrame, brand: DataFrame, concepts: DataFrame, stores: DataFrame,
+    store_rows: DataFrame, plant_rows: DataFrame, hubs: DataFrame, hub_meta: DataFrame, goods_main: DataFrame, brand: DataFrame,
+    concepts: DataFrame,
 ) -> DataFrame:
     """Attributes per barcode from the store side, then the second plant, then the warehouse, with
     names from the goods master where it has them. Rows: barcodes in a store or in the hub of the
     second plant; a barcode only the first plant's hub holds gets none."""
-    a = _latest_in_stores(stock_summary, stores).groupBy("barcode").agg(
+    a = store_rows.groupBy("barcode").agg(
         F.min("goods_no").alias("goods_no"), F.min("goods_opt").alias("goods_opt"), F.min("brand_nm").alias("brand_nm"),
         F.min("goods_nm").alias("goods_nm"), *[F.min(c).alias(c) for c in CATEGORIES], F.min("offline_md_id").alias("off_md_id"),
         F.min("com_id").alias("company_id"), F.min("brand").alias("brand_id"),
         F.min(supply_business_type("ord_com_type")).alias("business_type"),
     )
-    b = _plant2_in_stores(plant_stock, shop_location, stores).groupBy("barcode").agg(
+    b = plant_rows.groupBy("barcode").agg(
         F.min("goods_no").alias("b_goods"), F.min("option_name").alias("b_opt")
     )
     hub2 = hubs.filter(F.col("hub") == L.HUB_PLANT2).select("barcode").distinct()

@@ -133,9 +133,10 @@ def range_sum(weeks_range: tuple[Column, Column], expr: Column, name: str, date_
     return F.coalesce(F.sum(F.when(F.col(date_col).between(*weeks_range), expr)), F.lit(0)).alias(name)
 
 
-def brand_scope(online: DataFrame, purchase: DataFrame, weeks: Weeks, scope: Scope) -> DataFrame:
-    """Brands by division, by company, or purchased; excluded companies out."""
-    hit = in_scope_online(online, purchase, weeks, scope).select("brand")
+def brand_scope(by_division: DataFrame, purchase: DataFrame) -> DataFrame:
+    """Brands by division, by company, or purchased; excluded companies out. The online sums hold
+    exactly the brands of the rows in scope, so the orders are not read again."""
+    hit = by_division.select(F.col("brand_id").alias("brand"))
     return hit.unionByName(purchase.select("brand")).distinct()
 
 

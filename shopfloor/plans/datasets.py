@@ -144,23 +144,27 @@ class Datasets:
         return A.customer_demographics(self.inputs["customer_summary"], self.stores)
 
     # stock
+    @kept()
+    def store_rows(self) -> DataFrame:
+        return S.latest_in_stores(self.inputs["stock_summary"], self.stores)
+
+    @kept()
+    def plant_rows(self) -> DataFrame:
+        return S.plant2_in_stores(self.inputs["plant_stock"], self.inputs["shop_location"], self.stores)
+
     @kept()
     def hubs(self) -> DataFrame:
         i = self.inputs
-        return S.hub_stock(i["stock_summary"], i["erp_stock"], i["fulfil_stock"], i["hub_meta"], self.stores)
+        return S.hub_stock(self.store_rows, i["erp_stock"], i["fulfil_stock"], i["hub_meta"])
 
     @kept()
     def stock_rows(self) -> DataFrame:
-        i = self.inputs
-        return S.stock_long(i["stock_summary"], i["plant_stock"], i["shop_location"], self.hubs, self.stores)
+        return S.stock_long(self.store_rows, self.plant_rows, self.hubs)
 
     @kept()
     def stock_meta(self) -> DataFrame:
         i = self.inputs
-        return S.stock_meta(
-            i["stock_summary"], i["plant_stock"], i["shop_location"], self.hubs, i["hub_meta"], i["goods_main"], i["brand"],
-            self.concepts, self.stores,
-        )
+        return S.stock_meta(self.store_rows, self.plant_rows, self.hubs, i["hub_meta"], i["goods_main"], i["brand"], self.concepts)
 
     @kept()
     def stock(self) -> DataFrame:
@@ -190,7 +194,7 @@ class Datasets:
 
     @kept()
     def brand_scope(self) -> DataFrame:
-        return K.brand_scope(self.inputs["online_orders"], self.purchase_brands, self.weeks, self.settings.scope)
+        return K.brand_scope(self.online_divisions, self.purchase_brands)
 
     @kept()
     def online_divisions(self) -> DataFrame:
