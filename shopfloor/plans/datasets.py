@@ -261,13 +261,13 @@ def read_dataset(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def refresh(
-    spark: SparkSession, data: Datasets, root: str, mode: str = "sales", names: tuple[str, ...] = (), exists: Callable[[str], bool] = os.path.exists
+    spark: SparkSession, data: Datasets, root: str, mode: str = "sales", names: tuple[str, ...] = ()
 ) -> list[str]:
     """Batch job over the registry; returns the datasets written.
 
     sales: trailing window of the three sales datasets. full: also the snapshots and the windows of
-    the settlement. rebuild: the same without windows. snap: the named ones. `exists` tells whether
-    a dataset has been built before (a local check by default)."""
+    the settlement. rebuild: the same without windows. snap: the named ones. A windowed dataset that
+    does not exist yet is built in full."""
     if mode == "snap":
         todo = [n for n in names if n in WINDOWED or n in SNAPSHOTS]
     elif mode == "sales":
@@ -282,8 +282,9 @@ def refresh(
             getattr(data, SNAPSHOTS[name]).write.mode("overwrite").parquet(path)
             continue
         build, days = WINDOWED[name]
-        if mode == "rebuild" or not exists(path):
+        if mode == "rebuild" or not layout.path_exists(spark, path):
             layout.write_monthly(build(data, None), path)
         else:
-            layout.replace_window_on_disk(spark, path, lambda since: build(data, since), days)
+            clip = (lambda since: A.option_since(since, data.settings.as_of)) if name == "sales_option" else None
+            layout.replace_window_on_disk(spark, path, lambda since: build(data, since), days, clip=clip)
     return todo

@@ -68,17 +68,42 @@ def read_monthly(spark: SparkSession, path: str, schema=None) -> DataFrame:
     return reader.parquet(path).withColumn(MONTH, F.col(MONTH).cast("string"))
 
 
-def replace_window_on_disk(spark: SparkSession, path: str, build, days: int, date_col: str = "sales_date") -> None:
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """On whatever file system the path names, not only the driver's disk."""
+    target, fs = _file_system(spark, path)
+    return fs.exists(target)
+
+
+def _months(df: DataFrame) -> set[str]:
+    """Months of a window: a handful of partition values."""
+    return {r[0] for r in df.select(MONTH).distinct().collect()}
+
+
+def replace_window_on_disk(spark: SparkSession, path: str, build, days: int, date_col: str = "sales_date", clip=None) -> None:
     """Rebuild the trailing window of a monthly dataset in place. `build(since)` returns the fresh
-    rows. Only the touched months are read back and rewritten. They go to a new path first, so
-    no path is overwritten while it is read."""
+    rows; a builder that never reaches back further than some date passes that rule as `clip`, and
+    rows before it are kept. Only the touched months are read back and rewritten. They go to a new
+    path first, so no path is overwritten while it is read. A month left without rows is dropped."""
     current = read_monthly(spark, path)
     watermark = current.agg(F.max(date_col).cast("date")).first()[0]
     since = F.date_sub(F.lit(watermark), days)
-    touched = prune(current, since).filter(F.col(date_col) >= month_start(since)).drop(MONTH)
+    if clip is not None:
+        since = clip(since)
+    touched = prune(current, since).filter(F.col(date_col) >= month_start(since))
+    before = _months(touched)
+    touched = touched.drop(MONTH)
     staged = scratch_path(spark, "window")
     replace_window(touched, build(since), since, date_col).write.parquet(staged)
-    write_monthly(spark.read.schema(touched.schema).parquet(staged), path, date_col)
+    rebuilt = spark.read.schema(touched.schema).parquet(staged)
+    write_monthly(rebuilt, path, date_col)
+    for month in before - _months(rebuilt.select(month_key(F.col(date_col)).alias(MONTH))):
+        target, fs = _file_system(spark, os.path.join(path, f"{MONTH}={month}"))
+        fs.delete(target, True)
 
 
 class Store:

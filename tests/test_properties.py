@@ -40,6 +40,29 @@ def test_window_replacement_on_disk_keeps_old_months(spark, data):
     assert rows(got.select(full.columns)) == rows(full)
 
 
+def test_window_replacement_drops_a_month_without_rows(spark, frame):
+    path = layout.scratch_path(spark, "gone")
+    day = dt.date
+    old = frame("sales_date DATE, v INT", [(day(2024, 1, 5), 1), (day(2024, 2, 20), 2), (day(2024, 3, 1), 3), (day(2024, 3, 9), 4)])
+    layout.write_monthly(old, path)
+    fresh = frame("sales_date DATE, v INT", [(day(2024, 2, 25), 9)])
+    layout.replace_window_on_disk(spark, path, lambda since: fresh.filter(F.col("sales_date") >= since), 15)
+    got = layout.read_monthly(spark, path).select("sales_date", "v")
+    assert rows(got) == [(day(2024, 1, 5), 1), (day(2024, 2, 20), 2), (day(2024, 2, 25), 9)]
+
+
+def test_late_option_refresh_leaves_no_gap(spark, data, tmp_path):
+    early = X.Settings(**{**data.settings.__dict__, "as_of": AS_OF})
+    late = X.Settings(**{**data.settings.__dict__, "as_of": dt.date(2001, 12, 20)})
+    root = str(tmp_path)
+    X.refresh(spark, X.Datasets(data.inputs, early), root, "snap", ("sales_option",))
+    before = rows(X.read_dataset(spark, root, "sales_option"))
+    X.refresh(spark, X.Datasets(data.inputs, late), root, "snap", ("sales_option",))
+    after = rows(X.read_dataset(spark, root, "sales_option"))
+    floor = dt.date(2001, 12, 20) - dt.timedelta(days=60)
+    assert [r for r in after if r[0] < floor] == [r for r in before if r[0] < floor]
+
+
 def test_refresh_modes(spark, data, tmp_path):
     x = X.Datasets(data.inputs, data.settings, layout.Store(spark))
     root = str(tmp_path)
