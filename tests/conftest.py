@@ -14,6 +14,7 @@ def spark():
     from shopfloor.session import tune
 
     s = tune(session())
+    s.conf.set("spark.sql.maxMetadataStringLength", 10000)  # whole filter lists in plan texts
     yield s
     s.stop()
 
