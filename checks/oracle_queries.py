@@ -1,7 +1,7 @@
 """One SQL statement per registered query, over the views of `checks.oracle`."""
 
 from checks.oracle import (
-    AS_OF, DIMS, G_COLS, G_TOTAL, HUBS_WIDE, KEYS, KIND_TOTALS, OFF_W, OFF_X, ON_W, ON_X, POS, RANGES, RATES, SALES_OUT, STORES, SUMS,
+    AS_OF, G_COLS, G_TOTAL, HUBS_WIDE, KEYS, KIND_TOTALS, OFF_W, OFF_X, ON_W, ON_X, POS, RANGES, RATES, SALES_OUT, STORES, SUMS,
     T_COLS, T_RATES, V_COLS, big, change, change_abs, compare_by, cp_rate, dbl, day, disc, money, pnl, ratio, target_month, target_rows,
     v_of, w_labels, w_sums, wide, windows,
 )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from checks.roles import TestInputs
 from shopfloor.functions import labels as L
-from shopfloor.functions.dates import as_date, max_date, red_days
+from shopfloor.functions.dates import red_days
 from shopfloor.functions.numeric import decimals_to_double, discount_rate, ratio
 from shopfloor.operators import (
     compare as C, daily as G, dimensions as D, facts as A, filters as P, profit as R, sales as E, stock as H, targets as T, weekly as K,

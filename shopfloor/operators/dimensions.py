@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shopfloor.functions import labels as L
-from shopfloor.functions.numeric import MONEY, blank_to
+from shopfloor.functions.numeric import MONEY
 from shopfloor.sources.tables import latest_snapshot
 
 CATEGORIES = ("cat_top", "cat_large", "cat_medium")

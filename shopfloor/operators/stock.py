@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, functions as F
 from shopfloor.functions import labels as L
 from shopfloor.functions.numeric import total
 from shopfloor.operators.dimensions import CATEGORIES, latest_by_key, supply_business_type, with_concept
-from shopfloor.operators.filters import SalesFilter, apply_stock_filter
 from shopfloor.operators.sales import top_plus_other
 from shopfloor.sources.tables import latest_snapshot
 

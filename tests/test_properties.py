@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from checks.queries import AS_OF
 from shopfloor.functions import labels as L
-from shopfloor.operators import compare as C, dimensions as D, filters as P, profit as R, sales as E, stock as H
+from shopfloor.operators import compare as C, filters as P, profit as R, sales as E, stock as H
 from shopfloor.plans import datasets as X
 from shopfloor.sources import layout
 
