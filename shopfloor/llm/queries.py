@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from shopfloor.llm import mixing, quality_model, quality_rules, sharding
+from shopfloor.llm import decontamination, mixing, quality_model, quality_rules, sharding
 
 QUERIES = {
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_shard": sharding.op4_shard,
     "op6_quality_model": quality_model.op6_quality_model,
     "op7_mix": mixing.op7_mix,
+    "op8_decontaminate": decontamination.op8_decontaminate,
 }
-SQL = {"op7_mix": mixing.OP7_SQL}
+SQL = {"op7_mix": mixing.OP7_SQL, "op8_decontaminate": decontamination.OP8_SQL}
