@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shopfloor.llm import decontamination, mixing, quality_model, quality_rules, sharding
+from shopfloor.llm import decontamination, jaccard, mixing, quality_model, quality_rules, sharding
 
 QUERIES = {
     "op3_quality_rules": quality_rules.op3_quality_rules,
@@ -10,5 +10,6 @@ QUERIES = {
     "op6_quality_model": quality_model.op6_quality_model,
     "op7_mix": mixing.op7_mix,
     "op8_decontaminate": decontamination.op8_decontaminate,
+    "op9_jaccard_join": jaccard.op9_jaccard_join,
 }
-SQL = {"op7_mix": mixing.OP7_SQL, "op8_decontaminate": decontamination.OP8_SQL}
+SQL = {"op7_mix": mixing.OP7_SQL, "op8_decontaminate": decontamination.OP8_SQL, "op9_jaccard_join": jaccard.OP9_SQL}
