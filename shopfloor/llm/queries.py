@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from shopfloor.llm import decontamination, jaccard, mixing, quality_model, quality_rules, sharding
+from shopfloor.llm import automata, decontamination, jaccard, mixing, quality_model, quality_rules, sharding
 
 QUERIES = {
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_shard": sharding.op4_shard,
+    "op5_substring_dedup": automata.op5_substring_dedup,
     "op6_quality_model": quality_model.op6_quality_model,
     "op7_mix": mixing.op7_mix,
     "op8_decontaminate": decontamination.op8_decontaminate,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
 }
-SQL = {"op7_mix": mixing.OP7_SQL, "op8_decontaminate": decontamination.OP8_SQL, "op9_jaccard_join": jaccard.OP9_SQL}
+SQL = {"op5_substring_dedup": automata.OP5_SQL, "op7_mix": mixing.OP7_SQL, "op8_decontaminate": decontamination.OP8_SQL, "op9_jaccard_join": jaccard.OP9_SQL}
