@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shopfloor.llm import automata, decontamination, jaccard, mixing, quality_model, quality_rules, sharding
+from shopfloor.llm import automata, decontamination, jaccard, mixing, quality_model, quality_rules, sharding, suffixes
 
 QUERIES = {
     "op3_quality_rules": quality_rules.op3_quality_rules,
@@ -12,5 +12,6 @@ QUERIES = {
     "op7_mix": mixing.op7_mix,
     "op8_decontaminate": decontamination.op8_decontaminate,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
+    "op10_suffix_dedup": suffixes.op10_suffix_dedup,
 }
 SQL = {"op5_substring_dedup": automata.OP5_SQL, "op7_mix": mixing.OP7_SQL, "op8_decontaminate": decontamination.OP8_SQL, "op9_jaccard_join": jaccard.OP9_SQL}
