@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from shopfloor.llm import automata, decontamination, jaccard, mixing, quality_model, quality_rules, sharding, suffixes
+from shopfloor.llm import automata, decontamination, extraction, jaccard, licences, mixing, quality_model, quality_rules, sharding, suffixes
 
 QUERIES = {
+    "op1_extract": extraction.op1_extract,
+    "op2_license_scan": licences.op2_license_scan,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_shard": sharding.op4_shard,
     "op5_substring_dedup": automata.op5_substring_dedup,
@@ -14,4 +16,4 @@ QUERIES = {
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_suffix_dedup": suffixes.op10_suffix_dedup,
 }
-SQL = {"op5_substring_dedup": automata.OP5_SQL, "op7_mix": mixing.OP7_SQL, "op8_decontaminate": decontamination.OP8_SQL, "op9_jaccard_join": jaccard.OP9_SQL}
+SQL = {"op2_license_scan": licences.op2_sql(), "op5_substring_dedup": automata.OP5_SQL, "op7_mix": mixing.OP7_SQL, "op8_decontaminate": decontamination.OP8_SQL, "op9_jaccard_join": jaccard.OP9_SQL}
