@@ -247,6 +247,17 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One document of each group: that with the smallest doc_id. Rows that share a doc_id count as one
+    document; rows without doc_id stay."""
+    named = keep(jaccard_components(docs), "components")
+    rest = keep(named.filter("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
+    twice = keep(named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and doc_id is not null").select("doc_id"), "repeated-ids")
+    kept = docs.join(rest, "doc_id", "left_anti").select(*docs.columns)
+    single = kept.join(twice, "doc_id", "left_anti").select(*docs.columns)
+    return single.unionByName(kept.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 

@@ -104,10 +104,10 @@ def take(sized: DataFrame, cuts: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, plan: MixPlan = MixPlan()) -> DataFrame:
     """The mix itself: the input's columns, each document as often as it is taken."""
-    rows = take(measured(docs.select("doc_id", "text", "source", *[c for c in docs.columns if c not in ("doc_id", "text", "source", "size", "mix_hash")])),
-                thresholds(keep(measured(docs).select("source", "size", "mix_hash"), "mix-sizes"), plan))
-    out = [c for c in docs.columns if c in rows.columns]
-    return rows.filter((F.col("copies") > 0)).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*out)
+    whole = measured(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "source")).drop("doc_id", "text")
+    cuts = thresholds(keep(measured(docs.select("doc_id", "text", "source")).drop("doc_id", "text"), "mix-sizes"), plan)
+    copies = F.sequence(F.lit(1).cast("long"), F.col("copies"))
+    return take(whole, cuts).filter("copies > 0").select("row", F.explode(copies)).select("row.*")
 
 
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
