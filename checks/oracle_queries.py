@@ -183,7 +183,7 @@ SQL["e7_basket_value"] = f"""SELECT receipts, foreign_receipts, receipts - forei
   FROM (SELECT count(DISTINCT order_id) receipts, count(DISTINCT CASE WHEN is_foreign = 1 THEN order_id END) foreign_receipts, sum(gmv) gmv,
     sum(CASE WHEN is_foreign = 1 THEN gmv ELSE 0 END) foreign_gmv FROM d_receipts)"""
 SQL["e8_hourly"] = f"""SELECT CAST(h AS INTEGER) "hour", {money('sum(r.gmv)')} gmv, {money('sum(CASE WHEN is_foreign = 1 THEN r.gmv END)')} foreign_gmv,
-    count(DISTINCT r.order_id) receipts FROM range(10, 24) t(h) LEFT JOIN d_receipts r ON r."hour" = h GROUP BY h"""
+    count(DISTINCT r.order_id) receipts FROM range(0, 24) t(h) LEFT JOIN d_receipts r ON r."hour" = h GROUP BY h"""
 _BK = {"day": "sales_date", "week": "CAST(date_trunc('week', sales_date) AS DATE)", "month": "CAST(date_trunc('month', sales_date) AS DATE)"}
 SQL["e9_trend"] = " UNION ALL ".join(
     f"SELECT {b} AS bucket, {dbl('sum(gmv)')} gmv, {big('sum(qty)')} qty, {dbl('sum(foreign_gmv)')} foreign_gmv, '{g}' grain FROM d_sales GROUP BY 1"
@@ -203,7 +203,7 @@ SQL["e11_trend_overlay"] = f"""SELECT CAST(c.pos AS INTEGER) pos, c.bucket, {dbl
 SQL["e12_by_dimension"] = " UNION ALL ".join(
     f"""SELECT * FROM (SELECT {c} AS name, {dbl('sum(gmv)')} gmv, {big('sum(qty)')} qty, {dbl('sum(foreign_gmv)')} foreign_gmv,
       count(DISTINCT goods_no) goods_count, {dbl('sum(sum(gmv)) OVER ()')} grand_total, {ratio('sum(gmv)', 'sum(sum(gmv)) OVER ()')} AS share,
-      '{d}' dim FROM d_sales GROUP BY {c} ORDER BY sum(gmv) DESC, {c} LIMIT 30)"""
+      '{d}' dim FROM d_sales GROUP BY {c})"""
     for d, c in (("store", "store_name"), ("brand", "brand_nm"), ("business", "business_type"), ("cat_medium", "cat_medium"))
 )
 _SEG = """(SELECT brand_nm AS name, sum(gmv) gmv, sum(foreign_gmv) f FROM d_sales GROUP BY brand_nm ORDER BY gmv DESC, name LIMIT 10)"""
@@ -312,7 +312,7 @@ SQL["e29_conversion"] = f"""
   FROM (SELECT sum(visitors) visitors, sum(receipts) receipts, sum(gmv) gmv FROM {_CR})"""
 SQL["e30_country_sales"] = f"""SELECT nationality, {dbl('gmv')} gmv, buyers, {ratio('gmv', 't')} AS share, {dbl('t')} total_gmv, n countries
   FROM (SELECT nationality, gmv, buyers, sum(gmv) OVER () t, count(*) OVER () n FROM (
-    SELECT nationality, sum(gmv) gmv, {big('sum(buyers)')} buyers FROM d_nationality GROUP BY 1) ORDER BY gmv DESC, nationality LIMIT 20)"""
+    SELECT nationality, sum(gmv) gmv, {big('sum(buyers)')} buyers FROM d_nationality GROUP BY 1))"""
 SQL["e31_foreign_ratio_by"] = f"""SELECT store_name AS name, {dbl('sum(gmv)')} gmv, {dbl('sum(foreign_gmv)')} foreign_gmv,
   {ratio('sum(foreign_gmv)', 'sum(gmv)')} ratio FROM d_sales GROUP BY 1"""
 _MS = ("qty", "gmv", "normal_amt", "pay", "foreign_gmv")
@@ -360,7 +360,7 @@ _ROWS5 = f"""(SELECT s.*, n.goods_no IS NOT NULL is_new FROM (
       min(cat_medium) FILTER ({_FLOOR}) cat_medium, {w_sums()} FROM d_sales, {windows(_REF)} GROUP BY 1, 2 HAVING g_day > 0) s
   LEFT JOIN (SELECT DISTINCT goods_no FROM d_goods_master WHERE reg_date >= {_REF} - 90) n ON n.goods_no = s.goods_no)"""
 SQL["f5_compare_goods"] = f"""SELECT * FROM (SELECT brand_nm, goods_no, goods_nm, cat_top, cat_medium, {G_COLS}, {w_labels('is_new')}, FALSE is_total
-    FROM {_ROWS5}, {v_of(_REF)} ORDER BY g_day DESC, brand_nm, goods_no LIMIT 300)
+    FROM {_ROWS5}, {v_of(_REF)})
   UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, {G_COLS}, {w_labels()}, TRUE FROM (SELECT {G_TOTAL} FROM {_ROWS5}), {v_of(_REF)}"""
 _MXD = "(SELECT max(sales_date) FROM d_sales)"
 SQL["f6_compare_summary"] = f"SELECT {G_COLS}, {w_labels()} FROM (SELECT {w_sums()} FROM d_sales, {windows(_MXD)}), {v_of(_MXD)}"
@@ -412,7 +412,7 @@ _RS = f"""(SELECT s.store_name, s.goods_no, s.goods_nm, s.brand_nm, s.sold, k.hu
   LEFT JOIN d_stock_store i ON i.store_name = s.store_name AND i.goods_no = s.goods_no WHERE coalesce(i.stock, 0) < s.sold * 2)"""
 SQL["g7_restock"] = f"SELECT * FROM {_RS}"
 _U = f"(SELECT * FROM {_RS} WHERE urgent ORDER BY store_stock, sold DESC, store_name, goods_no LIMIT 1)"
-SQL["g8_urgent_restock"] = f"""SELECT n restock_count, u urgent_count, store_name, brand_nm, substr(goods_nm, 1, 20) goods_nm, sold
+SQL["g8_urgent_restock"] = f"""SELECT n restock_count, u urgent_count, store_name, brand_nm, goods_nm, sold
   FROM (SELECT count(*) n, count(*) FILTER (urgent) u FROM {_RS}) LEFT JOIN {_U} ON TRUE"""
 _SP = f"""(SELECT *, ({dbl('q0')} - {dbl('q1')}) / {dbl('q1')} * 100 pct FROM (SELECT store_name,
   CAST(sum(CASE WHEN sales_date = {D0} THEN qty ELSE 0 END) AS BIGINT) q0, CAST(sum(CASE WHEN sales_date = {D1} THEN qty ELSE 0 END) AS BIGINT) q1
@@ -443,8 +443,7 @@ SQL["h9_stock_category_share"] = " UNION ALL ".join(
     for c in ("cat_top", "cat_large", "cat_medium")
 )
 _OP = f"barcode, brand_nm, goods_nm, goods_no, goods_opt, business_type, {CATS}"
-SQL["h10_stock_table"] = f"""SELECT t.*, {_CATALOG} FROM (SELECT {_OP}, {wide()}, {HUBS_WIDE}, {KIND_TOTALS} FROM d_stock_all GROUP BY {_OP}
-    ORDER BY store_total DESC, hub_total DESC, barcode LIMIT 300) t LEFT JOIN d_goods_master gm ON gm.goods_no = t.goods_no"""
+SQL["h10_stock_table"] = f"""SELECT t.*, {_CATALOG} FROM (SELECT {_OP}, {wide()}, {HUBS_WIDE}, {KIND_TOTALS} FROM d_stock_all GROUP BY {_OP}) t LEFT JOIN d_goods_master gm ON gm.goods_no = t.goods_no"""
 SQL["h11_stock_export_long"] = f'SELECT {_OP}, location_kind, "location", qty FROM d_stock_all WHERE qty <> 0'
 
 # ---------------------------------------------------------------- I
@@ -480,4 +479,4 @@ SQL["i14_sell_through_totals"] = f"""SELECT {", ".join(f"{dbl(f'sum({c})') if c.
 _CW = ", ".join(f"{m}_tot_w{i}" for m in ("qty", "gmv", "nt") for i in range(4))
 _CS = ", ".join(f"{' + '.join(f'{m}_tot_w{i}' for i in range(4))} {m}_tot_sum" for m in ("qty", "gmv", "nt"))
 SQL["i15_channel_view"] = f"SELECT sil, gubun, brand_code, brand_nm, {_CW}, {_CS} FROM d_ips"
-SQL["i16_sell_through_drill"] = """SELECT * FROM d_ips_goods WHERE brand_code = 'Brand#1' AND gubun = '매입' ORDER BY gmv_tot DESC, product_no LIMIT 2000"""
+SQL["i16_sell_through_drill"] = """SELECT * FROM d_ips_goods WHERE brand_code = 'Brand#1' AND gubun = '매입'"""

@@ -434,7 +434,7 @@ def _(x):
 
 @query("e12_by_dimension")
 def _(x):
-    return union(*[tagged(E.by_dimension(x.sales, P.NO_FILTER, d, 30), "dim", d) for d in ("store", "brand", "business", "cat_medium")])
+    return union(*[tagged(E.by_dimension(x.sales, P.NO_FILTER, d), "dim", d) for d in ("store", "brand", "business", "cat_medium")])
 
 
 @query("e13_segment_split")
@@ -553,7 +553,7 @@ def _(x):
 
 @query("e30_country_sales")
 def _(x):
-    return E.country_sales(x.global_customer, limit=20)
+    return E.country_sales(x.global_customer)
 
 
 @query("e31_foreign_ratio_by")

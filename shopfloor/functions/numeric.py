@@ -1,9 +1,12 @@
-"""Guarded arithmetic. Money stays DECIMAL through every sum and becomes DOUBLE last."""
+"""Guarded arithmetic. Money stays DECIMAL through every sum and becomes DOUBLE last: stored rows hold
+MONEY, the sums of a report WIDE."""
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # 18 digits fit a long: Parquet stores them as INT64 with statistics, and rows carry no byte arrays
 MONEY = T.DecimalType(18, 2)
+# totals of any number of stored rows
+WIDE = T.DecimalType(38, 2)
 
 
 def _c(x) -> Column:
@@ -24,6 +27,12 @@ def total(x) -> Column:
 
 
 def money_sum(x) -> Column:
+    """Sum of a report; a wide input keeps its exact sum beyond the range of stored money."""
+    return F.coalesce(F.sum(_c(x)), F.lit(0)).cast(WIDE)
+
+
+def stored_sum(x) -> Column:
+    """Sum at the grain of a stored dataset."""
     return F.coalesce(F.sum(_c(x)), F.lit(0)).cast(MONEY)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from shopfloor.functions import labels as L
 from shopfloor.functions.dates import DateLike, as_date, date_span, month_start, prune, within, week_start, year_start
-from shopfloor.functions.numeric import MONEY, dbl, money_sum, sum_if
+from shopfloor.functions.numeric import WIDE, dbl, money_sum, sum_if
 from shopfloor.operators.filters import NO_FILTER, SalesFilter, apply_sales_filter
 
 YEAR_SHIFT = 364
@@ -74,7 +74,7 @@ def windows_frame(sales: DataFrame, ref: DateLike | None = None) -> DataFrame:
 
 def compare_sums(sales: DataFrame, windows: Windows, keys: list[str], extra: list[Column] = ()) -> DataFrame:
     """Eight conditional sums in a single scan that starts at the earliest window."""
-    sums = [sum_if(within("sales_date", *windows.ranges[n]), "gmv").cast(MONEY).alias(f"g_{n}") for n in WINDOW_NAMES]
+    sums = [sum_if(within("sales_date", *windows.ranges[n]), "gmv").cast(WIDE).alias(f"g_{n}") for n in WINDOW_NAMES]
     rows = prune(sales, windows.floor, windows.ref).filter(F.col("sales_date") >= windows.floor)
     return rows.groupBy(*keys).agg(*sums, *extra) if keys else rows.agg(*sums, *extra)
 
@@ -94,11 +94,9 @@ def add_growth(df: DataFrame, windows: Windows, new_ok: Column | None = None) ->
 def _capped_with_total(
     rows: DataFrame, windows: Windows, keys: list[str], cap: int | None, new_ok: Column | None = None
 ) -> DataFrame:
-    """Total over all rows, then the largest `cap` rows."""
+    """Total over all rows, then all rows or the largest `cap`."""
     total = rows.agg(*[money_sum(f"g_{n}").alias(f"g_{n}") for n in WINDOW_NAMES]).withColumn("is_total", F.lit(True))
-    shown = rows.orderBy(F.desc("g_day"), *keys)
-    if cap is not None:
-        shown = shown.limit(cap)
+    shown = rows if cap is None else rows.orderBy(F.desc("g_day"), *keys).limit(cap)
     both = shown.withColumn("is_total", F.lit(False)).unionByName(total, allowMissingColumns=True)
     ok = None if new_ok is None else F.col("is_total") | new_ok
     return add_growth(both, windows, ok).drop("is_new")
@@ -113,11 +111,15 @@ def compare_by(
 
 
 def compare_goods(
-    sales: DataFrame, goods: DataFrame, windows: Windows, f: SalesFilter = NO_FILTER, cap: int | None = 300
+    sales: DataFrame, goods: DataFrame, windows: Windows, f: SalesFilter = NO_FILTER, cap: int | None = None
 ) -> DataFrame:
     """By brand and goods; only goods registered in the last 90 days may be called new."""
-    extra = [F.min(c).alias(c) for c in ("goods_nm", "cat_top", "cat_medium")]
-    rows = compare_sums(apply_sales_filter(sales, f.without("date_from", "date_to")), windows, ["brand_nm", "goods_no"], extra)
+    names = ("goods_nm", "cat_top", "cat_medium")
+    named = compare_sums(apply_sales_filter(sales, f.without("date_from", "date_to")), windows, ["brand_nm", "goods_no", *names])
+    # names as keys first: the rows are hashed, and the text minimum is taken over the few groups left
+    rows = named.groupBy("brand_nm", "goods_no").agg(
+        *[F.min(c).alias(c) for c in names], *[F.sum(f"g_{n}").cast(WIDE).alias(f"g_{n}") for n in WINDOW_NAMES]
+    )
     fresh = goods.filter(F.col("reg_date") >= F.date_sub(windows.ref, NEW_GOODS_DAYS)).select("goods_no").distinct()
     rows = rows.filter(F.col("g_day") > 0).join(fresh.withColumn("is_new", F.lit(True)), "goods_no", "left")
     return _capped_with_total(rows, windows, ["brand_nm", "goods_no"], cap, F.coalesce("is_new", F.lit(False)))

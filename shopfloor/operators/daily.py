@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from shopfloor.functions import labels as L
 from shopfloor.functions.dates import DateLike, as_date, prune
-from shopfloor.functions.numeric import MONEY, change, dbl, money_sum, ratio, sum_if, total
+from shopfloor.functions.numeric import WIDE, change, dbl, money_sum, ratio, sum_if, total
 
 RECENT_DATES = 21
 TREND_DATES = 14
@@ -98,8 +98,8 @@ def rank_in_category(sales: DataFrame, days: ReportDays, entity: str, cats: int
     texts = RANK_TEXTS[entity]
     g = _span(sales, days, 1).filter(now | before).groupBy("cat_medium", entity).agg(
         *[F.min(a).alias(b) for a, b in texts.items()],
-        sum_if(now, "gmv").cast(MONEY).alias("gmv"),
-        sum_if(before, "gmv").cast(MONEY).alias("gmv_prev"),
+        sum_if(now, "gmv").cast(WIDE).alias("gmv"),
+        sum_if(before, "gmv").cast(WIDE).alias("gmv_prev"),
     )
     g = g.filter(F.col("gmv") > 0)
     top = g.groupBy("cat_medium").agg(money_sum("gmv").alias("cat_total")).orderBy(F.desc("cat_total"), "cat_medium").limit(cats)
@@ -146,7 +146,7 @@ def restock(sales: DataFrame, stock_store: DataFrame, stock_goods: DataFrame, da
     out = out.join(stock_store.select("store_name", "goods_no", F.col("stock").alias("store_stock")), ["store_name", "goods_no"], "left")
     out = out.withColumn("store_stock", F.coalesce("store_stock", F.lit(0)).cast("bigint"))
     out = out.filter(F.col("store_stock") < F.col("sold") * 2)
-    return out.withColumn("urgent", F.col("store_stock") <= 0).orderBy("store_stock", F.desc("sold"), "store_name", "goods_no")
+    return out.withColumn("urgent", F.col("store_stock") <= 0)
 
 
 def urgent_restock(rows: DataFrame) -> DataFrame:
@@ -160,11 +160,9 @@ def urgent_restock(rows: DataFrame) -> DataFrame:
         first.alias("f"),
     )
     hit = F.col("urgent_count") > 0
-    text = F.substring("f.goods_nm", 1, 20)
     return out.select(
         "restock_count", "urgent_count",
-        *[F.when(hit, F.col(f"f.{c}")).alias(c) for c in ("store_name", "brand_nm")],
-        F.when(hit, text).alias("goods_nm"), F.when(hit, F.col("f.sold")).alias("sold"),
+        *[F.when(hit, F.col(f"f.{c}")).alias(c) for c in ("store_name", "brand_nm", "goods_nm", "sold")],
     )
 
 

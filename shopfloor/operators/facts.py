@@ -4,13 +4,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from shopfloor.functions import labels as L
 from shopfloor.functions.dates import DateLike, as_date
-from shopfloor.functions.numeric import MONEY, blank_to, money_sum, total
+from shopfloor.functions.numeric import MONEY, blank_to, stored_sum, total
 from shopfloor.operators.dimensions import CATEGORIES, brand_override, supply_business_type, zero_qty_brand
 from shopfloor.sources.tables import latest_snapshot
 
-OPTION_FLOOR_DAYS = 60
-
-
 def order_time() -> Column:
     return F.coalesce("transaction_at", "created_at")
 
@@ -40,12 +37,20 @@ def ledger_events(orders: DataFrame, claims: DataFrame, stores: DataFrame, since
 
     Orders are scanned once and meet their refund dates by order id; the bookings are unfolded in
     place, so the result is still partitioned by order id when the (large) lines are joined to it,
-    once for both signs. The dates of an order form a set, whose size is bounded by the calendar."""
-    head = order_date(foreign_flag(orders.filter(F.col("dummy_order") == 0))).join(stores, "shop_no")
-    dates = refund_claims(claims, since).groupBy("order_id").agg(F.collect_set("refund_date").alias("refund_dates"))
+    once for both signs. The dates of an order form a set, whose size is bounded by the calendar.
+    With `since` only orders sold or refunded from that day on go any further: the former by a test
+    on the order scan, the latter by their ids, so neither old orders nor old lines are shuffled."""
+    real = orders.filter(F.col("dummy_order") == 0)
+    claimed = refund_claims(claims, since)
     booked = F.col("order_status") == L.STATUS_COMPLETE
     if since is not None:
-        booked = booked & (F.col("sales_date") >= as_date(since))
+        day = as_date(since)
+        booked = booked & (F.col("sales_date") >= day)
+        recent = (F.col("transaction_at") >= day) | (F.col("transaction_at").isNull() & (F.col("created_at") >= day))
+        older = real.filter(~F.coalesce(recent, F.lit(False))).join(claimed.select("order_id").distinct(), "order_id", "left_semi")
+        real = real.filter(recent).unionByName(older.select(*real.columns))
+    head = order_date(foreign_flag(real)).join(stores, "shop_no")
+    dates = claimed.groupBy("order_id").agg(F.collect_set("refund_date").alias("refund_dates"))
     sale = F.filter(F.array(F.struct(F.col("sales_date").alias("sales_date"), F.lit(1).alias("sign"))), lambda _: booked)
     refunds = F.transform(
         F.coalesce("refund_dates", F.array().cast("array<date>")),
@@ -100,23 +105,24 @@ def net_sales(
     return out.select(*SALES_KEYS, *SALES_MEASURES, "goods_nm", "reg_date", "style_no", "normal_price", "sale_price")
 
 
-def option_since(since: DateLike | None, as_of: DateLike) -> Column:
-    """The option dataset never reaches back more than its floor."""
-    floor = F.date_sub(as_date(as_of), OPTION_FLOOR_DAYS)
+def option_since(since: DateLike | None, as_of: DateLike, floor_days: int | None) -> Column | None:
+    """`since`, but with a floor never more than so many days back."""
+    if floor_days is None:
+        return None if since is None else as_date(since)
+    floor = F.date_sub(as_date(as_of), floor_days)
     return floor if since is None else F.greatest(as_date(since), floor)
 
 
 def net_sales_option(
     orders: DataFrame, lines: DataFrame, claims: DataFrame, stores: DataFrame, brands: DataFrame, categories: DataFrame,
-    as_of: DateLike, since: DateLike | None = None, bag_brand: str = L.SHOPPING_BAG_BRAND,
+    as_of: DateLike, since: DateLike | None = None, bag_brand: str = L.SHOPPING_BAG_BRAND, floor_days: int | None = None,
 ) -> DataFrame:
-    """Signed daily sales by option, for the recent past only."""
-    events = ledger_events(orders, claims, stores, option_since(since, as_of))
+    """Signed daily sales by option, of all days or of the last `floor_days`."""
+    events = ledger_events(orders, claims, stores, option_since(since, as_of, floor_days))
     label = F.coalesce(F.nullif(F.trim("option_name"), F.lit("")), F.lit(L.NO_OPTION))
-    booked = _book(
-        lines.withColumn("option_nm", label), events, ["goods_no", "option_nm", "company_id", "brand_id"],
-        [F.min("goods_name").alias("goods_nm")],
-    )
+    # the name is a key of the first sums: a text minimum there would sort all lines
+    named = lines.withColumn("option_nm", label).withColumn("goods_nm", F.col("goods_name"))
+    booked = _book(named, events, ["goods_no", "option_nm", "company_id", "brand_id", "goods_nm"])
     out = _with_brand(booked, brands).join(categories, "goods_no", "left")
     out = out.withColumns({
         "brand_nm": F.coalesce("brand_nm", F.lit(L.UNMATCHED_BRAND)),
@@ -126,7 +132,7 @@ def net_sales_option(
     out = out.groupBy(keys).agg(
         F.coalesce(F.min("goods_nm"), F.lit("")).alias("goods_nm"),
         F.sum("qty").alias("qty"),
-        *[money_sum(c).alias(c) for c in ("gmv", "normal_amt", "pay")],
+        *[stored_sum(c).alias(c) for c in ("gmv", "normal_amt", "pay")],
     )
     return zero_qty_brand(out, bag_brand)
 
@@ -160,7 +166,7 @@ def receipts(
     })
     return out.groupBy(
         "order_id", "sales_date", "store_name", "shop_type", "is_foreign", "business_type", "brand_nm", *CATEGORIES, "hour"
-    ).agg(money_sum("gmv").alias("gmv"))
+    ).agg(stored_sum("gmv").alias("gmv"))
 
 
 def _by_store(df: DataFrame, stores: DataFrame) -> DataFrame:
@@ -201,7 +207,7 @@ def nationality_sales(tax_free: DataFrame, orders: DataFrame, lines: DataFrame,
         .agg(F.sum("order_amount").alias("gmv"))
     )
     return per_order.groupBy("sales_date", "store_name", "shop_type", "nationality").agg(
-        money_sum("gmv").alias("gmv"), F.count(F.lit(1)).alias("buyers")
+        stored_sum("gmv").alias("gmv"), F.count(F.lit(1)).alias("buyers")
     )
 
 
@@ -218,37 +224,38 @@ def settlement(summary: DataFrame, stores: DataFrame, since: DateLike | None = N
     return (
         _settled(summary, stores, since)
         .groupBy("sales_date", "store_name", "shop_type", "goods_no")
-        .agg(money_sum("profit").alias("net_take"), money_sum("contribution_profit_pre").alias("cp"))
+        .agg(stored_sum("profit").alias("net_take"), stored_sum("contribution_profit_pre").alias("cp"))
     )
 
 
 def settlement_option(summary: DataFrame, stores: DataFrame, since: DateLike | None = None) -> DataFrame:
-    keys = {"brand_nm": "brand_nm", "large_nm": "cat_large", "medium_nm": "cat_medium", "option_nm": "option_nm"}
-    out = _settled(summary, stores, since)
-    out = out.groupBy("sales_date", "store_name", "shop_type", *[F.col(a).alias(b) for a, b in keys.items()], "goods_no").agg(
+    """Names are filled before they are keys, so null and blank are one row."""
+    names = {"brand_nm": "brand_nm", "large_nm": "cat_large", "medium_nm": "cat_medium", "option_nm": "option_nm"}
+    keys = ["sales_date", "store_name", "shop_type", *names.values(), "goods_no"]
+    measures = {"ord_amt": "gmv", "normal_amt": "normal_amt", "pay_amt": "pay", "profit": "net_take", "contribution_profit_pre": "cp"}
+    rows = _settled(summary, stores, since).select(
+        "sales_date", "store_name", "shop_type", *[F.coalesce(a, F.lit("")).alias(b) for a, b in names.items()], "goods_no", "goods_nm",
+        "qty", *measures,
+    )
+    named = rows.groupBy(*keys, "goods_nm").agg(F.sum("qty").alias("qty"), *[F.sum(a).alias(b) for a, b in measures.items()])
+    return named.groupBy(*keys).agg(
         F.coalesce(F.min("goods_nm"), F.lit("")).alias("goods_nm"),
         total("qty").cast("bigint").alias("qty"),
-        money_sum("ord_amt").alias("gmv"),
-        money_sum("normal_amt").alias("normal_amt"),
-        money_sum("pay_amt").alias("pay"),
-        money_sum("profit").alias("net_take"),
-        money_sum("contribution_profit_pre").alias("cp"),
+        *[stored_sum(c).alias(c) for c in measures.values()],
     )
-    return out.withColumns({c: F.coalesce(c, F.lit("")) for c in keys.values()})
 
 
 def settlement_daily(summary: DataFrame, stores: DataFrame, since: DateLike | None = None) -> DataFrame:
-    out = _settled(summary, stores, since, goods=False)
-    out = out.groupBy("sales_date", "store_name", "shop_type", "brand_nm").agg(
+    out = _settled(summary, stores, since, goods=False).withColumn("brand_nm", F.coalesce("brand_nm", F.lit("")))
+    return out.groupBy("sales_date", "store_name", "shop_type", "brand_nm").agg(
         total("qty").cast("bigint").alias("qty"),
-        money_sum("ord_amt").alias("gmv"),
-        money_sum("normal_amt").alias("normal_amt"),
-        money_sum("profit").alias("net_take"),
-        money_sum("contribution_profit_pre").alias("cp"),
-        money_sum("offline_cost_fixed").alias("offline_cost"),
-        money_sum("additional_rev").alias("add_rev"),
+        stored_sum("ord_amt").alias("gmv"),
+        stored_sum("normal_amt").alias("normal_amt"),
+        stored_sum("profit").alias("net_take"),
+        stored_sum("contribution_profit_pre").alias("cp"),
+        stored_sum("offline_cost_fixed").alias("offline_cost"),
+        stored_sum("additional_rev").alias("add_rev"),
     )
-    return out.withColumn("brand_nm", F.coalesce("brand_nm", F.lit("")))
 
 
 def customer_demographics(summary: DataFrame, stores: DataFrame) -> DataFrame:
@@ -259,9 +266,9 @@ def customer_demographics(summary: DataFrame, stores: DataFrame) -> DataFrame:
         blank_to("age_band_custom", L.OTHER_PERSON).alias("age_band"),
         blank_to("mssid_yn", L.UNKNOWN_MEMBER).alias("member"),
     ).agg(
-        money_sum("gmv").alias("gmv"),
-        money_sum("normal_gmv").alias("normal_gmv"),
-        money_sum("tax_gmv").alias("foreign_gmv"),
+        stored_sum("gmv").alias("gmv"),
+        stored_sum("normal_gmv").alias("normal_gmv"),
+        stored_sum("tax_gmv").alias("foreign_gmv"),
         total("qty").cast("bigint").alias("qty"),
         total("buyer").cast("bigint").alias("buyer"),
         total("tax_buyer").cast("bigint").alias("foreign_buyer"),
@@ -271,12 +278,13 @@ def customer_demographics(summary: DataFrame, stores: DataFrame) -> DataFrame:
 def store_stock(stock_summary: DataFrame, stores: DataFrame) -> DataFrame:
     """Latest sellable and available stock per business type, store, brand and goods."""
     now = _by_store(latest_snapshot(stock_summary, "ord_state_date"), stores)
-    out = now.groupBy(
-        supply_business_type("ord_com_type").alias("business_type"), "store_name", "shop_type", "brand_nm", "goods_no"
-    ).agg(
-        F.min("goods_nm").alias("goods_nm"),
-        F.max("ord_state_date").alias("snapshot_date"),
-        total("sellable_qty").cast("bigint").alias("sellable_qty"),
+    keys = ["business_type", "store_name", "shop_type", "brand_nm", "goods_no"]
+    rows = now.withColumns({
+        "business_type": supply_business_type("ord_com_type"), "brand_nm": F.coalesce("brand_nm", F.lit(L.UNMATCHED_BRAND))
+    })
+    sums = [
+        F.max("snapshot_date").alias("snapshot_date"), total("sellable_qty").cast("bigint").alias("sellable_qty"),
         total("available_qty").cast("bigint").alias("available_qty"),
-    )
-    return out.withColumn("brand_nm", F.coalesce("brand_nm", F.lit(L.UNMATCHED_BRAND)))
+    ]
+    named = rows.withColumnRenamed("ord_state_date", "snapshot_date").groupBy(*keys, "goods_nm").agg(*sums)
+    return named.groupBy(*keys).agg(F.min("goods_nm").alias("goods_nm"), *sums)

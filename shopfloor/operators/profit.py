@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shopfloor.functions.dates import DateLike, as_date, month_start, newest, prune, within
-from shopfloor.functions.numeric import MONEY, change, dbl, money_sum, ratio, sum_if, total
+from shopfloor.functions.numeric import WIDE, change, dbl, money_sum, ratio, sum_if, total
 from shopfloor.operators.filters import NO_FILTER, SalesFilter, apply_sales_filter, apply_settlement_filter
 
 TAKE_RATE_DAYS = 45
@@ -55,7 +55,7 @@ def _covered(sales: DataFrame, settlement: DataFrame, f: SalesFilter, as_of: Dat
 
 def profit_by_goods(sales: DataFrame, settlement: DataFrame, f: SalesFilter, as_of: DateLike) -> DataFrame:
     return _covered(sales, settlement, f, as_of).groupBy("goods_no").agg(
-        F.sum("net_take").cast(MONEY).alias("net_take"), F.sum("cp").cast(MONEY).alias("cp")
+        F.sum("net_take").cast(WIDE).alias("net_take"), F.sum("cp").cast(WIDE).alias("cp")
     )
 
 
@@ -84,14 +84,14 @@ def profit_by_brand(sales: DataFrame, settlement: DataFrame, f: SalesFilter, as_
     owner = goods_owner(apply_sales_filter(sales, f))
     rows = _covered(sales, settlement, f, as_of).groupBy("goods_no").agg(F.sum("net_take").alias("net_take"), F.sum("cp").alias("cp"))
     return rows.join(owner, "goods_no").groupBy("business_type", "brand_nm").agg(
-        F.sum("net_take").cast(MONEY).alias("net_take"), F.sum("cp").cast(MONEY).alias("cp")
+        F.sum("net_take").cast(WIDE).alias("net_take"), F.sum("cp").cast(WIDE).alias("cp")
     )
 
 
 def covered_profit_rate(df: DataFrame) -> DataFrame:
     """Profit / amount over the rows whose profit is known."""
     known = F.col("net_take").isNotNull()
-    return df.agg(money_sum("net_take").alias("net_take"), sum_if(known, "gmv").cast(MONEY).alias("gmv")).withColumn(
+    return df.agg(money_sum("net_take").alias("net_take"), sum_if(known, "gmv").cast(WIDE).alias("gmv")).withColumn(
         "net_take_rate", ratio("net_take", "gmv")
     )
 
@@ -103,15 +103,13 @@ def allocate_profit(
     is settled or the share is undefined. Goods sums are an aggregate joined back rather than a
     window, so no (day, store, goods) group is gathered in one task before it is summed."""
     keys = ["sales_date", "store_name", "goods_no"]
-    so = apply_sales_filter(sales_option, f).groupBy(
-        *keys, "business_type", "brand_nm", "cat_top", "cat_large", "cat_medium", "option_nm"
-    ).agg(
-        F.min("goods_nm").alias("goods_nm"), total("qty").cast("bigint").alias("qty"),
-        *[money_sum(c).alias(c) for c in ("gmv", "normal_amt", "pay")],
-    )
+    option = [*keys, "business_type", "brand_nm", "cat_top", "cat_large", "cat_medium", "option_nm"]
+    sums = [total("qty").cast("bigint").alias("qty"), *[money_sum(c).alias(c) for c in ("gmv", "normal_amt", "pay")]]
+    named = apply_sales_filter(sales_option, f).groupBy(*option, "goods_nm").agg(*sums)
+    so = named.groupBy(*option).agg(F.min("goods_nm").alias("goods_nm"), *sums)
     so = so.filter((F.col("qty") != 0) | (F.col("gmv") != 0))
     whole = so.groupBy(*keys).agg(F.sum("gmv").alias("_goods_gmv"))
-    settled = settlement_option.groupBy(*keys).agg(F.sum("net_take").alias("_nt"), F.sum("cp").alias("_cp"))
+    settled = apply_settlement_filter(settlement_option, f).groupBy(*keys).agg(F.sum("net_take").alias("_nt"), F.sum("cp").alias("_cp"))
     out = so.join(whole, keys).join(settled, keys, "left")
     share = dbl("gmv") / F.nullif(dbl("_goods_gmv"), F.lit(0.0))
     out = out.withColumn("net_take", dbl("_nt") * share).withColumn("cp", dbl("_cp") * share)
@@ -169,7 +167,7 @@ def pnl(
     for col, vals in (("shop_type", types), ("store_name", stores), ("brand_nm", brands)):
         if vals:
             rows = rows.filter(F.col(col).isin(list(vals)))
-    m = lambda c, name: sum_if(c, name).cast(MONEY)
+    m = lambda c, name: sum_if(c, name).cast(WIDE)
     out = rows.groupBy(F.col(PNL_LEVELS[level]).alias("name")).agg(
         F.count(F.when(cur, 1)).alias("_n"),
         F.min(F.when(cur, F.col("shop_type"))).alias("shop_type"),

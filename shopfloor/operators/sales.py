@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from shopfloor.functions import labels as L
 from shopfloor.functions.dates import DateLike, as_date, bucket, prune, within
-from shopfloor.functions.numeric import MONEY, change, dbl, discount_rate, money_sum, ratio, sum_if, total
+from shopfloor.functions.numeric import WIDE, change, dbl, discount_rate, money_sum, ratio, sum_if, total
 from shopfloor.operators.dimensions import CATEGORIES
 from shopfloor.operators.filters import (
     NO_FILTER, SalesFilter, apply_receipt_filter, apply_sales_filter, apply_settlement_filter, drill_stock_filter,
@@ -88,13 +88,13 @@ def basket_value(receipts: DataFrame, f: SalesFilter = NO_FILTER) -> DataFrame:
     )
     t = t.withColumns({
         "domestic_receipts": F.col("receipts") - F.col("foreign_receipts"),
-        "domestic_gmv": (F.col("gmv") - F.col("foreign_gmv")).cast(MONEY),
+        "domestic_gmv": (F.col("gmv") - F.col("foreign_gmv")).cast(WIDE),
     })
     return t.withColumns({f"{p}aov": ratio(f"{p}gmv", f"{p}receipts", None) for p in ("", "foreign_", "domestic_")})
 
 
-def hourly(receipts: DataFrame, f: SalesFilter = NO_FILTER, first: int = 10, last: int = 23) -> DataFrame:
-    """Amount and orders per hour of the opening hours; hours without sales are 0."""
+def hourly(receipts: DataFrame, f: SalesFilter = NO_FILTER, first: int = 0, last: int = 23) -> DataFrame:
+    """Amount and orders per hour of the day, or of the hours asked for; hours without sales are 0."""
     rows = apply_receipt_filter(receipts, f).filter(F.col("hour").between(first, last))
     by = _orders(rows, "hour").groupBy("hour").agg(
         money_sum("gmv").alias("gmv"), money_sum("foreign_gmv").alias("foreign_gmv"), F.count(F.lit(1)).alias("receipts")
@@ -103,8 +103,8 @@ def hourly(receipts: DataFrame, f: SalesFilter = NO_FILTER, first: int = 10, las
     zero = F.lit(0)
     return spine.join(by, "hour", "left").select(
         "hour",
-        F.coalesce("gmv", zero).cast(MONEY).alias("gmv"),
-        F.coalesce("foreign_gmv", zero).cast(MONEY).alias("foreign_gmv"),
+        F.coalesce("gmv", zero).cast(WIDE).alias("gmv"),
+        F.coalesce("foreign_gmv", zero).cast(WIDE).alias("foreign_gmv"),
         F.coalesce("receipts", zero).cast("bigint").alias("receipts"),
     )
 
@@ -124,7 +124,7 @@ def trend_by_business(sales: DataFrame, f: SalesFilter = NO_FILTER, grain: str =
     if not wide:
         return rows.groupBy(key, "business_type").agg(money_sum("gmv").alias("gmv"))
     return rows.groupBy(key).agg(
-        *[sum_if(F.col("business_type") == b, "gmv").cast(MONEY).alias(b) for b in L.BUSINESS_TYPES]
+        *[sum_if(F.col("business_type") == b, "gmv").cast(WIDE).alias(b) for b in L.BUSINESS_TYPES]
     )
 
 
@@ -157,16 +157,13 @@ DIMENSIONS = {
 }
 
 
-def by_dimension(sales: DataFrame, f: SalesFilter = NO_FILTER, dim: str = "store", limit: int | None = 100) -> DataFrame:
-    """Largest members of a dimension, with the grand total of all members and the share in it."""
-    rows = apply_sales_filter(sales, f)
-    grand = rows.agg(money_sum("gmv").alias("g")).scalar()
-    out = rows.groupBy(F.col(DIMENSIONS[dim]).alias("name")).agg(
-        *measure_sums(("gmv", "qty", "foreign_gmv")), F.countDistinct("goods_no").alias("goods_count")
-    )
-    out = out.withColumn("grand_total", grand).withColumn("share", ratio("gmv", "grand_total"))
-    out = out.orderBy(F.desc("gmv"), "name")
-    return out if limit is None else out.limit(limit)
+def by_dimension(sales: DataFrame, f: SalesFilter = NO_FILTER, dim: str = "store", limit: int | None = None) -> DataFrame:
+    """Members of a dimension, with the grand total of all members and the share in it. The rows are
+    summed once, by member and goods; the total is a sum over the few members."""
+    goods = apply_sales_filter(sales, f).groupBy(F.col(DIMENSIONS[dim]).alias("name"), "goods_no").agg(*measure_sums(("gmv", "qty", "foreign_gmv")))
+    out = goods.groupBy("name").agg(*measure_sums(("gmv", "qty", "foreign_gmv")), F.count("goods_no").alias("goods_count"))
+    out = out.withColumn("grand_total", F.sum("gmv").over(W.partitionBy()).cast(WIDE)).withColumn("share", ratio("gmv", "grand_total"))
+    return out if limit is None else out.orderBy(F.desc("gmv"), "name").limit(limit)
 
 
 def segment_split(sales: DataFrame, dim: str, topn: int | None = None) -> DataFrame:
@@ -174,10 +171,10 @@ def segment_split(sales: DataFrame, dim: str, topn: int | None = None) -> DataFr
     g = sales.groupBy(F.col(dim).alias("name")).agg(*measure_sums(("gmv", "foreign_gmv")))
     if topn:
         g = g.orderBy(F.desc("gmv"), "name").limit(topn)
-    zero = F.lit(0).cast(MONEY)
+    zero = F.lit(0).cast(WIDE)
     g = g.select(
         "name", "gmv",
-        F.greatest(zero, (F.col("gmv") - F.col("foreign_gmv")).cast(MONEY)).alias(L.DOMESTIC),
+        F.greatest(zero, (F.col("gmv") - F.col("foreign_gmv")).cast(WIDE)).alias(L.DOMESTIC),
         F.greatest(zero, F.col("foreign_gmv")).alias(L.FOREIGN),
     )
     long = g.unpivot(["name", "gmv"], [L.DOMESTIC, L.FOREIGN], "segment", "value")
@@ -223,8 +220,7 @@ def drill(
         out = out.withColumn("name", F.col("key"))
     stock = drill_stock_filter(stock_store, attributes, f).groupBy(key).agg(total("stock").cast("bigint").alias("stock"))
     out = with_rates(out.join(stock, "key", "left").withColumn("stock", F.coalesce("stock", F.lit(0)).cast("bigint")))
-    out = out.orderBy(F.desc("gmv"), "key")
-    return out if limit is None else out.limit(limit)
+    return out if limit is None else out.orderBy(F.desc("gmv"), "key").limit(limit)
 
 
 def drill_context(level: str, f: SalesFilter) -> dict[str, str]:
@@ -271,7 +267,7 @@ def goods_by_store(sales: DataFrame, stock_store: DataFrame, settlement: DataFra
     settled = apply_settlement_filter(settlement, f).groupBy(*pair).agg(money_sum("net_take").alias("net_take"), money_sum("cp").alias("cp"))
     out = out.join(stock_store, pair, "left").join(settled, pair, "left")
     return out.withColumns({
-        "stock": F.coalesce("stock", F.lit(0)).cast("bigint"), **{c: F.coalesce(c, F.lit(0)).cast(MONEY) for c in ("net_take", "cp")}
+        "stock": F.coalesce("stock", F.lit(0)).cast("bigint"), **{c: F.coalesce(c, F.lit(0)).cast(WIDE) for c in ("net_take", "cp")}
     })
 
 
@@ -291,7 +287,7 @@ def brand_by_store(sales: DataFrame, stock_store: DataFrame, attributes: DataFra
     zero = F.lit(0)
     out = out.select(
         F.coalesce("brand_business", F.lit("")).alias("business_type"), "brand_nm", "store_name",
-        *[F.coalesce(c, zero).cast("bigint" if c == "qty" else MONEY).alias(c) for c in MEASURES],
+        *[F.coalesce(c, zero).cast("bigint" if c == "qty" else WIDE).alias(c) for c in MEASURES],
         F.coalesce("stock", zero).cast("bigint").alias("stock"),
     )
     return out.withColumn("discount_rate", discount_rate("gmv", "normal_amt"))
@@ -317,7 +313,7 @@ def conversion(visitors: DataFrame, receipts: DataFrame, f: SalesFilter = NO_FIL
     rows = apply_settlement_filter(receipts, f)
     r = _orders(rows, "store_name").groupBy("store_name").agg(F.count(F.lit(1)).alias("receipts"), money_sum("gmv").alias("gmv"))
     out = v.join(r, "store_name", "left")
-    out = out.withColumns({"receipts": F.coalesce("receipts", F.lit(0)).cast("bigint"), "gmv": F.coalesce("gmv", F.lit(0)).cast(MONEY)})
+    out = out.withColumns({"receipts": F.coalesce("receipts", F.lit(0)).cast("bigint"), "gmv": F.coalesce("gmv", F.lit(0)).cast(WIDE)})
     return conversion_rates(out)
 
 
@@ -334,16 +330,15 @@ def conversion_totals(rows: DataFrame) -> DataFrame:
     return conversion_rates(t)
 
 
-def country_sales(nationality: DataFrame, f: SalesFilter = NO_FILTER, limit: int | None = 20) -> DataFrame:
-    """Largest nationalities with their share in the total of all, and how many there are."""
+def country_sales(nationality: DataFrame, f: SalesFilter = NO_FILTER, limit: int | None = None) -> DataFrame:
+    """Nationalities with their share in the total of all, and how many there are."""
     g = apply_settlement_filter(nationality, f).groupBy("nationality").agg(
         money_sum("gmv").alias("gmv"), total("buyers").cast("bigint").alias("buyers")
     )
     whole = g.agg(money_sum("gmv").alias("t")).scalar()
     kinds = g.agg(F.count(F.lit(1)).alias("n")).scalar()
     out = g.withColumn("share", ratio("gmv", whole)).withColumn("total_gmv", whole).withColumn("countries", kinds)
-    out = out.orderBy(F.desc("gmv"), "nationality")
-    return out if limit is None else out.limit(limit)
+    return out if limit is None else out.orderBy(F.desc("gmv"), "nationality").limit(limit)
 
 
 def foreign_ratio_by(sales: DataFrame, dim: str) -> DataFrame:
@@ -358,7 +353,7 @@ def previous_period_growth(sales: DataFrame, f: SalesFilter) -> DataFrame:
     rows = prune(rows, prev_from, f.date_to).filter(within("sales_date", prev_from, f.date_to))
     cur = within("sales_date", f.date_from, f.date_to)
     prev = within("sales_date", prev_from, prev_to)
-    side = lambda cond, m: sum_if(cond, m).cast("bigint" if m == "qty" else MONEY)
+    side = lambda cond, m: sum_if(cond, m).cast("bigint" if m == "qty" else WIDE)
     cols = [side(c, m).alias(f"{p}{m}") for p, c in (("", cur), ("prev_", prev)) for m in MEASURES]
     out = rows.agg(*cols)
     return out.withColumns({f"{m}_change": change(m, f"prev_{m}", absolute=True) for m in MEASURES})
@@ -402,14 +397,16 @@ def ab_compare(
     starts, ends = zip(*[(as_date(x), as_date(y)) for x, y in (a, b)])
     rows = prune(rows, F.least(*starts), F.greatest(*ends)).filter(in_a | in_b)
     side = lambda c, m: sum_if(c, m)
-    sums = [side(in_a, "gmv").cast(MONEY).alias("a_gmv"), side(in_b, "gmv").cast(MONEY).alias("b_gmv")]
+    sums = [side(in_a, "gmv").cast(WIDE).alias("a_gmv"), side(in_b, "gmv").cast(WIDE).alias("b_gmv")]
     if dim == "goods":
-        out = rows.groupBy("goods_no").agg(
-            F.min("brand_nm").alias("brand_nm"), F.min("goods_nm").alias("goods_nm"), F.min("cat_medium").alias("cat_medium"),
-            *sums, side(in_a, "qty").alias("_qa"), side(in_b, "qty").alias("_qb"),
+        names = ("brand_nm", "goods_nm", "cat_medium")
+        named = rows.groupBy("goods_no", *names).agg(*sums, side(in_a, "qty").alias("_qa"), side(in_b, "qty").alias("_qb"))
+        out = named.groupBy("goods_no").agg(
+            *[F.min(c).alias(c) for c in names], *[F.sum(c).cast(WIDE).alias(c) for c in ("a_gmv", "b_gmv")],
+            *[F.sum(c).alias(c) for c in ("_qa", "_qb")],
         )
         # goods lists show goods with units sold only, on either side
-        sold = lambda q, v: F.when(F.col(q) > 0, F.col(v)).otherwise(F.lit(0)).cast(MONEY)
+        sold = lambda q, v: F.when(F.col(q) > 0, F.col(v)).otherwise(F.lit(0)).cast(WIDE)
         out = out.filter((F.col("_qa") > 0) | (F.col("_qb") > 0))
         out = out.withColumn("a_gmv", sold("_qa", "a_gmv")).withColumn("b_gmv", sold("_qb", "b_gmv")).drop("_qa", "_qb")
         tie = "goods_no"
@@ -418,5 +415,4 @@ def ab_compare(
         out = rows.groupBy(F.col(col).alias("name")).agg(*sums)
         tie = "name"
     out = out.withColumn("change", ab_label(F.col("a_gmv"), F.col("b_gmv")))
-    out = out.orderBy(F.desc("a_gmv"), F.desc("b_gmv"), tie)
-    return out if limit is None else out.limit(limit)
+    return out if limit is None else out.orderBy(F.desc("a_gmv"), F.desc("b_gmv"), tie).limit(limit)

@@ -179,11 +179,10 @@ def stock_category_share(stock: DataFrame, n: int = 8) -> DataFrame:
 OPTION = ("barcode", "brand_nm", "goods_nm", "goods_no", "goods_opt", "business_type", *CATEGORIES)
 
 
-def stock_table(stock: DataFrame, stores: list[str], limit: int | None = 300) -> DataFrame:
-    """Options by store stock, then hub stock, with their wide stock."""
+def stock_table(stock: DataFrame, stores: list[str], limit: int | None = None) -> DataFrame:
+    """Options with their wide stock; with a limit those with the most store stock, then hub stock."""
     out = stock.groupBy(*OPTION).agg(*_wide(stores), _sum(_kind(L.STORE), "store_total"), _sum(_kind(L.HUB), "hub_total"))
-    out = out.orderBy(F.desc("store_total"), F.desc("hub_total"), "barcode")
-    return out if limit is None else out.limit(limit)
+    return out if limit is None else out.orderBy(F.desc("store_total"), F.desc("hub_total"), "barcode").limit(limit)
 
 
 def stock_export_long(stock: DataFrame) -> DataFrame:

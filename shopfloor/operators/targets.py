@@ -5,7 +5,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shopfloor.functions.dates import DateLike, as_date, month_start, newest, prune, within
-from shopfloor.functions.numeric import MONEY, dbl, money_sum, ratio, sum_if
+from shopfloor.functions.numeric import WIDE, dbl, money_sum, ratio, sum_if
 from shopfloor.operators.filters import SalesFilter, apply_settlement_filter
 
 
@@ -45,7 +45,7 @@ def target_attainment(targets: DataFrame, sales: DataFrame, tm: TargetMonth, sto
     """Per store: month goal, goal and actual to date and for the last complete day, projection at
     the daily rate so far, previous month and same month last year. Sales are scanned once."""
     f = SalesFilter(store=list(stores), type=list(types))
-    m = lambda c, v: sum_if(c, v).cast(MONEY)
+    m = lambda c, v: sum_if(c, v).cast(WIDE)
     to_date, that_day = F.col("sales_date") <= tm.last_actual, F.col("sales_date").cast("date") == tm.last_actual
     goals = apply_settlement_filter(targets, f).filter(within("sales_date", tm.start, tm.end)).groupBy("store_name").agg(
         F.min("shop_type").alias("goal_type"),
@@ -69,7 +69,7 @@ def target_attainment(targets: DataFrame, sales: DataFrame, tm: TargetMonth, sto
     cols = ("goal_full", "goal_day", "actual_day", "goal_mtd", "actual_mtd", "pm_actual", "py_actual")
     out = out.select(
         F.coalesce("goal_type", "actual_type", F.lit("")).alias("shop_type"), "store_name",
-        *[F.coalesce(c, zero).cast(MONEY).alias(c) for c in cols],
+        *[F.coalesce(c, zero).cast(WIDE).alias(c) for c in cols],
     )
     return _rates(out, tm)
 
@@ -85,6 +85,6 @@ def target_daily_curve(targets: DataFrame, sales: DataFrame, tm: TargetMonth, st
     day = F.col("sales_date").cast("date").alias("d")
     g = apply_settlement_filter(targets, f).filter(within("sales_date", tm.start, tm.end)).groupBy(day).agg(money_sum("gmv_goal").alias("goal"))
     a = apply_settlement_filter(sales, f).filter(within("sales_date", tm.start, tm.last_actual)).groupBy(day).agg(
-        F.bround(F.sum("gmv").cast(MONEY), 0).alias("actual")
+        F.bround(F.sum("gmv").cast(WIDE), 0).alias("actual")
     )
-    return g.join(a, "d", "full_outer").select("d", F.coalesce("goal", F.lit(0)).cast(MONEY).alias("goal"), "actual")
+    return g.join(a, "d", "full_outer").select("d", F.coalesce("goal", F.lit(0)).cast(WIDE).alias("goal"), "actual")

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from shopfloor.functions import labels as L
 from shopfloor.functions.dates import DateLike, as_date, max_date, newest, week_start
-from shopfloor.functions.numeric import MONEY, dbl, money_sum, total
+from shopfloor.functions.numeric import WIDE, dbl, money_sum, total
 
 BIZ_OWN = "1P"
 BIZ_KINDS = ("1P", "3P", "MFS")
@@ -372,7 +372,7 @@ def sell_through(
         *[F.col(c).cast("bigint").alias(c) for c in ("inbound", *STOCK_COLUMNS)],
         "sell_through", "days_all", "days_off",
     ]
-    whole = lambda c: F.round(c, 0).cast(MONEY)
+    whole = lambda c: F.round(c, 0).cast(WIDE)
     for i in W4:
         on, off = F.col(f"on_qty_w{i}"), F.col(f"off_qty_w{i}")
         out += [x.cast("bigint").alias(f"qty_{n}_w{i}") for n, x in (("tot", on + off), ("on", on), ("off", off))]
@@ -429,7 +429,7 @@ def sell_through_goods(
     out = out.filter((F.col("on_gmv") + F.col("off_gmv") > 0) | (F.col("total_cur") > 0))
     out = out.join(g, ["brand_id", "product_no"], "left")
     out = rates(out, F.col("on_qty") + F.col("off_qty"))
-    whole = lambda c: F.round(c, 0).cast(MONEY)
+    whole = lambda c: F.round(c, 0).cast(WIDE)
     blank = F.lit("")
     cols = [
         F.col("brand_id").alias("brand_code"), "gubun", "product_no", F.coalesce("goods_nm", blank).alias("goods_nm"),
@@ -467,6 +467,7 @@ def channel_view(df: DataFrame, channel: str) -> DataFrame:
     return out.withColumns({f"{m}_{channel}_sum": _add([f"{m}_{channel}_w{i}" for i in W4]) for m in ("qty", "gmv", "nt")})
 
 
-def sell_through_drill(goods_rows: DataFrame, brand_code: str, kind: str, limit: int | None = 2000) -> DataFrame:
-    out = goods_rows.filter((F.col("brand_code") == brand_code) & (F.col("gubun") == kind)).orderBy(F.desc("gmv_tot"), "product_no")
-    return out if limit is None else out.limit(limit)
+def sell_through_drill(goods_rows: DataFrame, brand_code: str, kind: str, limit: int | None = None) -> DataFrame:
+    """Goods of a brand and kind; with a limit those with the largest amount."""
+    out = goods_rows.filter((F.col("brand_code") == brand_code) & (F.col("gubun") == kind))
+    return out if limit is None else out.orderBy(F.desc("gmv_tot"), "product_no").limit(limit)

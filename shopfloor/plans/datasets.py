@@ -22,6 +22,8 @@ class Settings:
     special_shops: dict[int, str] = field(default_factory=lambda: dict(L.SPECIAL_SHOPS))
     bag_brand: str = L.SHOPPING_BAG_BRAND
     scope: K.Scope = field(default_factory=K.Scope)
+    # days that the option dataset reaches back; None: all
+    option_floor_days: int | None = None
 
 
 def kept(date_col: str | None = None):
@@ -81,8 +83,9 @@ class Datasets:
     def net_sales_option(self, since: DateLike | None = None) -> DataFrame:
         i, s = self.inputs, self.settings
         return A.net_sales_option(
-            i["order_header"], i["order_line"], i["claim"], self.stores, self.brands, self.categories, s.as_of, since, s.bag_brand
-        )
+            i["order_header"], i["order_line"], i["claim"], self.stores, self.brands, self.categories, s.as_of, since, s.bag_brand,
+            s.option_floor_days,
+        )
 
     def receipt_rows(self, since: DateLike | None = None) -> DataFrame:
         i = self.inputs
@@ -285,6 +288,7 @@ def refresh(
         if mode == "rebuild" or not layout.path_exists(spark, path):
             layout.write_monthly(build(data, None), path)
         else:
-            clip = (lambda since: A.option_since(since, data.settings.as_of)) if name == "sales_option" else None
+            s = data.settings
+            clip = (lambda since: A.option_since(since, s.as_of, s.option_floor_days)) if name == "sales_option" else None
             layout.replace_window_on_disk(spark, path, lambda since: build(data, since), days, clip=clip)
     return todo
