@@ -349,7 +349,7 @@ SQL["f1_compare_windows"] = " UNION ALL ".join(
       ['월','화','수','목','금','토','일'][isodow("day")] wday FROM {windows(r)}"""
     for r in ("(SELECT max(sales_date) FROM d_sales)", _REF, "DATE '1995-01-05'", "DATE '2001-03-31'", "DATE '2000-12-31'")
 )
-_FLOOR = 'sales_date >= "year" - 364'
+_FLOOR = 'sales_date BETWEEN "year" - 364 AND "day"'
 SQL["f2_compare_sums"] = f"""SELECT store_name, cat_top, {G_COLS} FROM (SELECT store_name, cat_top, {w_sums()} FROM d_sales, {windows(_REF)}
   WHERE {_FLOOR} GROUP BY ALL)"""
 _R3 = "DATE '1995-01-20'"

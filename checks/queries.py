@@ -65,7 +65,7 @@ def query(name: str):
     """Register `fn(data)`; exact columns become DOUBLE in the result."""
 
     def register(fn):
-        QUERIES[name] = lambda spark, sf_dir: decimals_to_double(fn(data_for(spark, sf_dir)))
+        QUERIES[name] = lambda spark, sf_dir: decimals_to_double(fn(data_for(spark, sf_dir)).drop(layout.MONTH))
         return fn
 
     return register

@@ -37,11 +37,15 @@ def max_date(df: DataFrame, col: str) -> Column:
     return df.agg(F.max(col).cast("date").alias("d")).scalar()
 
 
-def date_span(df: DataFrame, col: str) -> tuple[Column, Column]:
-    """Oldest and newest date as literals. One small job over one column; in return every range
-    built on them is folded, pushed to the scan and pruned to partitions before the report starts."""
+def date_span(df: DataFrame, col: str) -> tuple[Column, Column, dt.date | None]:
+    """Oldest and newest date as literals, and the newest as a value. One small job over one column; in
+    return every range built on them is folded, pushed to the scan and pruned to partitions before the
+    report starts. A dataset by month is asked for its first and last month, then for their days only."""
+    if MONTH in df.columns:
+        ends = [m for m in df.agg(F.min(MONTH), F.max(MONTH)).first() if m is not None]
+        df = df.filter(F.col(MONTH).isin(ends))
     lo, hi = df.agg(F.min(col).cast("date"), F.max(col).cast("date")).first()
-    return as_date(lo), as_date(hi)
+    return as_date(lo), as_date(hi), hi
 
 
 def newest(df: DataFrame, col: str) -> Column:

@@ -55,7 +55,7 @@ def compare_windows(ref: DateLike, dmin: Column, dmax: Column) -> Windows:
 
 def sales_windows(sales: DataFrame, ref: DateLike | None = None) -> Windows:
     """Windows over one sales dataset; the newest day is the default reference."""
-    dmin, dmax = date_span(sales, "sales_date")
+    dmin, dmax, _ = date_span(sales, "sales_date")
     return compare_windows(dmax if ref is None else ref, dmin, dmax)
 
 
@@ -73,9 +73,10 @@ def windows_frame(sales: DataFrame, ref: DateLike | None = None) -> DataFrame:
 
 
 def compare_sums(sales: DataFrame, windows: Windows, keys: list[str], extra: list[Column] = ()) -> DataFrame:
-    """Eight conditional sums in a single scan that starts at the earliest window."""
+    """Eight conditional sums in a single scan from the earliest window to the reference day. A group
+    without rows in that span is absent."""
     sums = [sum_if(within("sales_date", *windows.ranges[n]), "gmv").cast(WIDE).alias(f"g_{n}") for n in WINDOW_NAMES]
-    rows = prune(sales, windows.floor, windows.ref).filter(F.col("sales_date") >= windows.floor)
+    rows = prune(sales, windows.floor, windows.ref).filter(within("sales_date", windows.floor, windows.ref))
     return rows.groupBy(*keys).agg(*sums, *extra) if keys else rows.agg(*sums, *extra)
 
 

@@ -162,7 +162,7 @@ def preset_ranges(last: Column, first: Column) -> dict[str, tuple[Column, Column
 def kpis_by_preset(sales: DataFrame, f: SalesFilter = NO_FILTER) -> DataFrame:
     """KPI sums of each quick range. Days are summed first; each day then counts for the ranges
     that hold it, so no row is multiplied before aggregation."""
-    first, last = date_span(sales, "sales_date")
+    first, last, _ = date_span(sales, "sales_date")
     ranges = preset_ranges(last, first)
     earliest = F.least(*[a for a, _ in ranges.values()])
     rows = prune(apply_sales_filter(sales, f.without("date_from", "date_to")), earliest).filter(F.col("sales_date") >= earliest)

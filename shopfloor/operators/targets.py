@@ -84,7 +84,7 @@ def target_daily_curve(targets: DataFrame, sales: DataFrame, tm: TargetMonth, st
     f = SalesFilter(store=list(stores), type=list(types))
     day = F.col("sales_date").cast("date").alias("d")
     g = apply_settlement_filter(targets, f).filter(within("sales_date", tm.start, tm.end)).groupBy(day).agg(money_sum("gmv_goal").alias("goal"))
-    a = apply_settlement_filter(sales, f).filter(within("sales_date", tm.start, tm.last_actual)).groupBy(day).agg(
+    a = prune(apply_settlement_filter(sales, f), tm.start, tm.last_actual).filter(within("sales_date", tm.start, tm.last_actual)).groupBy(day).agg(
         F.bround(F.sum("gmv").cast(WIDE), 0).alias("actual")
     )
     return g.join(a, "d", "full_outer").select("d", F.coalesce("goal", F.lit(0)).cast(WIDE).alias("goal"), "actual")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from shopfloor.functions import labels as L
 from shopfloor.functions.dates import DateLike
 from shopfloor.operators import dimensions as D, facts as A, filters as P, stock as S, weekly as K
+from shopfloor.session import tune
 from shopfloor.sources import layout
 
 
@@ -49,6 +50,14 @@ class Datasets:
     def __init__(self, inputs: Mapping[str, DataFrame], settings: Settings, store: layout.Store | None = None):
         self.inputs, self.settings, self.store = inputs, settings, store
 
+    def forget(self) -> None:
+        """Drop what was built, so that the next use sees the inputs of that moment."""
+        for name, prop in vars(type(self)).items():
+            if isinstance(prop, cached_property):
+                self.__dict__.pop(name, None)
+        if self.store is not None:
+            self.store.done.clear()
+
     # dimensions
     @kept()
     def stores(self) -> DataFrame:
@@ -260,7 +269,7 @@ DECOUPLED = ("ips", "ips_goods")
 
 def read_dataset(spark: SparkSession, root: str, name: str) -> DataFrame:
     path = os.path.join(root, name)
-    return layout.read_monthly(spark, path) if name in WINDOWED else spark.read.parquet(path)
+    return layout.read_monthly(spark, path) if name in WINDOWED else layout.read_published(spark, path)
 
 
 def refresh(
@@ -270,7 +279,10 @@ def refresh(
 
     sales: trailing window of the three sales datasets. full: also the snapshots and the windows of
     the settlement. rebuild: the same without windows. snap: the named ones. A windowed dataset that
-    does not exist yet is built in full."""
+    does not exist yet is built in full. Snapshots are built from the inputs of this moment, written
+    once and published by a pointer."""
+    tune(spark)
+    data.forget()
     if mode == "snap":
         todo = [n for n in names if n in WINDOWED or n in SNAPSHOTS]
     elif mode == "sales":
@@ -282,7 +294,7 @@ def refresh(
     for name in todo:
         path = os.path.join(root, name)
         if name in SNAPSHOTS:
-            getattr(data, SNAPSHOTS[name]).write.mode("overwrite").parquet(path)
+            layout.publish(getattr(type(data), SNAPSHOTS[name]).build(data), path)
             continue
         build, days = WINDOWED[name]
         if mode == "rebuild" or not layout.path_exists(spark, path):

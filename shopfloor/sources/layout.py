@@ -1,22 +1,25 @@
 """Dataset layout on disk: clustering by date, window replacement, freshness."""
 
 import os
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from shopfloor.functions.dates import MONTH, max_date, month_key, month_start, prune
+from shopfloor.functions.dates import MONTH, date_span, max_date, month_key, month_start, prune
 
 ROW_GROUP_BYTES = 32 * 1024 * 1024
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder the cluster names; a local one only where none is set."""
+    """A fresh path in the shared folder the cluster names. Only a session within one machine may do
+    without that setting; on a cluster, executors would write to disks of their own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="shopfloor-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = os.path.join(tempfile.gettempdir(), f"shopfloor-{spark.sparkContext.applicationId}")
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
 
 
@@ -43,8 +46,8 @@ def window_start(current: DataFrame, days: int, date_col: str = "sales_date") ->
 def replace_window(current: DataFrame, fresh: DataFrame, since: Column, date_col: str = "sales_date") -> DataFrame:
     """Keep rows before `since`, take everything from `since` on from the rebuilt side. The same
     bound is applied to both sides, so a builder that clips its own window cannot leave a gap."""
-    keep = current.filter(F.col(date_col) < since)
-    return keep.unionByName(fresh.filter(F.col(date_col) >= since).select(current.columns))
+    keep = current.drop(MONTH).filter(F.col(date_col) < since)
+    return keep.unionByName(fresh.filter(F.col(date_col) >= since).select(keep.columns))
 
 
 def write_monthly(df: DataFrame, path: str, date_col: str = "sales_date") -> None:
@@ -79,6 +82,51 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    target, fs = _file_system(spark, path)
+    fs.delete(target, True)
+
+
+POINTER = "_CURRENT"
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """Folder of the published version of a snapshot."""
+    target, fs = _file_system(spark, os.path.join(path, POINTER))
+    if not fs.exists(target):
+        return None
+    stream = fs.open(target)
+    try:
+        return os.path.join(path, spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def publish(df: DataFrame, path: str) -> None:
+    """Write a snapshot as a new version and then switch the pointer, so a reader meets the old or the
+    new one and never a part. The version before stays for readers that already opened it."""
+    spark, before = df.sparkSession, current_version(df.sparkSession, path)
+    name = f"v-{uuid.uuid4().hex}"
+    df.write.parquet(os.path.join(path, name))
+    target, fs = _file_system(spark, os.path.join(path, POINTER))
+    stream = fs.create(target, True)
+    try:
+        stream.write(bytearray(name.encode()))
+    finally:
+        stream.close()
+    keep = {name, POINTER, os.path.basename(before or "")}
+    for status in fs.listStatus(target.getParent()):
+        if status.getPath().getName() not in keep and status.isDirectory():
+            fs.delete(status.getPath(), True)
+
+
+def read_published(spark: SparkSession, path: str) -> DataFrame:
+    version = current_version(spark, path)
+    if version is None:
+        raise FileNotFoundError(path)
+    return spark.read.parquet(version)
+
+
 def _months(df: DataFrame) -> set[str]:
     """Months of a window: a handful of partition values."""
     return {r[0] for r in df.select(MONTH).distinct().collect()}
@@ -88,9 +136,14 @@ def replace_window_on_disk(spark: SparkSession, path: str, build, days: int, dat
     """Rebuild the trailing window of a monthly dataset in place. `build(since)` returns the fresh
     rows; a builder that never reaches back further than some date passes that rule as `clip`, and
     rows before it are kept. Only the touched months are read back and rewritten. They go to a new
-    path first, so no path is overwritten while it is read. A month left without rows is dropped."""
-    current = read_monthly(spark, path)
-    watermark = current.agg(F.max(date_col).cast("date")).first()[0]
+    path first, so no path is overwritten while it is read. A month left without rows is dropped.
+    A dataset without rows has no window and is built in full."""
+    whole = build(None)
+    current = read_monthly(spark, path, T.StructType([*whole.schema.fields, T.StructField(MONTH, T.StringType())]))
+    watermark = date_span(current, date_col)[2]
+    if watermark is None:
+        write_monthly(whole, path, date_col)
+        return
     since = F.date_sub(F.lit(watermark), days)
     if clip is not None:
         since = clip(since)
@@ -98,12 +151,14 @@ def replace_window_on_disk(spark: SparkSession, path: str, build, days: int, dat
     before = _months(touched)
     touched = touched.drop(MONTH)
     staged = scratch_path(spark, "window")
-    replace_window(touched, build(since), since, date_col).write.parquet(staged)
-    rebuilt = spark.read.schema(touched.schema).parquet(staged)
-    write_monthly(rebuilt, path, date_col)
-    for month in before - _months(rebuilt.select(month_key(F.col(date_col)).alias(MONTH))):
-        target, fs = _file_system(spark, os.path.join(path, f"{MONTH}={month}"))
-        fs.delete(target, True)
+    try:
+        replace_window(touched, build(since), since, date_col).write.parquet(staged)
+        rebuilt = spark.read.schema(touched.schema).parquet(staged)
+        write_monthly(rebuilt, path, date_col)
+        for month in before - _months(rebuilt.select(month_key(F.col(date_col)).alias(MONTH))):
+            remove(spark, os.path.join(path, f"{MONTH}={month}"))
+    finally:
+        remove(spark, staged)
 
 
 class Store:
@@ -117,11 +172,12 @@ class Store:
     def keep(self, name: str, df: DataFrame, date_col: str | None = None) -> DataFrame:
         if name not in self.done:
             path = os.path.join(self.root, name)
-            # sorted within the tasks that already hold the rows: date filters skip row groups, and
-            # no further shuffle or sampling pass is paid for a working copy
-            out = df.sortWithinPartitions(date_col) if date_col else df
-            out.write.mode("overwrite").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
-            self.done[name] = self.spark.read.schema(df.schema).parquet(path)
+            if date_col:  # by month, so that reports over a range of days open only its folders
+                write_monthly(df, path, date_col)
+                self.done[name] = read_monthly(self.spark, path, T.StructType([*df.schema.fields, T.StructField(MONTH, T.StringType())]))
+            else:
+                df.write.mode("overwrite").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+                self.done[name] = self.spark.read.schema(df.schema).parquet(path)
         return self.done[name]
 
 

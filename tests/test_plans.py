@@ -2,6 +2,8 @@
 
 import re
 
+import pytest
+
 from shopfloor.operators import compare as C, facts as A, filters as P, sales as E
 
 
@@ -39,3 +41,31 @@ def _lines(spark, inputs):
     path = scratch_path(spark, "lines")
     inputs["order_line"].write.parquet(path)
     return path
+
+
+@pytest.mark.parametrize("name", ["d1_apply_sales_filter", "e11_trend_overlay", "e24_target_daily_curve", "e35_ab_compare", "f4_compare_by", "g4_rank_by", "g7_restock"])
+def test_date_bounds_reach_the_month_folders(spark, data, name):
+    from checks.queries import QUERIES
+    from conftest import SF_DIR
+
+    plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert any("sales_month" in part.split("]")[0] for part in plan.split("PartitionFilters: [")[1:])
+
+
+@pytest.mark.parametrize("name", ["c5_net_sales_option", "c11_settlement_option", "c14_store_stock", "e20_allocate_profit", "f5_compare_goods"])
+def test_raw_rows_are_hashed_not_sorted(spark, data, name):
+    """Text minima are taken after a first sum by name: the first aggregation over the rows is a hash one."""
+    from checks.queries import QUERIES
+    from conftest import SF_DIR
+
+    plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    partial = [line for line in plan.splitlines() if "partial_sum" in line]
+    assert partial and any("HashAggregate" in line and "partial_min" not in line for line in partial)
+
+
+@pytest.mark.parametrize("name", ["e12_by_dimension", "e16_drill", "e35_ab_compare"])
+def test_no_global_sort_without_a_limit(spark, data, name):
+    from checks.queries import QUERIES
+    from conftest import SF_DIR
+
+    assert "rangepartitioning" not in QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
