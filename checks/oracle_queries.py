@@ -1,6 +1,7 @@
 """One SQL statement per registered query, over the views of `checks.oracle`."""
 
 from checks.oracle import (
+    VIEWS,
     AS_OF, G_COLS, G_TOTAL, HUBS_WIDE, KEYS, KIND_TOTALS, OFF_W, OFF_X, ON_W, ON_X, POS, RANGES, RATES, SALES_OUT, STORES, SUMS,
     T_COLS, T_RATES, V_COLS, big, change, change_abs, compare_by, cp_rate, dbl, day, disc, money, pnl, ratio, target_month, target_rows,
     v_of, w_labels, w_sums, wide, windows,
@@ -71,14 +72,13 @@ SQL["b10_catalog_enrich"] = f"""SELECT g.goods_no, g.brand brand_id, {_CATALOG}
 SQL["b11_brand_override"] = """SELECT goods_no, company_id, brand_id, min(brand_nm) brand_nm, min(goods_nm) goods_nm, min(cat_top) cat_top,
   min(cat_large) cat_large, min(cat_medium) cat_medium, min(off_md_id) off_md_id FROM d_sales GROUP BY ALL"""
 SQL["b12_zero_qty_brand"] = f"SELECT brand_nm, {big('sum(qty)')} qty, {dbl('sum(gmv)')} gmv FROM d_sales GROUP BY brand_nm"
-_LISTED = (
-    "2023-01-01 2023-01-21 2023-01-22 2023-01-23 2023-01-24 2023-03-01 2023-05-05 2023-05-27 2023-06-06 2023-08-15 2023-09-28 "
-    "2023-09-29 2023-09-30 2023-10-02 2023-10-03 2023-10-09 2023-12-25 2024-01-01 2024-02-09 2024-02-10 2024-02-11 2024-02-12"
-).split()
+from shopfloor.functions.dates import HOLIDAYS as _LISTED  # noqa: E402  fixed values
+
 SQL["b13_red_days"] = f"""SELECT d, sun is_sunday, hol is_holiday, sun OR hol is_red_day FROM (
   SELECT d, dayofweek(d) = 0 sun, d IN ({", ".join(f"DATE '{x}'" for x in _LISTED)}) OR (year(d) NOT BETWEEN 2023 AND 2026 AND
     strftime(d, '%m-%d') IN ('01-01','03-01','05-05','06-06','08-15','10-03','10-09','12-25')) hol
-  FROM (SELECT CAST(o_orderdate AS DATE) d FROM orders UNION SELECT CAST(ts AS DATE) FROM events))"""
+  FROM (SELECT CAST(o_orderdate AS DATE) d FROM orders UNION SELECT CAST(ts AS DATE) FROM events
+    UNION SELECT CAST(CAST(o_orderdate AS DATE) + INTERVAL 336 MONTH AS DATE) FROM orders))"""
 
 # ---------------------------------------------------------------- C
 SQL["c1_net_sales"] = f"""SELECT {SALES_OUT}, goods_nm, reg_date, style_no, {dbl('normal_price')} normal_price, {dbl('sale_price')} sale_price
@@ -177,6 +177,21 @@ SQL["e4_profit_by_goods"] = f"SELECT goods_no, {_NT} FROM d_profit_goods"
 SQL["e5_profit_totals"] = f"""SELECT {_NT}, {dbl('gmv')} gmv, {cp_rate('cp', 'gmv')} cp_rate FROM (
   SELECT CAST(coalesce(sum(net_take), 0) AS DECIMAL(20,2)) net_take, coalesce(sum(cp), 0) cp, (SELECT sum(gmv) FROM d_sales) gmv FROM d_covered)"""
 SQL["e6_profit_by_brand"] = f"SELECT business_type, brand_nm, {_NT} FROM d_profit_brand"
+# the rate comes from the last 45 days and all stores, whatever the filter of the report
+_PF = f"sales_date BETWEEN DATE '2001-05-20' AND DATE '2001-06-25' AND store_name IN ({', '.join(repr(x) for x in STORES[:6])})"
+_COVERED_F = f"""(
+    SELECT goods_no, if(settled_days > 0, CAST(ifnull({dbl('nt')}, ifnull(rate, overall_rate) * {dbl('amount')}) AS DECIMAL(24,6)), NULL) AS net_take,
+      if(settled_days > 0, cp, NULL) AS cp
+    FROM (SELECT sales_date, goods_no, sum(gmv) AS amount FROM d_sales WHERE {_PF} GROUP BY ALL)
+    LEFT JOIN (SELECT sales_date, goods_no, sum(net_take) AS nt, sum(cp) AS cp FROM d_settlement WHERE {_PF} GROUP BY ALL) USING (sales_date, goods_no)
+    LEFT JOIN d_rate_f USING (goods_no))"""
+VIEWS["d_rate_f"] = f"""
+  SELECT goods_no, {dbl('sum(net_take)')} / nullif({dbl('sum(gmv) FILTER (net_take IS NOT NULL)')}, 0) AS rate, count(net_take) AS settled_days,
+    sum(sum(net_take)) OVER () / nullif({dbl('sum(sum(gmv) FILTER (net_take IS NOT NULL)) OVER ()')}, 0) AS overall_rate
+  FROM d_day_goods WHERE sales_date >= {AS_OF} - 45 AND goods_no IN (SELECT goods_no FROM d_sales WHERE {_PF}) GROUP BY goods_no"""
+SQL["e4_profit_by_goods_filtered"] = f"""SELECT goods_no, {dbl('CAST(sum(net_take) AS DECIMAL(20,2))')} AS net_take, {dbl('sum(cp)')} AS cp FROM {_COVERED_F} GROUP BY goods_no"""
+SQL["e5_profit_totals_filtered"] = f"""SELECT {_NT}, {dbl('gmv')} AS gmv, {cp_rate('cp', 'gmv')} AS cp_rate FROM (
+  SELECT CAST(ifnull(sum(net_take), 0) AS DECIMAL(20,2)) AS net_take, ifnull(sum(cp), 0) AS cp, (SELECT sum(gmv) FROM d_sales WHERE {_PF}) AS gmv FROM {_COVERED_F})"""
 SQL["e7_basket_value"] = f"""SELECT receipts, foreign_receipts, receipts - foreign_receipts domestic_receipts, {dbl('gmv')} gmv,
     {dbl('foreign_gmv')} foreign_gmv, {dbl('gmv - foreign_gmv')} domestic_gmv, {ratio('gmv', 'receipts', '')} aov,
     {ratio('foreign_gmv', 'foreign_receipts', '')} foreign_aov, {ratio('gmv - foreign_gmv', 'receipts - foreign_receipts', '')} domestic_aov
@@ -252,18 +267,27 @@ SQL["e20_allocate_profit"] = f"""SELECT s.* REPLACE ({dbl('s.gmv')} AS gmv, {dbl
   LEFT JOIN (SELECT sales_date, store_name, goods_no, sum(net_take) nt, sum(cp) cp FROM d_settlement_option GROUP BY 1, 2, 3) t
     ON t.sales_date = s.sales_date AND t.store_name = s.store_name AND t.goods_no = s.goods_no
   LEFT JOIN d_stock_store k ON k.store_name = s.store_name AND k.goods_no = s.goods_no"""
-_C21 = "cat_top IN ('ECONOMY','PROMO')"
-_S21 = f"""(SELECT business_type, brand_nm, store_name, sum(qty) qty, sum(gmv) gmv, sum(normal_amt) normal_amt, sum(pay) pay,
-  sum(foreign_gmv) foreign_gmv FROM d_sales WHERE sales_date >= DATE '2001-01-01' AND {_C21} GROUP BY 1, 2, 3 HAVING sum(qty) <> 0 OR sum(gmv) <> 0)"""
-SQL["e21_brand_by_store"] = f"""SELECT coalesce(b.bt, '') business_type, brand_nm, store_name, CAST(coalesce(qty, 0) AS BIGINT) qty, {money('gmv')} gmv,
-    {money('normal_amt')} normal_amt, {money('pay')} pay, {money('foreign_gmv')} foreign_gmv, CAST(coalesce(stock, 0) AS BIGINT) stock,
-    {disc('gmv', 'normal_amt')} discount_rate
-  FROM (SELECT brand_nm, store_name, sum(qty) qty, sum(gmv) gmv, sum(normal_amt) normal_amt, sum(pay) pay, sum(foreign_gmv) foreign_gmv
-        FROM {_S21} GROUP BY 1, 2) s
-  FULL JOIN (SELECT a.brand_nm, i.store_name, sum(i.stock) stock FROM d_stock_store i JOIN d_goods_attr a ON a.goods_no = i.goods_no
-     WHERE i.goods_no IN (SELECT goods_no FROM d_sales WHERE {_C21}) AND a.brand_nm IN (SELECT brand_nm FROM {_S21}) GROUP BY 1, 2) k
-    USING (brand_nm, store_name)
-  LEFT JOIN (SELECT brand_nm, min(business_type) bt FROM {_S21} GROUP BY 1) b USING (brand_nm)"""
+
+
+def _brand_store(dates: str, members: str) -> str:
+    sold = f"""(SELECT business_type, brand_nm, store_name, {", ".join(f"sum({m}) AS {m}" for m in ("qty", "gmv", "normal_amt", "pay", "foreign_gmv"))}
+      FROM d_sales WHERE {dates} AND {members} GROUP BY 1, 2, 3 HAVING sum(qty) <> 0 OR sum(gmv) <> 0)"""
+    return f"""
+  WITH sold AS {sold}, per_store AS (
+    SELECT brand_nm, store_name, {", ".join(f"sum({m}) AS {m}" for m in ("qty", "gmv", "normal_amt", "pay", "foreign_gmv"))} FROM sold GROUP BY 1, 2
+  ), held AS (
+    SELECT brand_nm, store_name, sum(stock) AS stock FROM d_stock_store JOIN (SELECT goods_no, brand_nm FROM d_goods_attr) USING (goods_no)
+    WHERE goods_no IN (SELECT goods_no FROM d_sales WHERE {members}) AND brand_nm IN (SELECT brand_nm FROM sold) GROUP BY 1, 2
+  ), kinds AS (SELECT brand_nm, min(business_type) AS kind FROM sold GROUP BY brand_nm)
+  SELECT ifnull(kind, '') AS business_type, brand_nm, store_name, CAST(ifnull(qty, 0) AS BIGINT) AS qty, {money('gmv')} AS gmv,
+    {money('normal_amt')} AS normal_amt, {money('pay')} AS pay, {money('foreign_gmv')} AS foreign_gmv, CAST(ifnull(stock, 0) AS BIGINT) AS stock,
+    {disc('gmv', 'normal_amt')} AS discount_rate
+  FROM per_store FULL JOIN held USING (brand_nm, store_name) LEFT JOIN kinds USING (brand_nm)"""
+
+
+_WHOLE21 = _brand_store("TRUE", "TRUE")
+SQL["e21_brand_by_store"] = f"SELECT * FROM ({_WHOLE21})"
+SQL["e21_brand_by_store_filtered"] = f"""SELECT * FROM ({_brand_store("sales_date >= DATE '2001-01-01'", "cat_top IN ('ECONOMY','PROMO')")})"""
 _TC = ", ".join(f"{dbl(c)} {c}" for c in T_COLS)
 SQL["e22_target_attainment"] = f"SELECT shop_type, store_name, {_TC}, {T_RATES} FROM {target_rows(None)}, {target_month(None)}"
 SQL["e23_target_totals"] = f"""SELECT {_TC}, {T_RATES} FROM (SELECT {", ".join(f"sum({c}) {c}" for c in T_COLS)} FROM {target_rows('2001-05-01')}),
@@ -306,10 +330,13 @@ _CV = f"{ratio('receipts', 'visitors')} conversion, {ratio('gmv', 'receipts', ''
 _CR = f"""(SELECT v.store_name, v.shop_type, v.visitors, coalesce(r.receipts, 0) receipts, coalesce(r.gmv, 0) gmv
   FROM (SELECT store_name, min(shop_type) shop_type, sum(visitors) visitors FROM d_footfall WHERE {_J} GROUP BY 1) v
   LEFT JOIN (SELECT store_name, count(DISTINCT order_id) receipts, sum(gmv) gmv FROM d_receipts WHERE {_J} GROUP BY 1) r ON r.store_name = v.store_name)"""
-SQL["e29_conversion"] = f"""
+SQL["e29_conversion_month"] = f"""
   SELECT store_name, shop_type, {big('visitors')} visitors, {big('receipts')} receipts, {dbl('gmv')} gmv, {_CV} FROM {_CR}
   UNION ALL SELECT '합계', '', {big('visitors')}, {big('receipts')}, {dbl('gmv')}, {_CV}
   FROM (SELECT sum(visitors) visitors, sum(receipts) receipts, sum(gmv) gmv FROM {_CR})"""
+SQL["e29_conversion"] = f"""SELECT store_name, shop_type, {big('visitors')} AS visitors, {big('receipts')} AS receipts, {dbl('gmv')} AS gmv, {_CV} FROM (
+    SELECT store_name, min(shop_type) AS shop_type, sum(visitors) AS visitors, any_value(receipts) AS receipts, any_value(gmv) AS gmv FROM d_footfall LEFT JOIN
+      (SELECT store_name, count(DISTINCT order_id) AS receipts, sum(gmv) AS gmv FROM d_receipts GROUP BY store_name) USING (store_name) GROUP BY store_name)"""
 SQL["e30_country_sales"] = f"""SELECT nationality, {dbl('gmv')} gmv, buyers, {ratio('gmv', 't')} AS share, {dbl('t')} total_gmv, n countries
   FROM (SELECT nationality, gmv, buyers, sum(gmv) OVER () t, count(*) OVER () n FROM (
     SELECT nationality, sum(gmv) gmv, {big('sum(buyers)')} buyers FROM d_nationality GROUP BY 1))"""
@@ -479,4 +506,17 @@ SQL["i14_sell_through_totals"] = f"""SELECT {", ".join(f"{dbl(f'sum({c})') if c.
 _CW = ", ".join(f"{m}_tot_w{i}" for m in ("qty", "gmv", "nt") for i in range(4))
 _CS = ", ".join(f"{' + '.join(f'{m}_tot_w{i}' for i in range(4))} {m}_tot_sum" for m in ("qty", "gmv", "nt"))
 SQL["i15_channel_view"] = f"SELECT sil, gubun, brand_code, brand_nm, {_CW}, {_CS} FROM d_ips"
+for _name, _c in (("i15_channel_view_online", "on"), ("i15_channel_view_offline", "off")):
+    SQL[_name] = f"SELECT sil, gubun, brand_code, brand_nm, {_CW.replace('_tot_', f'_{_c}_')}, {_CS.replace('_tot_', f'_{_c}_')} FROM d_ips"
 SQL["i16_sell_through_drill"] = """SELECT * FROM d_ips_goods WHERE brand_code = 'Brand#1' AND gubun = '매입'"""
+
+# ---------------------------------------------------------------- exports
+_UNIT = f"CASE WHEN qty <> 0 THEN gmv / {dbl('qty')} ELSE 0 END"
+SQL["a7_export_options"] = f"""SELECT sales_date, store_name, cat_large, cat_medium, brand_nm, goods_no, ifnull(style_no, '') AS style_no, goods_nm, option_nm,
+    {money('normal_price')} AS normal_price, {money('CASE WHEN sale_price > 0 THEN sale_price ELSE normal_price END')} AS sale_price, {_UNIT} AS unit_price,
+    qty, gmv, normal_amt, pay, net_take, cp, stock
+  FROM ({SQL["e20_allocate_profit"]}) LEFT JOIN (SELECT goods_no, style_no, normal_price, sale_price FROM d_goods_master) USING (goods_no)"""
+SQL["a7_export_brand_store"] = SQL["e21_brand_by_store"]
+SQL["a7_export_stock"] = f"SELECT * FROM ({SQL['h11_stock_export_long']})"
+SQL["a7_export_restock"] = f"SELECT store_name, brand_nm, goods_no, goods_nm, sold, store_stock, hub_total FROM ({SQL['g7_restock']})"
+SQL["a7_export_drill"] = f"SELECT key, qty, gmv, normal_amt, foreign_gmv, goods_count, stock FROM ({drill('brand_nm')})"

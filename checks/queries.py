@@ -14,7 +14,7 @@ from shopfloor.operators import (
     compare as C, daily as G, dimensions as D, facts as A, filters as P, profit as R, sales as E, stock as H, targets as T, weekly as K,
 )
 from shopfloor.operators.filters import SalesFilter
-from shopfloor.plans import datasets as X
+from shopfloor.plans import datasets as X, exports
 from shopfloor.session import tune
 from shopfloor.sources import layout, tables
 
@@ -137,6 +137,41 @@ def _(x):
     )
 
 
+def exported(x, df: DataFrame) -> DataFrame:
+    """Written as CSV and read back under the same schema."""
+    rows = decimals_to_double(df)
+    path = tables.export_csv(rows, layout.scratch_path(x.inputs.spark, "csv"), rows.columns)
+    # an empty text and a missing one are the same in CSV
+    read = x.inputs.spark.read.schema(rows.schema).option("header", True).csv(path)
+    return read.withColumns({f.name: F.coalesce(f.name, F.lit("")) for f in rows.schema if f.dataType.simpleString() == "string"})
+
+
+@query("a7_export_options")
+def _(x):
+    return exported(x, exports.option_export(R.allocate_profit(x.sales_option, x.settlement_option, x.stock_store), x.goods_master))
+
+
+@query("a7_export_brand_store")
+def _(x):
+    return exported(x, exports.brand_store_export(E.brand_by_store(x.sales, x.stock_store, x.goods_attr)))
+
+
+@query("a7_export_stock")
+def _(x):
+    return exported(x, exports.stock_export(H.stock_export_long(P.apply_stock_filter(x.stock, P.NO_FILTER))))
+
+
+@query("a7_export_restock")
+def _(x):
+    return exported(x, exports.restock_export(G.restock(x.sales, x.stock_store, x.stock_goods, G.ReportDays(x.sales, AS_OF))))
+
+
+@query("a7_export_drill")
+def _(x):
+    cols = ["key", "qty", "gmv", "normal_amt", "foreign_gmv", "goods_count", "stock"]
+    return exported(x, E.drill(x.sales, x.stock_store, x.goods_attr, "brand").select(*cols))
+
+
 @query("a7_export_csv")
 def _(x):
     spark = x.inputs.spark
@@ -223,7 +258,9 @@ def _(x):
 def _(x):
     sold = x.inputs.raw("orders").select(F.col("o_orderdate").cast("date").alias("d"))
     seen = x.inputs.raw("events").select(F.col("ts").cast("date").alias("d"))
-    return red_days(sold.unionByName(seen).distinct(), "d")
+    # the same days 28 years later meet every listed holiday
+    later = sold.select(F.add_months("d", 336).alias("d"))
+    return red_days(sold.unionByName(seen).unionByName(later).distinct(), "d")
 
 
 # ---------------------------------------------------------------- C: facts
@@ -402,6 +439,19 @@ def _(x):
     return R.profit_by_brand(x.sales, x.settlement, P.NO_FILTER, AS_OF)
 
 
+PROFIT_FILTER = SalesFilter(date_from="2001-05-20", date_to="2001-06-25", store=STORES[:6])
+
+
+@query("e4_profit_by_goods_filtered")
+def _(x):
+    return R.profit_by_goods(x.sales, x.settlement, PROFIT_FILTER, AS_OF)
+
+
+@query("e5_profit_totals_filtered")
+def _(x):
+    return R.profit_totals(x.sales, x.settlement, PROFIT_FILTER, AS_OF)
+
+
 @query("e7_basket_value")
 def _(x):
     return E.basket_value(x.receipts)
@@ -489,6 +539,11 @@ def _(x):
 
 
 @query("e21_brand_by_store")
+def _(x):
+    return E.brand_by_store(x.sales, x.stock_store, x.goods_attr)
+
+
+@query("e21_brand_by_store_filtered")
 def _(x):
     return E.brand_by_store(x.sales, x.stock_store, x.goods_attr, SalesFilter(date_from="2001-01-01", cat_top=["ECONOMY", "PROMO"]))
 
@@ -545,6 +600,11 @@ def _(x):
 
 
 @query("e29_conversion")
+def _(x):
+    return E.conversion(x.footfall, x.receipts, P.NO_FILTER)
+
+
+@query("e29_conversion_month")
 def _(x):
     rows = E.conversion(x.footfall, x.receipts, SalesFilter(date_from="2001-07-01", date_to="2001-07-30"))
     totals = E.conversion_totals(rows).withColumn("store_name", F.lit(L.TOTAL)).withColumn("shop_type", F.lit(""))
@@ -846,6 +906,16 @@ def _(x):
     return K.channel_view(x.ips, "tot")
 
 
+@query("i15_channel_view_online")
+def _(x):
+    return K.channel_view(x.ips, "on")
+
+
+@query("i15_channel_view_offline")
+def _(x):
+    return K.channel_view(x.ips, "off")
+
+
 @query("i16_sell_through_drill")
 def _(x):
     return K.sell_through_drill(x.ips_goods, "Brand#1", L.PURCHASE)
