@@ -29,12 +29,6 @@ def sums_with_name(rows: DataFrame, keys: list[str], measures=MEASURES) -> DataF
     return level.groupBy(*keys).agg(F.min("goods_nm").alias("goods_nm"), *measure_sums(measures))
 
 
-def distinct_count(rows: DataFrame, col: str) -> Column:
-    """Number of distinct non-null values as a scalar subquery. It reads its one column, combines on
-    the map side, and leaves the sums beside it free of an expanded copy of the rows."""
-    return rows.select(col).filter(F.col(col).isNotNull()).distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
-
-
 def facets(sales: DataFrame) -> DataFrame:
     """Every list the filter bar offers, as (facet, member, parent, gmv); gmv only for brands.
 
@@ -61,12 +55,11 @@ def facets(sales: DataFrame) -> DataFrame:
 
 
 def summary(sales: DataFrame, f: SalesFilter = NO_FILTER) -> DataFrame:
-    """One row of KPIs: sums without a shuffle, and two distinct counts beside them."""
-    rows = apply_sales_filter(sales, f)
-    out = rows.agg(*measure_sums())
-    return with_rates(
-        out.select("*", distinct_count(rows, "goods_no").alias("goods_count"), distinct_count(rows, "store_name").alias("store_count"))
-    )
+    """One row of KPIs from one scan: sums by goods and store first, then the totals and both distinct
+    counts over those few rows."""
+    pairs = apply_sales_filter(sales, f).groupBy("goods_no", "store_name").agg(*measure_sums())
+    counts = [F.countDistinct(c).alias(n) for c, n in (("goods_no", "goods_count"), ("store_name", "store_count"))]
+    return with_rates(pairs.agg(*measure_sums(), *counts))
 
 
 def _orders(receipts: DataFrame, *keys: str) -> DataFrame:

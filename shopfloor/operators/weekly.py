@@ -238,13 +238,17 @@ def classify_stock(
 def stock_positions(stock: DataFrame, weeks: Weeks, purchased: bool) -> DataFrame:
     """Stock per brand now and at the base date, and in the stores at the four snapshots."""
     rows = stock.filter((F.col("biz_type") == BIZ_OWN) if purchased else (F.col("biz_type") != BIZ_OWN))
+    return rows.groupBy("brand_id").agg(*_position_sums(weeks))
+
+
+def _position_sums(weeks: Weeks) -> list[Column]:
     q, d, s = F.col("end_stock_qty"), F.col("base_date"), F.col("is_store") == 1
     at = lambda cond, name: F.coalesce(F.sum(F.when(cond, q)), F.lit(0)).alias(name)
     now, base = d == weeks.snapshots[0], d == weeks.base
-    return rows.groupBy("brand_id").agg(
+    return [
         at(now, "total_cur"), at(now & s, "store_cur"), at(now & ~s, "logi_cur"), at(base, "total_base"),
         at(base & s, "store_base"), *[at((d == w) & s, f"st_w{i}") for i, w in enumerate(weeks.snapshots)],
-    )
+    ]
 
 
 def axis(online: DataFrame, offline: DataFrame, stock: DataFrame, purchase: DataFrame) -> DataFrame:
@@ -326,7 +330,7 @@ STOCK_COLUMNS = ("total_cur", "store_cur", "logi_cur", "total_base", "store_base
 
 def sell_through(
     axis: DataFrame, online: DataFrame, divisions: DataFrame, offline: DataFrame, stock: DataFrame, goods: DataFrame,
-    stock_summary: DataFrame, po_brand: DataFrame, weeks: Weeks, scope: Scope,
+    consignment: DataFrame, po_brand: DataFrame, weeks: Weeks, scope: Scope,
 ) -> DataFrame:
     """The report: brand x supply kind with stock, inflow, weekly sales by channel, sell-through and
     cover days. Both kinds go through one set of joins, on (brand, kind)."""
@@ -334,10 +338,11 @@ def sell_through(
     kinds = [L.SUPPLY_CONSIGNMENT, L.SUPPLY_PURCHASE]
     purchased = F.col("ord_com_type") == L.SUPPLY_PURCHASE
     tag = lambda df, kind: df.withColumn("ord_com_type", F.lit(kind))
-    con = consignment_source(stock_summary, weeks)
+    con = consignment
     own_price = purchase_price(goods)
     prices = tag(own_price.select("brand_id", "normal_price"), kinds[1]).unionByName(tag(consignment_price(con), kinds[0]))
-    positions = tag(stock_positions(stock, weeks, True), kinds[1]).unionByName(tag(stock_positions(stock, weeks, False), kinds[0]))
+    kind = F.when(F.col("biz_type") == BIZ_OWN, kinds[1]).otherwise(kinds[0]).alias("ord_com_type")
+    positions = stock.groupBy("brand_id", kind).agg(*_position_sums(weeks))
     vendors = stock.filter((F.col("biz_type") == BIZ_OWN) & (F.col("base_date") == weeks.snapshots[0]))
     vendors = vendors.groupBy("brand_id", "com_id").agg(F.sum("end_stock_qty").alias("w"))
     reps = tag(representative(vendors, ["brand_id"], "com_id", "w"), kinds[1]).unionByName(

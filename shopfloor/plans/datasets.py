@@ -225,6 +225,11 @@ class Datasets:
         i = self.inputs
         return K.classify_stock(i["stock_history"], i["goods_scope"], self.brand_scope, self.locations, self.weeks, self.settings.scope)
 
+    @kept()
+    def consignment(self) -> DataFrame:
+        """Consigned stock and mean price per brand and company: prices and vendors both come from it."""
+        return K.consignment_source(self.inputs["stock_summary"], self.weeks)
+
     @cached_property
     def axis(self) -> DataFrame:
         return K.axis(self.online, self.offline, self.classified_stock, self.purchase_brands)
@@ -235,7 +240,7 @@ class Datasets:
         po = K.open_orders(i["open_po"], i["goods_scope"], self.settings.as_of)
         return K.sell_through(
             self.axis, self.online, self.online_divisions, self.offline, self.classified_stock, i["goods_scope"],
-            i["stock_summary"], po, self.weeks, self.settings.scope,
+            self.consignment, po, self.weeks, self.settings.scope,
         )
 
     @kept()
