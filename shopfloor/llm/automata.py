@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shopfloor.llm.passages import anchors, chunk_of, grouped_rows, merged, shared
 from shopfloor.llm.store import keep, table
-from shopfloor.llm.text import lists, pieces, signed, split_words
+from shopfloor.llm.text import lists, pieces, signed, slices, split_words
 
 WINDOW, GRAM = 50, 8
 
@@ -98,16 +98,18 @@ def head_rows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBa
 
 def cut_rows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """The words of each shared passage, joined by one space."""
-    for batch in batches:
-        out = ([], [], [], [], [], [])
-        for doc, text, digest, spots in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "text_key", "spots"))):
-            words = text.encode().split()
-            for s in spots:
-                for column, value in zip(out, (s["key"], s["chunk"], s["chunks"], doc, digest, s["low"])):
-                    column.append(value)
-        texts = [b" ".join(words[s["low"] : s["high"] + n]) for words, spots in zip((t.encode().split() for t in batch.column("text").to_pylist()), batch.column("spots").to_pylist()) for s in spots]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
-        yield pa.RecordBatch.from_arrays([*(pa.array(x, k) for x, k in zip(out, kinds)), pa.array(texts, pa.binary())], ["key", "chunk", "chunks", "doc_id", "text_key", "low", "passage"])
+    for batch in (part for whole in batches for part in slices(whole)):
+        ids, keys, spots = (batch.column(c) for c in ("doc_id", "text_key", "spots"))
+        for row, end, data, offsets in pieces(batch.column("text")):
+            w = split_words(data, offsets)
+            for i in range(row, end):
+                first, found = int(w.first[i - row]), spots[i].values
+                key, chunk, chunks, low, high = (found.field(c) for c in ("key", "chunk", "chunks", "low", "high"))
+                passages = [
+                    b" ".join(data[w.start[first + a] : w.end[first + b + n - 1]].tobytes().split()) for a, b in zip(low.to_pylist(), high.to_pylist())
+                ]
+                same = lambda x: pa.array([x.as_py()] * len(found), x.type)
+                yield pa.RecordBatch.from_arrays([key, chunk, chunks, same(ids[i]), same(keys[i]), low, pa.array(passages, pa.binary())], ["key", "chunk", "chunks", "doc_id", "text_key", "low", "passage"])
 
 
 CUT = "key long, chunk long, chunks long, doc_id long, text_key binary, low long, passage binary"
@@ -169,7 +171,7 @@ def found_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def rest_rows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """doc_id, text_key, n_removed, kept text of documents with removed words."""
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         out = ([], [], [], [], [])
         for doc, digest, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_key", "text", "spans"))):
             words, kept, at = text.encode().split(), [], 0

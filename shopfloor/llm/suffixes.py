@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shopfloor.llm.passages import CHUNK, anchors, chunk_of, grouped_rows, merged
 from shopfloor.llm.store import keep, table
-from shopfloor.llm.text import U, lists, pieces, signed
+from shopfloor.llm.text import U, lists, pieces, signed, slices
 
 WINDOW, GRAM = 400, 32
 #: Bytes of passages that are sorted together.
@@ -108,7 +108,7 @@ def head_rows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBa
 
 
 def cut_rows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         for digest, text, spots in zip(*(batch.column(c).to_pylist() for c in ("text_key", "text", "spots"))):
             data = text.encode()
             kinds = {"key": pa.int64(), "chunk": pa.int64(), "chunks": pa.int64(), "low": pa.int32()}
@@ -163,7 +163,7 @@ def found_rows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordB
 
 
 def rest_rows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         out = ([], [], [], [], [])
         for digest, text, spans in zip(*(batch.column(c).to_pylist() for c in ("text_key", "text", "spans"))):
             data, kept, at = text.encode(), [], 0

@@ -63,6 +63,12 @@ def pieces(column: pa.Array, size: int = PIECE) -> Iterator[tuple[int, int, np.n
         row = end
 
 
+def slices(batch: pa.RecordBatch, rows: int = 64) -> Iterator[pa.RecordBatch]:
+    """A batch in small parts, for work on Python objects: few texts are held as such at a time."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 @dataclass
 class Words:
     """Words of several texts in order: byte bounds, hash, and first[i] to first[i + 1] of text i."""
