@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-from html.parser import HTMLParser
+import re
+from html import unescape
 
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -29,94 +30,110 @@ class Node:
         return f"{self.tag}.{self.names}" if self.names else self.tag
 
 
-class _Builder(HTMLParser):
+TAG = re.compile(
+    r"""<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|$)|<[a-zA-Z][^>]*$""", re.S
+)
+NAMES = re.compile(r"""(?:^|[\s"'/])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: Elements whose content is text up to their end tag.
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+
+
+class _Builder:
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.root = Node("#root")
         self.open = [self.root]
 
-    def _close_to(self, at: int) -> None:
-        del self.open[at:]
-
-    def handle_starttag(self, tag, attrs):
+    def start(self, tag: str, attributes: str) -> None:
+        stack = self.open
         if tag in BLOCK:
-            for i in range(len(self.open) - 1, 0, -1):
-                if self.open[i].tag in CLOSED_BY_BLOCK:
-                    self._close_to(i)
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag in CLOSED_BY_BLOCK:
+                    del stack[i:]
                     break
-                if self.open[i].tag in BLOCK:
+                if stack[i].tag in BLOCK:
                     break
-        for i in range(len(self.open) - 1, 0, -1) if tag in SIBLINGS else ():
-            if self.open[i].tag in SCOPES:
-                break
-            if self.open[i].tag in SIBLINGS[tag]:
-                self._close_to(i)
-        names = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v).lower()
+        if tag in SIBLINGS:
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag in SCOPES:
+                    break
+                if stack[i].tag in SIBLINGS[tag]:
+                    del stack[i:]
+        names = " ".join(x for found in NAMES.findall(attributes) for x in found if x).lower() if "=" in attributes else ""
         node = Node(tag, names)
-        self.open[-1].children.append(node)
-        if tag not in VOID and len(self.open) < DEEPEST:
-            self.open.append(node)
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID and self.open[-1].tag == tag and len(self.open) > 1:
-            self.open.pop()
+        stack[-1].children.append(node)
+        if tag not in VOID and len(stack) < DEEPEST:
+            stack.append(node)
 
-    def handle_endtag(self, tag):
+    def end(self, tag: str) -> None:
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag == tag:
-                self._close_to(i)
+                del self.open[i:]
                 return
             if tag not in BLOCK and self.open[i].tag in BLOCK:
                 return  # an inline end tag closes nothing outside its block
 
-    def handle_data(self, data):
-        self.open[-1].children.append(data)
+    def text(self, data: str) -> None:
+        self.open[-1].children.append(unescape(data) if "&" in data else data)
 
 
 def parse(html: str) -> Node:
-    builder = _Builder()
-    builder.feed(html)
-    builder.close()
+    """Tolerant of broken markup; character references are decoded, comments and declarations dropped."""
+    builder, at = _Builder(), 0
+    while True:
+        found = TAG.search(html, at)
+        if found is None:
+            break
+        if found.start() > at:
+            builder.text(html[at : found.start()])
+        at = found.end()
+        tag = (found[2] or found[5] or "").lower()
+        if not tag:
+            continue
+        if found[1] or found[4]:
+            builder.end(tag)
+            continue
+        builder.start(tag, found[3] or found[6] or "")
+        if tag in RAW:
+            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|$)[^>]*>?", re.I).search(html, at)
+            builder.text(html[at : close.start() if close else len(html)])
+            builder.end(tag)
+            at = close.end() if close else len(html)
+    if at < len(html):
+        builder.text(html[at:])
     return builder.root
 
 
-def full_text(node: Node) -> str:
-    out, stack = [], [node]
-    while stack:
-        x = stack.pop()
-        if isinstance(x, str):
-            out.append(x)
-        else:
-            stack.extend(reversed(x.children))
-    return " ".join("".join(out).split())
-
-
 def skeleton(node: Node) -> list:
-    """[label, digest of the text, children] without text nodes."""
-    text = full_text(node)
-    return [node.label, hashlib.blake2b(text.encode(), digest_size=8).hexdigest() if text else "", [skeleton(c) for c in node.children if isinstance(c, Node)]]
+    """[label, digest, children] without text nodes. The digest covers the text and the structure below; it is empty without text."""
+    parts, kids = [], []
+    for child in node.children:
+        if isinstance(child, str):
+            text = " ".join(child.split())
+            if text:
+                parts.append(text)
+        else:
+            kids.append(skeleton(child))
+            if kids[-1][1]:
+                parts.append(f"{kids[-1][0]}\0{kids[-1][1]}")
+    return [node.label, hashlib.blake2b("\0".join(parts).encode(), digest_size=8).hexdigest() if parts else "", kids]
 
 
 def _matching(a: list, b: list) -> int:
     """Simple tree matching: greatest number of pairs that keep labels, parents and order."""
     if a[0] != b[0]:
         return 0
-    if not a[2] or not b[2]:
-        return 1
-    return 1 + align(a[2], b[2])[0]
+    return 1 + sum(_matching(a[2][i], b[2][j]) for i, j in align(a[2], b[2])) if a[2] and b[2] else 1
 
 
-def align(xs: list[list], ys: list[list]) -> tuple[int, list[tuple[int, int]]]:
-    """Children matched in order with the most pairs; equal labels at both ends are matched first."""
-    pairs, low = [], 0
-    while low < min(len(xs), len(ys)) and xs[low][0] == ys[low][0]:
-        pairs.append((low, low))
+def align(xs: list[list], ys: list[list]) -> list[tuple[int, int]]:
+    """Children matched in order with the most pairs below them; equal labels at both ends are matched first."""
+    low, least = 0, min(len(xs), len(ys))
+    while low < least and xs[low][0] == ys[low][0]:
         low += 1
     end = 0
-    while end < min(len(xs), len(ys)) - low and xs[-1 - end][0] == ys[-1 - end][0]:
+    while end < least - low and xs[-1 - end][0] == ys[-1 - end][0]:
         end += 1
-    total = sum(_matching(xs[i], ys[j]) for i, j in pairs) + sum(_matching(xs[-1 - k], ys[-1 - k]) for k in range(end))
+    pairs = [(i, i) for i in range(low)]
     mx, my = xs[low : len(xs) - end], ys[low : len(ys) - end]
     if mx and my:
         best = [[0] * (len(my) + 1) for _ in range(len(mx) + 1)]
@@ -134,9 +151,7 @@ def align(xs: list[list], ys: list[list]) -> tuple[int, list[tuple[int, int]]]:
             else:
                 pairs.append((low + i, low + j))
                 i, j = i + 1, j + 1
-        total += best[0][0]
-    pairs += [(len(xs) - k, len(ys) - k) for k in range(end, 0, -1)]
-    return total, pairs
+    return pairs + [(len(xs) - k, len(ys) - k) for k in range(end, 0, -1)]
 
 
 def matched(a: list, b: list) -> list[tuple[tuple[int, ...], list, list]]:
@@ -145,6 +160,6 @@ def matched(a: list, b: list) -> list[tuple[tuple[int, ...], list, list]]:
     while stack:
         path, x, y = stack.pop()
         out.append((path, x, y))
-        for i, j in align(x[2], y[2])[1] if x[2] and y[2] else ():
-            stack.append((path + (i,), x[2][i], y[2][j]))
+        if x[2] and y[2]:
+            stack.extend((path + (i,), x[2][i], y[2][j]) for i, j in align(x[2], y[2]))
     return out

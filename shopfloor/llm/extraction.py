@@ -144,7 +144,7 @@ def template_nodes(root: Node, tree: list, reference: list, rules: dict[str, boo
         if node is None:
             continue
         kids = [c for c in node.children if isinstance(c, Node)]
-        for i, j in align(a[2], b[2])[1] if a[2] and b[2] else ():
+        for i, j in align(a[2], b[2]) if a[2] and b[2] else ():
             stack[path + (i,)] = kids[j]
         if path in constant and a[1] == b[1] and (path not in inside_only or not in_article(path, reference)):
             out.add(id(node))
