@@ -31,7 +31,7 @@ class MixPlan:
     weights: tuple[int, ...] = (5, 2, 1)
     share: float = 1.5
     copies: int = 2
-    levels: tuple[int, ...] = (16, 16, 28)
+    levels: tuple[int, ...] = (12, 12, 12, 12, 12)
 
 
 def word_count(text: Column) -> Column:
