@@ -15,10 +15,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from shopfloor.llm.text import U, gram_starts, grams, mix, windows_min
 
-#: Occurrences of one anchor that one task compares; more are dealt to several, and what those leave open is matched by digests of windows.
-CHUNK = 512
-
-
 def anchors(units: np.ndarray, first: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, key, low, high) rows: the windows that start at low to high (within the text) own the anchor with that key."""
     start, text = gram_starts(first, n)
@@ -35,10 +31,10 @@ def anchors(units: np.ndarray, first: np.ndarray, n: int, k: int) -> tuple[np.nd
     return text[low], hashes[owner[low]], start[low] - base, start[high] - base
 
 
-def shared(spread: DataFrame, holder: str) -> DataFrame:
-    """key, chunks: keys held by more than one occurrence of `holder` values."""
+def shared(spread: DataFrame, holder: str, chunk: int) -> DataFrame:
+    """key, chunks: keys that more than one `holder` has, and the number of tasks to deal their occurrences to."""
     grouped = spread.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min(holder).alias("_a"), F.max(holder).alias("_b"))
-    return grouped.filter("_a < _b").select("key", F.ceil(F.col("_n") / CHUNK).alias("chunks"))
+    return grouped.filter("_a < _b").select("key", F.ceil(F.col("_n") / chunk).alias("chunks"))
 
 
 def chunk_of(*by: Column) -> Column:

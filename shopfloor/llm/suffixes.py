@@ -24,11 +24,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shopfloor.llm.passages import CHUNK, anchors, chunk_of, grouped_rows, merged
+from shopfloor.llm.passages import anchors, chunk_of, grouped_rows, merged
 from shopfloor.llm.store import keep, table
 from shopfloor.llm.text import U, lists, pieces, signed, slices
 
 WINDOW, GRAM = 400, 32
+#: Occurrences of one anchor that one task sorts; more are dealt to several, and what those leave open is matched by digests of windows.
+CHUNK = 512
 #: Bytes of passages that are sorted together.
 SORTED = 1 << 19
 

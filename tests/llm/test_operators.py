@@ -16,7 +16,7 @@ from helpers import corpus_connection  # noqa: E402
 
 from checks.runall import compare  # noqa: E402
 from conftest import SF_DIR  # noqa: E402
-from shopfloor.llm import automata, decontamination, extraction, jaccard, licences, mixing, passages, quality_model, quality_rules, queries, sharding, suffixes  # noqa: E402
+from shopfloor.llm import automata, decontamination, extraction, jaccard, licences, mixing, quality_model, quality_rules, queries, sharding, suffixes  # noqa: E402
 
 DDL = "doc_id long, text string, lang string, source string, n_chars long, size long, shard string, slot string, text_key string, key string, node int, component int, taken int, target int, n_words string, license int, `_n` int"
 
@@ -294,7 +294,7 @@ def test_rtree_finds_all_pairs_within_the_bound():
 
 @pytest.mark.parametrize("chunk", [512, 4])
 def test_substring_dedup(spark, odd, tables, monkeypatch, chunk):
-    monkeypatch.setattr(passages, "CHUNK", chunk)
+    monkeypatch.setattr(automata, "CHUNK", chunk)
     tables(automata, documents=odd)
     assert counted(automata.op5_substring_dedup(spark, ""), "doc_id", "n_words", "n_removed", "kept_sha256") == brute.substring_dedup(ODD)
 
