@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from shopfloor.llm.store import keep
+from shopfloor.llm.store import keep_counted
 
 
 def _star(edges: DataFrame, least: DataFrame) -> DataFrame:
@@ -17,16 +17,15 @@ def _star(edges: DataFrame, least: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) of longs -> node, component: the smallest node of the component, for each node but that one."""
-    now = keep(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    now = edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     seen = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         large = both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = keep(large, "large-star")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        now = keep(_star(large, low).unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "small-star")
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        small = _star(large, low).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
+        now, state = keep_counted(small, "star", F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
         if state == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
         seen = state

@@ -9,7 +9,7 @@ serve as the tree's upper levels: at 0.85 the boxes of random counts overlap, an
 would be visited (figures in the README).
 
 In the leaves, texts meet a centre of their leaf first and are verified; leaves of one component need no
-more. Rounds with other centres follow while they find links. Whatever pairs of a leaf then still lie in
+more. Rounds with other centres follow while one finds a twentieth of all links. Whatever pairs of a leaf then still lie in
 different components are searched by an R-tree over their group counts: nodes bound the overlap by the
 sum of coordinate minima of their boxes, entries by their own, and surviving pairs are verified on the
 whole sets. So no group of similar texts is ever expanded into its pairs, and no pair that links is lost.
@@ -24,18 +24,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from shopfloor.llm.components import components
-from shopfloor.llm.store import keep, table
+from shopfloor.llm.store import keep, keep_counted, table
 from shopfloor.llm.text import U, Words, gram_starts, grams, lists, mix, pieces, signed, split_words
 
 SHINGLE = 4
 PERCENT = 85
-GROUPS = 32
-ROUNDS = 6
+GROUPS = 128
+#: Rounds of centres: at most so many, and only while one finds its 1 / WORTH of all links. What they leave open the tree searches in full.
+ROUNDS, WORTH = 6, 20
 NODE = 64
 
 
@@ -145,25 +145,25 @@ def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def verify_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs that link. The sum of coordinate minima bounds the overlap; only pairs that pass it are intersected."""
+    """Pairs whose whole sets link."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        n, m = (np.array(batch.column(c)) for c in ("n_a", "n_b"))
-        counts = [np.array(batch.column(c).flatten()).reshape(batch.num_rows, GROUPS) for c in ("counts_a", "counts_b")]
-        good = linked(np.minimum(*counts).sum(axis=1), n, m)
-        sets = [batch.column(c) for c in ("items_a", "items_b")]
-        for i in np.flatnonzero(good):
-            a, b = (np.frombuffer(s[int(i)].as_buffer(), np.uint64) for s in sets)
+        sets, good = [batch.column(c) for c in ("items_a", "items_b")], np.zeros(batch.num_rows, bool)
+        for i in range(batch.num_rows):
+            a, b = (np.frombuffer(s[i].as_buffer(), np.uint64) for s in sets)
             at = np.minimum(np.searchsorted(b, a), len(b) - 1)
             good[i] = linked(int((b[at] == a).sum()), len(a), len(b))
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(good)), batch.column("b").filter(pa.array(good))], ["a", "b"])
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("counts").alias(f"counts_{x}"), F.col("items").alias(f"items_{x}"))
-    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    return keep(both.mapInArrow(verify_rows, "a long, b long").distinct(), "links")
+def verify(pairs: DataFrame, sets: DataFrame) -> tuple[DataFrame, int]:
+    """Links among pairs, and their number. The sum of coordinate minima bounds the overlap, and only the sets of pairs that pass travel."""
+    side = lambda x, *cols: sets.select(F.col("doc_id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in cols))
+    points = pairs.select("a", "b").join(side("a", "n", "counts"), "a").join(side("b", "n", "counts"), "b")
+    bound = F.aggregate(F.zip_with("counts_a", "counts_b", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda total, x: total + x)
+    fit = points.filter(linked(bound, F.col("n_a"), F.col("n_b"))).select("a", "b")
+    both = fit.join(side("a", "items"), "a").join(side("b", "items"), "b")
+    out, (n,) = keep_counted(both.mapInArrow(verify_rows, "a long, b long"), "links")
+    return out, n
 
 
 def rtree_pairs(counts: np.ndarray, sizes: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,12 +188,29 @@ def rtree_pairs(counts: np.ndarray, sizes: np.ndarray, part: np.ndarray) -> tupl
     return tuple(np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def leaf_search(rows: pd.DataFrame) -> pd.DataFrame:
-    counts = np.stack(rows["counts"].to_numpy())
-    a, b = rtree_pairs(counts, rows["n"].to_numpy(), rows["component"].to_numpy())
-    node = rows["node"].to_numpy()
-    x, y = node[a], node[b]
-    return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+def leaf_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of each leaf of a partition sorted by leaf that the tree lets through."""
+
+    def search(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        leaf, node, part, n = (rows.column(c).to_numpy() for c in ("leaf", "node", "component", "n"))
+        counts = np.array(rows.column("counts").combine_chunks().flatten()).reshape(len(leaf), GROUPS)
+        bounds = np.append(np.flatnonzero(np.append(True, leaf[1:] != leaf[:-1])), len(leaf))
+        found = [[x + first for x in rtree_pairs(counts[first:end], n[first:end], part[first:end])] for first, end in zip(bounds[:-1], bounds[1:])]
+        a, b = (node[np.concatenate(x)] for x in zip(*found))
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    held: list[pa.RecordBatch] = []  # of a leaf that may go on in the next batch
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        leaf = np.array(batch.column("leaf"))
+        last = int(np.searchsorted(leaf, leaf[-1]))
+        if last or (held and held[-1].column("leaf")[-1].as_py() != int(leaf[0])):
+            yield from search(pa.Table.from_batches([*held, batch.slice(0, last)]))
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield from search(pa.Table.from_batches(held))
 
 
 def with_component(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -213,26 +230,34 @@ def split_leaves(leaves: DataFrame, labels: DataFrame | None, turn: int) -> Data
 
 def links(docs: DataFrame, sketches: DataFrame) -> DataFrame:
     """Links (a, b) between representatives that connect all texts which the join connects."""
-    nodes = keep(sketches.filter("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "sum_a", "sum_b").agg(F.min("doc_id").alias("node")).select("node").distinct(), "nodes")
-    filed = sketches.select(F.col("doc_id").alias("node"), "leaves").join(nodes, "node", "left_semi").select("node", F.explode("leaves").alias("leaf"))
-    shared = filed.groupBy("leaf").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("leaf")
-    leaves = keep(filed.join(shared, "leaf").select("leaf", "node").distinct(), "leaves")
+    sized = sketches.filter("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "sum_a", "sum_b")
+    classes = sized.groupBy("n_shingles", "sum_a", "sum_b").agg(F.min("doc_id").alias("node"))
+    copies = keep(sized.join(classes, ["n_shingles", "sum_a", "sum_b"]).filter("doc_id <> node").select(F.col("doc_id").alias("node")).distinct(), "equal-sets")
+    filed = sketches.filter("doc_id is not null").select(F.col("doc_id").alias("node"), "leaves").join(copies, "node", "left_anti").select("node", F.explode("leaves").alias("leaf"))
+    leaf = W.partitionBy("leaf")
+    shared = filed.withColumns({"low": F.min("node").over(leaf), "high": F.max("node").over(leaf)}).filter("low < high")
+    members = keep(shared.select("leaf", "node").distinct(), "members")
+    # similar texts share most of their leaves; of leaves with the same members one is enough
+    same = members.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.xxhash64("node", F.lit(i)).cast("decimal(38,0)")).alias(f"h{i}") for i in range(2)))
+    leaves = keep(members.join(same.groupBy("n", "h0", "h1").agg(F.min("leaf").alias("leaf")).select("leaf"), "leaf", "left_semi"), "leaves")
     wanted_nodes = leaves.select(F.col("node").alias("doc_id")).distinct()
     sets = keep(docs.join(wanted_nodes, "doc_id", "left_semi").mapInArrow(set_rows, "doc_id long, n long, counts array<int>, items binary").filter("n > 0"), "sets")
-    found, labels = None, None
+    found, labels, links_before = None, None, 0
     for turn in range(ROUNDS):
         split = split_leaves(leaves, labels, turn).filter(F.col("node") != F.col("centre"))
         pairs = split.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"), "node", "centre", "component")
         if labels is not None:
             pairs = pairs.join(labels.select(F.col("node").alias("centre"), F.col("component").alias("at")), "centre", "left").filter(F.col("component") != F.coalesce("at", "centre"))
-        new = verify(keep(pairs.select("a", "b").distinct(), "pairs"), sets)
-        if new.isEmpty():
+        new, fresh = verify(pairs.select("a", "b").distinct(), sets)
+        if fresh:
+            found = new if found is None else found.unionByName(new)
+            labels = components(found)
+        links_before += fresh
+        if WORTH * fresh < links_before or not fresh:
             break
-        found = new if found is None else found.unionByName(new)
-        labels = components(found)
     split = split_leaves(leaves, labels, ROUNDS).drop("centre").join(sets.select(F.col("doc_id").alias("node"), "n", "counts"), "node")
-    pairs = split.groupBy("leaf").applyInPandas(leaf_search, "a long, b long").distinct()
-    last = verify(keep(pairs, "pairs"), sets)
+    pairs = split.select("leaf", "node", "component", "n", "counts").repartition("leaf").sortWithinPartitions("leaf").mapInArrow(leaf_rows, "a long, b long").distinct()
+    last, _ = verify(pairs, sets)
     return last if found is None else found.unionByName(last)
 
 

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the session has it; only where it is unset (tests) a local folder is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """spark.checkpoint.dir as the session has it. Only a session within one machine (tests) may leave it
+    unset; on a cluster, executors would write to disks of their own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="corpus-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{tempfile.gettempdir()}/corpus-{spark.sparkContext.applicationId}"
     return base.rstrip("/")
 
 
@@ -25,5 +28,13 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep_counted(df: DataFrame, name: str, *sums: Column) -> tuple[DataFrame, tuple]:
+    """As `keep`, with the row count and sums over the rows, taken while they are written."""
+    seen = Observation()
+    columns = [F.count(F.lit(1)), *sums]
+    out = keep(df.observe(seen, *(c.alias(f"_{i}") for i, c in enumerate(columns))), name)
+    return out, tuple(seen.get[f"_{i}"] for i in range(len(columns)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
