@@ -1,14 +1,14 @@
 """Main text of HTML pages by wrapper induction.
 
-Pages of one host share a template. The host's first page (by a hash of its id) is its reference; every page's
+Pages of one host share a template. One of the host's distinct pages is its reference; every distinct page's
 DOM is aligned with it by simple tree matching, and each task counts for every reference node how many pages
-match it and how many of those hold the same text. Nodes that keep their text over the host's pages are
+match it and how many of those hold the same text. Copies of a page count once, however many there are. Nodes that keep their text over the host's pages are
 template; the other slots vary and are content. A page then loses what aligns with template nodes and what
 HTML itself names as furniture (menus, footers, adverts, forms, comments, ...), and the text blocks of its
 article are joined. Votes are summed in the tasks first, so a hot host costs what its pages cost.
 
 Cases: a null or empty html gives an empty text; a null url or one without a host has no template; broken
-markup is closed where HTML would close it; equal pages are extracted one by one; nesting beyond 200 levels
+markup is closed where HTML would close it; equal pages are extracted one by one, and vote once; nesting beyond 200 levels
 is flattened, without loss of text; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -39,7 +39,7 @@ NAME = re.compile(r"[a-z]+")
 
 @dataclass(frozen=True)
 class Wrapper:
-    """Pages that must match a node, and the share of them with the same text, for it to be template; more inside articles."""
+    """Distinct pages that must match a node, and the share of them with the same text, for it to be template; more inside articles."""
 
     pages: int = 4
     share: float = 0.8
@@ -50,21 +50,30 @@ class Wrapper:
 HOST = r"(?i)^(?:[a-z][a-z0-9+.-]*:)?//([^/?#]+)"
 
 
-def reference_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """host, digest (of text and structure of the page), tree (as JSON): pages with text, equal ones of a task once."""
+    seen: set[tuple] = set()
     for batch in batches:
-        trees = [json.dumps(skeleton(parse(x or ""))) for x in batch.column("html").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(trees, pa.string())], ["host", "reference"])
+        rows = []
+        for name, html in zip(*(batch.column(c).to_pylist() for c in ("host", "html"))):
+            tree = skeleton(parse(html or ""))
+            if tree[1] and (name, tree[1]) not in seen:
+                if len(seen) > 500_000:
+                    seen.clear()
+                seen.add((name, tree[1]))
+                rows.append((name, tree[1], json.dumps(tree, separators=(",", ":"))))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], ["host", "digest", "tree"])
 
 
 def vote_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host, node (path in the reference), in_article, pages that match it, pages with the same text; summed over the task's rows."""
+    """host, node (path in the reference), pages that match it, pages with the same text; summed over the task's rows."""
     known: dict[str, list] = {}
     votes: Counter = Counter()
     for batch in batches:
-        for name, reference, html in zip(*(batch.column(c).to_pylist() for c in ("host", "reference", "html"))):
+        for name, reference, tree in zip(*(batch.column(c).to_pylist() for c in ("host", "reference", "tree"))):
             if name not in known:
                 known = {name: json.loads(reference)} if len(known) > 500 else known | {name: json.loads(reference)}
-            for path, a, b in matched(known[name], skeleton(parse(html or ""))):
+            for path, a, b in matched(known[name], json.loads(tree)):
                 if a[1]:
                     key = (name, ".".join(map(str, path)))
                     votes[key, 0] += 1
@@ -180,10 +189,12 @@ def text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def wrappers(pages: DataFrame, rule: Wrapper = Wrapper()) -> DataFrame:
     """host, reference (tree as JSON), template: array of (node, anywhere)."""
     named = pages.filter("host is not null")
-    first = named.groupBy("host").agg(F.min(F.struct(F.xxhash64("page_id").alias("h"), "page_id")).alias("f")).select("host", F.col("f.page_id").alias("page_id"))
-    chosen = named.join(first, [named["host"] == first["host"], named["page_id"].eqNullSafe(first["page_id"])], "left_semi").groupBy("host").agg(F.min("html").alias("html"))
-    references = keep(chosen.mapInArrow(reference_rows, "host string, reference string"), "references")
-    votes = named.select("host", "html").join(references, "host").mapInArrow(vote_rows, "host string, node string, pages long, same long")
+    trees = named.select("host", "html").mapInArrow(tree_rows, "host string, digest string, tree string")
+    # copies of a page say nothing about its template: each counts once
+    trees = keep(trees.groupBy("host", "digest").agg(F.first("tree").alias("tree")), "trees")
+    first = trees.groupBy("host").agg(F.min("digest").alias("digest"))
+    references = keep(trees.join(first, ["host", "digest"], "left_semi").select("host", F.col("tree").alias("reference")), "references")
+    votes = trees.select("host", "tree").join(references, "host").mapInArrow(vote_rows, "host string, node string, pages long, same long")
     total = votes.groupBy("host", "node").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same"))
     fixed = total.filter((F.col("pages") >= rule.pages) & (F.col("same") >= rule.share * F.col("pages")) & (F.col("node") != ""))
     anywhere = (F.col("pages") >= rule.article_pages) & (F.col("same") >= rule.article_share * F.col("pages"))

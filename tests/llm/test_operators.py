@@ -362,6 +362,20 @@ def test_template_slots_of_a_host_go(spark):
     assert all("motto" not in r.text and "555" not in r.text and r.text.endswith(f"Tail {r.page_id}") for r in got)
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    """A host of copies, and one where most pages are copies: their text stays, furniture of distinct pages goes."""
+    rng = random.Random(3)
+    shell = "<body><div>Our motto</div><div><article><p>{}</p><p>{}</p></article></div></body>"
+    text = lambda: (" ".join(prose(rng, 20)), " ".join(prose(rng, 20)))
+    copy, rare = text(), [text() for _ in range(9)]
+    bare = " ".join(prose(rng, 30))
+    pages = [("a", shell.format(*copy), "\n".join(copy))] * 40 + [("b", shell.format(*copy), "\n".join(copy))] * 300 + [("b", shell.format(*x), "\n".join(x)) for x in rare]
+    pages += [("c", f"<body><div><p>{bare}</p></div></body>", bare)] * 30
+    rows = [(i, f"http://{h}.example/{i}", html) for i, (h, html, _) in enumerate(pages)]
+    got = {r.page_id: r.text for r in extraction.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    assert got == {i: want for i, (_, _, want) in enumerate(pages)}
+
+
 def test_licences(spark):
     mit = licences.KNOWN[4][1]
     texts = ["Copyright (c) 2021 Someone\nAll rights reserved.\n" + mit.upper().replace('"', "''").replace("COPYRIGHT HOLDERS", "Copyright Owner"), "Some text\nreleased under the MIT licence!\nLICENSED UNDER CC BY NC 4.0", "the MIT License is mentioned here", None, "", "...", mit[:-20]]
