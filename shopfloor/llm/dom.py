@@ -118,48 +118,77 @@ def skeleton(node: Node) -> list:
     return [node.label, hashlib.blake2b("\0".join(parts).encode(), digest_size=8).hexdigest() if parts else "", kids]
 
 
-def _matching(a: list, b: list) -> int:
-    """Simple tree matching: greatest number of pairs that keep labels, parents and order."""
-    if a[0] != b[0]:
-        return 0
-    return 1 + sum(_matching(a[2][i], b[2][j]) for i, j in align(a[2], b[2])) if a[2] and b[2] else 1
-
-
-def align(xs: list[list], ys: list[list]) -> list[tuple[int, int]]:
-    """Children matched in order with the most pairs below them; equal labels at both ends are matched first."""
-    low, least = 0, min(len(xs), len(ys))
-    while low < least and xs[low][0] == ys[low][0]:
-        low += 1
-    end = 0
-    while end < least - low and xs[-1 - end][0] == ys[-1 - end][0]:
-        end += 1
-    pairs = [(i, i) for i in range(low)]
-    mx, my = xs[low : len(xs) - end], ys[low : len(ys) - end]
-    if mx and my:
-        best = [[0] * (len(my) + 1) for _ in range(len(mx) + 1)]
-        for i in range(len(mx) - 1, -1, -1):
-            for j in range(len(my) - 1, -1, -1):
-                best[i][j] = max(best[i + 1][j], best[i][j + 1])
-                if mx[i][0] == my[j][0]:
-                    best[i][j] = max(best[i][j], best[i + 1][j + 1] + _matching(mx[i], my[j]))
-        i = j = 0
-        while i < len(mx) and j < len(my):
-            if best[i][j] == best[i + 1][j]:
-                i += 1
-            elif best[i][j] == best[i][j + 1]:
-                j += 1
-            else:
-                pairs.append((low + i, low + j))
-                i, j = i + 1, j + 1
-    return pairs + [(len(xs) - k, len(ys) - k) for k in range(end, 0, -1)]
-
-
-def matched(a: list, b: list) -> list[tuple[tuple[int, ...], list, list]]:
-    """(path of child numbers in a, node of a, node of b) of all matched nodes under two roots of one label."""
-    out, stack = [], [((), a, b)]
-    while stack:
-        path, x, y = stack.pop()
-        out.append((path, x, y))
-        if x[2] and y[2]:
-            stack.extend((path + (i,), x[2][i], y[2][j]) for i, j in align(x[2], y[2]))
-    return out
+class Matching:
+    """Simple tree matching of two skeletons: the greatest number of pairs that keep labels, parents and order."""
+
+    def __init__(self):
+        self.shapes: dict[int, tuple[int, int]] = {}
+        self.found: dict[tuple[int, int], int] = {}
+
+    def shape(self, node: list) -> tuple[int, int]:
+        """Hash of the labels and structure of a whole subtree, and its size."""
+        out = self.shapes.get(id(node))
+        if out is None:
+            below = [self.shape(x) for x in node[2]]
+            out = self.shapes[id(node)] = hash((node[0], *below)), 1 + sum(n for _, n in below)
+        return out
+
+    def pairs(self, a: list, b: list) -> int:
+        """Pairs of two subtrees with their roots paired; 0 if the labels differ."""
+        if a[0] != b[0]:
+            return 0
+        if not a[2] or not b[2]:
+            return 1
+        if self.shape(a) == self.shape(b):
+            return self.shape(a)[1]
+        key = id(a), id(b)
+        if key not in self.found:
+            self.found[key] = 1 + sum(self.pairs(a[2][i], b[2][j]) for i, j in self.align(a[2], b[2]))
+        return self.found[key]
+
+    def align(self, xs: list[list], ys: list[list]) -> list[tuple[int, int]]:
+        """Children matched in order with the most pairs below them. Ends of equal structure are taken first, which loses no pair."""
+        low, least = 0, min(len(xs), len(ys))
+        while low < least and xs[low][0] == ys[low][0] and self.shape(xs[low]) == self.shape(ys[low]):
+            low += 1
+        end = 0
+        while end < least - low and xs[-1 - end][0] == ys[-1 - end][0] and self.shape(xs[-1 - end]) == self.shape(ys[-1 - end]):
+            end += 1
+        out = [(i, i) for i in range(low)]
+        mx, my = xs[low : len(xs) - end], ys[low : len(ys) - end]
+        if len(mx) == len(my) == 1:
+            if mx[0][0] == my[0][0]:
+                out.append((low, low))
+        elif mx and my:
+            best = [[0] * (len(my) + 1) for _ in range(len(mx) + 1)]
+            for i in range(len(mx) - 1, -1, -1):
+                row, below, x = best[i], best[i + 1], mx[i]
+                for j in range(len(my) - 1, -1, -1):
+                    top = below[j] if below[j] >= row[j + 1] else row[j + 1]
+                    if x[0] == my[j][0]:
+                        top = max(top, below[j + 1] + self.pairs(x, my[j]))
+                    row[j] = top
+            i = j = 0
+            while i < len(mx) and j < len(my):
+                if best[i][j] == best[i + 1][j]:
+                    i += 1
+                elif best[i][j] == best[i][j + 1]:
+                    j += 1
+                else:
+                    out.append((low + i, low + j))
+                    i, j = i + 1, j + 1
+        return out + [(len(xs) - k, len(ys) - k) for k in range(end, 0, -1)]
+
+    def matched(self, a: list, b: list) -> list[tuple[tuple[int, ...], list, list, list[tuple[int, int]]]]:
+        """(path of child numbers in a, node of a, node of b, pairs of their children) of all matched nodes under two roots of one label."""
+        out, stack = [], [((), a, b)]
+        while stack:
+            path, x, y = stack.pop()
+            kids = self.align(x[2], y[2]) if x[2] and y[2] else []
+            out.append((path, x, y, kids))
+            stack.extend((path + (i,), x[2][i], y[2][j]) for i, j in kids)
+        return out
+
+
+def matched(a: list, b: list) -> list[tuple[tuple[int, ...], list, list, list[tuple[int, int]]]]:
+    return Matching().matched(a, b)

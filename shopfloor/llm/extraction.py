@@ -23,7 +23,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shopfloor.llm.dom import BLOCK, Node, align, matched, parse, skeleton
+from shopfloor.llm.dom import BLOCK, Node, matched, parse, skeleton
 from shopfloor.llm.store import keep, table
 
 #: Elements and names that mark what is not the article.
@@ -73,7 +73,7 @@ def vote_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, reference, tree in zip(*(batch.column(c).to_pylist() for c in ("host", "reference", "tree"))):
             if name not in known:
                 known = {name: json.loads(reference)} if len(known) > 500 else known | {name: json.loads(reference)}
-            for path, a, b in matched(known[name], json.loads(tree)):
+            for path, a, b, _ in matched(known[name], json.loads(tree)):
                 if a[1]:
                     key = (name, ".".join(map(str, path)))
                     votes[key, 0] += 1
@@ -148,12 +148,12 @@ def template_nodes(root: Node, tree: list, reference: list, rules: dict[str, boo
     inside_only = {tuple(map(int, path.split("."))) for path, anywhere in rules.items() if path and not anywhere}
     out = set()
     stack = {(): root}
-    for path, a, b in matched(reference, tree):
+    for path, a, b, pairs in matched(reference, tree):
         node = stack.get(path)
         if node is None:
             continue
         kids = [c for c in node.children if isinstance(c, Node)]
-        for i, j in align(a[2], b[2]) if a[2] and b[2] else ():
+        for i, j in pairs:
             stack[path + (i,)] = kids[j]
         if path in constant and a[1] == b[1] and (path not in inside_only or not in_article(path, reference)):
             out.add(id(node))

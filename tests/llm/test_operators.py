@@ -16,7 +16,7 @@ from helpers import corpus_connection  # noqa: E402
 
 from checks.runall import compare  # noqa: E402
 from conftest import SF_DIR  # noqa: E402
-from shopfloor.llm import automata, decontamination, extraction, jaccard, licences, mixing, quality_model, quality_rules, queries, sharding, suffixes  # noqa: E402
+from shopfloor.llm import automata, decontamination, dom, extraction, jaccard, licences, mixing, quality_model, quality_rules, queries, sharding, suffixes  # noqa: E402
 
 DDL = "doc_id long, text string, lang string, source string, n_chars long, size long, shard string, slot string, text_key string, key string, node int, component int, taken int, target int, n_words string, license int, `_n` int"
 
@@ -376,6 +376,28 @@ def test_copies_of_a_page_are_no_template(spark):
     assert got == {i: want for i, (_, _, want) in enumerate(pages)}
 
 
+def test_tree_matching_is_greatest():
+    """Against the plain recursion; an optional node ahead shifts nothing."""
+
+    def plain(a, b):
+        if a[0] != b[0]:
+            return 0
+        best = [[0] * (len(b[2]) + 1) for _ in range(len(a[2]) + 1)]
+        for i, x in enumerate(a[2]):
+            for j, y in enumerate(b[2]):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + plain(x, y))
+        return 1 + best[-1][-1]
+
+    rng = random.Random(6)
+    tree = lambda depth: [rng.choice("ab"), "", [tree(depth - 1) for _ in range(rng.randrange(5))] if depth else []]
+    for _ in range(300):
+        a, b = (["#root", "", [tree(2) for _ in range(rng.randrange(6))]] for _ in range(2))
+        assert len(dom.matched(a, b)) == plain(a, b)
+    promo, menu, footer = ["div", "1", [["p", "1", []]]], ["div", "2", [["ul", "2", [["li", "2", []]]]]], ["div", "3", [["span", "3", []]]]
+    pairs = dom.matched(["#root", "", [promo, menu, footer]], ["#root", "", [menu, footer]])
+    assert all(x[1] == y[1] for _, x, y, _ in pairs) and len(pairs) == 6
+
+
 def test_licences(spark):
     mit = licences.KNOWN[4][1]
     texts = ["Copyright (c) 2021 Someone\nAll rights reserved.\n" + mit.upper().replace('"', "''").replace("COPYRIGHT HOLDERS", "Copyright Owner"), "Some text\nreleased under the MIT licence!\nLICENSED UNDER CC BY NC 4.0", "the MIT License is mentioned here", None, "", "...", mit[:-20]]
