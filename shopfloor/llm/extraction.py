@@ -90,17 +90,62 @@ def vote_batch(votes: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()))], ["host", "node", "pages", "same"])
 
 
-def furniture(node: Node) -> bool:
-    return node.tag in FURNITURE_TAGS or (bool(node.names) and node.tag not in ("body", "html", "article", "main") and not FURNITURE_NAMES.isdisjoint(NAME.findall(node.names)))
+def named_furniture(node: Node) -> bool:
+    return bool(node.names) and node.tag not in ("body", "html", "article", "main") and not FURNITURE_NAMES.isdisjoint(NAME.findall(node.names))
 
 
-def article_roots(root: Node) -> list[Node]:
+def furniture(node: Node, holders: set[int]) -> bool:
+    """By tag, or by a name, which does not count for elements that hold the article (`holders`)."""
+    return node.tag in FURNITURE_TAGS or (id(node) not in holders and named_furniture(node))
+
+
+#: What holds the text, best first.
+HOLDS_TEXT = (
+    lambda n: n.tag == "article",
+    lambda n: n.tag == "main" or "main" in n.names.split(),
+    lambda n: n.tag in ("div", "section", "td") and not CONTENT_NAMES.isdisjoint(NAME.findall(n.names)),
+)
+
+
+def article_holders(root: Node) -> set[int]:
+    """Elements (by identity) with an article, main or content element inside. Only those are left out that a whole class or id
+    names as furniture (comments, related, ...) while the page has as long an article, main or content element elsewhere."""
+    order: list[tuple[Node, int, tuple[int, ...]]] = []  # node, place of its parent, places of the elements named as furniture around it
+    kinds: list[int] = []
+    stack: list = [(root, -1, ())]
+    while stack:
+        node, parent, around = stack.pop()
+        place = len(order)
+        order.append((node, parent, around))
+        kinds.append(next((k for k, fits in enumerate(HOLDS_TEXT) if fits(node)), -1))
+        if node is not root and named_furniture(node):
+            around = (*around, place)
+        stack.extend((c, place, around) for c in node.children if isinstance(c, Node) and c.tag not in FURNITURE_TAGS)
+    inside = [i for i, kind in enumerate(kinds) if kind >= 0 and order[i][2]]
+    if not inside:
+        return set()
+    exact = [named_furniture(node) and not FURNITURE_NAMES.isdisjoint(node.names.split()) for node, _, _ in order]
+    size, outside = [0] * len(order), [0] * len(order)  # text below, and the part of it that no exact name surrounds
+    for i in range(len(order) - 1, -1, -1):
+        node, parent, around = order[i]
+        own = sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        size[i] += own
+        if not exact[i] and not any(exact[w] for w in around):
+            outside[i] += own
+        if parent >= 0:
+            size[parent] += size[i]
+            outside[parent] += outside[i]
+    free = max(outside[i] for i, kind in enumerate(kinds) if kind >= 0)
+    return {id(order[w][0]) for i in inside for w in order[i][2] if not exact[w] or size[i] > free}
+
+
+def article_roots(root: Node, holders: set[int]) -> list[Node]:
     """The outermost articles; else the main element, else elements named as content, else the page."""
-    for fits in (lambda n: n.tag == "article", lambda n: n.tag == "main" or "main" in n.names.split(), lambda n: not CONTENT_NAMES.isdisjoint(NAME.findall(n.names)) and n.tag in ("div", "section", "td")):
+    for fits in HOLDS_TEXT:
         out, stack = [], [root]
         while stack:
             node = stack.pop()
-            if node is not root and furniture(node):
+            if node is not root and furniture(node, holders):
                 continue
             if fits(node):
                 out.append(node)
@@ -111,7 +156,7 @@ def article_roots(root: Node) -> list[Node]:
     return [root]
 
 
-def blocks(root: Node, template: set[int]) -> list[str]:
+def blocks(root: Node, template: set[int], holders: set[int]) -> list[str]:
     """Text blocks in page order without furniture and template nodes (by identity)."""
     out: list[str] = []
     line: list[str] = []
@@ -131,7 +176,7 @@ def blocks(root: Node, template: set[int]) -> list[str]:
             line.append(x)
         elif x.tag == "br":
             line.append(" ")
-        elif x is root or not (furniture(x) or id(x) in template):
+        elif x is root or not (furniture(x, holders) or id(x) in template):
             if x.tag in BLOCK:
                 flush()
                 stack.append(None)
@@ -172,7 +217,8 @@ def extract(html: str, reference: list | None = None, rules: dict[str, bool] | N
     """`rules`: paths of template nodes in the reference -> whether they hold inside articles too."""
     root = parse(html)
     template = template_nodes(root, skeleton(root), reference, rules) if reference and rules else set()
-    return "\n".join(b for part in article_roots(root) for b in blocks(part, template))
+    holders = article_holders(root)
+    return "\n".join(b for part in article_roots(root, holders) for b in blocks(part, template, holders))
 
 
 def text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -398,6 +398,19 @@ def test_tree_matching_is_greatest():
     assert all(x[1] == y[1] for _, x, y, _ in pairs) and len(pairs) == 6
 
 
+@pytest.mark.parametrize("wrapper", ["class='layout with-sidebar'", "class='no-sidebar'", "id='page-header-fixed'", "class='sidebar layout'", "class=related"])
+@pytest.mark.parametrize("holder", ["article", "main", "div class=content"])
+def test_names_of_a_wrapper_hide_no_article(wrapper, holder):
+    inner = f"<{holder}><p>The text</p><div class=share>Share</div></{holder.split()[0]}>"
+    for html in (f"<body><div {wrapper}>{inner}<div class=sidebar>Side</div></div></body>", f"<body><article><div {wrapper}>{inner}</div></article></body>"):
+        assert extraction.extract(html) == "The text"
+
+
+def test_comments_and_teasers_stay_out():
+    html = "<body><div class='no-sidebar'><article><p>A long enough text of the page</p></article><div id=comments><article class=comment>Nice</article></div><div class=related><div class=entry>More</div></div></div></body>"
+    assert extraction.extract(html) == "A long enough text of the page"
+
+
 def test_licences(spark):
     mit = licences.KNOWN[4][1]
     texts = ["Copyright (c) 2021 Someone\nAll rights reserved.\n" + mit.upper().replace('"', "''").replace("COPYRIGHT HOLDERS", "Copyright Owner"), "Some text\nreleased under the MIT licence!\nLICENSED UNDER CC BY NC 4.0", "the MIT License is mentioned here", None, "", "...", mit[:-20]]
