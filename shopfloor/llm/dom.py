@@ -192,3 +192,17 @@ class Matching:
 
 def matched(a: list, b: list) -> list[tuple[tuple[int, ...], list, list, list[tuple[int, int]]]]:
     return Matching().matched(a, b)
+
+
+def merge(a: list, b: list) -> list:
+    """A skeleton with the nodes of two under roots of one label: matched ones once, the others in between."""
+    matching = Matching()
+
+    def join(x: list, y: list) -> list:
+        kids, i, j = [], 0, 0
+        for p, q in matching.align(x[2], y[2]):
+            kids += [*x[2][i:p], *y[2][j:q], join(x[2][p], y[2][q])]
+            i, j = p + 1, q + 1
+        return [x[0], "", [*kids, *x[2][i:], *y[2][j:]]]
+
+    return join(a, b)

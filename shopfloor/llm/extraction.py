@@ -1,8 +1,10 @@
 """Main text of HTML pages by wrapper induction.
 
-Pages of one host share a template. One of the host's distinct pages is its reference; every distinct page's
-DOM is aligned with it by simple tree matching, and each task counts for every reference node how many pages
-match it and how many of those hold the same text. Copies of a page count once, however many there are. Nodes that keep their text over the host's pages are
+Pages of one host share templates. The distinct pages with text fall into layouts (their containers around the
+article); pages of every layout are merged into the host's reference, one reference for each 16 layouts. Every
+distinct page's DOM is aligned with the reference by simple tree matching, and each task counts for every reference
+node which texts its pages hold there. Copies of a page count once, however many there are. Nodes whose most
+frequent text is that of nearly all pages are
 template; the other slots vary and are content. A page then loses what aligns with template nodes and what
 HTML itself names as furniture (menus, footers, adverts, forms, comments, ...), and the text blocks of its
 article are joined. Votes are summed in the tasks first, so a hot host costs what its pages cost.
@@ -14,16 +16,18 @@ is flattened, without loss of text; an empty table gives an empty result; extra
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shopfloor.llm.dom import BLOCK, Node, matched, parse, skeleton
+from shopfloor.llm.dom import BLOCK, Node, matched, merge, parse, skeleton
 from shopfloor.llm.store import keep, table
 
 #: Elements and names that mark what is not the article.
@@ -50,44 +54,81 @@ class Wrapper:
 HOST = r"(?i)^(?:[a-z][a-z0-9+.-]*:)?//([^/?#]+)"
 
 
+#: Layouts of a host that share a reference, and pages of each layout in it.
+LAYOUTS, SAMPLES = 16, 2
+CONTAINERS = frozenset("#root html body div section header footer nav aside form".split())
+DIGITS = re.compile(r"\d+")
+
+
+def layout(node: list, depth: int = 6) -> str:
+    """Block elements around the article, to a depth; runs of equal paragraphs, lists and tables count once, numbers in names not at all."""
+    label = DIGITS.sub("", node[0])
+    if not depth or label.split(".")[0] not in CONTAINERS:
+        return label
+    kids: list[str] = []
+    for kid in node[2]:
+        tag = kid[0].split(".")[0]
+        if tag in BLOCK:
+            below = layout(kid, depth - 1)
+            if tag in CONTAINERS or not kids or kids[-1] != below:
+                kids.append(below)
+    return f"{label}({','.join(kids)})"
+
+
+def layout_digest(tree: list) -> str:
+    return hashlib.blake2b(layout(tree).encode(), digest_size=8).hexdigest()
+
+
 def tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host, digest (of text and structure of the page), tree (as JSON): pages with text, equal ones of a task once."""
+    """host, layout, digest (of the text of the page), tree (as JSON): pages with text, equal ones of a task once."""
     seen: set[tuple] = set()
     for batch in batches:
         rows = []
         for name, html in zip(*(batch.column(c).to_pylist() for c in ("host", "html"))):
             tree = skeleton(parse(html or ""))
-            if tree[1] and (name, tree[1]) not in seen:
+            key = (name, layout_digest(tree), tree[1])
+            if tree[1] and key not in seen:
                 if len(seen) > 500_000:
                     seen.clear()
-                seen.add((name, tree[1]))
-                rows.append((name, tree[1], json.dumps(tree, separators=(",", ":"))))
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], ["host", "digest", "tree"])
+                seen.add(key)
+                rows.append((*key, json.dumps(tree, separators=(",", ":"))))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(4)], ["host", "layout", "digest", "tree"])
+
+
+def layout_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        layouts = [layout_digest(skeleton(parse(x or ""))) for x in batch.column("html").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("key"), pa.array(layouts, pa.string())], ["host", "key", "layout"])
+
+
+def reference_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        trees = [json.dumps(reduce(merge, map(json.loads, x)), separators=(",", ":")) for x in batch.column("trees").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("part"), pa.array(trees, pa.string())], ["host", "part", "reference"])
 
 
 def vote_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host, node (path in the reference), pages that match it, pages with the same text; summed over the task's rows."""
-    known: dict[str, list] = {}
+    """host, part, node (path in the reference), digest, pages that hold this text there; summed over the task's rows."""
+    known: dict[tuple, list] = {}
     votes: Counter = Counter()
     for batch in batches:
-        for name, reference, tree in zip(*(batch.column(c).to_pylist() for c in ("host", "reference", "tree"))):
-            if name not in known:
-                known = {name: json.loads(reference)} if len(known) > 500 else known | {name: json.loads(reference)}
-            for path, a, b, _ in matched(known[name], json.loads(tree)):
-                if a[1]:
-                    key = (name, ".".join(map(str, path)))
-                    votes[key, 0] += 1
-                    votes[key, 1] += a[1] == b[1]
-        if len(votes) > 200_000:
-            yield vote_batch(votes)
-            votes.clear()
+        for name, part, reference, tree in zip(*(batch.column(c).to_pylist() for c in ("host", "part", "reference", "tree"))):
+            at = (name, part)
+            if at not in known:
+                known = {at: json.loads(reference)} if len(known) > 500 else known | {at: json.loads(reference)}
+            for path, _, b, _ in matched(known[at], json.loads(tree)):
+                if path and b[1]:
+                    votes[name, part, ".".join(map(str, path)), b[1]] += 1
+            if len(votes) > 200_000:
+                yield vote_batch(votes)
+                votes.clear()
     yield vote_batch(votes)
 
 
 def vote_batch(votes: Counter) -> pa.RecordBatch:
-    keys = [k for k, kind in votes if kind == 0]
-    columns = ([k[0] for k in keys], [k[1] for k in keys], [votes[k, 0] for k in keys], [votes[k, 1] for k in keys])
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()))], ["host", "node", "pages", "same"])
+    columns = [[k[i] for k in votes] for i in range(4)] + [list(votes.values())]
+    types = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types)], ["host", "part", "node", "digest", "n"])
 
 
 def named_furniture(node: Node) -> bool:
@@ -187,20 +228,18 @@ def blocks(root: Node, template: set[int], holders: set[int]) -> list[str]:
     return out
 
 
-def template_nodes(root: Node, tree: list, reference: list, rules: dict[str, bool]) -> set[int]:
+def template_nodes(root: Node, tree: list, reference: list, rules: dict[str, tuple[str, bool]]) -> set[int]:
     """Nodes of the page that align with template nodes of the reference and hold their text."""
-    constant = {tuple(map(int, path.split("."))) for path in rules if path}
-    inside_only = {tuple(map(int, path.split("."))) for path, anywhere in rules.items() if path and not anywhere}
+    constant = {tuple(map(int, path.split("."))): rule for path, rule in rules.items()}
     out = set()
     stack = {(): root}
-    for path, a, b, pairs in matched(reference, tree):
-        node = stack.get(path)
-        if node is None:
-            continue
+    for path, _, b, pairs in matched(reference, tree):
+        node = stack[path]
         kids = [c for c in node.children if isinstance(c, Node)]
         for i, j in pairs:
             stack[path + (i,)] = kids[j]
-        if path in constant and a[1] == b[1] and (path not in inside_only or not in_article(path, reference)):
+        digest, anywhere = constant.get(path, ("", False))
+        if digest and digest == b[1] and (anywhere or not in_article(path, reference)):
             out.add(id(node))
     return out
 
@@ -213,8 +252,8 @@ def in_article(path: tuple[int, ...], reference: list) -> bool:
     return reference[0].split(".")[0] in ("article", "main")
 
 
-def extract(html: str, reference: list | None = None, rules: dict[str, bool] | None = None) -> str:
-    """`rules`: paths of template nodes in the reference -> whether they hold inside articles too."""
+def extract(html: str, reference: list | None = None, rules: dict[str, tuple[str, bool]] | None = None) -> str:
+    """`rules`: paths of template nodes in the reference -> digest of their text, and whether they hold inside articles too."""
     root = parse(html)
     template = template_nodes(root, skeleton(root), reference, rules) if reference and rules else set()
     holders = article_holders(root)
@@ -222,37 +261,51 @@ def extract(html: str, reference: list | None = None, rules: dict[str, bool] | N
 
 
 def text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, tuple] = {}
+    known: dict[tuple, tuple] = {}
     for batch in batches:
         texts = []
-        for name, reference, template, html in zip(*(batch.column(c).to_pylist() for c in ("host", "reference", "template", "html"))):
-            if reference is not None and name not in known:
-                known = ({} if len(known) > 500 else known) | {name: (json.loads(reference), {t["node"]: t["anywhere"] for t in template or []})}
-            texts.append(extract(html or "", *known[name]) if reference is not None else extract(html or ""))
+        for name, part, reference, template, html in zip(*(batch.column(c).to_pylist() for c in ("host", "part", "reference", "template", "html"))):
+            at = (name, part)
+            if reference is not None and at not in known:
+                known = ({} if len(known) > 500 else known) | {at: (json.loads(reference), {t["node"]: (t["digest"], t["anywhere"]) for t in template or []})}
+            texts.append(extract(html or "", *known[at]) if reference is not None else extract(html or ""))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
-def wrappers(pages: DataFrame, rule: Wrapper = Wrapper()) -> DataFrame:
-    """host, reference (tree as JSON), template: array of (node, anywhere)."""
-    named = pages.filter("host is not null")
-    trees = named.select("host", "html").mapInArrow(tree_rows, "host string, digest string, tree string")
+def wrappers(named: DataFrame, rule: Wrapper = Wrapper()) -> tuple[DataFrame, DataFrame]:
+    """host, part, reference (tree as JSON), template: array of (node, digest, anywhere). And host, key, part of the pages whose part is not 0."""
+    trees = named.select("host", "html").mapInArrow(tree_rows, "host string, layout string, digest string, tree string")
     # copies of a page say nothing about its template: each counts once
-    trees = keep(trees.groupBy("host", "digest").agg(F.first("tree").alias("tree")), "trees")
-    first = trees.groupBy("host").agg(F.min("digest").alias("digest"))
-    references = keep(trees.join(first, ["host", "digest"], "left_semi").select("host", F.col("tree").alias("reference")), "references")
-    votes = trees.select("host", "tree").join(references, "host").mapInArrow(vote_rows, "host string, node string, pages long, same long")
-    total = votes.groupBy("host", "node").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same"))
-    fixed = total.filter((F.col("pages") >= rule.pages) & (F.col("same") >= rule.share * F.col("pages")) & (F.col("node") != ""))
-    anywhere = (F.col("pages") >= rule.article_pages) & (F.col("same") >= rule.article_share * F.col("pages"))
-    template = fixed.groupBy("host").agg(F.collect_list(F.struct("node", anywhere.alias("anywhere"))).alias("template"))
-    return keep(references.join(template, "host", "left"), "wrappers")
+    trees = keep(trees.groupBy("host", "layout", "digest").agg(F.first("tree").alias("tree")), "trees")
+    layouts = trees.select("host", "layout").distinct()
+    parts = layouts.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / LAYOUTS).alias("parts"))
+    layouts = keep(layouts.join(parts, "host").withColumn("part", F.expr("pmod(xxhash64(layout), parts)")), "layouts")
+    sample = F.pmod(F.xxhash64("digest"), F.lit(SAMPLES))
+    first = trees.groupBy("host", "layout", sample.alias("sample")).agg(F.min("digest").alias("digest")).select("host", "layout", "digest")
+    some = trees.join(first, ["host", "layout", "digest"], "left_semi").join(layouts, ["host", "layout"])
+    merged = some.groupBy("host", "part").agg(F.sort_array(F.collect_list("tree")).alias("trees"))
+    references = keep(merged.mapInArrow(reference_rows, "host string, part long, reference string"), "references")
+    votes = trees.join(layouts, ["host", "layout"]).select("host", "part", "tree").join(references, ["host", "part"]).mapInArrow(vote_rows, "host string, part long, node string, digest string, n long")
+    texts = votes.groupBy("host", "part", "node", "digest").agg(F.sum("n").alias("n"))
+    total = texts.groupBy("host", "part", "node").agg(F.sum("n").alias("pages"), F.max(F.struct("n", "digest")).alias("top"))
+    same = F.col("top.n")
+    fixed = total.filter((F.col("pages") >= rule.pages) & (same >= rule.share * F.col("pages")))
+    anywhere = (F.col("pages") >= rule.article_pages) & (same >= rule.article_share * F.col("pages"))
+    template = fixed.groupBy("host", "part").agg(F.collect_list(F.struct("node", F.col("top.digest").alias("digest"), anywhere.alias("anywhere"))).alias("template"))
+    wide = layouts.filter("parts > 1")
+    placed = named.join(wide.select("host").distinct(), "host", "left_semi").select("host", "key", "html").mapInArrow(layout_rows, "host string, key long, layout string")
+    placed = placed.distinct().join(wide.filter("part > 0"), ["host", "layout"]).select("host", "key", "part")
+    return keep(references.join(template, ["host", "part"], "left"), "wrappers"), keep(placed, "placed")
 
 
 def extract_pages(pages: DataFrame, rule: Wrapper = Wrapper()) -> DataFrame:
     """page_id, url, text, n_chars"""
     name = F.lower(F.regexp_extract("url", HOST, 1))
-    pages = pages.select("page_id", "url", "html", F.when(name != "", name).alias("host"))
-    return pages.join(wrappers(pages, rule), "host", "left").mapInArrow(text_rows, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
+    pages = pages.select("page_id", "url", "html", F.when(name != "", name).alias("host"), F.xxhash64("html").alias("key"))
+    known, placed = wrappers(pages.filter("host is not null"), rule)
+    placed = placed.groupBy("host", "key").agg(F.min("part").alias("part"))  # texts of equal key have one part
+    parted = pages.join(placed, ["host", "key"], "left").withColumn("part", F.coalesce("part", F.lit(0).cast("long")))
+    return parted.join(known, ["host", "part"], "left").mapInArrow(text_rows, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
 
 
 def op1_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

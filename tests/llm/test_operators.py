@@ -411,6 +411,27 @@ def test_comments_and_teasers_stay_out():
     assert extraction.extract(html) == "A long enough text of the page"
 
 
+@pytest.mark.parametrize("layouts", [16, 1])
+def test_templates_of_all_layouts_go(spark, monkeypatch, layouts):
+    """Empty pages and stubs stand for no host; two layouts; a banner that some pages lack; one page with a changed motto."""
+    monkeypatch.setattr(extraction, "LAYOUTS", layouts)
+    rng = random.Random(4)
+    rows, want = [], {}
+    for i in range(48):
+        text = " ".join(prose(rng, 25))
+        banner = "" if i % 4 == 0 else "<div><p>Great offer today</p></div>"
+        motto = "Changed" if i == 5 else "Our motto"
+        one = f"<body>{banner}<div><span>{motto}</span></div><div><p>{text}</p></div><div>Call 555</div></body>"
+        two = f"<body><table><tr><td>Second look</td></tr></table><section><p>{text}</p></section><section><b>Imprint</b></section></body>"
+        rows.append((i, f"http://l.example/{i}", one if i % 3 else two))
+        want[i] = ("Changed\n" if i == 5 else "") + text
+    for i, html in enumerate([None, "", "<p>Error</p>", None, "", " ", None], 100):
+        rows.append((i, "http://l.example/e", html))
+        want[i] = "Error" if html and "Error" in html else ""
+    got = {r.page_id: r.text for r in extraction.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == want
+
+
 def test_licences(spark):
     mit = licences.KNOWN[4][1]
     texts = ["Copyright (c) 2021 Someone\nAll rights reserved.\n" + mit.upper().replace('"', "''").replace("COPYRIGHT HOLDERS", "Copyright Owner"), "Some text\nreleased under the MIT licence!\nLICENSED UNDER CC BY NC 4.0", "the MIT License is mentioned here", None, "", "...", mit[:-20]]
