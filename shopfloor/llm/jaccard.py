@@ -12,7 +12,7 @@ In the leaves, texts meet a centre of their leaf first and are verified; leaves
 more. Rounds with other centres follow while one finds a twentieth of all links. Whatever pairs of a leaf then still lie in
 different components are searched by an R-tree over their group counts: nodes bound the overlap by the
 sum of coordinate minima of their boxes, entries by their own, and surviving pairs are verified on the
-whole sets. So no group of similar texts is ever expanded into its pairs, and no pair that links is lost.
+whole sets. A leaf of many texts is cut into blocks, whose pairs are searched in tasks of their own. So no group of similar texts is ever expanded into its pairs, and no pair that links is lost.
 
 Cases: null and empty texts have no shingles and link with nothing; 1 to 3 words are one shingle; equal
 sets are one node; rows that share doc_id are one document; a row without doc_id gets no component and
@@ -21,6 +21,7 @@ links nothing; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,8 @@ GROUPS = 128
 #: Rounds of centres: at most so many, and only while one finds its 1 / WORTH of all links. What they leave open the tree searches in full.
 ROUNDS, WORTH = 6, 20
 NODE = 64
+#: Rows of a block of a leaf, and tasks in which the boxes of a leaf's blocks meet.
+BLOCK, SALTS = 512, 16
 
 
 def linked(common, a, b):
@@ -166,51 +169,100 @@ def verify(pairs: DataFrame, sets: DataFrame) -> tuple[DataFrame, int]:
     return out, n
 
 
-def rtree_pairs(counts: np.ndarray, sizes: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Self-join of an R-tree packed by size and counts: pairs of different parts whose bound allows a link."""
-    order = np.lexsort((*counts.T[::-1], sizes))
-    nodes = [order[i : i + NODE] for i in range(0, len(order), NODE)]
-    top = np.stack([counts[x].max(axis=0) for x in nodes])
-    low = np.array([sizes[x].min() for x in nodes])
-    high = np.array([sizes[x].max() for x in nodes])
+def boxes(counts: np.ndarray, sizes: np.ndarray) -> tuple[list[slice], np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes of an R-tree packed in the order of the rows: their rows, greatest counts, least and greatest sizes."""
+    rows = [slice(i, i + NODE) for i in range(0, len(sizes), NODE)]
+    return rows, np.stack([counts[x].max(axis=0) for x in rows]), np.array([sizes[x].min() for x in rows]), np.array([sizes[x].max() for x in rows])
+
+
+def tree_pairs(one: tuple, two: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Join of two R-trees (counts, sizes, part), or of one with itself: pairs of different parts whose bound allows a link."""
+    counts, sizes, part = one
+    other_counts, other_sizes, other_part = two or one
+    nodes, top, low, high = boxes(counts, sizes)
+    others, other_top, other_low, other_high = boxes(other_counts, other_sizes) if two else (nodes, top, low, high)
     out = []
     for i, x in enumerate(nodes):
-        overlap = np.minimum(top[i], top[i:]).sum(axis=1)
-        open_ = linked(overlap, low[i], low[i:]) & (100 * high[i] >= PERCENT * low[i:])
-        for j in i + np.flatnonzero(open_):
-            y = nodes[j]
-            common = np.minimum(counts[x][:, None, :], counts[y][None, :, :]).sum(axis=2)
-            fine = linked(common, sizes[x][:, None], sizes[y][None, :]) & (part[x][:, None] != part[y][None, :])
-            if i == j:
+        first = 0 if two else i
+        overlap = np.minimum(top[i], other_top[first:]).sum(axis=1)
+        open_ = linked(overlap, low[i], other_low[first:]) & (100 * high[i] >= PERCENT * other_low[first:]) & (100 * other_high[first:] >= PERCENT * low[i])
+        for j in first + np.flatnonzero(open_):
+            y = others[j]
+            common = np.minimum(counts[x][:, None, :], other_counts[y][None, :, :]).sum(axis=2)
+            fine = linked(common, sizes[x][:, None], other_sizes[y][None, :]) & (part[x][:, None] != other_part[y][None, :])
+            if not two and i == j:
                 fine &= np.triu(np.ones(fine.shape, bool), 1)
             a, b = np.nonzero(fine)
-            out.append((x[a], y[b]))
+            out.append((a + x.start, b + y.start))
     return tuple(np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def leaf_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of each leaf of a partition sorted by leaf that the tree lets through."""
+def rtree_pairs(counts: np.ndarray, sizes: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Self-join of an R-tree packed by size and counts."""
+    order = np.lexsort((*counts.T[::-1], sizes))
+    a, b = tree_pairs((counts[order], sizes[order], part[order]))
+    return order[a], order[b]
+
+
+#: Columns of a block: members of one leaf in order of size and counts, with the box around them.
+BLOCK_SCHEMA = "leaf long, block string, low long, high long, top array<int>, nodes array<long>, parts array<long>, sizes array<long>, counts array<int>"
 
-    def search(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        leaf, node, part, n = (rows.column(c).to_numpy() for c in ("leaf", "node", "component", "n"))
-        counts = np.array(rows.column("counts").combine_chunks().flatten()).reshape(len(leaf), GROUPS)
-        bounds = np.append(np.flatnonzero(np.append(True, leaf[1:] != leaf[:-1])), len(leaf))
-        found = [[x + first for x in rtree_pairs(counts[first:end], n[first:end], part[first:end])] for first, end in zip(bounds[:-1], bounds[1:])]
-        a, b = (node[np.concatenate(x)] for x in zip(*found))
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    held: list[pa.RecordBatch] = []  # of a leaf that may go on in the next batch
+def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of at most BLOCK rows of each leaf of a partition sorted by leaf, size and counts."""
+    task = uuid.uuid4().hex
+    number = 0
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        leaf = np.array(batch.column("leaf"))
-        last = int(np.searchsorted(leaf, leaf[-1]))
-        if last or (held and held[-1].column("leaf")[-1].as_py() != int(leaf[0])):
-            yield from search(pa.Table.from_batches([*held, batch.slice(0, last)]))
-            held = []
-        held.append(batch.slice(last))
-    if held:
-        yield from search(pa.Table.from_batches(held))
+        leaf, node, part, n = (batch.column(c).to_numpy() for c in ("leaf", "node", "component", "n"))
+        counts = np.array(batch.column("counts").flatten(), np.int32).reshape(len(leaf), GROUPS)
+        bounds = np.append(np.flatnonzero(np.append(True, leaf[1:] != leaf[:-1])), len(leaf))
+        cuts = [(i, min(i + BLOCK, end)) for first, end in zip(bounds[:-1], bounds[1:]) for i in range(first, end, BLOCK)]
+        lengths = np.array([b - a for a, b in cuts])
+        first = np.array([a for a, _ in cuts])
+        top = np.stack([counts[a:b].max(axis=0) for a, b in cuts])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(leaf[first]), pa.array([f"{task}-{number + i}" for i in range(len(cuts))]), pa.array(np.minimum.reduceat(n, first)), pa.array(np.maximum.reduceat(n, first)),
+             lists(top.ravel(), np.full(len(cuts), GROUPS), pa.int32()), *(lists(x, lengths, pa.int64()) for x in (node, part, n)), lists(counts.ravel(), lengths * GROUPS, pa.int32())],
+            ["leaf", "block", "low", "high", "top", "nodes", "parts", "sizes", "counts"],
+        )
+        number += len(cuts)
+
+
+def search_rows(batches: Iterator[pa.RecordBatch], two: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs that the trees let through, of each block with itself or of each pair of blocks."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            sides = []
+            for x in ("_a", "_b") if two else ("",):
+                node, part, n, counts = (np.array(batch.column(f"{c}{x}")[i].values) for c in ("nodes", "parts", "sizes", "counts"))
+                sides.append((node, (counts.reshape(len(node), GROUPS), n, part)))
+            a, b = tree_pairs(*(tree for _, tree in sides))
+            a, b = sides[0][0][a], sides[-1][0][b]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def searched(split: DataFrame) -> DataFrame:
+    """Pairs (a, b) of leaf, node, component, n, counts that the trees of the leaves let through. A leaf is cut into blocks
+    of bounded rows; pairs of blocks whose boxes allow a link are searched one by one."""
+    rows = keep(split, "open-leaves")
+    dealt = rows.repartitionByRange("leaf", "n", "counts", "node").sortWithinPartitions("leaf", "n", "counts", "node")
+    blocks = keep(dealt.mapInArrow(block_rows, BLOCK_SCHEMA), "blocks")
+    alone = blocks.mapInArrow(lambda it: search_rows(it, False), "a long, b long")
+    wide = blocks.groupBy("leaf").agg(F.count(F.lit(1)).alias("blocks")).filter("blocks > 1").select("leaf")
+    box = keep(blocks.select("leaf", "block", "low", "high", "top").join(wide, "leaf"), "boxes")
+    side = lambda x, df: df.select("leaf", *(F.col(c).alias(f"{c}_{x}") for c in df.columns if c != "leaf"))
+    # the boxes of a large leaf meet in several tasks too
+    salt = F.pmod(F.xxhash64("block_a"), F.lit(SALTS))
+    met = side("a", box).withColumn("salt", salt).join(side("b", box).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["leaf", "salt"])
+    overlap = F.aggregate(F.zip_with("top_a", "top_b", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda total, x: total + x)
+    near = (100 * F.col("high_a") >= PERCENT * F.col("low_b")) & (100 * F.col("high_b") >= PERCENT * F.col("low_a"))
+    pairs = met.filter((F.col("block_a") < F.col("block_b")) & near).filter(linked(overlap, F.col("low_a"), F.col("low_b"))).select("block_a", "block_b")
+    members = blocks.join(box.select("block"), "block", "left_semi").select("leaf", "block", "nodes", "parts", "sizes", "counts")
+    both = pairs.join(side("a", members).drop("leaf"), "block_a").join(side("b", members).drop("leaf"), "block_b")
+    spread = both.repartition(F.col("block_a"), F.col("block_b"))
+    return alone.unionByName(spread.mapInArrow(lambda it: search_rows(it, True), "a long, b long")).distinct()
 
 
 def with_component(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -256,7 +308,7 @@ def links(docs: DataFrame, sketches: DataFrame) -> DataFrame:
         if WORTH * fresh < links_before or not fresh:
             break
     split = split_leaves(leaves, labels, ROUNDS).drop("centre").join(sets.select(F.col("doc_id").alias("node"), "n", "counts"), "node")
-    pairs = split.select("leaf", "node", "component", "n", "counts").repartition("leaf").sortWithinPartitions("leaf").mapInArrow(leaf_rows, "a long, b long").distinct()
+    pairs = searched(split.select("leaf", "node", "component", "n", "counts"))
     last, _ = verify(pairs, sets)
     return last if found is None else found.unionByName(last)
 

@@ -289,6 +289,27 @@ def test_rtree_finds_all_pairs_within_the_bound():
     assert {tuple(sorted(map(int, p))) for p in zip(a, b)} == want
 
 
+def test_a_leaf_of_unlinked_sets_is_searched_in_blocks(spark, monkeypatch):
+    """Short templated texts share a leaf and do not link; a task gets pairs of bounded blocks, and no link between blocks is lost."""
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    rng = random.Random(8)
+    rows = [(i, f"this notice is always the same v{i} w{i} x{i}") for i in range(150)]
+    base = prose(rng, 40)
+    rows += [(1000 + i, " ".join([*base[:-1], f"end{i}"])) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(jaccard, "ROUNDS", 0)  # all is left to the trees
+    sizes = []
+    plain = jaccard.searched
+
+    def seen(split):
+        sizes.extend(r.n for r in split.groupBy("leaf").count().select(jaccard.F.col("count").alias("n")).collect())
+        return plain(split)
+
+    monkeypatch.setattr(jaccard, "searched", seen)
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs).collect()}
+    assert got == brute.jaccard_components(rows) and max(sizes) > 16
+
+
 # substring and suffix-array dedup
 
 
