@@ -1,6 +1,6 @@
 """N-gram Jaccard join with count vectors in an R-tree.
 
-A text's set are its distinct 4-word shingles. Every shingle is hashed to one of K segments and to one of
+A text's set are its distinct shingles of n words; length and percent are parameters, 4 and 85 in the query and in what follows. Every shingle is hashed to one of K segments and to one of
 `GROUPS` groups. Sets of sizes a <= b that link differ in at most d = 15/185 (a + b) shingles, so of any
 d + 1 segments at least one holds the same shingles in both. K follows from the size on a ladder, and each
 text is filed under the first d + 1 non-empty segments: two texts that link always share one address,
@@ -42,13 +42,13 @@ NODE = 64
 BLOCK, SALTS = 512, 16
 
 
-def linked(common, a, b):
-    return PERCENT * (a + b - common) <= 100 * common
+def linked(common, a, b, percent: int = PERCENT):
+    return percent * (a + b - common) <= 100 * common
 
 
-def most_different(total):
+def most_different(total, percent: int = PERCENT):
     """Greatest symmetric difference of two linked sets of `total` shingles together."""
-    return (100 - PERCENT) * total // (100 + PERCENT)
+    return (100 - percent) * total // (100 + percent)
 
 
 def shingle_sets(w: Words, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -68,21 +68,21 @@ def shingle_sets(w: Words, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     return hashes[new], text[new]
 
 
-def _segments(sizes: np.ndarray) -> np.ndarray:
+def _segments(sizes: np.ndarray, percent: int) -> np.ndarray:
     """Number of segments for the level of a set: a power of two, at least 1.15 times what is needed."""
-    need = wanted(sizes) * 1.15
+    need = wanted(sizes, percent) * 1.15
     return (1 << np.ceil(np.log2(np.maximum(need, 1))).astype(np.int64)).astype(np.int64)
 
 
-def wanted(sizes: np.ndarray) -> np.ndarray:
+def wanted(sizes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Addresses of a set: one more than its greatest difference from a linked set that is no smaller."""
-    return most_different(sizes + sizes * 100 // PERCENT) + 1
+    return most_different(sizes + sizes * 100 // percent, percent) + 1
 
 
-def addresses(hashes: np.ndarray, text: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def addresses(hashes: np.ndarray, text: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """(address, text) rows. A set also files at the level of the smallest set it can link with, if that differs."""
     out = []
-    own, low = _segments(sizes), _segments(-(-sizes * PERCENT // 100))
+    own, low = _segments(sizes, percent), _segments(-(-sizes * percent // 100), percent)
     for level, active in ((own, sizes > 0), (low, (sizes > 0) & (low != own))):
         use = active[text]
         h, t = hashes[use], text[use]
@@ -98,10 +98,10 @@ def addresses(hashes: np.ndarray, text: np.ndarray, sizes: np.ndarray) -> tuple[
         owner = t[first]
         place = np.arange(len(owner)) - np.repeat(np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])), np.diff(np.append(np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])), len(owner))))
         filled = np.bincount(owner, minlength=len(sizes))
-        chosen = place < wanted(sizes)[owner]
+        chosen = place < wanted(sizes, percent)[owner]
         out.append((address[chosen], owner[chosen]))
         # fewer non-empty segments than wanted: two such sets may agree in empty segments only, so they share one more address
-        poor = np.flatnonzero(active & (filled < wanted(sizes)))
+        poor = np.flatnonzero(active & (filled < wanted(sizes, percent)))
         out.append((mix(level[poor].astype(np.uint64) ^ U(0x5EED)), poor))
     if not out:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -115,10 +115,10 @@ def group_counts(hashes: np.ndarray, text: np.ndarray, texts: int) -> np.ndarray
     return np.bincount(text * GROUPS + group, minlength=texts * GROUPS).reshape(texts, GROUPS)
 
 
-def sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def sketch_rows(batches: Iterator[pa.RecordBatch], shingle: int, percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row, end, data, offsets in pieces(batch.column("text")):
-            hashes, text = shingle_sets(split_words(data, offsets, lower=True))
+            hashes, text = shingle_sets(split_words(data, offsets, lower=True), shingle)
             texts = end - row
             sizes = np.bincount(text, minlength=texts)
             sums = [np.zeros(texts, np.uint64) for _ in range(2)]
@@ -126,18 +126,18 @@ def sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 first = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
                 for s, value in zip(sums, (hashes, mix(hashes ^ U(0x1234567)))):
                     s[text[first]] = np.add.reduceat(value, first)
-            address, owner = addresses(hashes, text, sizes)
+            address, owner = addresses(hashes, text, sizes, percent)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").slice(row, texts), pa.array(sizes), pa.array(signed(sums[0])), pa.array(signed(sums[1])), lists(signed(address), np.bincount(owner, minlength=texts), pa.int64())],
                 ["doc_id", "n_shingles", "sum_a", "sum_b", "leaves"],
             )
 
 
-def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def set_rows(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     """doc_id, n, counts (group counts), items (the sorted hashes) as bytes"""
     for batch in batches:
         for row, end, data, offsets in pieces(batch.column("text")):
-            hashes, text = shingle_sets(split_words(data, offsets, lower=True))
+            hashes, text = shingle_sets(split_words(data, offsets, lower=True), shingle)
             counts = group_counts(hashes, text, end - row)
             bounds = np.searchsorted(text, np.arange(end - row + 1))
             yield pa.RecordBatch.from_arrays(
@@ -147,25 +147,25 @@ def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def verify_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def verify_rows(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs whose whole sets link."""
     for batch in batches:
         sets, good = [batch.column(c) for c in ("items_a", "items_b")], np.zeros(batch.num_rows, bool)
         for i in range(batch.num_rows):
             a, b = (np.frombuffer(s[i].as_buffer(), np.uint64) for s in sets)
             at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-            good[i] = linked(int((b[at] == a).sum()), len(a), len(b))
+            good[i] = linked(int((b[at] == a).sum()), len(a), len(b), percent)
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(good)), batch.column("b").filter(pa.array(good))], ["a", "b"])
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> tuple[DataFrame, int]:
+def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, int]:
     """Links among pairs, and their number. The sum of coordinate minima bounds the overlap, and only the sets of pairs that pass travel."""
     side = lambda x, *cols: sets.select(F.col("doc_id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in cols))
     points = pairs.select("a", "b").join(side("a", "n", "counts"), "a").join(side("b", "n", "counts"), "b")
     bound = F.aggregate(F.zip_with("counts_a", "counts_b", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda total, x: total + x)
-    fit = points.filter(linked(bound, F.col("n_a"), F.col("n_b"))).select("a", "b")
+    fit = points.filter(linked(bound, F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
     both = fit.join(side("a", "items"), "a").join(side("b", "items"), "b")
-    out, (n,) = keep_counted(both.mapInArrow(verify_rows, "a long, b long"), "links")
+    out, (n,) = keep_counted(both.mapInArrow(lambda it: verify_rows(it, percent), "a long, b long"), "links")
     return out, n
 
 
@@ -175,7 +175,7 @@ def boxes(counts: np.ndarray, sizes: np.ndarray) -> tuple[list[slice], np.ndarra
     return rows, np.stack([counts[x].max(axis=0) for x in rows]), np.array([sizes[x].min() for x in rows]), np.array([sizes[x].max() for x in rows])
 
 
-def tree_pairs(one: tuple, two: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+def tree_pairs(one: tuple, two: tuple | None = None, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """Join of two R-trees (counts, sizes, part), or of one with itself: pairs of different parts whose bound allows a link."""
     counts, sizes, part = one
     other_counts, other_sizes, other_part = two or one
@@ -185,11 +185,11 @@ def tree_pairs(one: tuple, two: tuple | None = None) -> tuple[np.ndarray, np.nda
     for i, x in enumerate(nodes):
         first = 0 if two else i
         overlap = np.minimum(top[i], other_top[first:]).sum(axis=1)
-        open_ = linked(overlap, low[i], other_low[first:]) & (100 * high[i] >= PERCENT * other_low[first:]) & (100 * other_high[first:] >= PERCENT * low[i])
+        open_ = linked(overlap, low[i], other_low[first:], percent) & (100 * high[i] >= percent * other_low[first:]) & (100 * other_high[first:] >= percent * low[i])
         for j in first + np.flatnonzero(open_):
             y = others[j]
             common = np.minimum(counts[x][:, None, :], other_counts[y][None, :, :]).sum(axis=2)
-            fine = linked(common, sizes[x][:, None], other_sizes[y][None, :]) & (part[x][:, None] != other_part[y][None, :])
+            fine = linked(common, sizes[x][:, None], other_sizes[y][None, :], percent) & (part[x][:, None] != other_part[y][None, :])
             if not two and i == j:
                 fine &= np.triu(np.ones(fine.shape, bool), 1)
             a, b = np.nonzero(fine)
@@ -230,7 +230,7 @@ def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number += len(cuts)
 
 
-def search_rows(batches: Iterator[pa.RecordBatch], two: bool) -> Iterator[pa.RecordBatch]:
+def search_rows(batches: Iterator[pa.RecordBatch], two: bool, percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs that the trees let through, of each block with itself or of each pair of blocks."""
     for batch in batches:
         for i in range(batch.num_rows):
@@ -238,18 +238,18 @@ def search_rows(batches: Iterator[pa.RecordBatch], two: bool) -> Iterator[pa.Rec
             for x in ("_a", "_b") if two else ("",):
                 node, part, n, counts = (np.array(batch.column(f"{c}{x}")[i].values) for c in ("nodes", "parts", "sizes", "counts"))
                 sides.append((node, (counts.reshape(len(node), GROUPS), n, part)))
-            a, b = tree_pairs(*(tree for _, tree in sides))
+            a, b = tree_pairs(*(tree for _, tree in sides), percent=percent)
             a, b = sides[0][0][a], sides[-1][0][b]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
-def searched(split: DataFrame) -> DataFrame:
+def searched(split: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b) of leaf, node, component, n, counts that the trees of the leaves let through. A leaf is cut into blocks
     of bounded rows; pairs of blocks whose boxes allow a link are searched one by one."""
     rows = keep(split, "open-leaves")
     dealt = rows.repartitionByRange("leaf", "n", "counts", "node").sortWithinPartitions("leaf", "n", "counts", "node")
     blocks = keep(dealt.mapInArrow(block_rows, BLOCK_SCHEMA), "blocks")
-    alone = blocks.mapInArrow(lambda it: search_rows(it, False), "a long, b long")
+    alone = blocks.mapInArrow(lambda it: search_rows(it, False, percent), "a long, b long")
     wide = blocks.groupBy("leaf").agg(F.count(F.lit(1)).alias("blocks")).filter("blocks > 1").select("leaf")
     box = keep(blocks.select("leaf", "block", "low", "high", "top").join(wide, "leaf"), "boxes")
     side = lambda x, df: df.select("leaf", *(F.col(c).alias(f"{c}_{x}") for c in df.columns if c != "leaf"))
@@ -257,12 +257,12 @@ def searched(split: DataFrame) -> DataFrame:
     salt = F.pmod(F.xxhash64("block_a"), F.lit(SALTS))
     met = side("a", box).withColumn("salt", salt).join(side("b", box).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["leaf", "salt"])
     overlap = F.aggregate(F.zip_with("top_a", "top_b", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda total, x: total + x)
-    near = (100 * F.col("high_a") >= PERCENT * F.col("low_b")) & (100 * F.col("high_b") >= PERCENT * F.col("low_a"))
-    pairs = met.filter((F.col("block_a") < F.col("block_b")) & near).filter(linked(overlap, F.col("low_a"), F.col("low_b"))).select("block_a", "block_b")
+    near = (100 * F.col("high_a") >= percent * F.col("low_b")) & (100 * F.col("high_b") >= percent * F.col("low_a"))
+    pairs = met.filter((F.col("block_a") < F.col("block_b")) & near).filter(linked(overlap, F.col("low_a"), F.col("low_b"), percent)).select("block_a", "block_b")
     members = blocks.join(box.select("block"), "block", "left_semi").select("leaf", "block", "nodes", "parts", "sizes", "counts")
     both = pairs.join(side("a", members).drop("leaf"), "block_a").join(side("b", members).drop("leaf"), "block_b")
     spread = both.repartition(F.col("block_a"), F.col("block_b"))
-    return alone.unionByName(spread.mapInArrow(lambda it: search_rows(it, True), "a long, b long")).distinct()
+    return alone.unionByName(spread.mapInArrow(lambda it: search_rows(it, True, percent), "a long, b long")).distinct()
 
 
 def with_component(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -280,7 +280,7 @@ def split_leaves(leaves: DataFrame, labels: DataFrame | None, turn: int) -> Data
     return rows.join(centre.select("leaf", F.col("c.pick.node").alias("centre")), "leaf")
 
 
-def links(docs: DataFrame, sketches: DataFrame) -> DataFrame:
+def links(docs: DataFrame, sketches: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) between representatives that connect all texts which the join connects."""
     sized = sketches.filter("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "sum_a", "sum_b")
     classes = sized.groupBy("n_shingles", "sum_a", "sum_b").agg(F.min("doc_id").alias("node"))
@@ -293,14 +293,14 @@ def links(docs: DataFrame, sketches: DataFrame) -> DataFrame:
     same = members.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.xxhash64("node", F.lit(i)).cast("decimal(38,0)")).alias(f"h{i}") for i in range(2)))
     leaves = keep(members.join(same.groupBy("n", "h0", "h1").agg(F.min("leaf").alias("leaf")).select("leaf"), "leaf", "left_semi"), "leaves")
     wanted_nodes = leaves.select(F.col("node").alias("doc_id")).distinct()
-    sets = keep(docs.join(wanted_nodes, "doc_id", "left_semi").mapInArrow(set_rows, "doc_id long, n long, counts array<int>, items binary").filter("n > 0"), "sets")
+    sets = keep(docs.join(wanted_nodes, "doc_id", "left_semi").mapInArrow(lambda it: set_rows(it, shingle), "doc_id long, n long, counts array<int>, items binary").filter("n > 0"), "sets")
     found, labels, links_before = None, None, 0
     for turn in range(ROUNDS):
         split = split_leaves(leaves, labels, turn).filter(F.col("node") != F.col("centre"))
         pairs = split.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"), "node", "centre", "component")
         if labels is not None:
             pairs = pairs.join(labels.select(F.col("node").alias("centre"), F.col("component").alias("at")), "centre", "left").filter(F.col("component") != F.coalesce("at", "centre"))
-        new, fresh = verify(pairs.select("a", "b").distinct(), sets)
+        new, fresh = verify(pairs.select("a", "b").distinct(), sets, percent)
         if fresh:
             found = new if found is None else found.unionByName(new)
             labels = components(found)
@@ -308,26 +308,26 @@ def links(docs: DataFrame, sketches: DataFrame) -> DataFrame:
         if WORTH * fresh < links_before or not fresh:
             break
     split = split_leaves(leaves, labels, ROUNDS).drop("centre").join(sets.select(F.col("doc_id").alias("node"), "n", "counts"), "node")
-    pairs = searched(split.select("leaf", "node", "component", "n", "counts"))
-    last, _ = verify(pairs, sets)
+    pairs = searched(split.select("leaf", "node", "component", "n", "counts"), percent)
+    last, _ = verify(pairs, sets, percent)
     return last if found is None else found.unionByName(last)
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for every document."""
+def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id for every document. Texts link at `percent` of their distinct shingles of `shingle` words."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketches = keep(docs.mapInArrow(sketch_rows, "doc_id long, n_shingles long, sum_a long, sum_b long, leaves array<long>"), "sketches")
+    sketches = keep(docs.mapInArrow(lambda it: sketch_rows(it, shingle, percent), "doc_id long, n_shingles long, sum_a long, sum_b long, leaves array<long>"), "sketches")
     classes = sketches.filter("n_shingles > 0").groupBy("n_shingles", "sum_a", "sum_b").agg(F.min("doc_id").alias("node"))
-    labels = components(links(docs, sketches))
+    labels = components(links(docs, sketches, shingle, percent))
     named = classes.join(labels, "node", "left").select("n_shingles", "sum_a", "sum_b", F.coalesce("component", "node").alias("component_id"))
     rows = sketches.select("doc_id", "n_shingles", "sum_a", "sum_b").join(named, ["n_shingles", "sum_a", "sum_b"], "left")
     return rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One document of each group: that with the smallest doc_id. Rows that share a doc_id count as one
     document; rows without doc_id stay."""
-    named = keep(jaccard_components(docs), "components")
+    named = keep(jaccard_components(docs, shingle, percent), "components")
     rest = keep(named.filter("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
     twice = keep(named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and doc_id is not null").select("doc_id"), "repeated-ids")
     kept = docs.join(rest, "doc_id", "left_anti").select(*docs.columns)
@@ -336,7 +336,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), SHINGLE, PERCENT)
 
 
 OP9_SQL = r"""

@@ -301,9 +301,9 @@ def test_a_leaf_of_unlinked_sets_is_searched_in_blocks(spark, monkeypatch):
     sizes = []
     plain = jaccard.searched
 
-    def seen(split):
+    def seen(split, *rule):
         sizes.extend(r.n for r in split.groupBy("leaf").count().select(jaccard.F.col("count").alias("n")).collect())
-        return plain(split)
+        return plain(split, *rule)
 
     monkeypatch.setattr(jaccard, "searched", seen)
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs).collect()}
@@ -487,3 +487,28 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     assert {r.doc_id for r in kept[names[3]]} <= {r.doc_id for r in kept[names[2]]} and max(Counter(r.doc_id for r in kept[names[3]]).values()) == 2
     assert Counter(r.doc_id for r in kept[names[4]]) == Counter(r.doc_id for r in kept[names[3]])
     assert len({(r.shard, r.slot) for r in kept[names[4]]}) == len(kept[names[4]])
+
+
+def test_pipeline_near_copies_at_five_words_and_80(spark):
+    import corpus_pipeline as p
+
+    rng = random.Random(12)
+    rows = []
+    for k in range(12):  # one replaced block of 2 to 13 of 100 words
+        words = prose(rng, 100)
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:40] + [f"new{k}x{j}" for j in range(k + 2)] + words[42 + k :]))]
+    rows += [(100 + i, " ".join(prose(rng, n))) for i, n in enumerate([1, 4, 5, 6])] + [(110, rows[-1][1] if rows else ""), (111, None)]
+    sets = {}
+    for doc, text in rows:
+        words = brute.SPACE.findall((text or "").translate(brute.UPPER))
+        sets[doc] = frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+    least = {doc: doc for doc in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if sets[a] & sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    least[b] = min(least[a], least[b])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in p.without_near_copies(spark, docs, "").collect()}
+    assert kept == set(least.values())
+    assert kept < {c for _, _, c in brute.jaccard_components(rows)}
