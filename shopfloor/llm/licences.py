@@ -1,9 +1,10 @@
 """Licence scan by canonical digests. DataFrame functions only.
 
-A text is normalised (lower case, copyright lines out, equivalent spellings to one, everything but letters
+A text is normalised (lower case, title and copyright lines out, equivalent spellings to one, everything but letters
 and digits to one space) and hashed; its SHA-256 is joined with the digests of the known licences, which
 are normalised by the same expression. The whole document is looked up, and so is every one of its lines,
-since notices stand on lines of their own within other text.
+since notices stand on lines of their own within other text. Whole texts are the files of known_licences;
+AGPL and the CC licences but CC0 and CC-BY-SA-4.0 are still missing there.
 
 Cases: null and empty texts match nothing, nor does a text that is empty after normalisation; rows that
 repeat are looked up one by one; an empty table gives an empty result; extra columns are ignored.
@@ -11,17 +12,23 @@ repeat are looked up one by one; an empty table gives an empty result; extra col
 
 from __future__ import annotations
 
+import re
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shopfloor.llm.store import table
 
 #: Spellings that mean the same (regular expression on lower case -> one form).
 SPELLINGS = ((r"\blicence\b", "license"), (r"\blicenced\b", "licensed"), (r"\bsub-?licence\b", "sublicense"), (r"\bcopyright holders?\b", "copyright owner"), (r"https?://", ""), (r"\bversion\b|\bv\.", "v"), (r"&", " and "))
-#: A line that states a copyright.
-COPYRIGHT = r"(?m)^\W*(copyright\b|\(c\)|©)[^\n]*\d{4}[^\n]*$|(?m)^\W*all rights reserved\W*$"
-
-#: Texts of licences and notices.
-KNOWN = (
+#: What a line of a title or a copyright holds; such lines go at the head of a text, whether they have a year or not.
+_TITLE = r"(?:the[^\w\n]+)?(?:(?:new|revised|modified|simplified|original|two[^\w\n]?clause|three[^\w\n]?clause|[0-4][^\w\n]?clause)[^\w\n]+)?(?:(?:mit|expat|x11|isc|0?bsd|zlib)[^\w\n]+(?:(?:zero|two|three|[0-4])[^\w\n]?clause[^\w\n]+)?)?(?:licen[cs]e|unlicense)(?:[^\w\n]+(?:mit|expat|isc|0?bsd))?[^\w\n]*"
+_HEAD = rf"\A(?:[^\w\n]*(?:(?:copyright\b|\(c\)|©)[^\n]*|all rights reserved[^\w\n]*|{_TITLE})?(?:\n|\z)){{1,64}}"
+#: Lines that state a copyright: at the head of a text (its first 64 lines) any, further down those with a year, a place for one, or a sign.
+COPYRIGHT = rf"{_HEAD}|(?m)^\W*(copyright\b|\(c\)|©)[^\n]*(\d{{4}}|[\[<{{](yyyy|year)\b)[^\n]*$|(?m)^\W*copyright[^\w\n(©]*(\(c\)|©)[^\n]*$|(?m)^\W*all rights reserved\W*$"
+
+#: Texts of notices and short licences.
+NOTICES = (
     ("MIT", "Released under the MIT License."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
@@ -42,6 +49,24 @@ Unless required by applicable law or agreed to in writing, software distributed
 )
 
 
+def whole_texts() -> list[tuple[str, str]]:
+    """(license, text) of the files in known_licences, which are named after their SPDX id; also without what follows the terms, and with bullets for numbers."""
+    out = []
+    for file in sorted((resources.files(__package__) / "known_licences").iterdir(), key=lambda f: f.name):
+        if file.name.endswith(".txt"):
+            name, text = file.name.removesuffix(".txt"), file.read_text("utf-8")
+            out.append((name, text))
+            if (end := re.search(r"END OF TERMS AND CONDITIONS", text)) is not None:
+                out += [(name, text[: end.end()]), (name, text[: end.start()])]
+            if name.startswith("BSD-"):
+                out.append((name, re.sub(r"(?m)^\d\.", "*", text)))
+    return out
+
+
+#: (license, text) of all that is known.
+KNOWN = (*NOTICES, *whole_texts())
+
+
 def canonical(text: Column) -> Column:
     """Equal for texts that differ only in case, punctuation, white space, copyright lines or equivalent spellings."""
     out = F.regexp_replace(F.lower(text), COPYRIGHT, " ")

@@ -461,6 +461,23 @@ def test_licences(spark):
     assert got == {0: ("MIT", 0, ""), 1: (None, 2, "CC-BY-NC-4.0,MIT")} | {i: (None, 0, "") for i in range(2, 7)}
 
 
+def test_standard_licence_files(spark):
+    """With titles and copyright lines of all kinds, wrapped anew; a notice line is no title."""
+    import textwrap
+
+    known = dict(licences.whole_texts())
+    mit, isc = licences.KNOWN[4][1], licences.KNOWN[5][1]
+    wrap = lambda x, n: "\n\n".join(textwrap.fill(p, n) for p in x.split("\n\n"))
+    texts = [("MIT", f"MIT License\n\nCopyright (c) 2020 A. Person\n\n{mit}"), ("MIT", f"The MIT License (MIT)\n\nCopyright The X Authors\n\n{mit}"), ("MIT", f"Copyright © Someone\nCopyright Other Person\nAll rights reserved.\n\n{wrap(mit, 40)}"),
+             ("ISC", f"ISC License\n\nCopyright The Y Project\n\n{wrap(isc, 33)}"), ("BSD-3-Clause", f"BSD 3-Clause License\n\nCopyright (c) 2019, X\nAll rights reserved.\n\n{known['BSD-3-Clause']}"), ("BSD-2-Clause", f"Copyright Z\n\n{wrap(known['BSD-2-Clause'], 20)}"),
+             ("Apache-2.0", known["Apache-2.0"].replace("Copyright [yyyy] [name of copyright owner]", "Copyright 2021 Someone")), ("Apache-2.0", known["Apache-2.0"].split("   APPENDIX")[0]), ("Unlicense", "The Unlicense\n\n" + known["Unlicense"]), ("MIT", "Released under the MIT License."), (None, "MIT License"), (None, f"Other title\n\n{mit}")]
+    texts += [(x, known[x]) for x in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "CC-BY-SA-4.0", "BSL-1.0", "0BSD")]
+    rows = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.license for r in licences.scan(rows).collect()} == {i: x for i, (x, _) in enumerate(texts)}
+    many = spark.createDataFrame([(1, "copyright me\n" * 200_000)], "doc_id long, text string")
+    assert licences.scan(many).collect()[0].license is None
+
+
 # pipeline
 
 
