@@ -2,7 +2,7 @@
 
 A text that passes the base rules is compressed with zstandard, whole and in fixed chunks. The ratio of
 the whole text must lie in the band of its length: above it the text repeats itself, below it the text is
-noise. Long texts can hide such parts, so the share of chunks outside the chunk band is limited too.
+noise. Long texts can hide such parts, so the share of bytes in chunks outside the chunk band is limited too.
 Every count covers the whole text; a batch is worked on in pieces, so memory follows the longest text.
 
 Cases: null and empty texts have no words and fail the base rules; rows that repeat are judged one by
@@ -36,12 +36,16 @@ class Bands:
 
 
 def in_bands(text: bytes, bands: Bands, zip_: zstandard.ZstdCompressor) -> tuple[float, float, bool]:
-    """Ratio of the whole, share of full chunks outside their band, verdict."""
+    """Ratio of the whole, share of bytes in chunks outside their band, verdict. What full chunks leave over is judged by a
+    last chunk that ends with the text, and counts with the bytes it adds."""
     ratio = len(text) / len(zip_.compress(text))
     _, low, high = max(b for b in bands.whole if b[0] <= len(text))
     starts = range(0, len(text) - bands.chunk + 1, bands.chunk)
-    sizes = [bands.chunk / len(zip_.compress(text[i : i + bands.chunk])) for i in starts]
-    out = sum(not bands.chunk_band[0] <= r <= bands.chunk_band[1] for r in sizes) / len(sizes) if sizes else 0.0
+    chunks = [(i, bands.chunk) for i in starts]
+    if chunks and len(text) % bands.chunk:
+        chunks.append((len(text) - bands.chunk, len(text) % bands.chunk))
+    ratios = [(bands.chunk / len(zip_.compress(text[i : i + bands.chunk])), adds) for i, adds in chunks]
+    out = sum(adds for r, adds in ratios if not bands.chunk_band[0] <= r <= bands.chunk_band[1]) / len(text) if chunks else 0.0
     return ratio, out, low <= ratio <= high and out <= bands.chunk_share
 
 

@@ -121,6 +121,17 @@ def test_compression_bands(spark):
     assert rows[2].zstd_ratio < rows[1].zstd_ratio < rows[3].zstd_ratio
 
 
+def test_the_tail_of_a_text_is_judged(spark):
+    """4,096 bytes of prose and 4,095 of printable noise, and prose alone."""
+    rng = random.Random(5)
+    words = "the a of and in to is it house river walk green slowly under over light table seven".split()
+    natural = " ".join(rng.choice(words) + rng.choice(["", "s", "ed", "ing", ","]) for _ in range(2500))
+    noise = "".join(" " if i % 9 == 8 else chr(rng.randrange(33, 127)) for i in range(4095))
+    rows = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame([(1, natural[:4096] + noise), (2, natural[:8191]), (3, natural[:5000])], "doc_id long, text string")).collect()}
+    assert not rows[1].base_failed and not rows[1].kept and rows[1].zstd_ratio > 1.3 and abs(rows[1].chunks_outside - 4095 / 8191) < 1e-9
+    assert rows[2].kept and rows[3].kept and rows[2].chunks_outside == rows[3].chunks_outside == 0
+
+
 def test_trees_learn_and_flatten():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 5))
