@@ -1,9 +1,11 @@
 """Plain versions of the operators, for small inputs."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -104,3 +106,88 @@ def decontaminate(rows, items, n=10):
 
 def crc(text) -> int:
     return zlib.crc32((text or "").encode())
+
+
+def periodic_runs(words, least=24, turns=3):
+    """(start, length, period) by start, then period"""
+    n, found = len(words), {}
+    for q in range(1, n // turns + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            if j > i and j + q - i >= max(least, turns * q):
+                found.setdefault((i, j + q - i), q)
+            i = max(j, i + 1)
+    return sorted(((s, n, q) for (s, n), q in found.items()), key=lambda r: (r[0], r[2]))
+
+
+def planted(doc, text):
+    words = SPACE.findall(text or "")
+    n, h = len(words), zlib.crc32(str(doc).encode()) if doc is not None else 1
+    if h % 10 == 0 and n:
+        g = h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words = [w if i < a else words[a + (i - a) % p] for i, w in enumerate(words)]
+    return words
+
+
+def run_digests(doc, text):
+    words = planted(doc, text)
+    runs = periodic_runs(words)
+    dropped = {i for s, n, q in runs for i in range(s + q, s + n)}
+    best = max(runs, key=lambda r: (Fraction(r[1], r[2]), -r[0], -r[2])) if runs else None
+    lines = "".join(f"{s},{n},{q}\n" for s, n, q in runs)
+    return (doc, len(runs), *(best or (None,) * 3), 1000 * best[1] // best[2] if best else None, sha(lines), sha(" ".join(w for i, w in enumerate(words) if i not in dropped)))
+
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def ranked(rows, items, k=10):
+    """{(item, rank, doc, score)}; rows and items with distinct ids or repeats"""
+    counts = [(doc, Counter(WORD.findall((text or "").translate(UPPER)))) for doc, text in rows]
+    counts = [(doc, c) for doc, c in counts if c]
+    docs, total = len(counts), sum(c.total() for _, c in counts)
+    asked = defaultdict(set)
+    for item, text in items:
+        asked[item] |= set(WORD.findall((text or "").translate(UPPER)))
+    out = []
+    for item, terms in asked.items():
+        weight = {t: math.floor(1000 * math.log((2 * docs + 2) / (2 * df + 1))) for t in terms if (df := sum(t in c for _, c in counts))}
+        scores = []
+        for doc, c in counts:
+            m = 100 - 90 + 90 * c.total() * docs // total
+            score = sum(w * (1000000000 * c[t] // (1000 * c[t] + 8 * m)) for t, w in weight.items() if t in c)
+            if score > 0:
+                scores.append((-score, doc is None, doc if doc is not None else 0))
+        out += [(item, rank, None if none else doc, -score) for rank, (score, none, doc) in enumerate(sorted(scores)[:k], 1)]
+    return Counter(out)
+
+
+def vector_links(rows, cosine=0.9):
+    """Counter of (vec_id, n_links, component_id, kept) for (vec_id, vector) rows"""
+    good = []
+    for at, (vec, x) in enumerate(rows):
+        if vec is not None and x and all(v is not None and math.isfinite(v) for v in x) and any(x):
+            good.append((at, x, math.sqrt(math.fsum(v * v for v in x))))
+    parent, links = list(range(len(rows))), Counter()
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for n, (i, x, a) in enumerate(good):
+        for j, y, b in good[n + 1 :]:
+            if len(x) == len(y) and math.fsum(p * q for p, q in zip(x, y)) / (a * b) >= cosine:
+                links[i] += 1
+                links[j] += 1
+                parent[root(i)] = root(j)
+    least = {}
+    for i, (vec, _) in enumerate(rows):
+        if vec is not None:
+            least[root(i)] = min(vec, least.get(root(i), vec))
+    return Counter((vec, links[i], None if vec is None else least[root(i)], vec is None or vec == least[root(i)]) for i, (vec, _) in enumerate(rows))

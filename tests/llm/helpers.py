@@ -4,7 +4,7 @@ import os
 
 from checks.runall import connect
 
-TABLES = ("documents", "pages", "benchmark", "labels", "conversations")
+TABLES = ("documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
 def corpus_connection(sf_dir):

@@ -92,10 +92,11 @@ def test_sql(spark, name):
 
 
 def test_all_queries_on_an_empty_table(spark, tables, empty):
-    labels, bench, pages = (spark.createDataFrame([], x) for x in ("doc_id long, quality int", "item_id long, text string", "page_id long, url string, html string"))
+    ddls = ("doc_id long, quality int", "item_id long, text string", "page_id long, url string, html string", "vec_id long, embedding array<float>, label int")
+    labels, bench, pages, vectors = (spark.createDataFrame([], x) for x in ddls)
     for name, query in queries.QUERIES.items():
         module = sys.modules[query.__module__]
-        tables(module, documents=empty, labels=labels, benchmark=bench, pages=pages)
+        tables(module, documents=empty, labels=labels, benchmark=bench, pages=pages, embeddings=vectors)
         assert query(spark, "").collect() == [], name
 
 
