@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
-from shopfloor.llm.components import components
+from shopfloor.llm.components import components, unite
 from shopfloor.llm.store import keep, keep_counted, table
 
 COSINE = 0.9
@@ -148,22 +148,6 @@ def near_leaves(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarra
     return near
 
 
-def unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """`parent` (each place's smallest known companion) after joining a[i] with b[i]."""
-    while True:
-        x, y = parent[a], parent[b]
-        differ = x != y
-        if not differ.any():
-            return parent
-        a, b, x, y = a[differ], b[differ], x[differ], y[differ]
-        np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
-        while True:
-            up = parent[parent]
-            if (up == parent).all():
-                break
-            parent = up
-
-
 class Interval:
     def __init__(self, row: dict, axes: np.ndarray, dim: int, kind: type):
         self.units = unit(np.frombuffer(row["vecs"], kind).reshape(-1, dim))

@@ -9,10 +9,15 @@ serve as the tree's upper levels: at 0.85 the boxes of random counts overlap, an
 would be visited (figures in the README).
 
 In the leaves, texts meet a centre of their leaf first and are verified; leaves of one component need no
-more. Rounds with other centres follow while one finds a twentieth of all links. Whatever pairs of a leaf then still lie in
+more. A second round with other centres follows where the first left leaves open. Whatever pairs of a leaf then still lie in
 different components are searched by an R-tree over their group counts: nodes bound the overlap by the
 sum of coordinate minima of their boxes, entries by their own, and surviving pairs are verified on the
-whole sets. A leaf of many texts is cut into blocks, whose pairs are searched in tasks of their own. So no group of similar texts is ever expanded into its pairs, and no pair that links is lost.
+whole sets. A leaf of many texts is cut into blocks by size, whose pairs are searched in tasks of their own where the
+sizes allow a link. So no group of similar texts is ever expanded into its pairs, and no pair that links is lost.
+
+The sets are not written: whoever needs one (a centre, the members that meet it) makes it from the text anew, and a centre
+travels once for `STAR` members. An address that is frequent within one piece of texts is dealt out by piece, so no
+task holds all the texts of a frequent one.
 
 Cases: null and empty texts have no shingles and link with nothing; 1 to 3 words are one shingle; equal
 sets are one node; rows that share doc_id are one document; a row without doc_id gets no component and
@@ -29,15 +34,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from shopfloor.llm.components import components
-from shopfloor.llm.store import keep, keep_counted, table
+from shopfloor.llm.store import keep, keep_counted, meeting, table
 from shopfloor.llm.text import U, Words, gram_starts, grams, lists, mix, pieces, signed, split_words
 
 SHINGLE = 4
 PERCENT = 85
 GROUPS = 128
-#: Rounds of centres: at most so many, and only while one finds its 1 / WORTH of all links. What they leave open the tree searches in full.
-ROUNDS, WORTH = 6, 20
+#: Rounds of centres. What they leave open the tree searches in full.
+ROUNDS = 2
 NODE = 64
+#: Members that meet one copy of their centre, and occurrences within one piece of texts that make an address a frequent one.
+STAR, FREQUENT = 256, 64
 #: Rows of a block of a leaf, and tasks in which the boxes of a leaf's blocks meet.
 BLOCK, SALTS = 512, 16
 
@@ -115,57 +122,87 @@ def group_counts(hashes: np.ndarray, text: np.ndarray, texts: int) -> np.ndarray
     return np.bincount(text * GROUPS + group, minlength=texts * GROUPS).reshape(texts, GROUPS)
 
 
-def sketch_rows(batches: Iterator[pa.RecordBatch], shingle: int, percent: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row, end, data, offsets in pieces(batch.column("text")):
-            hashes, text = shingle_sets(split_words(data, offsets, lower=True), shingle)
-            texts = end - row
-            sizes = np.bincount(text, minlength=texts)
-            sums = [np.zeros(texts, np.uint64) for _ in range(2)]
-            if len(hashes):
-                first = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
-                for s, value in zip(sums, (hashes, mix(hashes ^ U(0x1234567)))):
-                    s[text[first]] = np.add.reduceat(value, first)
-            address, owner = addresses(hashes, text, sizes, percent)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(row, texts), pa.array(sizes), pa.array(signed(sums[0])), pa.array(signed(sums[1])), lists(signed(address), np.bincount(owner, minlength=texts), pa.int64())],
-                ["doc_id", "n_shingles", "sum_a", "sum_b", "leaves"],
-            )
-
-
-def set_rows(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    """doc_id, n, counts (group counts), items (the sorted hashes) as bytes"""
+def text_sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows of a piece of texts, their sorted shingle hashes, the text of each, number of each text's hashes)"""
     for batch in batches:
         for row, end, data, offsets in pieces(batch.column("text")):
             hashes, text = shingle_sets(split_words(data, offsets, lower=True), shingle)
-            counts = group_counts(hashes, text, end - row)
-            bounds = np.searchsorted(text, np.arange(end - row + 1))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(row, end - row), pa.array(np.diff(bounds)), lists(counts.ravel(), np.full(end - row, GROUPS), pa.int32()),
-                 pa.array([hashes[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())],
-                ["doc_id", "n", "counts", "items"],
-            )
+            yield batch.slice(row, end - row), hashes, text, np.bincount(text, minlength=end - row)
 
 
-def verify_rows(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs whose whole sets link."""
+def sketch_rows(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    for rows, hashes, text, sizes in text_sets(batches, shingle):
+        sums = [np.zeros(rows.num_rows, np.uint64) for _ in range(2)]
+        if len(hashes):
+            first = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
+            for s, value in zip(sums, (hashes, mix(hashes ^ U(0x1234567)))):
+                s[text[first]] = np.add.reduceat(value, first)
+        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(sizes), *(pa.array(signed(s)) for s in sums)], ["doc_id", "n_shingles", "sum_a", "sum_b"])
+
+
+def leaf_rows(batches: Iterator[pa.RecordBatch], shingle: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """leaf, salt, node: where each text is filed. An address that is frequent in a piece gets the piece's salt, and one of its texts stands for the piece at salt 0."""
+    for rows, hashes, text, sizes in text_sets(batches, shingle):
+        address, owner = addresses(hashes, text, sizes, percent)
+        if not len(address):
+            continue
+        node = rows.column("doc_id").to_numpy()[owner]
+        _, first, which, count = np.unique(address, return_index=True, return_inverse=True, return_counts=True)
+        salt = np.where((count > FREQUENT)[which], int(node[0]) * 2 + 1, 0)
+        stands = first[count > FREQUENT]
+        columns = (np.append(signed(address), signed(address[stands])), np.append(salt, np.zeros(len(stands), np.int64)), np.append(node, node[stands]))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["leaf", "salt", "node"])
+
+
+def point_rows(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    """node, n, counts (group counts)"""
+    for rows, hashes, text, sizes in text_sets(batches, shingle):
+        counts = group_counts(hashes, text, rows.num_rows)
+        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(sizes), lists(counts.ravel(), np.full(len(sizes), GROUPS), pa.int32())], ["node", "n", "counts"])
+
+
+def travel_rows(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    """centre, chunk, role (0: the centre, 1: a member), node, items (the sorted hashes) for everywhere that a text's set has to go."""
+    for rows, hashes, text, sizes in text_sets(batches, shingle):
+        bounds, out = np.append(0, np.cumsum(sizes)), ([], [], [], [], [])
+        for i, (node, goes, chunks) in enumerate(zip(*(rows.column(c).to_pylist() for c in ("doc_id", "goes", "chunks")))):
+            items = hashes[bounds[i] : bounds[i + 1]].tobytes()
+            for row in [(g["a"], g["chunk"], 1, node, items) for g in goes or ()] + [(node, k, 0, node, items) for k in range(chunks or 0)]:
+                for column, value in zip(out, row):
+                    column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))], ["centre", "chunk", "role", "node", "items"])
+
+
+def star_rows(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """(a, b): centres and the members that link with them, from rows sorted by centre, chunk and role."""
+    at, centres = None, []
     for batch in batches:
-        sets, good = [batch.column(c) for c in ("items_a", "items_b")], np.zeros(batch.num_rows, bool)
-        for i in range(batch.num_rows):
-            a, b = (np.frombuffer(s[i].as_buffer(), np.uint64) for s in sets)
-            at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-            good[i] = linked(int((b[at] == a).sum()), len(a), len(b), percent)
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(good)), batch.column("b").filter(pa.array(good))], ["a", "b"])
-
-
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, int]:
-    """Links among pairs, and their number. The sum of coordinate minima bounds the overlap, and only the sets of pairs that pass travel."""
-    side = lambda x, *cols: sets.select(F.col("doc_id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in cols))
-    points = pairs.select("a", "b").join(side("a", "n", "counts"), "a").join(side("b", "n", "counts"), "b")
-    bound = F.aggregate(F.zip_with("counts_a", "counts_b", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda total, x: total + x)
-    fit = points.filter(linked(bound, F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
-    both = fit.join(side("a", "items"), "a").join(side("b", "items"), "b")
-    out, (n,) = keep_counted(both.mapInArrow(lambda it: verify_rows(it, percent), "a long, b long"), "links")
+        out, items = ([], []), batch.column("items")
+        for i, (centre, chunk, role, node) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("centre", "chunk", "role", "node")))):
+            if (centre, chunk) != at:
+                at, centres = (centre, chunk), []
+            one = np.frombuffer(items[i].as_buffer(), np.uint64)
+            if role == 0:
+                centres.append(one.copy())
+                continue
+            for other in centres:
+                place = np.minimum(np.searchsorted(other, one), len(other) - 1)
+                if len(one) and len(other) and linked(int((other[place] == one).sum()), len(one), len(other), percent):
+                    out[0].append(centre)
+                    out[1].append(node)
+                    break
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["a", "b"])
+
+
+def verify(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, int]:
+    """Links among pairs (a, b), and their number. The sets of the b travel to those of the a."""
+    pairs = keep(pairs.select("a", "b").distinct(), "pairs")
+    chunks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).alias("chunks"))
+    goes = pairs.join(chunks, "a").groupBy(F.col("b").alias("doc_id")).agg(F.collect_list(F.struct("a", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"))).alias("goes"))
+    travel, (n, entries) = keep_counted(goes.join(chunks.withColumnRenamed("a", "doc_id"), "doc_id", "full"), "travel", F.sum(F.size(F.coalesce("goes", F.array()))))
+    rows = meeting(docs, travel, "doc_id", 2 * n + 2 * (entries or 0))
+    dealt = rows.mapInArrow(lambda it: travel_rows(it, shingle), "centre long, chunk long, role int, node long, items binary").repartition("centre", "chunk").sortWithinPartitions("centre", "chunk", "role")
+    out, (n,) = keep_counted(dealt.mapInArrow(lambda it: star_rows(it, percent), "a long, b long"), "links")
     return out, n
 
 
@@ -253,74 +290,88 @@ def searched(split: DataFrame, percent: int = PERCENT) -> DataFrame:
     wide = blocks.groupBy("leaf").agg(F.count(F.lit(1)).alias("blocks")).filter("blocks > 1").select("leaf")
     box = keep(blocks.select("leaf", "block", "low", "high", "top").join(wide, "leaf"), "boxes")
     side = lambda x, df: df.select("leaf", *(F.col(c).alias(f"{c}_{x}") for c in df.columns if c != "leaf"))
-    # the boxes of a large leaf meet in several tasks too
+    # the boxes of a large leaf meet in several tasks too, and only where their sizes are within one band of each other
     salt = F.pmod(F.xxhash64("block_a"), F.lit(SALTS))
-    met = side("a", box).withColumn("salt", salt).join(side("b", box).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["leaf", "salt"])
+    band = lambda x: F.floor(F.log(F.col(x)) / np.log(100 / percent)).cast("long")
+    ones = side("a", box).withColumns({"salt": salt, "band": F.explode(F.sequence(band("low_a"), band("high_a")))})
+    others = side("b", box).withColumn("band", F.explode(F.sequence(band("low_b") - 1, band("high_b") + 1)))
+    met = ones.join(others.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["leaf", "salt", "band"])
     overlap = F.aggregate(F.zip_with("top_a", "top_b", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda total, x: total + x)
     near = (100 * F.col("high_a") >= percent * F.col("low_b")) & (100 * F.col("high_b") >= percent * F.col("low_a"))
-    pairs = met.filter((F.col("block_a") < F.col("block_b")) & near).filter(linked(overlap, F.col("low_a"), F.col("low_b"), percent)).select("block_a", "block_b")
+    pairs = met.filter((F.col("block_a") < F.col("block_b")) & near).filter(linked(overlap, F.col("low_a"), F.col("low_b"), percent)).select("block_a", "block_b").distinct()
     members = blocks.join(box.select("block"), "block", "left_semi").select("leaf", "block", "nodes", "parts", "sizes", "counts")
     both = pairs.join(side("a", members).drop("leaf"), "block_a").join(side("b", members).drop("leaf"), "block_b")
     spread = both.repartition(F.col("block_a"), F.col("block_b"))
     return alone.unionByName(spread.mapInArrow(lambda it: search_rows(it, True, percent), "a long, b long")).distinct()
 
 
-def with_component(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return rows.withColumn("component", F.col("node"))
+def with_component(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def split_leaves(leaves: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
-    """leaf, node, component, centre for the leaves with more than one component. The centre is a member of
-    the component with most members of the leaf, another one each turn."""
+def extended(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after further links: only the links between the components found so far are joined anew."""
+    ends = links
+    for x in ("a", "b"):
+        ends = ends.join(labels.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")), x, "left").withColumn(x, F.coalesce(f"of_{x}", x)).select("a", "b")
+    more = components(ends.distinct())
+    moved = labels.join(more.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return keep(moved.unionByName(more), "labels")
+
+
+def split_leaves(leaves: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """leaf, node, component, centre, of_centre for the leaves with more than one component. The centre is a
+    member of the component with most members of the leaf, another one each turn."""
     rows = with_component(leaves, labels)
     parts = rows.groupBy("leaf", "component").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node")).alias("pick"))
-    centre = parts.groupBy("leaf").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("members", "pick")).alias("c")).filter("parts > 1")
-    return rows.join(centre.select("leaf", F.col("c.pick.node").alias("centre")), "leaf")
+    centre = parts.groupBy("leaf").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("members", "component", "pick")).alias("c")).filter("parts > 1")
+    return rows.join(centre.select("leaf", F.col("c.pick.node").alias("centre"), F.col("c.component").alias("of_centre")), "leaf")
 
 
-def links(docs: DataFrame, sketches: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Links (a, b) between representatives that connect all texts which the join connects."""
-    sized = sketches.filter("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "sum_a", "sum_b")
-    classes = sized.groupBy("n_shingles", "sum_a", "sum_b").agg(F.min("doc_id").alias("node"))
-    copies = keep(sized.join(classes, ["n_shingles", "sum_a", "sum_b"]).filter("doc_id <> node").select(F.col("doc_id").alias("node")).distinct(), "equal-sets")
-    filed = sketches.filter("doc_id is not null").select(F.col("doc_id").alias("node"), "leaves").join(copies, "node", "left_anti").select("node", F.explode("leaves").alias("leaf"))
-    leaf = W.partitionBy("leaf")
-    shared = filed.withColumns({"low": F.min("node").over(leaf), "high": F.max("node").over(leaf)}).filter("low < high")
+def shared_leaves(docs: DataFrame, copies: DataFrame, n_copies: int, shingle: int, percent: int) -> DataFrame:
+    """leaf, node, centre of the addresses that more than one text is filed under; of leaves with the same members one is enough."""
+    singles = meeting(docs, copies, "doc_id", n_copies, "left_anti")
+    filed = singles.mapInArrow(lambda it: leaf_rows(it, shingle, percent), "leaf long, salt long, node long")
+    # a salt other than 0 holds the texts of one piece, salt 0 one of each piece
+    leaf = W.partitionBy("leaf", "salt")
+    shared = filed.withColumns({"low": F.min("node").over(leaf), "high": F.max("node").over(leaf)}).filter("salt <> 0 or low < high")
     members = keep(shared.select("leaf", "node").distinct(), "members")
-    # similar texts share most of their leaves; of leaves with the same members one is enough
-    same = members.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.xxhash64("node", F.lit(i)).cast("decimal(38,0)")).alias(f"h{i}") for i in range(2)))
-    leaves = keep(members.join(same.groupBy("n", "h0", "h1").agg(F.min("leaf").alias("leaf")).select("leaf"), "leaf", "left_semi"), "leaves")
-    wanted_nodes = leaves.select(F.col("node").alias("doc_id")).distinct()
-    sets = keep(docs.join(wanted_nodes, "doc_id", "left_semi").mapInArrow(lambda it: set_rows(it, shingle), "doc_id long, n long, counts array<int>, items binary").filter("n > 0"), "sets")
-    found, labels, links_before = None, None, 0
-    for turn in range(ROUNDS):
-        split = split_leaves(leaves, labels, turn).filter(F.col("node") != F.col("centre"))
-        pairs = split.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"), "node", "centre", "component")
-        if labels is not None:
-            pairs = pairs.join(labels.select(F.col("node").alias("centre"), F.col("component").alias("at")), "centre", "left").filter(F.col("component") != F.coalesce("at", "centre"))
-        new, fresh = verify(pairs.select("a", "b").distinct(), sets, percent)
-        if fresh:
-            found = new if found is None else found.unionByName(new)
-            labels = components(found)
-        links_before += fresh
-        if WORTH * fresh < links_before or not fresh:
+    stats = members.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.xxhash64("node", F.lit(i)).cast("decimal(38,0)")).alias(f"h{i}") for i in range(2)), F.max(F.struct(F.xxhash64("node").alias("h"), "node")).alias("c"))
+    one = stats.filter("n > 1").groupBy("n", "h0", "h1").agg(F.min(F.struct("leaf", F.col("c.node").alias("centre"))).alias("one"))
+    return keep(members.join(one.select("one.leaf", "one.centre"), "leaf"), "leaves")
+
+
+def joined(docs: DataFrame, sketches: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """node, component of all representatives of equal sets that the join connects with a smaller one."""
+    sized = sketches.filter("n_shingles > 0 and doc_id is not null")
+    classes = sized.groupBy("n_shingles", "sum_a", "sum_b").agg(F.min("doc_id").alias("node"))
+    copies, (n_copies,) = keep_counted(sized.join(classes, ["n_shingles", "sum_a", "sum_b"]).filter("doc_id <> node").select("doc_id").distinct(), "equal-sets")
+    docs = docs.filter("doc_id is not null")
+    leaves = shared_leaves(docs, copies, n_copies, shingle, percent)
+    found, _ = verify(docs, leaves.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")), shingle, percent)
+    labels = components(found)
+    leaves = leaves.drop("centre")
+    for turn in range(1, ROUNDS):
+        split = split_leaves(leaves, labels, turn).filter("component <> of_centre")
+        found, fresh = verify(docs, split.select(F.col("centre").alias("a"), F.col("node").alias("b")), shingle, percent)
+        if not fresh:
             break
-    split = split_leaves(leaves, labels, ROUNDS).drop("centre").join(sets.select(F.col("doc_id").alias("node"), "n", "counts"), "node")
-    pairs = searched(split.select("leaf", "node", "component", "n", "counts"), percent)
-    last, _ = verify(pairs, sets, percent)
-    return last if found is None else found.unionByName(last)
+        labels = extended(labels, found)
+    split = keep(split_leaves(leaves, labels, ROUNDS).select("leaf", "node", "component"), "open")
+    nodes, (n,) = keep_counted(split.select(F.col("node").alias("doc_id")).distinct(), "open-nodes")
+    points = meeting(docs, nodes, "doc_id", n).mapInArrow(lambda it: point_rows(it, shingle), "node long, n long, counts array<int>").filter("n > 0")
+    last, _ = verify(docs, searched(split.join(points, "node"), percent), shingle, percent)
+    return extended(labels, last)
 
 
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for every document. Texts link at `percent` of their distinct shingles of `shingle` words."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketches = keep(docs.mapInArrow(lambda it: sketch_rows(it, shingle, percent), "doc_id long, n_shingles long, sum_a long, sum_b long, leaves array<long>"), "sketches")
+    sketches = keep(docs.mapInArrow(lambda it: sketch_rows(it, shingle), "doc_id long, n_shingles long, sum_a long, sum_b long"), "sketches")
     classes = sketches.filter("n_shingles > 0").groupBy("n_shingles", "sum_a", "sum_b").agg(F.min("doc_id").alias("node"))
-    labels = components(links(docs, sketches, shingle, percent))
+    labels = joined(docs, sketches, shingle, percent)
     named = classes.join(labels, "node", "left").select("n_shingles", "sum_a", "sum_b", F.coalesce("component", "node").alias("component_id"))
-    rows = sketches.select("doc_id", "n_shingles", "sum_a", "sum_b").join(named, ["n_shingles", "sum_a", "sum_b"], "left")
+    rows = sketches.join(named, ["n_shingles", "sum_a", "sum_b"], "left")
     return rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 

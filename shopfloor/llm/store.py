@@ -36,5 +36,14 @@ def keep_counted(df: DataFrame, name: str, *sums: Column) -> tuple[DataFrame, tu
     return out, tuple(seen.get[f"_{i}"] for i in range(len(columns)))
 
 
+#: Numbers in a side up to which a scan meets it by broadcast: some 16 MB.
+SMALL = 2_000_000
+
+
+def meeting(rows: DataFrame, side: DataFrame, key: str, numbers: int, how: str = "inner") -> DataFrame:
+    """Join of wide rows with a narrow side that holds so many numbers: by broadcast while that is little, else by shuffle."""
+    return rows.join(F.broadcast(side) if numbers <= SMALL else side, key, how)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

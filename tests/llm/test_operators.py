@@ -16,7 +16,7 @@ from helpers import corpus_connection  # noqa: E402
 
 from checks.runall import compare  # noqa: E402
 from conftest import SF_DIR  # noqa: E402
-from shopfloor.llm import automata, decontamination, dom, extraction, jaccard, licences, mixing, quality_model, quality_rules, queries, sharding, suffixes  # noqa: E402
+from shopfloor.llm import automata, components, decontamination, dom, extraction, jaccard, licences, mixing, quality_model, quality_rules, queries, sharding, suffixes  # noqa: E402
 
 DDL = "doc_id long, text string, lang string, source string, n_chars long, size long, shard string, slot string, text_key string, key string, node int, component int, taken int, target int, n_words string, license int, `_n` int"
 
@@ -275,6 +275,26 @@ def test_jaccard_odd_rows(spark, odd):
     assert len(ids) == len(set(ids)) == len({r.component_id for r in rows if r.doc_id is not None})
 
 
+@pytest.mark.parametrize("edges_of_a_task", [1 << 20, 7])
+def test_components(spark, monkeypatch, edges_of_a_task):
+    """In one task, and in star steps over the forests of many."""
+    monkeypatch.setattr(components, "TASK_EDGES", edges_of_a_task)
+    rng = random.Random(3)
+    edges = [(rng.randrange(120), rng.randrange(120)) for _ in range(70)] + [(500 + i, 501 + i) for i in range(20)] + [(700, x) for x in range(710, 730)] + [(5, 5)]
+    parent = {x: x for e in edges for x in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = root(a), root(b)
+        parent[max(x, y)] = min(x, y)
+    got = {(r.node, r.component) for r in components.components(spark.createDataFrame(edges, "a long, b long").repartition(9)).collect()}
+    assert got == {(x, root(x)) for x in parent if root(x) != x}
+
+
 def test_linked_sets_share_an_address():
     rng = np.random.default_rng(2)
     for _ in range(400):
