@@ -9,14 +9,15 @@ serve as the tree's upper levels: at 0.85 the boxes of random counts overlap, an
 would be visited (figures in the README).
 
 In the leaves, texts meet a centre of their leaf first and are verified; leaves of one component need no
-more. A second round with other centres follows where the first left leaves open. Whatever pairs of a leaf then still lie in
+more. Further rounds with other centres follow while they find links in a tenth of the pairs they look at. Whatever pairs of a leaf then still lie in
 different components are searched by an R-tree over their group counts: nodes bound the overlap by the
 sum of coordinate minima of their boxes, entries by their own, and surviving pairs are verified on the
 whole sets. A leaf of many texts is cut into blocks by size, whose pairs are searched in tasks of their own where the
 sizes allow a link. So no group of similar texts is ever expanded into its pairs, and no pair that links is lost.
 
-The sets are not written: whoever needs one (a centre, the members that meet it) makes it from the text anew, and a centre
-travels once for `STAR` members. An address that is frequent within one piece of texts is dealt out by piece, so no
+Pairs are verified in two steps: bitmaps of the sets, a tenth of their size, bound the overlap by the bits that only one
+side has, and the whole sets of what is left are compared. Neither is written: whoever needs one (a centre, the members
+that meet it) makes it from the text anew, and a centre travels once for `STAR` members. An address that is frequent within one piece of texts is dealt out by piece, so no
 task holds all the texts of a frequent one.
 
 Cases: null and empty texts have no shingles and link with nothing; 1 to 3 words are one shingle; equal
@@ -40,8 +41,8 @@ from shopfloor.llm.text import U, Words, gram_starts, grams, lists, mix, pieces,
 SHINGLE = 4
 PERCENT = 85
 GROUPS = 128
-#: Rounds of centres. What they leave open the tree searches in full.
-ROUNDS = 2
+#: Rounds of centres: at most so many, and only after one that found links in 1 / WORTH of its pairs. What they leave open the tree searches in full.
+ROUNDS, WORTH = 4, 10
 NODE = 64
 #: Members that meet one copy of their centre, and occurrences within one piece of texts that make an address a frequent one.
 STAR, FREQUENT = 256, 64
@@ -161,49 +162,78 @@ def point_rows(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(sizes), lists(counts.ravel(), np.full(len(sizes), GROUPS), pa.int32())], ["node", "n", "counts"])
 
 
-def travel_rows(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    """centre, chunk, role (0: the centre, 1: a member), node, items (the sorted hashes) for everywhere that a text's set has to go."""
+def marks(items: np.ndarray) -> np.ndarray:
+    """Bitmap of a set, of the power of two of bits above four for each item."""
+    bits = np.zeros(1 << max(6, int(4 * len(items)).bit_length()), bool)
+    bits[(items >> U(8)).astype(np.int64) & (len(bits) - 1)] = True
+    return np.packbits(bits)
+
+
+def may_link(one: tuple[int, np.ndarray], two: tuple[int, np.ndarray], percent: int) -> bool:
+    """Whether two sets (number of items, marks) may link: every mark that one side alone has is an item that it alone has."""
+    (n, a), (m, b) = one, two
+    if len(a) != len(b):
+        size = min(len(a), len(b))
+        a, b = (np.bitwise_or.reduce(x.reshape(-1, size), axis=0) for x in (a, b))
+    common = min(n - int(np.bitwise_count(a & ~b).sum()), m - int(np.bitwise_count(b & ~a).sum()))
+    return linked(max(common, 0), n, m, percent)
+
+
+def do_link(one: tuple[int, np.ndarray], two: tuple[int, np.ndarray], percent: int) -> bool:
+    a, b = (x.view(np.uint64) for _, x in (one, two))
+    if not len(a) or not len(b):
+        return False
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    return linked(int((b[at] == a).sum()), len(a), len(b), percent)
+
+
+def travel_rows(batches: Iterator[pa.RecordBatch], shingle: int, whole: bool) -> Iterator[pa.RecordBatch]:
+    """centre, chunk, role (0: the centre, 1: a member), node, n, items (the sorted hashes, or their marks) for everywhere that a text's set has to go."""
     for rows, hashes, text, sizes in text_sets(batches, shingle):
-        bounds, out = np.append(0, np.cumsum(sizes)), ([], [], [], [], [])
+        bounds, out = np.append(0, np.cumsum(sizes)), ([], [], [], [], [], [])
         for i, (node, goes, chunks) in enumerate(zip(*(rows.column(c).to_pylist() for c in ("doc_id", "goes", "chunks")))):
-            items = hashes[bounds[i] : bounds[i + 1]].tobytes()
-            for row in [(g["a"], g["chunk"], 1, node, items) for g in goes or ()] + [(node, k, 0, node, items) for k in range(chunks or 0)]:
+            items = hashes[bounds[i] : bounds[i + 1]]
+            items, n = (items if whole else marks(items)).tobytes(), len(items)
+            for row in [(g["a"], g["chunk"], 1, node, n, items) for g in goes or ()] + [(node, k, 0, node, n, items) for k in range(chunks or 0)]:
                 for column, value in zip(out, row):
                     column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))], ["centre", "chunk", "role", "node", "items"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], ["centre", "chunk", "role", "node", "n", "items"])
 
 
-def star_rows(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """(a, b): centres and the members that link with them, from rows sorted by centre, chunk and role."""
-    at, centres = None, []
+def star_rows(batches: Iterator[pa.RecordBatch], percent: int, whole: bool) -> Iterator[pa.RecordBatch]:
+    """(a, b): centres and the members that link (or may link) with them, from rows sorted by centre, chunk and role."""
+    at, centres, fit = None, [], do_link if whole else may_link
     for batch in batches:
         out, items = ([], []), batch.column("items")
-        for i, (centre, chunk, role, node) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("centre", "chunk", "role", "node")))):
+        for i, (centre, chunk, role, node, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("centre", "chunk", "role", "node", "n")))):
             if (centre, chunk) != at:
                 at, centres = (centre, chunk), []
-            one = np.frombuffer(items[i].as_buffer(), np.uint64)
+            one = (n, np.frombuffer(items[i].as_buffer(), np.uint8))
             if role == 0:
-                centres.append(one.copy())
-                continue
-            for other in centres:
-                place = np.minimum(np.searchsorted(other, one), len(other) - 1)
-                if len(one) and len(other) and linked(int((other[place] == one).sum()), len(one), len(other), percent):
-                    out[0].append(centre)
-                    out[1].append(node)
-                    break
+                centres.append((n, one[1].copy()))
+            elif any(fit(other, one, percent) for other in centres):
+                out[0].append(centre)
+                out[1].append(node)
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["a", "b"])
 
 
-def verify(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, int]:
-    """Links among pairs (a, b), and their number. The sets of the b travel to those of the a."""
-    pairs = keep(pairs.select("a", "b").distinct(), "pairs")
+def met(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int, whole: bool) -> DataFrame:
+    """The distinct pairs (a, b) whose sets link, or by their marks may link. The b travel to the a."""
     chunks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).alias("chunks"))
     goes = pairs.join(chunks, "a").groupBy(F.col("b").alias("doc_id")).agg(F.collect_list(F.struct("a", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"))).alias("goes"))
     travel, (n, entries) = keep_counted(goes.join(chunks.withColumnRenamed("a", "doc_id"), "doc_id", "full"), "travel", F.sum(F.size(F.coalesce("goes", F.array()))))
     rows = meeting(docs, travel, "doc_id", 2 * n + 2 * (entries or 0))
-    dealt = rows.mapInArrow(lambda it: travel_rows(it, shingle), "centre long, chunk long, role int, node long, items binary").repartition("centre", "chunk").sortWithinPartitions("centre", "chunk", "role")
-    out, (n,) = keep_counted(dealt.mapInArrow(lambda it: star_rows(it, percent), "a long, b long"), "links")
-    return out, n
+    sent = rows.mapInArrow(lambda it: travel_rows(it, shingle, whole), "centre long, chunk long, role int, node long, n long, items binary")
+    dealt = sent.repartition("centre", "chunk").sortWithinPartitions("centre", "chunk", "role")
+    return dealt.mapInArrow(lambda it: star_rows(it, percent, whole), "a long, b long")
+
+
+def verify(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, int, int]:
+    """Links among pairs (a, b), their number, and that of the pairs."""
+    pairs, (n,) = keep_counted(pairs.select("a", "b").distinct(), "pairs")
+    likely = keep(met(docs, pairs, shingle, percent, False), "likely")
+    links, (found,) = keep_counted(met(docs, likely, shingle, percent, True), "links")
+    return links, found, n
 
 
 def boxes(counts: np.ndarray, sizes: np.ndarray) -> tuple[list[slice], np.ndarray, np.ndarray, np.ndarray]:
@@ -295,10 +325,10 @@ def searched(split: DataFrame, percent: int = PERCENT) -> DataFrame:
     band = lambda x: F.floor(F.log(F.col(x)) / np.log(100 / percent)).cast("long")
     ones = side("a", box).withColumns({"salt": salt, "band": F.explode(F.sequence(band("low_a"), band("high_a")))})
     others = side("b", box).withColumn("band", F.explode(F.sequence(band("low_b") - 1, band("high_b") + 1)))
-    met = ones.join(others.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["leaf", "salt", "band"])
+    meet = ones.join(others.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["leaf", "salt", "band"])
     overlap = F.aggregate(F.zip_with("top_a", "top_b", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda total, x: total + x)
     near = (100 * F.col("high_a") >= percent * F.col("low_b")) & (100 * F.col("high_b") >= percent * F.col("low_a"))
-    pairs = met.filter((F.col("block_a") < F.col("block_b")) & near).filter(linked(overlap, F.col("low_a"), F.col("low_b"), percent)).select("block_a", "block_b").distinct()
+    pairs = meet.filter((F.col("block_a") < F.col("block_b")) & near).filter(linked(overlap, F.col("low_a"), F.col("low_b"), percent)).select("block_a", "block_b").distinct()
     members = blocks.join(box.select("block"), "block", "left_semi").select("leaf", "block", "nodes", "parts", "sizes", "counts")
     both = pairs.join(side("a", members).drop("leaf"), "block_a").join(side("b", members).drop("leaf"), "block_b")
     spread = both.repartition(F.col("block_a"), F.col("block_b"))
@@ -348,19 +378,19 @@ def joined(docs: DataFrame, sketches: DataFrame, shingle: int = SHINGLE, percent
     copies, (n_copies,) = keep_counted(sized.join(classes, ["n_shingles", "sum_a", "sum_b"]).filter("doc_id <> node").select("doc_id").distinct(), "equal-sets")
     docs = docs.filter("doc_id is not null")
     leaves = shared_leaves(docs, copies, n_copies, shingle, percent)
-    found, _ = verify(docs, leaves.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")), shingle, percent)
+    found, fresh, tried = verify(docs, leaves.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")), shingle, percent)
     labels = components(found)
     leaves = leaves.drop("centre")
     for turn in range(1, ROUNDS):
-        split = split_leaves(leaves, labels, turn).filter("component <> of_centre")
-        found, fresh = verify(docs, split.select(F.col("centre").alias("a"), F.col("node").alias("b")), shingle, percent)
-        if not fresh:
+        if WORTH * fresh < tried or not fresh:
             break
+        split = split_leaves(leaves, labels, turn).filter("component <> of_centre")
+        found, fresh, tried = verify(docs, split.select(F.col("centre").alias("a"), F.col("node").alias("b")), shingle, percent)
         labels = extended(labels, found)
     split = keep(split_leaves(leaves, labels, ROUNDS).select("leaf", "node", "component"), "open")
     nodes, (n,) = keep_counted(split.select(F.col("node").alias("doc_id")).distinct(), "open-nodes")
     points = meeting(docs, nodes, "doc_id", n).mapInArrow(lambda it: point_rows(it, shingle), "node long, n long, counts array<int>").filter("n > 0")
-    last, _ = verify(docs, searched(split.join(points, "node"), percent), shingle, percent)
+    last, _, _ = verify(docs, searched(split.join(points, "node"), percent), shingle, percent)
     return extended(labels, last)
 
 

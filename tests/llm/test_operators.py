@@ -311,6 +311,22 @@ def test_linked_sets_share_an_address():
         assert set(address[owner == 0]) & set(address[owner == 1])
 
 
+def test_marks_never_part_linked_sets():
+    rng = np.random.default_rng(7)
+    parted = 0
+    for _ in range(600):
+        n, percent = int(rng.integers(1, 300)), int(rng.choice([80, 85]))
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        drop = int(rng.integers(0, n))
+        b = np.unique(np.concatenate([a[drop:], rng.integers(0, 2**63, int(rng.integers(0, n // 4 + 1)), dtype=np.uint64)]))
+        pair = [(len(x), jaccard.marks(x)) for x in (a, b)]
+        links = jaccard.do_link(*((len(x), x.view(np.uint8)) for x in (a, b)), percent)
+        assert links == jaccard.linked(len(np.intersect1d(a, b)), len(a), len(b), percent)
+        assert jaccard.may_link(*pair, percent) or not links
+        parted += not links and not jaccard.may_link(*pair, percent)
+    assert parted > 200
+
+
 def test_rtree_finds_all_pairs_within_the_bound():
     rng = np.random.default_rng(4)
     centre = rng.poisson(5, (20, jaccard.GROUPS))
