@@ -8,17 +8,18 @@ the leaf of the tree in which that segment's point lies. Group counts over the w
 serve as the tree's upper levels: at 0.85 the boxes of random counts overlap, and every pair of equal size
 would be visited (figures in the README).
 
-In the leaves, texts meet a centre of their leaf first and are verified; leaves of one component need no
-more. Further rounds with other centres follow while they find links in a tenth of the pairs they look at. Whatever pairs of a leaf then still lie in
-different components are searched by an R-tree over their group counts: nodes bound the overlap by the
-sum of coordinate minima of their boxes, entries by their own, and surviving pairs are verified on the
-whole sets. A leaf of many texts is cut into blocks by size, whose pairs are searched in tasks of their own where the
-sizes allow a link. So no group of similar texts is ever expanded into its pairs, and no pair that links is lost.
-
-Pairs are verified in two steps: bitmaps of the sets, a tenth of their size, bound the overlap by the bits that only one
-side has, and the whole sets of what is left are compared. Neither is written: whoever needs one (a centre, the members
-that meet it) makes it from the text anew, and a centre travels once for `STAR` members. An address that is frequent within one piece of texts is dealt out by piece, so no
-task holds all the texts of a frequent one.
+Within a leaf an R-tree over the group counts of its members finds the pairs that may link: nodes bound the
+overlap by the sum of coordinate minima of their boxes, entries by their own counts; bitmaps of the sets then
+bound it by the bits that only one side has. What survives is verified on the whole sets. A leaf of many texts
+is cut into blocks by size, whose pairs are searched in tasks of their own where sizes and boxes allow a link.
+
+No group of similar texts is expanded into its pairs: where a search finds more than twice as many pairs as it
+has members, it first returns two for each member, and the leaf is searched once more when these are verified,
+for pairs between what is not yet connected. No pair that could connect something is lost.
+
+Sets are not written: a pair's sets are made from the texts anew, and one that many others meet travels once for
+`STAR` of them. An address that is frequent within one piece of texts is dealt out by piece, so no task holds all
+the texts of a frequent one.
 
 Cases: null and empty texts have no shingles and link with nothing; 1 to 3 words are one shingle; equal
 sets are one node; rows that share doc_id are one document; a row without doc_id gets no component and
@@ -41,10 +42,8 @@ from shopfloor.llm.text import U, Words, gram_starts, grams, lists, mix, pieces,
 SHINGLE = 4
 PERCENT = 85
 GROUPS = 128
-#: Rounds of centres: at most so many, and only after one that found links in 1 / WORTH of its pairs. What they leave open the tree searches in full.
-ROUNDS, WORTH = 4, 10
 NODE = 64
-#: Members that meet one copy of their centre, and occurrences within one piece of texts that make an address a frequent one.
+#: Sets that meet one copy of the set they share, and occurrences within one piece of texts that make an address a frequent one.
 STAR, FREQUENT = 256, 64
 #: Rows of a block of a leaf, and tasks in which the boxes of a leaf's blocks meet.
 BLOCK, SALTS = 512, 16
@@ -156,10 +155,11 @@ def leaf_rows(batches: Iterator[pa.RecordBatch], shingle: int, percent: int) ->
 
 
 def point_rows(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    """node, n, counts (group counts)"""
+    """node, n, counts (group counts), marks"""
     for rows, hashes, text, sizes in text_sets(batches, shingle):
-        counts = group_counts(hashes, text, rows.num_rows)
-        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(sizes), lists(counts.ravel(), np.full(len(sizes), GROUPS), pa.int32())], ["node", "n", "counts"])
+        counts, ends = group_counts(hashes, text, rows.num_rows), np.cumsum(sizes)
+        bits = [marks(hashes[b - n : b]).tobytes() for b, n in zip(ends, sizes)]
+        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(sizes), lists(counts.ravel(), np.full(len(sizes), GROUPS), pa.int32()), pa.array(bits, pa.binary())], ["node", "n", "counts", "marks"])
 
 
 def marks(items: np.ndarray) -> np.ndarray:
@@ -187,53 +187,69 @@ def do_link(one: tuple[int, np.ndarray], two: tuple[int, np.ndarray], percent: i
     return linked(int((b[at] == a).sum()), len(a), len(b), percent)
 
 
-def travel_rows(batches: Iterator[pa.RecordBatch], shingle: int, whole: bool) -> Iterator[pa.RecordBatch]:
-    """centre, chunk, role (0: the centre, 1: a member), node, n, items (the sorted hashes, or their marks) for everywhere that a text's set has to go."""
+def marks(items: np.ndarray) -> np.ndarray:
+    """Bitmap of a set, of the power of two of bits above four for each item."""
+    bits = np.zeros(1 << max(6, int(4 * len(items)).bit_length()), bool)
+    bits[(items >> U(8)).astype(np.int64) & (len(bits) - 1)] = True
+    return np.packbits(bits)
+
+
+def may_link(one: tuple[int, np.ndarray], two: tuple[int, np.ndarray], percent: int) -> bool:
+    """Whether two sets (number of items, marks) may link: every mark that one side alone has is an item that it alone has."""
+    (n, a), (m, b) = one, two
+    if len(a) != len(b):
+        size = min(len(a), len(b))
+        a, b = (np.bitwise_or.reduce(x.reshape(-1, size), axis=0) for x in (a, b))
+    common = min(n - int(np.bitwise_count(a & ~b).sum()), m - int(np.bitwise_count(b & ~a).sum()))
+    return linked(max(common, 0), n, m, percent)
+
+
+def do_link(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    if not len(a) or not len(b):
+        return False
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    return linked(int((b[at] == a).sum()), len(a), len(b), percent)
+
+
+def travel_rows(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    """a, chunk, role (0: the set of a, 1: that of a b), node, items (the sorted hashes) for everywhere that a text's set has to go."""
     for rows, hashes, text, sizes in text_sets(batches, shingle):
-        bounds, out = np.append(0, np.cumsum(sizes)), ([], [], [], [], [], [])
+        bounds, out = np.append(0, np.cumsum(sizes)), ([], [], [], [], [])
         for i, (node, goes, chunks) in enumerate(zip(*(rows.column(c).to_pylist() for c in ("doc_id", "goes", "chunks")))):
-            items = hashes[bounds[i] : bounds[i + 1]]
-            items, n = (items if whole else marks(items)).tobytes(), len(items)
-            for row in [(g["a"], g["chunk"], 1, node, n, items) for g in goes or ()] + [(node, k, 0, node, n, items) for k in range(chunks or 0)]:
+            items = hashes[bounds[i] : bounds[i + 1]].tobytes()
+            for row in [(g["a"], g["chunk"], 1, node, items) for g in goes or ()] + [(node, k, 0, node, items) for k in range(chunks or 0)]:
                 for column, value in zip(out, row):
                     column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], ["centre", "chunk", "role", "node", "n", "items"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))], ["a", "chunk", "role", "node", "items"])
 
 
-def star_rows(batches: Iterator[pa.RecordBatch], percent: int, whole: bool) -> Iterator[pa.RecordBatch]:
-    """(a, b): centres and the members that link (or may link) with them, from rows sorted by centre, chunk and role."""
-    at, centres, fit = None, [], do_link if whole else may_link
+def star_rows(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """(a, b): pairs whose sets link, from rows sorted by a, chunk and role."""
+    at, ones = None, []
     for batch in batches:
         out, items = ([], []), batch.column("items")
-        for i, (centre, chunk, role, node, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("centre", "chunk", "role", "node", "n")))):
-            if (centre, chunk) != at:
-                at, centres = (centre, chunk), []
-            one = (n, np.frombuffer(items[i].as_buffer(), np.uint8))
+        for i, (a, chunk, role, node) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "chunk", "role", "node")))):
+            if (a, chunk) != at:
+                at, ones = (a, chunk), []
+            this = np.frombuffer(items[i].as_buffer(), np.uint64)
             if role == 0:
-                centres.append((n, one[1].copy()))
-            elif any(fit(other, one, percent) for other in centres):
-                out[0].append(centre)
+                ones.append(this.copy())
+            elif any(do_link(one, this, percent) for one in ones):
+                out[0].append(a)
                 out[1].append(node)
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["a", "b"])
 
 
-def met(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int, whole: bool) -> DataFrame:
-    """The distinct pairs (a, b) whose sets link, or by their marks may link. The b travel to the a."""
+def verify(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links among pairs (a, b). The sets of the b travel to those of the a."""
+    pairs = keep(pairs.select("a", "b").distinct(), "pairs")
     chunks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).alias("chunks"))
     goes = pairs.join(chunks, "a").groupBy(F.col("b").alias("doc_id")).agg(F.collect_list(F.struct("a", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"))).alias("goes"))
     travel, (n, entries) = keep_counted(goes.join(chunks.withColumnRenamed("a", "doc_id"), "doc_id", "full"), "travel", F.sum(F.size(F.coalesce("goes", F.array()))))
     rows = meeting(docs, travel, "doc_id", 2 * n + 2 * (entries or 0))
-    sent = rows.mapInArrow(lambda it: travel_rows(it, shingle, whole), "centre long, chunk long, role int, node long, n long, items binary")
-    dealt = sent.repartition("centre", "chunk").sortWithinPartitions("centre", "chunk", "role")
-    return dealt.mapInArrow(lambda it: star_rows(it, percent, whole), "a long, b long")
-
-
-def verify(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, int, int]:
-    """Links among pairs (a, b), their number, and that of the pairs."""
-    pairs, (n,) = keep_counted(pairs.select("a", "b").distinct(), "pairs")
-    likely = keep(met(docs, pairs, shingle, percent, False), "likely")
-    links, (found,) = keep_counted(met(docs, likely, shingle, percent, True), "links")
-    return links, found, n
+    sent = rows.mapInArrow(lambda it: travel_rows(it, shingle), "a long, chunk long, role int, node long, items binary")
+    dealt = sent.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "role")
+    return keep(dealt.mapInArrow(lambda it: star_rows(it, percent), "a long, b long"), "links")
 
 
 def boxes(counts: np.ndarray, sizes: np.ndarray) -> tuple[list[slice], np.ndarray, np.ndarray, np.ndarray]:
@@ -272,7 +288,7 @@ def rtree_pairs(counts: np.ndarray, sizes: np.ndarray, part: np.ndarray) -> tupl
 
 
 #: Columns of a block: members of one leaf in order of size and counts, with the box around them.
-BLOCK_SCHEMA = "leaf long, block string, low long, high long, top array<int>, nodes array<long>, parts array<long>, sizes array<long>, counts array<int>"
+BLOCK_SCHEMA = "leaf long, block string, low long, high long, top array<int>, nodes array<long>, parts array<long>, sizes array<long>, marks array<binary>, counts array<int>"
 
 
 def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,34 +307,99 @@ def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top = np.stack([counts[a:b].max(axis=0) for a, b in cuts])
         yield pa.RecordBatch.from_arrays(
             [pa.array(leaf[first]), pa.array([f"{task}-{number + i}" for i in range(len(cuts))]), pa.array(np.minimum.reduceat(n, first)), pa.array(np.maximum.reduceat(n, first)),
-             lists(top.ravel(), np.full(len(cuts), GROUPS), pa.int32()), *(lists(x, lengths, pa.int64()) for x in (node, part, n)), lists(counts.ravel(), lengths * GROUPS, pa.int32())],
-            ["leaf", "block", "low", "high", "top", "nodes", "parts", "sizes", "counts"],
+             lists(top.ravel(), np.full(len(cuts), GROUPS), pa.int32()), *(lists(x, lengths, pa.int64()) for x in (node, part, n)),
+             pa.ListArray.from_arrays(pa.array(np.append(first, len(leaf)), pa.int32()), batch.column("marks")), lists(counts.ravel(), lengths * GROUPS, pa.int32())],
+            ["leaf", "block", "low", "high", "top", "nodes", "parts", "sizes", "marks", "counts"],
         )
         number += len(cuts)
 
 
-def search_rows(batches: Iterator[pa.RecordBatch], two: bool, percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs that the trees let through, of each block with itself or of each pair of blocks."""
+#: node, (counts, sizes, part) and marks of the members of one side of a search.
+Side = tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray], list[np.ndarray]]
+
+
+def few(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of pairs, at most two for each node: with its neighbours of the smallest and greatest hash, so that the searches of a group agree on them."""
+    ends, others = np.concatenate([a, b]), np.concatenate([b, a])
+    order = np.lexsort((mix(others.view(np.uint64)), ends))
+    new = np.append(True, ends[order[1:]] != ends[order[:-1]])
+    return np.unique(np.concatenate([order[new], order[np.append(new[1:], True)]]) % len(a))
+
+
+def likely_pairs(leaf: int, one: Side, two: Side | None, percent: int, whole: bool) -> pa.RecordBatch:
+    """leaf, a, b, more: the pairs that the trees let through and whose marks may link; if not `whole`, few of many, and `more`."""
+    (node, tree, marks_), (other, other_tree, other_marks) = one, two or one
+    a, b = tree_pairs(tree, other_tree if two else None, percent)
+    good = np.array([may_link((tree[1][i], marks_[i]), (other_tree[1][j], other_marks[j]), percent) for i, j in zip(a.tolist(), b.tolist())], bool)
+    a, b = node[a[good]], other[b[good]]
+    more = not whole and len(a) > 2 * (len(node) + (len(other) if two else 0))
+    if more:
+        some = few(a, b)
+        a, b = a[some], b[some]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), leaf)), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), more))], ["leaf", "a", "b", "more"])
+
+
+def bitmaps(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.uint8) for x in column]
+
+
+def search_rows(batches: Iterator[pa.RecordBatch], two: bool, percent: int, whole: bool) -> Iterator[pa.RecordBatch]:
+    """Likely pairs of each block with itself or of each pair of blocks."""
     for batch in batches:
         for i in range(batch.num_rows):
-            sides = []
+            sides: list[Side] = []
             for x in ("_a", "_b") if two else ("",):
                 node, part, n, counts = (np.array(batch.column(f"{c}{x}")[i].values) for c in ("nodes", "parts", "sizes", "counts"))
-                sides.append((node, (counts.reshape(len(node), GROUPS), n, part)))
-            a, b = tree_pairs(*(tree for _, tree in sides), percent=percent)
-            a, b = sides[0][0][a], sides[-1][0][b]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                sides.append((node, (counts.reshape(len(node), GROUPS), n, part), bitmaps(batch.column(f"marks{x}")[i].values)))
+            yield likely_pairs(batch.column("leaf")[i].as_py(), sides[0], sides[1] if two else None, percent, whole)
+
 
+def leaf_pairs(batches: Iterator[pa.RecordBatch], percent: int, whole: bool) -> Iterator[pa.RecordBatch]:
+    """Likely pairs of each leaf of a partition sorted by leaf."""
+    rest: pa.Table | None = None
+
+    def search(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows = rows.combine_chunks()
+        leaf, node, part, n = (rows.column(c).to_numpy() for c in ("leaf", "node", "component", "n"))
+        counts = rows.column("counts").combine_chunks().flatten().to_numpy().reshape(len(leaf), GROUPS)
+        bits = bitmaps(rows.column("marks"))
+        bounds = np.append(np.flatnonzero(np.append(True, leaf[1:] != leaf[:-1])), len(leaf))
+        for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            found = likely_pairs(int(leaf[x]), (node[x:y], (counts[x:y], n[x:y], part[x:y]), bits[x:y]), None, percent, whole)
+            if found.num_rows:
+                yield found
 
-def searched(split: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) of leaf, node, component, n, counts that the trees of the leaves let through. A leaf is cut into blocks
-    of bounded rows; pairs of blocks whose boxes allow a link are searched one by one."""
-    rows = keep(split, "open-leaves")
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        now = pa.Table.from_batches([batch])
+        now = pa.concat_tables([rest, now]) if rest is not None else now
+        leaf = now.column("leaf").to_numpy()
+        last = int(np.searchsorted(leaf, leaf[-1]))  # the last leaf may go on in the next batch
+        if last:
+            yield from search(now.slice(0, last))
+        rest = now.slice(last)
+    if rest is not None:
+        yield from search(rest)
+
+
+FOUND = "leaf long, a long, b long, more boolean"
+
+
+def searched(split: DataFrame, points: DataFrame, percent: int = PERCENT, whole: bool = True) -> DataFrame:
+    """leaf, a, b, more: pairs of leaf, node, component that the trees of the leaves and the marks of points (node, n, counts, marks) let
+    through. A leaf of at most BLOCK rows is searched as a whole; a larger one is cut into blocks, and pairs of blocks whose boxes
+    allow a link are searched one by one."""
+    sized = split.join(split.groupBy("leaf").agg(F.count(F.lit(1)).alias("members")), "leaf")
+    small = sized.filter(F.col("members") <= BLOCK).drop("members").join(points, "node")
+    out = small.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(lambda it: leaf_pairs(it, percent, whole), FOUND)
+    rows, (n,) = keep_counted(sized.filter(F.col("members") > BLOCK).drop("members").join(points, "node"), "wide-leaves")
+    if not n:
+        return out
     dealt = rows.repartitionByRange("leaf", "n", "counts", "node").sortWithinPartitions("leaf", "n", "counts", "node")
     blocks = keep(dealt.mapInArrow(block_rows, BLOCK_SCHEMA), "blocks")
-    alone = blocks.mapInArrow(lambda it: search_rows(it, False, percent), "a long, b long")
-    wide = blocks.groupBy("leaf").agg(F.count(F.lit(1)).alias("blocks")).filter("blocks > 1").select("leaf")
-    box = keep(blocks.select("leaf", "block", "low", "high", "top").join(wide, "leaf"), "boxes")
+    alone = blocks.mapInArrow(lambda it: search_rows(it, False, percent, whole), FOUND)
+    box = keep(blocks.select("leaf", "block", "low", "high", "top"), "boxes")
     side = lambda x, df: df.select("leaf", *(F.col(c).alias(f"{c}_{x}") for c in df.columns if c != "leaf"))
     # the boxes of a large leaf meet in several tasks too, and only where their sizes are within one band of each other
     salt = F.pmod(F.xxhash64("block_a"), F.lit(SALTS))
@@ -328,11 +409,11 @@ def searched(split: DataFrame, percent: int = PERCENT) -> DataFrame:
     meet = ones.join(others.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["leaf", "salt", "band"])
     overlap = F.aggregate(F.zip_with("top_a", "top_b", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda total, x: total + x)
     near = (100 * F.col("high_a") >= percent * F.col("low_b")) & (100 * F.col("high_b") >= percent * F.col("low_a"))
-    pairs = meet.filter((F.col("block_a") < F.col("block_b")) & near).filter(linked(overlap, F.col("low_a"), F.col("low_b"), percent)).select("block_a", "block_b").distinct()
-    members = blocks.join(box.select("block"), "block", "left_semi").select("leaf", "block", "nodes", "parts", "sizes", "counts")
-    both = pairs.join(side("a", members).drop("leaf"), "block_a").join(side("b", members).drop("leaf"), "block_b")
-    spread = both.repartition(F.col("block_a"), F.col("block_b"))
-    return alone.unionByName(spread.mapInArrow(lambda it: search_rows(it, True, percent), "a long, b long")).distinct()
+    pairs = meet.filter((F.col("block_a") < F.col("block_b")) & near).filter(linked(overlap, F.col("low_a"), F.col("low_b"), percent)).select("leaf", "block_a", "block_b").distinct()
+    members = blocks.select("block", "nodes", "parts", "sizes", "marks", "counts")
+    side = lambda x: members.select(*(F.col(c).alias(f"{c}_{x}") for c in members.columns))
+    both = pairs.join(side("a"), "block_a").join(side("b"), "block_b").repartition(F.col("block_a"), F.col("block_b"))
+    return out.unionByName(alone).unionByName(both.mapInArrow(lambda it: search_rows(it, True, percent, whole), FOUND))
 
 
 def with_component(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -349,26 +430,16 @@ def extended(labels: DataFrame, links: DataFrame) -> DataFrame:
     return keep(moved.unionByName(more), "labels")
 
 
-def split_leaves(leaves: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    """leaf, node, component, centre, of_centre for the leaves with more than one component. The centre is a
-    member of the component with most members of the leaf, another one each turn."""
-    rows = with_component(leaves, labels)
-    parts = rows.groupBy("leaf", "component").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node")).alias("pick"))
-    centre = parts.groupBy("leaf").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("members", "component", "pick")).alias("c")).filter("parts > 1")
-    return rows.join(centre.select("leaf", F.col("c.pick.node").alias("centre"), F.col("c.component").alias("of_centre")), "leaf")
-
-
 def shared_leaves(docs: DataFrame, copies: DataFrame, n_copies: int, shingle: int, percent: int) -> DataFrame:
-    """leaf, node, centre of the addresses that more than one text is filed under; of leaves with the same members one is enough."""
+    """leaf, node of the addresses that more than one text is filed under; of leaves with the same members one is enough."""
     singles = meeting(docs, copies, "doc_id", n_copies, "left_anti")
     filed = singles.mapInArrow(lambda it: leaf_rows(it, shingle, percent), "leaf long, salt long, node long")
     # a salt other than 0 holds the texts of one piece, salt 0 one of each piece
     leaf = W.partitionBy("leaf", "salt")
     shared = filed.withColumns({"low": F.min("node").over(leaf), "high": F.max("node").over(leaf)}).filter("salt <> 0 or low < high")
     members = keep(shared.select("leaf", "node").distinct(), "members")
-    stats = members.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.xxhash64("node", F.lit(i)).cast("decimal(38,0)")).alias(f"h{i}") for i in range(2)), F.max(F.struct(F.xxhash64("node").alias("h"), "node")).alias("c"))
-    one = stats.filter("n > 1").groupBy("n", "h0", "h1").agg(F.min(F.struct("leaf", F.col("c.node").alias("centre"))).alias("one"))
-    return keep(members.join(one.select("one.leaf", "one.centre"), "leaf"), "leaves")
+    same = members.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.xxhash64("node", F.lit(i)).cast("decimal(38,0)")).alias(f"h{i}") for i in range(2)))
+    return keep(members.join(same.filter("n > 1").groupBy("n", "h0", "h1").agg(F.min("leaf").alias("leaf")).select("leaf"), "leaf"), "leaves")
 
 
 def joined(docs: DataFrame, sketches: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -378,20 +449,16 @@ def joined(docs: DataFrame, sketches: DataFrame, shingle: int = SHINGLE, percent
     copies, (n_copies,) = keep_counted(sized.join(classes, ["n_shingles", "sum_a", "sum_b"]).filter("doc_id <> node").select("doc_id").distinct(), "equal-sets")
     docs = docs.filter("doc_id is not null")
     leaves = shared_leaves(docs, copies, n_copies, shingle, percent)
-    found, fresh, tried = verify(docs, leaves.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")), shingle, percent)
-    labels = components(found)
-    leaves = leaves.drop("centre")
-    for turn in range(1, ROUNDS):
-        if WORTH * fresh < tried or not fresh:
-            break
-        split = split_leaves(leaves, labels, turn).filter("component <> of_centre")
-        found, fresh, tried = verify(docs, split.select(F.col("centre").alias("a"), F.col("node").alias("b")), shingle, percent)
-        labels = extended(labels, found)
-    split = keep(split_leaves(leaves, labels, ROUNDS).select("leaf", "node", "component"), "open")
-    nodes, (n,) = keep_counted(split.select(F.col("node").alias("doc_id")).distinct(), "open-nodes")
-    points = meeting(docs, nodes, "doc_id", n).mapInArrow(lambda it: point_rows(it, shingle), "node long, n long, counts array<int>").filter("n > 0")
-    last, _, _ = verify(docs, searched(split.join(points, "node"), percent), shingle, percent)
-    return extended(labels, last)
+    nodes, (n,) = keep_counted(leaves.select(F.col("node").alias("doc_id")).distinct(), "members")
+    points = keep(meeting(docs, nodes, "doc_id", n).mapInArrow(lambda it: point_rows(it, shingle), "node long, n long, counts array<int>, marks binary").filter("n > 0"), "points")
+    found = keep(searched(leaves.withColumn("component", F.col("node")), points, percent, whole=False), "found")
+    labels = components(verify(docs, found, shingle, percent))
+    again, (n,) = keep_counted(with_component(leaves.join(found.filter("more").select("leaf").distinct(), "leaf", "left_semi"), labels), "searched-again")
+    if not n:
+        return labels
+    parted = again.groupBy("leaf").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("leaf")
+    rest = searched(again.join(parted, "leaf", "left_semi"), points, percent)
+    return extended(labels, verify(docs, rest, shingle, percent))
 
 
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -320,7 +320,7 @@ def test_marks_never_part_linked_sets():
         drop = int(rng.integers(0, n))
         b = np.unique(np.concatenate([a[drop:], rng.integers(0, 2**63, int(rng.integers(0, n // 4 + 1)), dtype=np.uint64)]))
         pair = [(len(x), jaccard.marks(x)) for x in (a, b)]
-        links = jaccard.do_link(*((len(x), x.view(np.uint8)) for x in (a, b)), percent)
+        links = jaccard.do_link(a, b, percent)
         assert links == jaccard.linked(len(np.intersect1d(a, b)), len(a), len(b), percent)
         assert jaccard.may_link(*pair, percent) or not links
         parted += not links and not jaccard.may_link(*pair, percent)
@@ -337,6 +337,24 @@ def test_rtree_finds_all_pairs_within_the_bound():
     assert {tuple(sorted(map(int, p))) for p in zip(a, b)} == want
 
 
+@pytest.mark.parametrize("block", [512, 16])
+def test_groups_of_many_links_are_searched_twice(spark, monkeypatch, block):
+    """Near copies of one base that link with it, some with each other, and groups in a chain."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = random.Random(12)
+    rows, base = [], prose(rng, 160)
+    for i in range(70):
+        words = list(base)
+        for j in rng.sample(range(160), rng.randrange(1, 4)):
+            words[j] = f"edit{i}x{j}"
+        rows.append((i * 3, " ".join(words)))
+    rows += [(500 + i, " ".join(base[i:] + prose(rng, i))) for i in range(0, 120, 4)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs).collect()}
+    assert got == brute.jaccard_components(rows)
+
+
 def test_a_leaf_of_unlinked_sets_is_searched_in_blocks(spark, monkeypatch):
     """Short templated texts share a leaf and do not link; a task gets pairs of bounded blocks, and no link between blocks is lost."""
     monkeypatch.setattr(jaccard, "BLOCK", 16)
@@ -345,13 +363,12 @@ def test_a_leaf_of_unlinked_sets_is_searched_in_blocks(spark, monkeypatch):
     base = prose(rng, 40)
     rows += [(1000 + i, " ".join([*base[:-1], f"end{i}"])) for i in range(20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    monkeypatch.setattr(jaccard, "ROUNDS", 0)  # all is left to the trees
     sizes = []
     plain = jaccard.searched
 
-    def seen(split, *rule):
+    def seen(split, *rule, **more):
         sizes.extend(r.n for r in split.groupBy("leaf").count().select(jaccard.F.col("count").alias("n")).collect())
-        return plain(split, *rule)
+        return plain(split, *rule, **more)
 
     monkeypatch.setattr(jaccard, "searched", seen)
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs).collect()}
