@@ -130,8 +130,8 @@ def _(x):
     done = A.order_date(done.join(x.stores, "shop_no"))
     return union(
         layout.freshness("orders", done, "sales_date", A.order_time()),
-        layout.freshness("sales", x.sales, "sales_date"),
-        layout.freshness("settlement", x.settlement, "sales_date"),
+        layout.stored_freshness(x.inputs.spark, "sales", x.stored("sales")),
+        layout.stored_freshness(x.inputs.spark, "settlement", x.stored("settlement")),
         layout.freshness("target_daily", x.target_daily, "sales_date"),
         layout.freshness("goods_master", x.goods_master),
     )
@@ -657,7 +657,8 @@ REF = "2001-07-18"
 
 @query("f1_compare_windows")
 def _(x):
-    return union(*[C.windows_frame(x.sales, r) for r in (None, REF, "1995-01-05", "2001-03-31", "2000-12-31")])
+    span = x.stored("sales").span
+    return union(*[C.windows_frame(x.sales, r, span) for r in (None, REF, "1995-01-05", "2001-03-31", "2000-12-31")])
 
 
 @query("f2_compare_sums")

@@ -53,15 +53,17 @@ def compare_windows(ref: DateLike, dmin: Column, dmax: Column) -> Windows:
     return Windows(ref, ranges, valid)
 
 
-def sales_windows(sales: DataFrame, ref: DateLike | None = None) -> Windows:
+def sales_windows(sales: DataFrame, ref: DateLike | None = None, span: tuple[DateLike, DateLike] | None = None) -> Windows:
     """Windows over one sales dataset; the newest day is the default reference."""
-    dmin, dmax, _ = date_span(sales, "sales_date")
+    dmin, dmax = map(as_date, span) if span else date_span(sales, "sales_date")[:2]
     return compare_windows(dmax if ref is None else ref, dmin, dmax)
 
 
-def windows_frame(sales: DataFrame, ref: DateLike | None = None) -> DataFrame:
-    """The windows as one row, with the ISO year and week and the weekday of the reference day."""
-    span = sales.agg(F.min("sales_date").cast("date").alias("dmin"), F.max("sales_date").cast("date").alias("dmax"))
+def windows_frame(sales: DataFrame, ref: DateLike | None = None, span: tuple[DateLike, DateLike] | None = None) -> DataFrame:
+    """The windows as one row, with the ISO year and week and the weekday of the reference day. A stored dataset knows its
+    `span` (oldest and newest day); else the days of its first and last month are asked for."""
+    lo, hi = span or date_span(sales, "sales_date")[:2]
+    span = sales.sparkSession.range(1).select(as_date(lo).alias("dmin"), as_date(hi).alias("dmax"))
     w = compare_windows(F.col("dmax") if ref is None else ref, F.col("dmin"), F.col("dmax"))
     weekday = F.element_at(F.array(*[F.lit(x) for x in L.WEEKDAY_LABELS]), F.weekday(w.ref) + 1)
     cols = [w.ref.alias("ref")]

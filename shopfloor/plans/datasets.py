@@ -50,6 +50,11 @@ class Datasets:
     def __init__(self, inputs: Mapping[str, DataFrame], settings: Settings, store: layout.Store | None = None):
         self.inputs, self.settings, self.store = inputs, settings, store
 
+    def stored(self, name: str) -> layout.Manifest | None:
+        """Row count and date bounds of a stored monthly dataset, without a scan; written first if it is not yet. None without a store."""
+        getattr(self, name)
+        return None if self.store is None else self.store.manifest(name)
+
     def forget(self) -> None:
         """Drop what was built, so that the next use sees the inputs of that moment."""
         for name, prop in vars(type(self)).items():
@@ -302,8 +307,8 @@ def refresh(
             layout.publish(getattr(type(data), SNAPSHOTS[name]).build(data), path)
             continue
         build, days = WINDOWED[name]
-        if mode == "rebuild" or not layout.path_exists(spark, path):
-            layout.write_monthly(build(data, None), path)
+        if mode == "rebuild" or layout.manifest(spark, path) is None:
+            layout.write_monthly(build(data, None), path, replace=True)
         else:
             s = data.settings
             clip = (lambda since: A.option_since(since, s.as_of, s.option_floor_days)) if name == "sales_option" else None

@@ -3,6 +3,7 @@
 import datetime as dt
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from checks.queries import AS_OF
@@ -203,3 +204,74 @@ def test_since_bounds_orders_and_keeps_old_orders_refunded_later(frame):
     stores = frame("shop_no INT, store_name STRING, shop_type STRING", [(1, "a", "T")])
     got = A.ledger_events(orders, claims, stores, "2024-02-01").select("order_id", "sales_date", "sign")
     assert rows(got) == [(1, dt.date(2024, 3, 2), -1), (2, dt.date(2024, 3, 1), 1), (3, dt.date(2024, 3, 3), -1)]
+
+
+def day_rows(frame, *days):
+    return frame("sales_date DATE, v INT", [(dt.date.fromisoformat(d), v) for d, v in days])
+
+
+def test_a_reader_meets_a_whole_window(spark, frame, tmp_path):
+    path = str(tmp_path / "d")
+    layout.write_monthly(day_rows(frame, ("2024-01-05", 1), ("2024-02-20", 2), ("2024-03-01", 3)), path)
+    opened = layout.read_monthly(spark, path)
+    old = rows(opened.select("sales_date", "v"))
+    before = layout.manifest(spark, path)
+    fresh = layout.stage(day_rows(frame, ("2024-02-21", 8), ("2024-03-02", 9)), path)
+    # staged, not committed: as before, for new readers too, and for good if the job dies here
+    assert rows(layout.read_monthly(spark, path).select("sales_date", "v")) == old
+    layout.commit(spark, path, before, day_rows(frame).schema, before.months | fresh)
+    assert rows(layout.read_monthly(spark, path).select("v")) == [(1,), (8,), (9,)]
+    assert rows(opened.select("sales_date", "v")) == old  # its files stay
+    assert rows(layout.read_monthly(spark, path).filter(F.col(layout.MONTH) >= "2024-03").select("v")) == [(9,)]
+
+
+def test_a_refresh_that_dies_changes_nothing(spark, frame, tmp_path, monkeypatch):
+    path = str(tmp_path / "d")
+    old = day_rows(frame, ("2024-01-05", 1), ("2024-02-20", 2))
+    layout.write_monthly(old, path)
+    monkeypatch.setattr(layout, "commit", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt))
+    try:
+        layout.replace_window_on_disk(spark, path, lambda since: day_rows(frame, ("2024-02-22", 7)), 30)
+    except KeyboardInterrupt:
+        pass
+    monkeypatch.undo()
+    assert rows(layout.read_monthly(spark, path).select("sales_date", "v")) == rows(old)
+    layout.replace_window_on_disk(spark, path, lambda since: day_rows(frame, ("2024-02-22", 7)), 10)
+    assert rows(layout.read_monthly(spark, path).select("v")) == [(1,), (7,)]
+
+
+def test_two_refreshes_of_one_commit_conflict(spark, frame, tmp_path):
+    path = str(tmp_path / "d")
+    layout.write_monthly(day_rows(frame, ("2024-01-05", 1)), path)
+    before = layout.manifest(spark, path)
+    schema = day_rows(frame).schema
+    one, two = (layout.stage(day_rows(frame, ("2024-01-06", v)), path) for v in (5, 6))
+    layout.commit(spark, path, before, schema, one)
+    with pytest.raises(layout.CommitConflict):
+        layout.commit(spark, path, before, schema, two)
+    assert rows(layout.read_monthly(spark, path).select("v")) == [(5,)]
+
+
+def test_old_versions_go_and_live_ones_stay(spark, frame, tmp_path):
+    path = str(tmp_path / "d")
+    layout.write_monthly(day_rows(frame, ("2024-01-05", 0), ("2024-02-05", 0)), path)
+    for v in range(1, 5):
+        layout.write_monthly(day_rows(frame, ("2024-02-05", v)), path)
+    assert rows(layout.read_monthly(spark, path).select("v")) == [(0,), (4,)]
+    left = [p for p in (tmp_path / "d").glob("version=*/sales_month=*")]
+    assert len(left) == 1 + layout.KEPT_COMMITS and len(list((tmp_path / "d" / "_commits").glob("*.json"))) == layout.KEPT_COMMITS
+
+
+def test_a_commit_knows_rows_and_days(spark, frame, data, tmp_path):
+    path = str(tmp_path / "d")
+    layout.write_monthly(day_rows(frame), path)
+    assert layout.read_monthly(spark, path).columns == ["sales_date", "v", layout.MONTH] and layout.manifest(spark, path).span == (None, None)
+    rows_with_a_gap = frame("sales_date DATE, v INT", [(dt.date(2024, 5, 2), 1), (None, 2), (dt.date(2023, 1, 9), 3)])
+    now = layout.write_monthly(rows_with_a_gap, path)
+    assert now.rows == 3 and now.span == (dt.date(2023, 1, 9), dt.date(2024, 5, 2))
+    assert sorted(r.v for r in layout.read_monthly(spark, path).collect()) == [1, 2, 3]
+    stored = data.stored("sales")
+    assert (stored.rows, *stored.span) == tuple(data.sales.agg(F.count(F.lit(1)), F.min("sales_date").cast("date"), F.max("sales_date").cast("date")).first())
+    for df in (layout.stored_freshness(spark, "sales", stored), C.windows_frame(data.sales, None, stored.span)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "FileScan" not in plan and "Exchange" not in plan

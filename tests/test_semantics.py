@@ -73,7 +73,9 @@ def test_option_sales(ledger, frame):
     assert got[(D1, "S1", 11)] == (L.NO_OPTION, 2, money(100), L.UNMATCHED_BRAND)
     assert got[(D2, "S1", 10)] == ("M", 0, money(0), L.UNMATCHED_BRAND)
     assert got[(D3, "S1", 10)][1] == -2
-    assert A.net_sales_option(orders, lines, claims, stores, brands, cats, as_of=dt.date(2024, 6, 20)).count() == 0
+    late = dict(as_of=dt.date(2024, 6, 20))
+    assert A.net_sales_option(orders, lines, claims, stores, brands, cats, **late).count() == len(out)  # no floor: all days
+    assert A.net_sales_option(orders, lines, claims, stores, brands, cats, **late, floor_days=60).count() == 0
 
 
 def test_store_dimension(frame):
