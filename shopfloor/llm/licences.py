@@ -21,11 +21,14 @@ from shopfloor.llm.store import table
 
 #: Spellings that mean the same (regular expression on lower case -> one form).
 SPELLINGS = ((r"\blicence\b", "license"), (r"\blicenced\b", "licensed"), (r"\bsub-?licence\b", "sublicense"), (r"\bcopyright holders?\b", "copyright owner"), (r"https?://", ""), (r"\bversion\b|\bv\.", "v"), (r"&", " and "))
+#: Anything within a line that is no letter or digit of any script.
+_GAP = r"[^\p{L}\p{N}\n]"
 #: What a line of a title or a copyright holds; such lines go at the head of a text, whether they have a year or not.
-_TITLE = r"(?:the[^\w\n]+)?(?:(?:new|revised|modified|simplified|original|two[^\w\n]?clause|three[^\w\n]?clause|[0-4][^\w\n]?clause)[^\w\n]+)?(?:(?:mit|expat|x11|isc|0?bsd|zlib)[^\w\n]+(?:(?:zero|two|three|[0-4])[^\w\n]?clause[^\w\n]+)?)?(?:licen[cs]e|unlicense)(?:[^\w\n]+(?:mit|expat|isc|0?bsd))?[^\w\n]*"
-_HEAD = rf"\A(?:[^\w\n]*(?:(?:copyright\b|\(c\)|©)[^\n]*|all rights reserved[^\w\n]*|{_TITLE})?(?:\n|\z)){{1,64}}"
-#: Lines that state a copyright: at the head of a text (its first 64 lines) any, further down those with a year, a place for one, or a sign.
-COPYRIGHT = rf"{_HEAD}|(?m)^\W*(copyright\b|\(c\)|©)[^\n]*(\d{{4}}|[\[<{{](yyyy|year)\b)[^\n]*$|(?m)^\W*copyright[^\w\n(©]*(\(c\)|©)[^\n]*$|(?m)^\W*all rights reserved\W*$"
+_TITLE = rf"(?:the{_GAP}+)?(?:(?:new|revised|modified|simplified|original|two{_GAP}?clause|three{_GAP}?clause|[0-4]{_GAP}?clause){_GAP}+)?(?:(?:mit|expat|x11|isc|0?bsd|zlib){_GAP}+(?:(?:zero|two|three|[0-4]){_GAP}?clause{_GAP}+)?)?(?:licen[cs]e|unlicense)(?:{_GAP}+(?:mit|expat|isc|0?bsd))?{_GAP}*"
+#: Possessive, so however many lines the head has, they are passed once and nothing is tried again.
+_HEAD = rf"\A(?:{_GAP}*(?:(?:copyright\b|\(c\)|©)[^\n]*|all rights reserved{_GAP}*|{_TITLE})?(?:\n|\z))++"
+#: Lines that state a copyright: at the head of a text any, further down those with a year, a place for one, or a sign. No part crosses a line end.
+COPYRIGHT = rf"{_HEAD}|(?md)^{_GAP}*+(?:(?:copyright\b|\(c\)|©)[^\n]*(?:\d{{4}}|[\[<{{](?:yyyy|year)\b)[^\n]*|copyright[^\p{{L}}\p{{N}}\n(©]*(?:\(c\)|©)[^\n]*|all rights reserved{_GAP}*)$"
 
 #: Texts of notices and short licences.
 NOTICES = (
@@ -98,7 +101,18 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_canonical(text: str) -> str:
-    out = f"regexp_replace(lower({text}), '{COPYRIGHT}', ' ', 'g')"
+    """Line by line, in DuckDB's own terms: lines of the head up to the first other one, then lines that state a copyright, are left out."""
+    other = r"[^\p{L}\p{N}]"
+    states = rf"{other}*(copyright\b|\(c\)|©).*"
+    title = (
+        rf"(the{other}+)?((new|revised|modified|simplified|original|(two|three|[0-4]){other}?clause){other}+)?"
+        rf"((mit|expat|x11|isc|bsd|0bsd|zlib){other}+((zero|two|three|[0-4]){other}?clause{other}+)?)?(license|licence|unlicense)({other}+(mit|expat|isc|bsd|0bsd))?"
+    )
+    head = rf"{states}|{other}*(all rights reserved|{title})?{other}*"
+    dated = rf"{states}(\d{{4}}|[\[<{{](yyyy|year)\b).*|{other}*copyright[^\p{{L}}\p{{N}}(©]*(\(c\)|©).*|{other}*all rights reserved{other}*"
+    lines = f"string_split(lower({text}), chr(10))"
+    rest = f"{lines}[coalesce(nullif(list_position(list_transform({lines}, lambda x: regexp_full_match(x, '{head}', 's')), false), 0), 1000000000):]"
+    out = f"array_to_string(list_filter({rest}, lambda x: NOT regexp_full_match(x, '{dated}', 's')), chr(10))"
     for pattern, form in SPELLINGS:
         out = f"regexp_replace({out}, '{pattern}', '{form}', 'g')"
     return f"sha256(trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')))"

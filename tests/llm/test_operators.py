@@ -3,6 +3,7 @@
 import math
 import random
 import sys
+import time
 from collections import Counter
 from pathlib import Path
 
@@ -594,3 +595,17 @@ def test_pipeline_near_copies_at_five_words_and_80(spark):
     kept = {r.doc_id for r in p.without_near_copies(spark, docs, "").collect()}
     assert kept == set(least.values())
     assert kept < {c for _, _, c in brute.jaccard_components(rows)}
+
+
+def test_an_article_above_a_licence_is_no_licence(spark):
+    """In any script; and head lines of any number, and long texts without spaces, take one pass."""
+    mit = dict(licences.NOTICES)["MIT"]
+    lead = ["Это статья о лесе\nи реке.", "這是一篇文章\n關於河流", "Αυτό είναι ένα άρθρο\nγια το δάσος", "An article about\nthe forest"]
+    texts = [f"{x}\nCopyright (c) 2020 A\n\n{mit}" for x in lead]
+    texts += [f"MIT License\n\nCopyright (c) 2020 A\n\n{mit}", "".join(f"Copyright 20{i % 100:02d} Holder {i}\n" for i in range(3000)) + mit, f"Авторы: Copyright 2020\n{mit}"]
+    texts.append("\n".join(["河流" * 6] * 8000))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    licences.scan(docs.limit(1)).collect()
+    began = time.time()
+    got = {r.doc_id: r.license for r in licences.scan(docs).collect()}
+    assert [got[i] for i in range(8)] == [None] * 4 + ["MIT"] * 2 + [None] * 2 and time.time() - began < 10
