@@ -201,7 +201,8 @@ def near_matches(docs: DataFrame, benchmark: DataFrame, slop: int) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no window of the benchmark occurs."""
     hit = keep(decontaminate(docs, benchmark).filter("n_hit > 0").select("text_key").distinct(), "contaminated")
-    return docs.withColumn("_key", text_key(F.col("text"))).join(hit.withColumnRenamed("text_key", "_key"), "_key", "left_anti").select(*docs.columns)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), text_key(F.col("text")).alias("text_key"))
+    return rows.join(hit, "text_key", "left_anti").select("row.*")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,17 +61,20 @@ def shard_of(doc_id: Column, tree: Layout) -> Column:
     return node.cast("int")
 
 
-def slot_bucket(doc_id: Column) -> Column:
-    return F.conv(F.substring(F.md5(F.concat(F.lit("slot/"), F.coalesce(doc_id.cast("string"), F.lit("null")))), 1, 3), 16, 10).cast("int")
+#: Buckets that the rows of a shard are numbered in.
+BUCKETS = 4096
 
 
 def shard(docs: DataFrame, tree: Layout, order: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Adds `shard` and `slot`. Rows are shuffled once, by (shard, bucket); the counts need the id alone."""
-    placed = docs.drop("shard", "slot", "_bucket").withColumns({"shard": shard_of(F.col("doc_id"), tree), "_bucket": slot_bucket(F.col("doc_id"))})
-    counts = placed.groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    first = counts.select("shard", "_bucket", (F.sum("_n").over(W.partitionBy("shard").orderBy("_bucket")) - F.col("_n")).alias("_first"))
-    row = F.row_number().over(W.partitionBy("shard", "_bucket").orderBy(*order)) - 1
-    return placed.withColumn("_row", row).join(first, ["shard", "_bucket"]).withColumn("slot", (F.col("_first") + F.col("_row")).cast("long")).drop("_row", "_first", "_bucket")
+    """Adds `shard` and `slot` (columns of these names are replaced, all others kept). Rows are shuffled once, by shard and a
+    hash of `order`, by which slots are numbered within a bucket; the counts need these columns alone."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot")))
+    placed = docs.select(row.alias("row"), shard_of(F.col("doc_id"), tree).alias("shard"), F.pmod(F.xxhash64(*order), F.lit(BUCKETS)).alias("bucket"))
+    counts = placed.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    first = counts.select("shard", "bucket", (F.sum("n").over(W.partitionBy("shard").orderBy("bucket")) - F.col("n")).alias("first"))
+    place = F.row_number().over(W.partitionBy("shard", "bucket").orderBy(*(F.col("row")[c] for c in order))) - 1
+    numbered = placed.withColumn("place", place).join(first, ["shard", "bucket"])
+    return numbered.select("row.*", "shard", (F.col("first") + F.col("place")).cast("long").alias("slot"))
 
 
 def sized(docs: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from checks.runall import compare  # noqa: E402
 from conftest import SF_DIR  # noqa: E402
 from shopfloor.llm import automata, components, decontamination, dom, extraction, jaccard, licences, mixing, quality_model, quality_rules, queries, sharding, suffixes  # noqa: E402
 
-DDL = "doc_id long, text string, lang string, source string, n_chars long, size long, shard string, slot string, text_key string, key string, node int, component int, taken int, target int, n_words string, license int, `_n` int"
+DDL = "doc_id long, text string, lang string, source string, n_chars long, size long, shard string, slot string, text_key string, key string, node int, component int, taken int, target int, n_words string, license int, `_n` int, `_first` int, `_row` string, `_key` string, row int, bucket int, first int, place string, n int, of int, whole string, cut int, a int, b int, link int, leaf int, `two words` int"
 
 
 def prose(rng, n, vocabulary=4000):
@@ -50,7 +50,7 @@ def hard_rows():
 
 
 def full(rows):
-    return [(d, t, "en", None if d is None else f"s{d % 3}", 0, 9, "x", "y", "z", "k", 1, 2, 3, 4, "w", 5, 6) for d, t in rows]
+    return [(d, t, "en", None if d is None else f"s{d % 3}", 0, 9, "x", "y", "z", "k", 1, 2, 3, 4, "w", 5, 6, 7, "r", "q", 8, 9, 1, "p", 2, 3, "h", 4, 5, 6, 7, 8, 9) for d, t in rows]
 
 
 ROWS = hard_rows()
