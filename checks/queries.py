@@ -392,7 +392,7 @@ def _(x):
 
 @query("d8_kpis_by_preset")
 def _(x):
-    return P.kpis_by_preset(x.sales)
+    return P.kpis_by_preset(x.sales_for())
 
 
 @query("d9_report_basis")
@@ -416,7 +416,7 @@ def _(x):
 
 @query("e2_summary")
 def _(x):
-    return E.summary(x.sales)
+    return x.summary()
 
 
 @query("e3_take_rate")
@@ -464,12 +464,12 @@ def _(x):
 
 @query("e9_trend")
 def _(x):
-    return union(*[tagged(E.trend(x.sales, P.NO_FILTER, g), "grain", g) for g in ("day", "week", "month")])
+    return union(*[tagged(E.trend(x.sales_for(), P.NO_FILTER, g), "grain", g) for g in ("day", "week", "month")])
 
 
 @query("e10_trend_by_business")
 def _(x):
-    return E.trend_by_business(x.sales, P.NO_FILTER, "week")
+    return E.trend_by_business(x.sales_for(P.NO_FILTER, "business_type"), P.NO_FILTER, "week")
 
 
 @query("e10_trend_by_business_long")

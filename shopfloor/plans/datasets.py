@@ -5,11 +5,11 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shopfloor.functions import labels as L
-from shopfloor.functions.dates import DateLike
-from shopfloor.operators import dimensions as D, facts as A, filters as P, stock as S, weekly as K
+from shopfloor.functions.dates import DateLike, prune
+from shopfloor.operators import dimensions as D, facts as A, filters as P, rollups as U, sales as E, stock as S, weekly as K
 from shopfloor.session import tune
 from shopfloor.sources import layout
 
@@ -118,6 +118,35 @@ class Datasets:
     def sales(self) -> DataFrame:
         return self.net_sales()
 
+    # rollups of the sales, by day
+    @kept(U.DAY)
+    def sales_day(self) -> DataFrame:
+        return U.ROLLUPS[0].build(self.sales_day_store)
+
+    @kept(U.DAY)
+    def sales_day_store(self) -> DataFrame:
+        return U.ROLLUPS[1].build(self.sales_day_store_brand)
+
+    @kept(U.DAY)
+    def sales_day_brand(self) -> DataFrame:
+        return U.ROLLUPS[2].build(self.sales_day_store_brand)
+
+    @kept(U.DAY)
+    def sales_day_store_brand(self) -> DataFrame:
+        return U.ROLLUPS[3].build(self.sales)
+
+    @kept(U.DAY)
+    def goods_day(self) -> DataFrame:
+        return U.goods_bitmaps(self.sales)
+
+    def sales_for(self, f: P.SalesFilter = P.NO_FILTER, *columns: str) -> DataFrame:
+        """The smallest stored table that answers a request over sums by these dimensions: a rollup, or the sales."""
+        return getattr(self, U.covering(f, columns) or "sales")
+
+    def summary(self, f: P.SalesFilter = P.NO_FILTER) -> DataFrame:
+        """KPI row: from the rollups by day where the filter is of days alone, else from the sales."""
+        return E.summary(self.sales, f) if U.needed(f) else U.summary(self.sales_day_store, self.goods_day, f)
+
     @kept()
     def goods_attr(self) -> DataFrame:
         """goods -> the one set of attributes stock is reported under."""
@@ -268,6 +297,8 @@ WINDOWED: dict[str, tuple[Callable, int]] = {
     "settlement_daily": (Datasets.settlement_daily_rows, 90),
 }
 SALES_TRIO = ("sales", "receipts", "sales_option")
+# name -> builder from the stored sales; a refresh of the sales replaces the same window in each
+DERIVED: dict[str, Callable[[DataFrame], DataFrame]] = {**{r.name: r.build for r in U.ROLLUPS}, U.GOODS: U.goods_bitmaps}
 SNAPSHOTS = {
     "goods_master": "goods_master", "inventory": "stock", "inventory_goods": "stock_goods", "inventory_store_long": "stock_store",
     "customer": "customer", "target_daily": "target_daily", "footfall": "footfall", "global_customer": "global_customer",
@@ -279,7 +310,19 @@ DECOUPLED = ("ips", "ips_goods")
 
 def read_dataset(spark: SparkSession, root: str, name: str) -> DataFrame:
     path = os.path.join(root, name)
-    return layout.read_monthly(spark, path) if name in WINDOWED else layout.read_published(spark, path)
+    return layout.read_monthly(spark, path) if name in WINDOWED or name in DERIVED else layout.read_published(spark, path)
+
+
+def refresh_derived(spark: SparkSession, root: str, days: int | None) -> None:
+    """Rollups of the stored sales: the trailing window, or all if `days` is None or a rollup does not exist yet. Each is a
+    commit of its own after that of the sales; until then it answers for the sales as they were."""
+    sales = read_dataset(spark, root, "sales")
+    for name, build in DERIVED.items():
+        path = os.path.join(root, name)
+        if days is None or layout.manifest(spark, path) is None:
+            layout.write_monthly(build(sales), path, replace=True)
+        else:
+            layout.replace_window_on_disk(spark, path, lambda since: build(sales if since is None else prune(sales, since).filter(F.col(U.DAY) >= since)), days)  # noqa: B023
 
 
 def refresh(
@@ -313,4 +356,6 @@ def refresh(
             s = data.settings
             clip = (lambda since: A.option_since(since, s.as_of, s.option_floor_days)) if name == "sales_option" else None
             layout.replace_window_on_disk(spark, path, lambda since: build(data, since), days, clip=clip)
+        if name == "sales":
+            refresh_derived(spark, root, None if mode == "rebuild" else days)
     return todo

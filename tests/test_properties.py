@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from checks.queries import AS_OF
 from shopfloor.functions import labels as L
-from shopfloor.operators import compare as C, filters as P, profit as R, sales as E, stock as H
+from shopfloor.operators import compare as C, filters as P, profit as R, rollups as U, sales as E, stock as H
 from shopfloor.plans import datasets as X
 from shopfloor.sources import layout
 
@@ -275,3 +275,55 @@ def test_a_commit_knows_rows_and_days(spark, frame, data, tmp_path):
     for df in (layout.stored_freshness(spark, "sales", stored), C.windows_frame(data.sales, None, stored.span)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "FileScan" not in plan and "Exchange" not in plan
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+ROLLUP_FILTERS = [
+    (P.NO_FILTER, "sales_day"), (P.SalesFilter("2000-07-03", "2001-05-19"), "sales_day"), (P.SalesFilter("2001-01-01", biz=[L.CONSIGNMENT]), "sales_day_store"),
+    (P.SalesFilter(type=["ASIA"], store=["NATION_21"]), "sales_day_store"), (P.SalesFilter(cat_top=["ECONOMY", "PROMO"]), "sales_day_brand"),
+    (P.SalesFilter(cat_top=["ECONOMY"], type=["ASIA"]), "sales_day_store_brand"), (P.SalesFilter(name_like="BOLT"), "sales"), (P.SalesFilter(md=["1"]), "sales"), (P.SalesFilter(goods=[3, 5]), "sales"),
+]
+
+
+@pytest.mark.parametrize(("f", "name"), ROLLUP_FILTERS)
+def test_the_smallest_table_that_covers_a_filter_gives_the_same(data, f, name):
+    part = data.sales_for(f)
+    assert part is getattr(data, name) and f"/{name}/version" in plan_of(E.trend(part, f))
+    for grain in ("day", "month"):
+        assert rows(E.trend(part, f, grain)) == rows(E.trend(data.sales, f, grain))
+    assert rows(P.kpis_by_preset(part, f)) == rows(P.kpis_by_preset(data.sales, f))
+    columns = sorted(E.summary(data.sales, f).columns)
+    assert rows(data.summary(f).select(columns)) == rows(E.summary(data.sales, f).select(columns))
+
+
+def test_rollups_read_no_sales(data):
+    f = P.SalesFilter("2001-01-01", "2001-06-30")
+    for df in (data.summary(f), E.trend(data.sales_for(f), f), P.kpis_by_preset(data.sales_for())):
+        assert "/sales/version" not in plan_of(df)
+    by = data.sales_for(P.NO_FILTER, "business_type")
+    assert rows(E.trend_by_business(by)) == rows(E.trend_by_business(data.sales)) and by is data.sales_day_store
+
+
+def test_distinct_goods_over_any_range(spark, frame):
+    day = lambda n: dt.date(2024, 1, 1) + dt.timedelta(days=n)
+    goods = [1, 2, 32767, 32768, 32769, 65536, 10**9, 10**12, 0]
+    sales = frame("sales_date DATE, goods_no BIGINT", [(day(i % 40), goods[(i * i) % 9]) for i in range(300)] + [(day(3), None)])
+    bits = U.goods_bitmaps(sales)
+    for a, b in ((0, 39), (3, 3), (5, 17), (60, 70)):
+        f = P.SalesFilter(day(a), day(b))
+        want = len({r.goods_no for r in sales.collect() if r.goods_no is not None and day(a) <= r.sales_date <= day(b)})
+        assert U.distinct_goods(bits, f).first()[0] == want
+
+
+def test_a_refresh_keeps_rollups_with_the_sales(spark, data, tmp_path):
+    root = str(tmp_path)
+    x = X.Datasets(data.inputs, data.settings, layout.Store(spark))
+    for _ in range(2):  # built, then the window replaced
+        X.refresh(spark, x, root, "snap", ("sales",))
+        sales = X.read_dataset(spark, root, "sales")
+        for name, build in X.DERIVED.items():
+            stored = X.read_dataset(spark, root, name).drop(layout.MONTH)
+            assert rows(stored) == rows(build(sales).select(stored.columns)), name
