@@ -14,7 +14,7 @@ bound it by the bits that only one side has. What survives is verified on the wh
 is cut into blocks by size, whose pairs are searched in tasks of their own where sizes and boxes allow a link.
 
 No group of similar texts is expanded into its pairs: where a search finds more than twice as many pairs as it
-has members, it first returns two for each member, and the leaf is searched once more when these are verified,
+has members, it first returns two or fewer for each member, and the leaf is searched once more when these are verified,
 for pairs between what is not yet connected. No pair that could connect something is lost.
 
 Sets are not written: a pair's sets are made from the texts anew, and one that many others meet travels once for
@@ -46,7 +46,7 @@ NODE = 64
 #: Sets that meet one copy of the set they share, and occurrences within one piece of texts that make an address a frequent one.
 STAR, FREQUENT = 256, 64
 #: Rows of a block of a leaf, and tasks in which the boxes of a leaf's blocks meet.
-BLOCK, SALTS = 512, 16
+BLOCK, SALTS = 2048, 16
 
 
 def linked(common, a, b, percent: int = PERCENT):
@@ -169,14 +169,27 @@ def marks(items: np.ndarray) -> np.ndarray:
     return np.packbits(bits)
 
 
-def may_link(one: tuple[int, np.ndarray], two: tuple[int, np.ndarray], percent: int) -> bool:
-    """Whether two sets (number of items, marks) may link: every mark that one side alone has is an item that it alone has."""
-    (n, a), (m, b) = one, two
-    if len(a) != len(b):
-        size = min(len(a), len(b))
-        a, b = (np.bitwise_or.reduce(x.reshape(-1, size), axis=0) for x in (a, b))
-    common = min(n - int(np.bitwise_count(a & ~b).sum()), m - int(np.bitwise_count(b & ~a).sum()))
-    return linked(max(common, 0), n, m, percent)
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """The marks that a bitmap of so many bytes has: those of a longer one, laid over each other."""
+    return bits if len(bits) == size else np.bitwise_or.reduce(bits.reshape(-1, size), axis=0)
+
+
+def may_link(one: tuple[np.ndarray, list[np.ndarray]], two: tuple[np.ndarray, list[np.ndarray]], a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets a[i] of one side (numbers of items, marks) and b[i] of the other may link: every mark that one alone has is an item that it alone has."""
+    (n, marks_a), (m, marks_b) = one, two
+    good = np.zeros(len(a), bool)
+    size = np.minimum(np.array([len(x) for x in marks_a], np.int64)[a], np.array([len(x) for x in marks_b], np.int64)[b])
+    for width in np.unique(size).tolist():
+        at = np.flatnonzero(size == width)
+        (of_a, i), (of_b, j) = np.unique(a[at], return_inverse=True), np.unique(b[at], return_inverse=True)
+        bits = [np.stack([folded(x[k], width) for k in of]).view(np.uint64) for x, of in ((marks_a, of_a), (marks_b, of_b))]
+        step = max(1, (1 << 22) // width)
+        for k in range(0, len(at), step):
+            part = at[k : k + step]
+            x, y, p, q = bits[0][i[k : k + step]], bits[1][j[k : k + step]], n[a[part]], m[b[part]]
+            alone = [np.bitwise_count(v & ~w).sum(axis=1, dtype=np.int64) for v, w in ((x, y), (y, x))]
+            good[part] = linked(np.maximum(np.minimum(p - alone[0], q - alone[1]), 0), p, q, percent)
+    return good
 
 
 def do_link(one: tuple[int, np.ndarray], two: tuple[int, np.ndarray], percent: int) -> bool:
@@ -318,23 +331,25 @@ def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 Side = tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray], list[np.ndarray]]
 
 
-def few(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Places of pairs, at most two for each node: with its neighbours of the smallest and greatest hash, so that the searches of a group agree on them."""
-    ends, others = np.concatenate([a, b]), np.concatenate([b, a])
+def few(a: np.ndarray, b: np.ndarray, two: bool) -> np.ndarray:
+    """Places of a few of the pairs: within a group at most two for each node, with its neighbours of the smallest and greatest hash,
+    so that the searches of a group agree on them; between two blocks one for each node of the first."""
+    ends, others = (a, b) if two else (np.concatenate([a, b]), np.concatenate([b, a]))
     order = np.lexsort((mix(others.view(np.uint64)), ends))
     new = np.append(True, ends[order[1:]] != ends[order[:-1]])
-    return np.unique(np.concatenate([order[new], order[np.append(new[1:], True)]]) % len(a))
+    last = order[np.append(new[1:], True)]
+    return last if two else np.unique(np.concatenate([order[new], last]) % len(a))
 
 
 def likely_pairs(leaf: int, one: Side, two: Side | None, percent: int, whole: bool) -> pa.RecordBatch:
     """leaf, a, b, more: the pairs that the trees let through and whose marks may link; if not `whole`, few of many, and `more`."""
     (node, tree, marks_), (other, other_tree, other_marks) = one, two or one
     a, b = tree_pairs(tree, other_tree if two else None, percent)
-    good = np.array([may_link((tree[1][i], marks_[i]), (other_tree[1][j], other_marks[j]), percent) for i, j in zip(a.tolist(), b.tolist())], bool)
+    good = may_link((tree[1], marks_), (other_tree[1], other_marks), a, b, percent)
     a, b = node[a[good]], other[b[good]]
-    more = not whole and len(a) > 2 * (len(node) + (len(other) if two else 0))
+    more = not whole and len(a) > (len(node) if two else 2 * len(node))
     if more:
-        some = few(a, b)
+        some = few(a, b, two is not None)
         a, b = a[some], b[some]
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), leaf)), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), more))], ["leaf", "a", "b", "more"])
 
