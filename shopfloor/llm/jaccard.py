@@ -200,30 +200,6 @@ def do_link(one: tuple[int, np.ndarray], two: tuple[int, np.ndarray], percent: i
     return linked(int((b[at] == a).sum()), len(a), len(b), percent)
 
 
-def marks(items: np.ndarray) -> np.ndarray:
-    """Bitmap of a set, of the power of two of bits above four for each item."""
-    bits = np.zeros(1 << max(6, int(4 * len(items)).bit_length()), bool)
-    bits[(items >> U(8)).astype(np.int64) & (len(bits) - 1)] = True
-    return np.packbits(bits)
-
-
-def may_link(one: tuple[int, np.ndarray], two: tuple[int, np.ndarray], percent: int) -> bool:
-    """Whether two sets (number of items, marks) may link: every mark that one side alone has is an item that it alone has."""
-    (n, a), (m, b) = one, two
-    if len(a) != len(b):
-        size = min(len(a), len(b))
-        a, b = (np.bitwise_or.reduce(x.reshape(-1, size), axis=0) for x in (a, b))
-    common = min(n - int(np.bitwise_count(a & ~b).sum()), m - int(np.bitwise_count(b & ~a).sum()))
-    return linked(max(common, 0), n, m, percent)
-
-
-def do_link(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    if not len(a) or not len(b):
-        return False
-    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-    return linked(int((b[at] == a).sum()), len(a), len(b), percent)
-
-
 def travel_rows(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     """a, chunk, role (0: the set of a, 1: that of a b), node, items (the sorted hashes) for everywhere that a text's set has to go."""
     for rows, hashes, text, sizes in text_sets(batches, shingle):
