@@ -10,7 +10,7 @@ HTML itself names as furniture (menus, footers, adverts, forms, comments, ...),
 article are joined. Votes are summed in the tasks first, so a hot host costs what its pages cost.
 
 Cases: a null or empty html gives an empty text; a null url or one without a host has no template; broken
-markup is closed where HTML would close it; equal pages are extracted one by one, and vote once; nesting beyond 200 levels
+markup is closed where HTML would close it; a form, a nav or another such element that the only article is in hides nothing; equal pages are extracted one by one, and vote once; nesting beyond 200 levels
 is flattened, without loss of text; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -20,7 +20,7 @@ import hashlib
 import json
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -38,6 +38,21 @@ FURNITURE_NAMES = frozenset(
     "respond search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split()
 )
 CONTENT_NAMES = frozenset("article content entry main post story".split())
+#: Words that add only place or shape to a furniture word: "post-share-buttons" names furniture as a whole, "post-share-story" does not.
+PLAIN_NAMES = frozenset(
+    "area article bar block bottom box btn button buttons card center column container desktop entry fixed floating form global icon icons inline inner item "
+    "large left link links list main medium mobile module outer page panel post primary right row secondary section site slot small sticky top unit wrap wrapper".split()
+)
+#: Furniture words that leave no doubt, however much text is below.
+SURE_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer menu modal nav navbar navigation "
+    "newsletter pagination popup replies respond sidebar signup sponsor sponsored subscribe toolbar".split()
+)
+NEVER_NAMED = frozenset("article body html main".split())
+#: Furniture elements that frameworks or an end tag left out put around the article.
+WRAPPER_TAGS = frozenset("aside dialog footer form header menu nav search".split())
+#: A form with this share of the text is around it, and not a part of it.
+FORM_SHARE = 0.8
 NAME = re.compile(r"[a-z]+")
 
 
@@ -131,58 +146,100 @@ def vote_batch(votes: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types)], ["host", "part", "node", "digest", "n"])
 
 
+def words_of(names: str) -> list[str]:
+    return NAME.findall(names)
+
+
 def named_furniture(node: Node) -> bool:
-    return bool(node.names) and node.tag not in ("body", "html", "article", "main") and not FURNITURE_NAMES.isdisjoint(NAME.findall(node.names))
+    """One furniture word in a class, id or role is enough: right around an article, too wide inside it."""
+    return bool(node.names) and node.tag not in NEVER_NAMED and not FURNITURE_NAMES.isdisjoint(words_of(node.names))
+
+
+def whole_names(node: Node) -> list[str]:
+    """Classes, ids and roles that name furniture as a whole: furniture words, and words that say only where or in what shape."""
+    if not node.names or node.tag in NEVER_NAMED or FURNITURE_NAMES.isdisjoint(words_of(node.names)):
+        return []
+    return [x for x in node.names.split() if (w := set(words_of(x))) & FURNITURE_NAMES and w <= FURNITURE_NAMES | PLAIN_NAMES]
 
 
 def furniture(node: Node, holders: set[int]) -> bool:
-    """By tag, or by a name, which does not count for elements that hold the article (`holders`)."""
-    return node.tag in FURNITURE_TAGS or (id(node) not in holders and named_furniture(node))
+    """By tag or by a name; neither counts for elements that hold the article (`holders`)."""
+    return id(node) not in holders and (node.tag in FURNITURE_TAGS or named_furniture(node))
 
 
 #: What holds the text, best first.
 HOLDS_TEXT = (
     lambda n: n.tag == "article",
     lambda n: n.tag == "main" or "main" in n.names.split(),
-    lambda n: n.tag in ("div", "section", "td") and not CONTENT_NAMES.isdisjoint(NAME.findall(n.names)),
+    lambda n: n.tag in ("div", "section", "td") and not CONTENT_NAMES.isdisjoint(words_of(n.names)),
 )
 
 
 def article_holders(root: Node) -> set[int]:
-    """Elements (by identity) with an article, main or content element inside. Only those are left out that a whole class or id
-    names as furniture (comments, related, ...) while the page has as long an article, main or content element elsewhere."""
-    order: list[tuple[Node, int, tuple[int, ...]]] = []  # node, place of its parent, places of the elements named as furniture around it
-    kinds: list[int] = []
-    stack: list = [(root, -1, ())]
+    """Furniture elements (by identity) with an article, main or content element inside. Those that a furniture tag or a whole class
+    or id marks (comments, related, a form or a nav around the page, ...) count only if what they hold is longer than any such element beside them."""
+    order: list[Node] = []
+    parent: list[int] = []
+    outer: list[int] = []  # place of the nearest element around it that is sure to be furniture, -1 if none
+    loose: list[bool] = []
+    sure: list[bool] = []
+    text: list[int] = []  # text below that no sure furniture inside surrounds
+    stack: list = [(root, -1, -1)]
     while stack:
-        node, parent, around = stack.pop()
+        node, above, around = stack.pop()
         place = len(order)
-        order.append((node, parent, around))
-        kinds.append(next((k for k, fits in enumerate(HOLDS_TEXT) if fits(node)), -1))
-        if node is not root and named_furniture(node):
-            around = (*around, place)
-        stack.extend((c, place, around) for c in node.children if isinstance(c, Node) and c.tag not in FURNITURE_TAGS)
-    inside = [i for i, kind in enumerate(kinds) if kind >= 0 and order[i][2]]
-    if not inside:
+        order.append(node)
+        parent.append(above)
+        outer.append(around)
+        sure.append(node.tag in WRAPPER_TAGS or (named_furniture(node) and not FURNITURE_NAMES.isdisjoint(node.names.split())))
+        loose.append(node is not root and named_furniture(node))
+        text.append(sum(len(c.strip()) for c in node.children if isinstance(c, str)))
+        around = place if sure[place] else around
+        stack.extend((c, place, around) for c in reversed(node.children) if isinstance(c, Node) and (c.tag not in FURNITURE_TAGS or c.tag in WRAPPER_TAGS))
+    holds = [any(fits(node) for fits in HOLDS_TEXT) for node in order]
+    if not any(holds):
         return set()
-    exact = [named_furniture(node) and not FURNITURE_NAMES.isdisjoint(node.names.split()) for node, _, _ in order]
-    size, outside = [0] * len(order), [0] * len(order)  # text below, and the part of it that no exact name surrounds
-    for i in range(len(order) - 1, -1, -1):
-        node, parent, around = order[i]
-        own = sum(len(c.strip()) for c in node.children if isinstance(c, str))
-        size[i] += own
-        if not exact[i] and not any(exact[w] for w in around):
-            outside[i] += own
-        if parent >= 0:
-            size[parent] += size[i]
-            outside[parent] += outside[i]
-    free = max(outside[i] for i, kind in enumerate(kinds) if kind >= 0)
-    return {id(order[w][0]) for i in inside for w in order[i][2] if not exact[w] or size[i] > free}
+    for i in range(len(order) - 1, 0, -1):
+        if not sure[i]:
+            text[parent[i]] += text[i]
+    inside = [-1] * len(order)  # longest text holder below
+    beside: dict[int, int] = {}  # longest one by the sure furniture nearest around it
+    for i in range(len(order) - 1, 0, -1):
+        if holds[i]:
+            beside[outer[i]] = max(beside.get(outer[i], -1), text[i])
+            inside[parent[i]] = max(inside[parent[i]], text[i])
+        inside[parent[i]] = max(inside[parent[i]], inside[i])
+    out, free = set(), {-1: beside.get(-1, -1)}
+    for i, node in enumerate(order):
+        if sure[i]:
+            rival = free[outer[i]]
+            free[i] = max(rival, beside.get(i, -1))
+            if inside[i] > rival:
+                out.add(id(node))
+        elif loose[i] and inside[i] >= 0:
+            out.add(id(node))
+    return out
+
+
+def text_size(root: Node, skip: Callable[[Node], bool]) -> int:
+    """Characters of text below outside links, and outside elements to skip."""
+    size, stack = 0, [root]
+    while stack:
+        for child in stack.pop().children:
+            if isinstance(child, str):
+                size += len(child.strip())
+            elif child.tag != "a" and not skip(child):
+                stack.append(child)
+    return size
+
+
+#: A main element with so many times the text of its articles is the text, and they are teasers.
+TEASERS = 3
 
 
 def article_roots(root: Node, holders: set[int]) -> list[Node]:
-    """The outermost articles; else the main element, else elements named as content, else the page."""
-    for fits in HOLDS_TEXT:
+    """The outermost articles, unless the main element has far more text than they have; else the main element, else elements named as content, else the page."""
+    def outermost(fits) -> list[Node]:
         out, stack = [], [root]
         while stack:
             node = stack.pop()
@@ -192,15 +249,40 @@ def article_roots(root: Node, holders: set[int]) -> list[Node]:
                 out.append(node)
             else:
                 stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
-        if out:
-            return out
-    return [root]
+        return out
+
+    size = lambda nodes: sum(text_size(x, lambda c: furniture(c, holders)) for x in nodes)
+    articles, mains = outermost(HOLDS_TEXT[0]), outermost(HOLDS_TEXT[1])
+    if articles and not (mains and size(mains) > TEASERS * size(articles)):
+        return articles
+    return mains or outermost(HOLDS_TEXT[2]) or [root]
 
 
 def blocks(root: Node, template: set[int], holders: set[int]) -> list[str]:
-    """Text blocks in page order without furniture and template nodes (by identity)."""
+    """Text blocks in page order without furniture and template nodes (by identity). Inside an article only a whole name marks
+    furniture, and none that the words for adverts, comments and the like don't confirm if most of the text is in it."""
     out: list[str] = []
     line: list[str] = []
+    strict = any(fits(root) for fits in HOLDS_TEXT)
+    whole: list[int] = []
+
+    def share(node: Node) -> float:
+        skip = lambda c: c.tag in FURNITURE_TAGS and c.tag != "form"
+        if not whole:
+            whole.append(text_size(root, skip))
+        return text_size(node, skip) / whole[0] if whole[0] else 0.0
+
+    def left_out(node: Node) -> bool:
+        if id(node) in holders:
+            return False
+        if node.tag in FURNITURE_TAGS:
+            return node.tag != "form" or share(node) < FORM_SHARE
+        names = whole_names(node)
+        if any(not SURE_NAMES.isdisjoint(words_of(x)) for x in names):
+            return True
+        if strict:
+            return bool(names) and share(node) <= 0.5
+        return bool(names) or (named_furniture(node) and share(node) <= 0.5)
 
     def flush() -> None:
         text = " ".join("".join(line).split())
@@ -217,7 +299,7 @@ def blocks(root: Node, template: set[int], holders: set[int]) -> list[str]:
             line.append(x)
         elif x.tag == "br":
             line.append(" ")
-        elif x is root or not (furniture(x, holders) or id(x) in template):
+        elif x is root or not (id(x) in template or left_out(x)):
             if x.tag in BLOCK:
                 flush()
                 stack.append(None)
@@ -276,7 +358,7 @@ def wrappers(named: DataFrame, rule: Wrapper = Wrapper()) -> tuple[DataFrame, Da
     """host, part, reference (tree as JSON), template: array of (node, digest, anywhere). And host, key, part of the pages whose part is not 0."""
     trees = named.select("host", "html").mapInArrow(tree_rows, "host string, layout string, digest string, tree string")
     # copies of a page say nothing about its template: each counts once
-    trees = keep(trees.groupBy("host", "layout", "digest").agg(F.first("tree").alias("tree")), "trees")
+    trees = keep(trees.groupBy("host", "layout", "digest").agg(F.min("tree").alias("tree")), "trees")
     layouts = trees.select("host", "layout").distinct()
     parts = layouts.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / LAYOUTS).alias("parts"))
     layouts = keep(layouts.join(parts, "host").withColumn("part", F.expr("pmod(xxhash64(layout), parts)")), "layouts")
