@@ -6,6 +6,8 @@ text, position) of the rarest terms of the remaining windows. The postings of a
 shifted by its offset, give candidate places, which are intersected with the shifted postings of the next
 rarest terms; what is left is compared word by word with the text. Only lists of rare terms are ever
 joined, however frequent the other words are, and a term's list is a join key, never one group.
+Places are searched for each distinct window once, however many items share it; items are joined to
+the distinct sets of windows that texts hold.
 
 The benchmark is the stated query set. Its terms go to the tasks in blocks of at most `BLOCK_WORDS`
 words; a larger benchmark takes more passes, not more memory.
@@ -17,13 +19,14 @@ or benchmark gives no hits; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from shopfloor.llm.store import keep, table
+from shopfloor.llm.store import keep, keep_counted, meeting, table
 from shopfloor.llm.text import LOWER, NOT_ALNUM, lists, pieces, signed, split_words
 
 WINDOW = 10
@@ -54,7 +57,7 @@ class Terms:
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """item, n (words), terms (hashes in order), phrase (lower case, one space between words)"""
+    """item, n (words), terms (hashes in order), phrase (digest of its words in lower case, one space between them)"""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,7 +75,8 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.string())], ["item", "n", "terms", "phrase"])
 
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
-    return rows.mapInArrow(cut, "item string, n int, terms array<long>, phrase string").distinct()
+    windows = rows.mapInArrow(cut, "item string, n int, terms array<long>, phrase string")
+    return windows.withColumn("phrase", F.unhex(F.md5("phrase"))).distinct()
 
 
 def term_counts(docs: DataFrame, terms: np.ndarray) -> DataFrame:
@@ -113,14 +117,14 @@ def postings(docs: DataFrame, terms: np.ndarray) -> DataFrame:
 
 def rare_windows(windows: DataFrame, counts: DataFrame, rarest: int = RAREST) -> DataFrame:
     """Windows all of whose terms occur, with `rare`: the (count, offset, term) of their rarest terms."""
-    keys = ["item", "n", "phrase"]
+    keys = ["n", "phrase"]
     spread = windows.select(*keys, F.posexplode("terms").alias("offset", "term")).join(counts.withColumnRenamed("n", "count"), "term")
     found = spread.groupBy(keys).agg(F.array_sort(F.collect_list(F.struct("count", F.col("offset").cast("long").alias("offset"), "term"))).alias("rare"))
     return found.filter(F.size("rare") == F.col("n")).withColumn("rare", F.slice("rare", 1, rarest))
 
 
 def candidates(windows: DataFrame, index: DataFrame, rarest: int = RAREST, slop: int = 0) -> DataFrame:
-    """item, n, phrase, text_key, start: places at which the rarest terms of a window stand at their offsets,
+    """n, phrase, text_key, start: places at which the rarest terms of a window stand at their offsets,
     or with `slop` no more than so many words away from them."""
     listed = index.filter(F.size("terms") > 0).select("text_key", F.explode(F.arrays_zip("terms", "places")).alias("p")).select("text_key", F.col("p.terms").alias("term"), F.col("p.places").alias("place")).distinct()
     first = F.col("rare")[0]
@@ -136,10 +140,11 @@ def candidates(windows: DataFrame, index: DataFrame, rarest: int = RAREST, slop:
     return out.drop("rare").filter("start >= 0")
 
 
-def verified(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """text_key, items (sorted), n_hit (words inside any occurrence): candidates compared with the whole texts."""
-    by_text = found.groupBy("text_key").agg(F.collect_list(F.struct("item", "n", "phrase", "start")).alias("found"))
-    texts = docs.withColumn("text_key", text_key(F.col("text"))).select("text_key", "text").join(by_text, "text_key")
+def verified(docs: DataFrame, found: DataFrame, numbers: int) -> DataFrame:
+    """text_key, phrases (digests, sorted), n_hit (words inside any occurrence): candidates compared with the whole texts.
+    `numbers`: how many the candidates hold; while they are few, texts stay where they are read."""
+    by_text = found.groupBy("text_key").agg(F.collect_list(F.struct("n", "phrase", "start")).alias("found"))
+    texts = meeting(docs.select(text_key(F.col("text")).alias("text_key"), "text"), by_text, "text_key", numbers)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,39 +153,49 @@ def verified(docs: DataFrame, found: DataFrame) -> DataFrame:
                 w, low = split_words(data, offsets, NOT_ALNUM, lower=True), LOWER[data]
                 for i in range(len(offsets) - 1):
                     first, last = int(w.first[i]), int(w.first[i + 1])
-                    hit, items, spoken = np.zeros(last - first, bool), set(), {}
+                    hit, phrases = np.zeros(last - first, bool), set()
                     for c in found_rows[row + i].as_py():
                         start, n = c["start"], c["n"]
                         if first + start + n > last:
                             continue
-                        if (start, n) not in spoken:
-                            spoken[start, n] = " ".join(low[a:b].tobytes().decode() for a, b in zip(w.start[first + start : first + start + n], w.end[first + start : first + start + n]))
-                        if spoken[start, n] == c["phrase"]:
+                        at = slice(first + start, first + start + n)
+                        if hashlib.md5(b" ".join(low[a:b].tobytes() for a, b in zip(w.start[at], w.end[at]))).digest() == c["phrase"]:
                             hit[start : start + n] = True
-                            items.add(c["item"])
-                    if items:
-                        for column, value in zip(rows, (batch.column("text_key")[row + i].as_py(), sorted(items), int(hit.sum()))):
+                            phrases.add(c["phrase"])
+                    if phrases:
+                        for column, value in zip(rows, (batch.column("text_key")[row + i].as_py(), sorted(phrases), int(hit.sum()))):
                             column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.binary()), pa.array(rows[1], pa.list_(pa.string())), pa.array(rows[2], pa.int64())], ["text_key", "items", "n_hit"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.binary()), pa.array(rows[1], pa.list_(pa.binary())), pa.array(rows[2], pa.int64())], ["text_key", "phrases", "n_hit"])
 
-    hits = texts.mapInArrow(compare, "text_key binary, items array<string>, n_hit long")
-    return hits.groupBy("text_key").agg(F.first("items").alias("items"), F.first("n_hit").alias("n_hit"))
+    # texts of one digest have equal rows
+    return texts.mapInArrow(compare, "text_key binary, phrases array<binary>, n_hit long").distinct()
+
+
+def items_of(hits: DataFrame, windows: DataFrame) -> DataFrame:
+    """text_key, n_hit, items (sorted): the list is made once for each distinct set of phrases."""
+    hits = keep(hits.withColumn("set", F.unhex(F.sha2(F.array_join(F.transform("phrases", F.hex), ","), 256))), "hits")
+    members = windows.select("phrase", "item").distinct()
+    sets = hits.select("set", "phrases").distinct().select("set", F.explode("phrases").alias("phrase"))
+    items = sets.join(members, "phrase").groupBy("set").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return hits.join(items, "set").select("text_key", "n_hit", "items")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, text_key, n_words, n_hit, items for every document."""
     windows = keep(benchmark_windows(benchmark), "benchmark-windows")
-    words = windows.agg(F.sum("n").alias("n")).first()["n"] or 0
+    phrases = keep(windows.drop("item").distinct(), "phrases")
+    words = phrases.agg(F.sum("n").alias("n")).first()["n"] or 0
     blocks = -(-words // (WINDOW * BLOCK_WORDS)) or 1
     found, index = None, None
     for block in range(blocks):
-        part = windows.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block) if blocks > 1 else windows
+        part = phrases.filter(F.pmod(F.xxhash64("phrase"), F.lit(blocks)) == block) if blocks > 1 else phrases
         counts = keep(term_counts(docs, driver_terms(part.select(F.explode("terms").alias("term")))), "term-counts")
         rare = keep(rare_windows(part, counts), "rare-windows")
         index = keep(postings(docs, driver_terms(rare.select(F.explode("rare.term").alias("term")))), "postings")
         at = candidates(rare, index)
         found = at if found is None else found.unionByName(at)
-    hits = keep(verified(docs, keep(found, "candidates")), "hits")
+    found, (places,) = keep_counted(found, "candidates")
+    hits = keep(items_of(verified(docs, found, places * 6), windows), "item-lists")
     return index.select("doc_id", "text_key", "n_words").join(hits, "text_key", "left").select("doc_id", "text_key", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
@@ -192,10 +207,11 @@ def driver_terms(terms: DataFrame) -> np.ndarray:
 def near_matches(docs: DataFrame, benchmark: DataFrame, slop: int) -> DataFrame:
     """Proximity matches: text_key, item, start of windows whose rarest terms stand within `slop` words of their places."""
     windows = keep(benchmark_windows(benchmark), "benchmark-windows")
-    counts = keep(term_counts(docs, driver_terms(windows.select(F.explode("terms").alias("term")))), "term-counts")
-    rare = keep(rare_windows(windows, counts), "rare-windows")
+    phrases = keep(windows.drop("item").distinct(), "phrases")
+    counts = keep(term_counts(docs, driver_terms(phrases.select(F.explode("terms").alias("term")))), "term-counts")
+    rare = keep(rare_windows(phrases, counts), "rare-windows")
     index = keep(postings(docs, driver_terms(rare.select(F.explode("rare.term").alias("term")))), "postings")
-    return candidates(rare, index, slop=slop).select("text_key", "item", "start").distinct()
+    return candidates(rare, index, slop=slop).join(windows.select("phrase", "item"), "phrase").select("text_key", "item", "start").distinct()
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

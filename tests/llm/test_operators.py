@@ -247,6 +247,25 @@ def test_decontaminate(spark, odd, tables, monkeypatch, block):
     assert got == brute.decontaminate(ODD, items)
 
 
+def test_items_that_share_a_sentence_add_no_candidates(spark, monkeypatch):
+    """1,000 items with one sentence in common, met in 40 texts: places in proportion to what occurs, not to items x texts."""
+    rng = random.Random(8)
+    shared = prose(rng, 14)
+    items = [(f"i{k}", " ".join(shared + prose(rng, 3, 10**9))) for k in range(1000)]
+    rows = [(d, " ".join(prose(rng, 20) + shared + prose(rng, d % 7))) for d in range(40)] + [(99, " ".join(prose(rng, 60)))]
+    seen, plain = [], decontamination.verified
+
+    def counted_places(docs, found, numbers):
+        seen.append(found.count())
+        return plain(docs, found, numbers)
+
+    monkeypatch.setattr(decontamination, "verified", counted_places)
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    got = {(r.doc_id, r.n_words, r.n_hit, ",".join(r["items"])) for r in decontamination.decontaminate(docs, bench).collect()}
+    every = ",".join(sorted(k for k, _ in items))
+    assert got == {(d, len(t.split()), 14 if d != 99 else 0, every if d != 99 else "") for d, t in rows} and seen[0] <= 40 * 5
+
+
 def test_near_matches_and_clean(spark):
     rng = random.Random(5)
     item = prose(rng, 12)
