@@ -192,7 +192,8 @@ def repeats(docs: DataFrame, heads: DataFrame, n: int) -> tuple[DataFrame, DataF
     firsts = heads.filter("doc_id is not null").groupBy("text_key").agg(F.min("doc_id").alias("doc_id"))
     spread = heads.filter(F.size("keys") > 0).join(firsts, ["text_key", "doc_id"], "left_semi").dropDuplicates(["doc_id", "text_key"])
     spread = spread.select("doc_id", "text_key", F.explode(F.arrays_zip("keys", "low", "high")).alias("s")).select("doc_id", "text_key", F.col("s.keys").alias("key"), F.col("s.low").alias("low"), F.col("s.high").alias("high"))
-    spots = spread.join(shared(spread, "doc_id", CHUNK), "key").withColumn("chunk", chunk_of(F.col("doc_id")))
+    # as a written table, so that the join has plain sides: a hot anchor's rows are split there
+    spots = spread.join(keep(shared(spread, "doc_id", CHUNK), "shared"), "key").withColumn("chunk", chunk_of(F.col("doc_id")))
     by_text = keep(spots.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("key", "chunk", "chunks", "low", "high")).alias("spots")), "spots")
     texts = keep(docs.join(by_text, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text_key", "text", "spots"), "passage-texts")
     dealt = texts.mapInArrow(lambda it: cut_rows(it, n), CUT).repartition("key", "chunk").sortWithinPartitions("key", "chunk", "doc_id", "low")

@@ -19,14 +19,15 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shopfloor.llm.passages import anchors, chunk_of, grouped_rows, merged
+from shopfloor.llm.passages import anchors, chunk_of, merged
 from shopfloor.llm.store import keep, table
-from shopfloor.llm.text import U, lists, pieces, signed, slices
+from shopfloor.llm.text import U, buffers, lists, pieces, signed, slices
 
 WINDOW, GRAM = 400, 32
 #: Occurrences of one anchor that one task sorts; more are dealt to several, and what those leave open is matched by digests of windows.
@@ -38,9 +39,8 @@ SORTED = 1 << 19
 def smaller_than_next(text: np.ndarray) -> np.ndarray:
     """Whether suffix i is smaller than suffix i + 1: decided at the next byte that differs; the end counts as smallest."""
     n = len(text)
-    differs = np.flatnonzero(text[:-1] != text[1:])
-    at = np.searchsorted(differs, np.arange(n))
-    decides = np.append(differs, n - 1)[np.minimum(at, len(differs))]
+    differs = np.append(text[:-1] != text[1:], True)[:n]
+    decides = np.minimum.accumulate(np.where(differs, np.arange(n), n)[::-1])[::-1]
     after = np.append(text[1:], 0)
     return np.where(decides == n - 1, False, text[decides] < after[decides])
 
@@ -58,9 +58,10 @@ def two_stage(data: bytes, wanted: np.ndarray, depth: int) -> np.ndarray:
     np.add.at(need, at, 1)
     np.add.at(need, np.minimum(next_small[at], n - 1) + 1, -1)
     need = np.cumsum(need)[:n] > 0
-    direct = np.flatnonzero(need & small).tolist()
-    direct.sort(key=lambda i: data[i : i + depth])
-    direct = np.array(direct, np.int64)
+    direct = np.flatnonzero(need & small)
+    heads = [data[i : i + depth] for i in direct.tolist()]
+    direct = direct[np.array(sorted(range(len(heads)), key=heads.__getitem__), np.int64)]
+    del heads
     bounds = np.searchsorted(text[direct], np.arange(257))
     induced = need & ~small
     waiting: dict[int, list[np.ndarray]] = {int(text[-1]): [np.array([n - 1])]} if n and need[-1] else {}
@@ -92,8 +93,7 @@ def repeated_starts(data: bytes, wanted: np.ndarray, depth: int) -> tuple[np.nda
     """(wanted starts whose first `depth` bytes occur at another wanted start, one start of each distinct string)."""
     order = two_stage(data, wanted, depth)
     order = order[wanted[order]]
-    places = order.tolist()
-    same = np.array([data[a : a + depth] == data[b : b + depth] for a, b in zip(places, places[1:])], bool)
+    same = np.fromiter((a == b for a, b in pairwise(data[i : i + depth] for i in order.tolist())), bool)
     before, after = np.append(False, same)[: len(order)], np.append(same, False)[: len(order)]
     return order[before | after], order[~before]
 
@@ -119,49 +119,61 @@ def cut_rows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([*rows, pa.array([digest] * len(spots), pa.binary()), passages], [*kinds, "text_key", "passage"])
 
 
-def sorted_batch(rows: list[dict], n: int) -> pa.RecordBatch:
+def sorted_batch(rows: pa.RecordBatch, n: int) -> pa.RecordBatch:
     """text_key, low, high (starts of repeated windows), window (digest of a window that other tasks must see)."""
-    data = b"".join(r["passage"] for r in rows)
-    lengths = np.array([len(r["passage"]) for r in rows])
-    base = np.cumsum(lengths) - lengths
-    wanted = np.ones(len(data), bool)
-    for at, length in zip(base, lengths):
-        wanted[at + length - n + 1 : at + length] = False
-    again, distinct = repeated_starts(data, wanted, n)
-    out: tuple[list, ...] = ([], [], [], [])
-
-    def add(*values) -> None:
-        for column, value in zip(out, values):
-            column.append(value)
+    passages, bounds = buffers(rows.column("passage"))
+    data = passages[bounds[0] : bounds[-1]].tobytes()
+    base, ends = bounds[:-1] - bounds[0], bounds[1:] - bounds[0]
+    # starts of whole windows within a passage
+    edge = np.zeros(len(data) + 1, np.int64)
+    np.add.at(edge, base, 1)
+    np.add.at(edge, np.maximum(ends - n + 1, base), -1)
+    again, distinct = repeated_starts(data, np.cumsum(edge)[:-1] > 0, n)
+    low, chunks = rows.column("low").to_numpy().astype(np.int64), rows.column("chunks").to_numpy()
+
+    def owners(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        owner = np.searchsorted(base, places, "right") - 1
+        return owner, places + low[owner] - base[owner]
 
     again = np.sort(again)
-    owner = np.searchsorted(base, again, "right") - 1
-    first = np.flatnonzero(np.append(True, (np.diff(again) != 1) | (np.diff(owner) != 0))) if len(again) else np.zeros(0, np.int64)
-    last = np.append(first[1:], len(again)) - 1
-    for a, b in zip(first, last if len(again) else ()):
-        r, shift = rows[owner[a]], rows[owner[a]]["low"] - base[owner[a]]
-        add(r["text_key"], int(again[a] + shift), int(again[b] + shift), None)
-    if any(r["chunks"] > 1 for r in rows):
-        for at in distinct:
-            i = int(np.searchsorted(base, at, "right")) - 1
-            if rows[i]["chunks"] > 1:
-                s = int(at + rows[i]["low"] - base[i])
-                add(rows[i]["text_key"], s, s, hashlib.md5(data[at : at + n]).digest())
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.binary(), pa.int64(), pa.int64(), pa.binary()))], ["text_key", "low", "high", "window"])
+    owner, start = owners(again)
+    first = np.flatnonzero(np.append(True, (np.diff(again) != 1) | (np.diff(owner) != 0))[: len(again)])
+    last = np.append(first[1:], len(again)).astype(np.int64)[: len(first)] - 1
+    hot = distinct[chunks[owners(distinct)[0]] > 1]
+    hot_owner, hot_start = owners(hot)
+    windows = [None] * len(first) + [hashlib.md5(data[i : i + n]).digest() for i in hot.tolist()]
+    keys = rows.column("text_key").take(pa.array(np.concatenate([owner[first], hot_owner])))
+    return pa.RecordBatch.from_arrays([keys, pa.array(np.concatenate([start[first], hot_start])), pa.array(np.concatenate([start[last], hot_start])), pa.array(windows, pa.binary())], ["text_key", "low", "high", "window"])
+
+
+def sorted_batches(rows: pa.RecordBatch, starts: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
+    """Whole groups of passages, sorted some SORTED bytes at a time; a passage alone with its anchor has no equal."""
+    counts = np.diff(np.append(starts, rows.num_rows))
+    used = (counts > 1) | (rows.column("chunks").to_numpy()[starts] > 1)
+    rows, counts = rows.filter(pa.array(np.repeat(used, counts))), counts[used]
+    ends = np.cumsum(counts)
+    size = buffers(rows.column("passage"))[1]
+    row = 0
+    while row < rows.num_rows:
+        full = np.searchsorted(size[ends], size[row] + SORTED)
+        end = int(ends[min(full, len(ends) - 1)])
+        yield sorted_batch(rows.slice(row, end - row), n)
+        row = end
 
 
 def found_rows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    rows, size = [], 0
-    for _, group in grouped_rows(batches, ("key", "chunk")):
-        if len(group) < 2 and group[0]["chunks"] == 1:
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        rows += group
-        size += sum(len(r["passage"]) for r in group)
-        if size >= SORTED:
-            yield sorted_batch(rows, n)
-            rows, size = [], 0
-    if rows:
-        yield sorted_batch(rows, n)
+        rows = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+        key, chunk = rows.column("key").to_numpy(), rows.column("chunk").to_numpy()
+        starts = np.flatnonzero(np.append(True, (np.diff(key) != 0) | (np.diff(chunk) != 0)))
+        # the last group may go on in the next batch
+        yield from sorted_batches(rows.slice(0, starts[-1]), starts[:-1], n)
+        rest = rows.slice(starts[-1])
+    if rest is not None:
+        yield from sorted_batches(rest, np.zeros(1, np.int64), n)
 
 
 def rest_rows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -188,7 +200,8 @@ def repeats(docs: DataFrame, n: int = WINDOW) -> DataFrame:
     docs = docs.select(text_key().alias("text_key"), "text").filter(F.octet_length("text") >= n)
     heads = docs.mapInArrow(lambda it: head_rows(it, n), "text_key binary, keys array<long>, low array<int>, high array<int>")
     spread = keep(heads.dropDuplicates(["text_key"]).select("text_key", F.explode(F.arrays_zip("keys", "low", "high")).alias("s")).select("text_key", F.col("s.keys").alias("key"), F.col("s.low").alias("low"), F.col("s.high").alias("high")), "anchors")
-    shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", F.ceil(F.col("n") / CHUNK).alias("chunks"))
+    # as a written table, so that the join below has plain sides: a hot anchor's rows are split there
+    shared = keep(spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", F.ceil(F.col("n") / CHUNK).alias("chunks")), "shared")
     spots = spread.join(shared, "key").withColumn("chunk", chunk_of(F.col("text_key"), F.col("low")))
     by_text = keep(spots.groupBy("text_key").agg(F.collect_list(F.struct("key", "chunk", "chunks", "low", "high")).alias("spots")), "spots")
     texts = keep(docs.join(by_text, "text_key").dropDuplicates(["text_key"]), "passage-texts")
