@@ -28,8 +28,7 @@ SQL["a5_refresh"] = " UNION ALL ".join(
 )
 _NO_TS = "CAST(NULL AS TIMESTAMP) max_ts, count(*) row_count"
 SQL["a6_freshness"] = f"""
-  SELECT 'orders' dataset, max(CAST(coalesce(transaction_at, created_at) AS DATE)) max_date, max(coalesce(transaction_at, created_at)) max_ts,
-    count(*) row_count FROM r_order_header om JOIN d_store st ON st.shop_no = om.shop_no WHERE dummy_order = 0 AND order_status = 50
+  SELECT 'orders' dataset, max(sold_on) max_date, max(sold_at) max_ts, count(*) row_count FROM d_order WHERE order_status = 50
   UNION ALL SELECT 'sales', max(sales_date), {_NO_TS} FROM d_sales
   UNION ALL SELECT 'settlement', max(sales_date), {_NO_TS} FROM d_settlement
   UNION ALL SELECT 'target_daily', max(sales_date), {_NO_TS} FROM d_target
