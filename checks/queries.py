@@ -504,8 +504,7 @@ def _(x):
 
 @query("e16_drill")
 def _(x):
-    levels = [tagged(E.drill(x.sales, x.stock_store, x.goods_attr, lv), "level", lv) for lv in E.LEVELS]
-    return union(*levels)
+    return E.drill_levels(x.sales, x.stock_store, x.goods_attr).filter(F.col("level") != E.TOTAL_LEVEL)
 
 
 @query("e16_drill_filtered")

@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 from shopfloor.functions import labels as L
 from shopfloor.functions.dates import DateLike, as_date, prune
 from shopfloor.functions.numeric import WIDE, change, dbl, money_sum, ratio, sum_if, total
+from shopfloor.operators.dimensions import named_sums
 
 RECENT_DATES = 21
 TREND_DATES = 14
@@ -78,11 +79,7 @@ def rank_by(sales: DataFrame, days: ReportDays, key: str, n: int | None = None)
     """Largest members of d0 with their share of the day; the first row leads."""
     today = _span(sales, days, 0).filter(_on(days[0]))
     whole = today.agg(money_sum("gmv").alias("g")).scalar()
-    out = today.groupBy(key).agg(
-        *[F.min(a).alias(b) for a, b in RANK_TEXTS[key].items()],
-        money_sum("gmv").alias("gmv"),
-        total("qty").cast("bigint").alias("qty"),
-    )
+    out = named_sums(today, [key], RANK_TEXTS[key], {"gmv": money_sum("gmv"), "qty": total("qty").cast("bigint")})
     out = out.withColumn("share", ratio("gmv", whole)).orderBy(F.desc("gmv"), key)
     return out if n is None else out.limit(n)
 
@@ -95,12 +92,8 @@ def rank_in_category(sales: DataFrame, days: ReportDays, entity: str, cats: int
     d0 = days[0]
     d1 = F.coalesce(days[1], d0)
     now, before = _on(d0), _on(d1)
-    texts = RANK_TEXTS[entity]
-    g = _span(sales, days, 1).filter(now | before).groupBy("cat_medium", entity).agg(
-        *[F.min(a).alias(b) for a, b in texts.items()],
-        sum_if(now, "gmv").cast(WIDE).alias("gmv"),
-        sum_if(before, "gmv").cast(WIDE).alias("gmv_prev"),
-    )
+    sums = {"gmv": sum_if(now, "gmv").cast(WIDE), "gmv_prev": sum_if(before, "gmv").cast(WIDE)}
+    g = named_sums(_span(sales, days, 1).filter(now | before), ["cat_medium", entity], RANK_TEXTS[entity], sums)
     g = g.filter(F.col("gmv") > 0)
     top = g.groupBy("cat_medium").agg(money_sum("gmv").alias("cat_total")).orderBy(F.desc("cat_total"), "cat_medium").limit(cats)
     rank = F.row_number().over(W.partitionBy("cat_medium").orderBy(F.desc("gmv"), entity))
@@ -113,10 +106,8 @@ def notable_goods(sales: DataFrame, stock_goods: DataFrame, days: ReportDays, n:
     """Best sellers, biggest rises and biggest falls, one tag per goods in that order of
     precedence, with the units of four days and the stock."""
     seen = _on(days[0]) | _on(days[1]) | _on(days[2]) | _on(days[3])
-    g = _span(sales, days, 3).filter(seen).groupBy("goods_no").agg(
-        F.min("goods_nm").alias("name"), F.min("brand_nm").alias("brand"),
-        *[sum_if(_on(days[i]), "qty").cast("bigint").alias(f"q{i}") for i in range(4)],
-    )
+    units = {f"q{i}": sum_if(_on(days[i]), "qty").cast("bigint") for i in range(4)}
+    g = named_sums(_span(sales, days, 3).filter(seen), ["goods_no"], RANK_TEXTS["goods_no"], units)
     growth = (dbl("q0") - dbl("q1")) / F.nullif(dbl("q1"), F.lit(0.0)) * F.lit(100.0)
     moved = g.filter(F.col("q1") >= 2).select("goods_no", growth.alias("tag_pct"))
     none = F.lit(None).cast("double")
@@ -138,9 +129,9 @@ _HUB_COLS = ("hub1000", "hub1700", "mfs")
 
 def restock(sales: DataFrame, stock_store: DataFrame, stock_goods: DataFrame, days: ReportDays) -> DataFrame:
     """Goods sold on d0 that the hub has and the store holds less than twice the day's units of."""
-    sold = _span(sales, days, 0).filter(_on(days[0])).groupBy("store_name", "goods_no").agg(
-        F.min("goods_nm").alias("goods_nm"), F.min("brand_nm").alias("brand_nm"), total("qty").cast("bigint").alias("sold")
-    )
+    today = _span(sales, days, 0).filter(_on(days[0]))
+    texts = {"goods_nm": "goods_nm", "brand_nm": "brand_nm"}
+    sold = named_sums(today, ["store_name", "goods_no"], texts, {"sold": total("qty").cast("bigint")})
     hub = stock_goods.filter(F.col("hub_total") > 0).select("goods_no", "hub_total")
     out = sold.filter(F.col("sold") > 0).join(hub, "goods_no")
     out = out.join(stock_store.select("store_name", "goods_no", F.col("stock").alias("store_stock")), ["store_name", "goods_no"], "left")

@@ -54,13 +54,29 @@ def dim_brand(company_brand: DataFrame, brand: DataFrame, company: DataFrame) ->
     )
 
 
+def least_texts(rows: DataFrame, keys: list[str], texts: dict[str, str]) -> DataFrame:
+    """One row per key with the least value of each text (column -> name in the result).
+
+    A text minimum over raw rows would sort all of them; combinations are hashed, and the minima run
+    over the few that a key has. A plain distinct would be merged into the minima again, as these
+    don't mind repeats; the test of its count keeps it."""
+    few = rows.groupBy(*keys, *texts).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 0)
+    return few.groupBy(*keys).agg(*[F.min(a).alias(b) for a, b in texts.items()])
+
+
+def named_sums(rows: DataFrame, keys: list[str], texts: dict[str, str], sums: dict[str, Column]) -> DataFrame:
+    """Sums per key with the least value of each text. The texts are keys of a first sum, which
+    hashes the rows; see `least_texts`."""
+    first = rows.groupBy(*keys, *texts).agg(*[c.alias(n) for n, c in sums.items()])
+    if not texts:
+        return first
+    return first.groupBy(*keys).agg(*[F.min(a).alias(b) for a, b in texts.items()], *[F.sum(n).alias(n) for n in sums])
+
+
 def category_map(stock_summary: DataFrame) -> DataFrame:
     """goods -> categories and MD from the latest stock snapshot."""
-    return (
-        latest_snapshot(stock_summary, "ord_state_date")
-        .groupBy("goods_no")
-        .agg(*[F.min(c).alias(c) for c in CATEGORIES], F.min("offline_md_id").alias("off_md_id"))
-    )
+    now = latest_snapshot(stock_summary, "ord_state_date")
+    return least_texts(now, ["goods_no"], {**{c: c for c in CATEGORIES}, "offline_md_id": "off_md_id"})
 
 
 def sold_goods(lines: DataFrame, orders: DataFrame, stores: DataFrame) -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from shopfloor.functions import labels as L
 from shopfloor.functions.dates import add_days, as_date, date_span, month_start, prune, week_start, year_start
 from shopfloor.functions.numeric import money_sum, total
+from shopfloor.operators.dimensions import CATEGORIES, least_texts
 
+# fixed values: filter name -> column
 IN_COLUMNS = {
     "biz": "business_type", "type": "shop_type", "store": "store_name", "brand": "brand_nm", "cat_top": "cat_top",
     "cat_large": "cat_large", "cat_medium": "cat_medium", "md": "off_md_id", "concept": "concept",
@@ -112,8 +114,8 @@ def apply_stock_filter(stock: DataFrame, f: SalesFilter, store_types: DataFrame
 def goods_attributes(sales: DataFrame) -> DataFrame:
     """One row per goods with its dimensions and name, so that joining it to stock cannot repeat
     stock. Worth keeping as a table: the stock side of every drill reads it instead of the sales."""
-    cols = ["goods_nm", "brand_nm", "cat_top", "cat_large", "cat_medium", "business_type"]
-    return sales.groupBy("goods_no").agg(*[F.min(c).alias(c) for c in cols])
+    cols = ["goods_nm", "brand_nm", *CATEGORIES, "business_type"]
+    return least_texts(sales, ["goods_no"], {c: c for c in cols})
 
 
 def drill_stock_filter(stock_store: DataFrame, attributes: DataFrame, f: SalesFilter) -> DataFrame:

@@ -216,6 +216,40 @@ def drill(
     return out if limit is None else out.orderBy(F.desc("gmv"), "key").limit(limit)
 
 
+TOTAL_LEVEL = "total"
+
+
+def _level_and_key(marks: dict[str, str]) -> tuple[Column, Column]:
+    """Level and key of a row of grouping sets, by the column that only the sets of a level group by;
+    a row of no level is the total."""
+    level, key = F.lit(TOTAL_LEVEL), F.lit(L.TOTAL)
+    for name, mark in marks.items():
+        here = F.grouping(mark) == 0
+        level = F.when(here, F.lit(name)).otherwise(level)
+        key = F.when(here, F.col(LEVELS[name]).cast("string")).otherwise(key)
+    return level.alias("level"), key.alias("key")
+
+
+def drill_levels(sales: DataFrame, stock_store: DataFrame, attributes: DataFrame, f: SalesFilter = NO_FILTER) -> DataFrame:
+    """All levels of `drill` and one total row, as (level, key, ...); no row for an empty selection.
+
+    One scan of the sales and one of the stock: rows are summed once by goods and all dimensions, and
+    grouping sets unfold these sums to (level, key, goods), so that goods are counted without a distinct."""
+    dims, measures = list(LEVELS.values()), ("qty", "gmv", "normal_amt", "foreign_gmv")
+    cells = apply_sales_filter(sales, f).groupBy(*dims, "goods_nm").agg(*measure_sums(measures))
+    sets = [*[[c, "goods_no"] for c in dims if c != "goods_no"], ["goods_no", "goods_nm"], ["goods_no"]]
+    goods = cells.groupingSets(sets, *dims, "goods_nm").agg(*_level_and_key({**LEVELS, "goods": "goods_nm"}), *measure_sums(measures))
+    out = goods.groupBy("level", "key").agg(F.min("goods_nm").alias("_nm"), F.count("goods_no").alias("_n"), *measure_sums(measures))
+    single = F.col("level") == "goods"
+    out = out.select(
+        "level", "key", F.when(single, F.col("_nm")).otherwise(F.col("key")).alias("name"), *measures,
+        F.when(single, F.lit(1)).otherwise(F.col("_n")).cast("bigint").alias("goods_count"),
+    )
+    held = drill_stock_filter(stock_store, attributes, f).groupingSets([*[[c] for c in dims], []], *dims)
+    stock = held.agg(*_level_and_key(LEVELS), total("stock").cast("bigint").alias("stock")).select("level", "key", "stock")
+    return with_rates(out.join(stock, ["level", "key"], "left").withColumn("stock", F.coalesce("stock", F.lit(0)).cast("bigint")))
+
+
 def drill_context(level: str, f: SalesFilter) -> dict[str, str]:
     """Parent filters with a single value, as context columns of a drill export."""
     out = {}

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from shopfloor.functions import labels as L
 from shopfloor.functions.numeric import total
-from shopfloor.operators.dimensions import CATEGORIES, latest_by_key, supply_business_type, with_concept
+from shopfloor.operators.dimensions import CATEGORIES, latest_by_key, least_texts, named_sums, supply_business_type, with_concept
 from shopfloor.operators.sales import top_plus_other
 from shopfloor.sources.tables import latest_snapshot
 
@@ -65,15 +65,12 @@ def stock_meta(
     """Attributes per barcode from the store side, then the second plant, then the warehouse, with
     names from the goods master where it has them. Rows: barcodes in a store or in the hub of the
     second plant; a barcode only the first plant's hub holds gets none."""
-    a = store_rows.groupBy("barcode").agg(
-        F.min("goods_no").alias("goods_no"), F.min("goods_opt").alias("goods_opt"), F.min("brand_nm").alias("brand_nm"),
-        F.min("goods_nm").alias("goods_nm"), *[F.min(c).alias(c) for c in CATEGORIES], F.min("offline_md_id").alias("off_md_id"),
-        F.min("com_id").alias("company_id"), F.min("brand").alias("brand_id"),
-        F.min(supply_business_type("ord_com_type")).alias("business_type"),
+    same = ("goods_no", "goods_opt", "brand_nm", "goods_nm", *CATEGORIES, "business_type")
+    a = least_texts(
+        store_rows.withColumn("business_type", supply_business_type("ord_com_type")), ["barcode"],
+        {**{c: c for c in same}, "offline_md_id": "off_md_id", "com_id": "company_id", "brand": "brand_id"},
     )
-    b = plant_rows.groupBy("barcode").agg(
-        F.min("goods_no").alias("b_goods"), F.min("option_name").alias("b_opt")
-    )
+    b = least_texts(plant_rows, ["barcode"], {"goods_no": "b_goods", "option_name": "b_opt"})
     hub2 = hubs.filter(F.col("hub") == L.HUB_PLANT2).select("barcode").distinct()
     wh = hub_meta.filter(F.col("supplier_barcode").isNotNull()).withColumnRenamed("supplier_barcode", "barcode")
     wh = latest_by_key(wh.join(hub2, "barcode", "left_semi"), ["barcode"], "strd_dt").select(
@@ -127,10 +124,11 @@ def stock_pivot(long: DataFrame, meta: DataFrame, stores: list[str]) -> DataFram
 
 def stock_by_goods(stock: DataFrame) -> DataFrame:
     """Stock summed to goods. goods 0 collects what no source could map."""
-    return stock.groupBy("goods_no").agg(
-        _sum(_kind(L.STORE), "store_stock"), _sum(_kind(L.HUB), "hub_total"), _sum(_at(L.HUB_PLANT1), "hub1000"),
-        _sum(_at(L.HUB_PLANT2), "hub1700"), _sum(_at(L.HUB_FULFILMENT), "mfs"), F.min("goods_nm").alias("goods_nm"),
-    )
+    parts = {
+        "store_stock": _kind(L.STORE), "hub_total": _kind(L.HUB), "hub1000": _at(L.HUB_PLANT1), "hub1700": _at(L.HUB_PLANT2),
+        "mfs": _at(L.HUB_FULFILMENT),
+    }
+    return named_sums(stock, ["goods_no"], {"goods_nm": "goods_nm"}, {n: total(c).cast("bigint") for n, c in parts.items()})
 
 
 def stock_store_long(stock: DataFrame) -> DataFrame:

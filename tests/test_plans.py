@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from shopfloor.operators import compare as C, facts as A, filters as P, sales as E
+from shopfloor.operators import compare as C, daily as G, dimensions as D, facts as A, filters as P, sales as E, stock as H
 
 
 def plan(df):
@@ -63,6 +63,36 @@ def test_raw_rows_are_hashed_not_sorted(spark, data, name):
     assert partial and any("HashAggregate" in line and "partial_min" not in line for line in partial)
 
 
+def _texts(data):
+    days = G.ReportDays(data.sales, "2001-07-20")
+    return {
+        "category_map": D.category_map(data.inputs["stock_summary"]),
+        "goods_attributes": P.goods_attributes(data.sales),
+        "rank_by": G.rank_by(data.sales, days, "goods_no"),
+        "rank_in_category": G.rank_in_category(data.sales, days, "goods_no"),
+        "notable_goods": G.notable_goods(data.sales, data.stock_goods, days),
+        "restock": G.restock(data.sales, data.stock_store, data.stock_goods, days),
+        "stock_by_goods": H.stock_by_goods(data.stock),
+    }
+
+
+@pytest.mark.parametrize("name", ["category_map", "goods_attributes", "rank_by", "rank_in_category", "notable_goods", "restock", "stock_by_goods"])
+def test_texts_are_taken_from_combinations(data, name):
+    """Below every sort for a text minimum there is a hash aggregate by the texts."""
+    lines = plan(_texts(data)[name]).split("== Initial Plan ==")[-1].splitlines()
+    sorting = [i for i, line in enumerate(lines) if "SortAggregate" in line and "partial_min" in line]
+    assert sorting
+    for i in sorting:
+        below = next(line for line in lines[i + 1 :] if "Aggregate" in line or "FileScan" in line)
+        assert "HashAggregate" in below and ("count(1)" in below or "sum(" in below)
+
+
+def test_all_levels_come_from_one_scan(data):
+    text = plan(E.drill_levels(data.sales, data.stock_store, data.goods_attr)).split("== Initial Plan ==")[-1]
+    assert text.count("FileScan") == 3  # sales, stock, attributes
+    assert len(re.findall(r"\bExpand\b", text)) == 2
+
+
 @pytest.mark.parametrize("name", ["e12_by_dimension", "e16_drill", "e35_ab_compare"])
 def test_no_global_sort_without_a_limit(spark, data, name):
     from checks.queries import QUERIES

@@ -327,3 +327,19 @@ def test_a_refresh_keeps_rollups_with_the_sales(spark, data, tmp_path):
         for name, build in X.DERIVED.items():
             stored = X.read_dataset(spark, root, name).drop(layout.MONTH)
             assert rows(stored) == rows(build(sales).select(stored.columns)), name
+
+
+@pytest.mark.parametrize("f", [P.NO_FILTER, P.SalesFilter(date_from="2000-01-01", cat_top=["ECONOMY", "PROMO"]), P.SalesFilter(goods=[-1])])
+def test_levels_of_a_drill_agree(data, f):
+    """One pass over all levels gives the rows of each level, and its total is the summary."""
+    from shopfloor.operators import sales as E
+
+    got = E.drill_levels(data.sales, data.stock_store, data.goods_attr, f).collect()
+    for level in E.LEVELS:
+        want = E.drill(data.sales, data.stock_store, data.goods_attr, level, f)
+        assert sorted(tuple(r[c] for c in want.columns) for r in got if r["level"] == level) == sorted(map(tuple, want.collect()))
+    whole = [r for r in got if r["level"] == E.TOTAL_LEVEL]
+    kpis = E.summary(data.sales, f).first()
+    assert len(whole) == (kpis["goods_count"] > 0)
+    for r in whole:
+        assert all(r[c] == kpis[c] for c in ("qty", "gmv", "normal_amt", "foreign_gmv", "goods_count", "discount_rate", "foreign_ratio"))
