@@ -29,7 +29,12 @@ SCOPE = K.Scope(
     excluded_companies=["9"],
     store_pairs=[("L1", "Loc 1"), ("L3", "Loc 3"), ("L2", "Loc 1")],
     platform="MAIN",
+    location_prefix="3",
+    non_store_names=["온라인몰", "홀세일"],
+    used_division="유즈드",
 )
+# fixed values: plants and warehouses in the stock sources
+PLANTS = H.Plants("1000", ("2000", "2010", "2020", "2060"), "1700", "2000")
 # names of the stores in scope, as the store dimension builds them
 STORES = [f"NATION_{n}" if n % 5 == 1 else f"NATION_{n} store" for n in range(25) if n % 5 != 0]
 FILTER = SalesFilter(
@@ -43,7 +48,7 @@ STOCK_FILTER = SalesFilter(biz=[L.CONSIGNMENT, L.PURCHASE], type=["ASIA", "EUROP
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
-SETTINGS = X.Settings(AS_OF, SHOP_TYPES, SPECIAL, BAG, SCOPE)
+SETTINGS = X.Settings(AS_OF, SHOP_TYPES, SPECIAL, BAG, SCOPE, PLANTS)
 _DATA: dict[tuple[str, str], X.Datasets] = {}
 
 
@@ -886,8 +891,8 @@ def _(x):
 @query("i12_open_orders")
 def _(x):
     i = x.inputs
-    by_brand = K.open_orders(i["open_po"], i["goods_scope"], AS_OF).withColumnRenamed("brand_code", "key")
-    by_goods = K.open_orders(i["open_po"], i["goods_scope"], AS_OF, "goods").withColumnRenamed("product_no", "key")
+    by_brand = K.open_orders(i["open_po"], i["goods_scope"], AS_OF, PLANTS.first).withColumnRenamed("brand_code", "key")
+    by_goods = K.open_orders(i["open_po"], i["goods_scope"], AS_OF, PLANTS.first, "goods").withColumnRenamed("product_no", "key")
     return union(by_brand, by_goods)
 
 

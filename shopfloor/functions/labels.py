@@ -45,27 +45,13 @@ HUB_PLANT1 = "허브1000"
 HUB_PLANT2 = "허브1700"
 HUB_FULFILMENT = "MFS"
 HUBS = (HUB_FULFILMENT, HUB_PLANT1, HUB_PLANT2)
-PLANT1 = "1000"
-PLANT2 = "1700"
-PLANT1_WAREHOUSES = ("2000", "2010", "2020", "2060")
-PLANT2_WAREHOUSE = "2000"
-
-# stores
-SHOP_TYPES = ("selectshop", "kicks", "beauty", "outlet")
-SPECIAL_SHOPS = {90: "RUN"}
 
 # order ledger codes
 STATUS_COMPLETE = 50
 CLAIM_REFUND = "REFUND"
 TAX_REFUND_NONE = "NONE"
-SHOPPING_BAG_BRAND = "수베니어샵"
 CUSTOMER_DAILY = "daily_total"
 PRICE_CHANNEL = 1
 
 # order of the age bands is a parameter of the report; the label left out of shares is fixed
 SHARE_EXCLUDED = "기타"
-
-# closing-stock location rule of the second plant
-STORE_LOCATION_PREFIX = "3"
-NON_STORE_NAME_PARTS = ("온라인몰", "홀세일")
-USED_DIVISION = "유즈드"

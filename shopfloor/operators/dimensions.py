@@ -1,5 +1,6 @@
 """Dimensions and enrichment."""
 
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -11,8 +12,8 @@ from shopfloor.sources.tables import latest_snapshot
 CATEGORIES = ("cat_top", "cat_large", "cat_medium")
 
 
-def dim_store(shops: DataFrame, names: DataFrame, shop_types=L.SHOP_TYPES, special=L.SPECIAL_SHOPS) -> DataFrame:
-    """One row per store of the allowed types."""
+def dim_store(shops: DataFrame, names: DataFrame, shop_types: Sequence[str], special: Mapping[int, str]) -> DataFrame:
+    """One row per store of the allowed types; `special` gives single stores a type of their own."""
     base = (
         shops.filter(F.col("shop_type").isin(list(shop_types)))
         .select(F.col("shop_no").cast("int").alias("shop_no"), "shop_type", "shop_nm")
@@ -217,6 +218,8 @@ def brand_override(sales: DataFrame, goods: DataFrame) -> DataFrame:
     }).drop("_brand", "_nm")
 
 
-def zero_qty_brand(sales: DataFrame, brand: str = L.SHOPPING_BAG_BRAND) -> DataFrame:
-    """The shopping-bag brand sells no units but keeps its money."""
+def zero_qty_brand(sales: DataFrame, brand: str | None) -> DataFrame:
+    """The shopping-bag brand, if there is one, sells no units but keeps its money."""
+    if brand is None:
+        return sales
     return sales.withColumn("qty", F.when(F.col("brand_nm") == brand, F.lit(0).cast("bigint")).otherwise(F.col("qty")))

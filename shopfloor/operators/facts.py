@@ -95,7 +95,7 @@ SALES_MEASURES = ("qty", "gmv", "normal_amt", "pay", "foreign_gmv")
 
 def net_sales(
     orders: DataFrame, lines: DataFrame, claims: DataFrame, stores: DataFrame, brands: DataFrame, categories: DataFrame,
-    goods: DataFrame, since: DateLike | None = None, bag_brand: str = L.SHOPPING_BAG_BRAND,
+    goods: DataFrame, since: DateLike | None = None, bag_brand: str | None = None,
 ) -> DataFrame:
     """Signed daily sales: completed orders minus refunds at their claim date."""
     events = ledger_events(orders, claims, stores, since)
@@ -115,7 +115,7 @@ def option_since(since: DateLike | None, as_of: DateLike, floor_days: int | None
 
 def net_sales_option(
     orders: DataFrame, lines: DataFrame, claims: DataFrame, stores: DataFrame, brands: DataFrame, categories: DataFrame,
-    as_of: DateLike, since: DateLike | None = None, bag_brand: str = L.SHOPPING_BAG_BRAND, floor_days: int | None = None,
+    as_of: DateLike, since: DateLike | None = None, bag_brand: str | None = None, floor_days: int | None = None,
 ) -> DataFrame:
     """Signed daily sales by option, of all days or of the last `floor_days`."""
     events = ledger_events(orders, claims, stores, option_since(since, as_of, floor_days))

@@ -1,6 +1,7 @@
 """Stock by barcode and location. The long form is the primary product; wide forms take an
 explicit list of locations."""
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
@@ -12,15 +13,25 @@ from shopfloor.operators.sales import top_plus_other
 from shopfloor.sources.tables import latest_snapshot
 
 
+@dataclass(frozen=True)
+class Plants:
+    """Codes of both plants and of their warehouses, as the stock sources write them."""
+
+    first: str
+    first_warehouses: tuple[str, ...]
+    second: str
+    second_warehouse: str
+
+
 def latest_in_stores(stock_summary: DataFrame, stores: DataFrame) -> DataFrame:
     """Rows of the newest store snapshot; every stock dataset starts from them, so keep them."""
     now = latest_snapshot(stock_summary, "ord_state_date").filter(F.col("barcode").isNotNull())
     return now.withColumn("shop_no", F.col("shop_no").cast("int")).join(stores, "shop_no")
 
 
-def plant2_in_stores(plant_stock: DataFrame, shop_location: DataFrame, stores: DataFrame) -> DataFrame:
+def plant2_in_stores(plant_stock: DataFrame, shop_location: DataFrame, stores: DataFrame, plants: Plants) -> DataFrame:
     """Store stock the second plant keeps, placed through the location map."""
-    rows = plant_stock.filter((F.col("plant_code") == L.PLANT2) & F.col("barcode").isNotNull())
+    rows = plant_stock.filter((F.col("plant_code") == plants.second) & F.col("barcode").isNotNull())
     where = shop_location.select(
         F.col("erp_plant_code").alias("plant_code"), F.col("erp_location_code").alias("storage_location"),
         F.col("shop_no").cast("int").alias("shop_no"),
@@ -29,14 +40,14 @@ def plant2_in_stores(plant_stock: DataFrame, shop_location: DataFrame, stores: D
 
 
 def hub_stock(
-    store_rows: DataFrame, erp_stock: DataFrame, fulfil_stock: DataFrame, hub_meta: DataFrame
+    store_rows: DataFrame, erp_stock: DataFrame, fulfil_stock: DataFrame, hub_meta: DataFrame, plants: Plants
 ) -> DataFrame:
     """(barcode, hub, qty) of both plants and the fulfilment centre."""
     in_stores = store_rows.select("barcode").distinct()
     erp = latest_snapshot(erp_stock, "dt").filter(F.col("barcode").isNotNull())
-    plant1 = erp.filter((F.col("store_cd") == L.PLANT1) & F.col("lgort").isin(list(L.PLANT1_WAREHOUSES)))
+    plant1 = erp.filter((F.col("store_cd") == plants.first) & F.col("lgort").isin(list(plants.first_warehouses)))
     plant1 = plant1.join(in_stores, "barcode", "left_semi")
-    plant2 = erp.filter((F.col("store_cd") == L.PLANT2) & (F.col("lgort") == L.PLANT2_WAREHOUSE))
+    plant2 = erp.filter((F.col("store_cd") == plants.second) & (F.col("lgort") == plants.second_warehouse))
     side = lambda df, hub: df.groupBy("barcode").agg(total("wqty").cast("bigint").alias("qty")).withColumn("hub", F.lit(hub))
     plant2 = side(plant2, L.HUB_PLANT2)
     barcode = latest_by_key(

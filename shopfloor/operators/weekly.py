@@ -24,6 +24,11 @@ class Scope:
     excluded_companies: list[str] = field(default_factory=list)
     store_pairs: list[tuple[str, str]] = field(default_factory=list)
     platform: str = ""
+    # store-like locations: how their codes begin, and what their names must not hold
+    location_prefix: str = ""
+    non_store_names: list[str] = field(default_factory=list)
+    # division that never represents a brand
+    used_division: str | None = None
 
 
 @dataclass
@@ -77,15 +82,12 @@ def weeks_row(as_of: DateLike, stock_history: DataFrame, stock_summary: DataFram
     return row.select(*cols, w.base.alias("base_mon"), w.consignment.alias("con_dt"))
 
 
-def store_locations(
-    closing: DataFrame, as_of: DateLike, plant: str = L.PLANT2, prefix: str = L.STORE_LOCATION_PREFIX,
-    excluded: tuple[str, ...] = L.NON_STORE_NAME_PARTS,
-) -> DataFrame:
+def store_locations(closing: DataFrame, as_of: DateLike, plant: str, scope: Scope) -> DataFrame:
     """Store-like location codes of a plant in this and the last closing month."""
     ym = lambda d: F.date_format(d, "yyyyMM")
     months = [ym(as_date(as_of)), ym(F.add_months(as_date(as_of), -1))]
-    rows = closing.filter(F.col("buper").isin(months) & (F.col("werks") == plant) & F.col("lgort").startswith(prefix))
-    for part in excluded:
+    rows = closing.filter(F.col("buper").isin(months) & (F.col("werks") == plant) & F.col("lgort").startswith(scope.location_prefix))
+    for part in scope.non_store_names:
         rows = rows.filter(~F.col("lgobe").contains(part))
     return rows.select("lgort").distinct()
 
@@ -293,7 +295,7 @@ def typical_price(goods: DataFrame, stock_summary: DataFrame, weeks: Weeks) -> D
     return own.unionByName(con.select(own.columns))
 
 
-def open_orders(po: DataFrame, goods: DataFrame, as_of: DateLike, key: str = "brand", plant: str = L.PLANT1) -> DataFrame:
+def open_orders(po: DataFrame, goods: DataFrame, as_of: DateLike, plant: str, key: str = "brand") -> DataFrame:
     """Quantity on order and due on or after `as_of`. Orders are summed per goods before the join."""
     due = po.filter(
         (F.col("werks") == plant) & (F.col("loekz").isNull() | (F.col("loekz") == ""))
@@ -348,8 +350,8 @@ def sell_through(
     reps = tag(representative(vendors, ["brand_id"], "com_id", "w"), kinds[1]).unionByName(
         tag(representative(con, ["brand_id"], "com_id", "sellable_qty", scope.excluded_companies), kinds[0])
     ).withColumnRenamed("com_id", "rep_com")
-    heads = divisions.filter(F.col("hier").isNotNull() & (F.col("hier") != L.USED_DIVISION) & (F.col("gmv4") > 0))
-    heads = representative(heads, pair, "hier", "gmv4").withColumnRenamed("hier", "rep_hier")
+    heads = divisions.filter(F.col("hier").isNotNull() & (F.col("gmv4") > 0))
+    heads = representative(heads, pair, "hier", "gmv4", [scope.used_division] if scope.used_division else ()).withColumnRenamed("hier", "rep_hier")
     names = own_price.select("brand_id", "brand_nm")
 
     rows = axis.filter(F.col("ord_com_type").isin(kinds))

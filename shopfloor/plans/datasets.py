@@ -2,12 +2,11 @@
 
 import os
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shopfloor.functions import labels as L
 from shopfloor.functions.dates import DateLike, prune
 from shopfloor.operators import dimensions as D, facts as A, filters as P, rollups as U, sales as E, stock as S, weekly as K
 from shopfloor.session import tune
@@ -16,13 +15,15 @@ from shopfloor.sources import layout
 
 @dataclass
 class Settings:
-    """Everything that depends on the business or the day."""
+    """Everything that depends on the business or the day. What names a company's own stores, plants
+    and brands has no default."""
 
     as_of: DateLike
-    shop_types: tuple[str, ...] = L.SHOP_TYPES
-    special_shops: dict[int, str] = field(default_factory=lambda: dict(L.SPECIAL_SHOPS))
-    bag_brand: str = L.SHOPPING_BAG_BRAND
-    scope: K.Scope = field(default_factory=K.Scope)
+    shop_types: tuple[str, ...]
+    special_shops: dict[int, str]
+    bag_brand: str | None
+    scope: K.Scope
+    plants: S.Plants
     # days that the option dataset reaches back; None: all
     option_floor_days: int | None = None
 
@@ -196,12 +197,12 @@ class Datasets:
 
     @kept()
     def plant_rows(self) -> DataFrame:
-        return S.plant2_in_stores(self.inputs["plant_stock"], self.inputs["shop_location"], self.stores)
+        return S.plant2_in_stores(self.inputs["plant_stock"], self.inputs["shop_location"], self.stores, self.settings.plants)
 
     @kept()
     def hubs(self) -> DataFrame:
         i = self.inputs
-        return S.hub_stock(self.store_rows, i["erp_stock"], i["fulfil_stock"], i["hub_meta"])
+        return S.hub_stock(self.store_rows, i["erp_stock"], i["fulfil_stock"], i["hub_meta"], self.settings.plants)
 
     @kept()
     def stock_rows(self) -> DataFrame:
@@ -231,7 +232,7 @@ class Datasets:
 
     @kept()
     def locations(self) -> DataFrame:
-        return K.store_locations(self.inputs["closing"], self.settings.as_of)
+        return K.store_locations(self.inputs["closing"], self.settings.as_of, self.settings.plants.second, self.settings.scope)
 
     @kept()
     def purchase_brands(self) -> DataFrame:
@@ -271,7 +272,7 @@ class Datasets:
     @kept()
     def ips(self) -> DataFrame:
         i = self.inputs
-        po = K.open_orders(i["open_po"], i["goods_scope"], self.settings.as_of)
+        po = K.open_orders(i["open_po"], i["goods_scope"], self.settings.as_of, self.settings.plants.first)
         return K.sell_through(
             self.axis, self.online, self.online_divisions, self.offline, self.classified_stock, i["goods_scope"],
             self.consignment, po, self.weeks, self.settings.scope,
@@ -280,7 +281,7 @@ class Datasets:
     @kept()
     def ips_goods(self) -> DataFrame:
         i = self.inputs
-        po = K.open_orders(i["open_po"], i["goods_scope"], self.settings.as_of, "goods")
+        po = K.open_orders(i["open_po"], i["goods_scope"], self.settings.as_of, self.settings.plants.first, "goods")
         return K.sell_through_goods(
             i["online_orders"], i["settlement_summary"], i["stock_history"], i["goods_scope"], self.brand_scope, self.locations,
             po, self.weeks, self.settings.scope,

@@ -81,7 +81,7 @@ def test_option_sales(ledger, frame):
 def test_store_dimension(frame):
     shops = frame("shop_no INT, shop_type STRING, shop_nm STRING", [(1, "kicks", "a"), (1, "kicks", "a"), (90, "outlet", " x   y "), (3, "web", "z")])
     names = frame("shop_no INT, shop_name STRING", [(1, "  Big    Shop ")])
-    got = sorted(tuple(r) for r in D.dim_store(shops, names).collect())
+    got = sorted(tuple(r) for r in D.dim_store(shops, names, ("kicks", "outlet"), {90: "RUN"}).collect())
     assert got == [(1, "KICKS", "Big Shop"), (90, "RUN", "x y")]
 
 
