@@ -99,3 +99,15 @@ def test_no_global_sort_without_a_limit(spark, data, name):
     from conftest import SF_DIR
 
     assert "rangepartitioning" not in QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ledger_sums_travel_as_long_cents(data):
+    """The first sums of a ledger hold longs only: decimal buffers take twice the shuffle and memory."""
+    i = data.inputs
+    text = plan(A._book(i["order_line"], A.ledger_events(i["order_header"], i["claim"], data.stores), ["goods_no"]))
+    first = next(x for x in text.splitlines() if "partial_sum" in x)
+    assert len(re.findall(r"sum#\d+L", first)) == 5 and "isEmpty" not in first
+
+
+def test_partitions_are_small_enough_to_sort_in_memory(spark, data):
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"

@@ -278,3 +278,14 @@ def test_skewed_ledger_matches_brute_force(spark, frame):
             want[(day, g)][0] += sign * q
             want[(day, g)][1] += sign * v
     assert {(r["sales_date"], r["goods_no"]): [r["qty"], r["gmv"]] for r in got.collect()} == dict(want)
+
+
+def test_cents_are_summed_exactly_and_empty_is_null(frame):
+    from decimal import Decimal as Dec
+
+    from shopfloor.functions.numeric import cents_sum
+
+    rows = [("a", Dec("0.10")), ("a", Dec("0.20")), ("a", Dec("-999999999999.99")), ("a", None), ("b", None)]
+    df = frame("k string, v decimal(14,2)", rows).groupBy("k").agg(cents_sum("v").alias("v"))
+    assert df.schema["v"].dataType.simpleString() == "decimal(18,2)"
+    assert {r.k: r.v for r in df.collect()} == {"a": Dec("-999999999999.69"), "b": None}
