@@ -111,3 +111,13 @@ def test_ledger_sums_travel_as_long_cents(data):
 
 def test_partitions_are_small_enough_to_sort_in_memory(spark, data):
     assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"
+
+
+def test_profit_is_allocated_where_the_options_lie(data):
+    """Both option sums, the goods sums and the settled join share one deal of the rows."""
+    from shopfloor.operators.profit import allocate_profit
+
+    text = plan(allocate_profit(data.sales_option, data.settlement_option, data.stock_store))
+    assert text.count("hashpartitioning(sales_date") == 2  # the options and the settled sums
+    text = plan(A.settlement_option(data.inputs["settlement_summary"], data.stores))
+    assert text.count("hashpartitioning(sales_date") + text.count("hashpartitioning(ord_state_date") == 1

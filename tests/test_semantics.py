@@ -289,3 +289,21 @@ def test_cents_are_summed_exactly_and_empty_is_null(frame):
     df = frame("k string, v decimal(14,2)", rows).groupBy("k").agg(cents_sum("v").alias("v"))
     assert df.schema["v"].dataType.simpleString() == "decimal(18,2)"
     assert {r.k: r.v for r in df.collect()} == {"a": Dec("-999999999999.69"), "b": None}
+
+
+def test_profit_is_shared_within_a_day_store_and_goods(frame):
+    import datetime as dt
+    from decimal import Decimal as Dec
+
+    from shopfloor.operators.profit import allocate_profit
+
+    day = dt.date(2001, 1, 1)
+    ddl = "sales_date date, store_name string, shop_type string, business_type string, brand_nm string, goods_no long, option_nm string, " \
+          "cat_top string, cat_large string, cat_medium string, off_md_id string, goods_nm string, qty long, " \
+          "gmv decimal(18,2), normal_amt decimal(18,2), pay decimal(18,2)"
+    row = lambda goods, option, gmv, store="s": (day, store, "T", "b", "n", goods, option, "c", "l", "m", "", f"g{option}", 1, Dec(gmv), Dec(gmv), Dec(gmv))
+    sold = frame(ddl, [row(1, "x", "30.00"), row(1, "x", "30.00"), row(1, "y", "20.00"), row(None, "x", "5.00"), row(1, "x", "7.00", None), row(2, "x", "9.00")])
+    settled = frame("sales_date date, store_name string, shop_type string, goods_no long, net_take decimal(18,2), cp decimal(18,2)", [(day, "s", "T", 1, Dec("8.00"), Dec("4.00"))])
+    stock = frame("goods_no long, store_name string, stock long", [(1, "s", 3)])
+    out = {(r.goods_no, r.option_nm): (r.net_take, r.cp, r.stock) for r in allocate_profit(sold, settled, stock).collect()}
+    assert out == {(1, "x"): (6.0, 3.0, 3), (1, "y"): (2.0, 1.0, 3), (2, "x"): (None, None, 0)}
