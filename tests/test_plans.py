@@ -121,3 +121,9 @@ def test_profit_is_allocated_where_the_options_lie(data):
     assert text.count("hashpartitioning(sales_date") == 2  # the options and the settled sums
     text = plan(A.settlement_option(data.inputs["settlement_summary"], data.stores))
     assert text.count("hashpartitioning(sales_date") + text.count("hashpartitioning(ord_state_date") == 1
+
+
+def test_sides_with_a_row_for_each_barcode_or_goods_are_merged(data):
+    """Such a side is a small file and a large hash table; sent to all it goes through the driver."""
+    for df in (H.stock_dataset(data.stock_rows, data.stock_meta), P.drill_stock_filter(data.stock_store, data.goods_attr, P.NO_FILTER)):
+        assert "SortMergeJoin" in plan(df) and "BroadcastHashJoin" not in plan(df)
