@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from shopfloor.operators import compare as C, daily as G, dimensions as D, facts as A, filters as P, sales as E, stock as H
+from shopfloor.operators import compare as C, daily as G, dimensions as D, facts as A, filters as P, sales as E, stock as H, weekly as K
 
 
 def plan(df):
@@ -127,3 +127,10 @@ def test_sides_with_a_row_for_each_barcode_or_goods_are_merged(data):
     """Such a side is a small file and a large hash table; sent to all it goes through the driver."""
     for df in (H.stock_dataset(data.stock_rows, data.stock_meta), P.drill_stock_filter(data.stock_store, data.goods_attr, P.NO_FILTER)):
         assert "SortMergeJoin" in plan(df) and "BroadcastHashJoin" not in plan(df)
+
+
+def test_open_orders_are_merged_with_the_goods(data):
+    """The goods have a row each; as a small file they would be sent whole through the driver."""
+    i = data.inputs
+    text = plan(K.open_orders(i["open_po"], i["goods_scope"], "2001-07-20", "1000"))
+    assert "SortMergeJoin" in text and "BroadcastHashJoin" not in text
