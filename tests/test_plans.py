@@ -134,3 +134,10 @@ def test_open_orders_are_merged_with_the_goods(data):
     i = data.inputs
     text = plan(K.open_orders(i["open_po"], i["goods_scope"], "2001-07-20", "1000"))
     assert "SortMergeJoin" in text and "BroadcastHashJoin" not in text
+
+
+def test_concepts_are_merged_with_the_barcodes(data):
+    """Concepts have a row for each company and brand, and grow with both."""
+    i = data.inputs
+    text = plan(H.stock_meta(data.store_rows, data.plant_rows, data.hubs, i["hub_meta"], i["goods_main"], i["brand"], data.concepts))
+    assert "SortMergeJoin [company_id" in text
