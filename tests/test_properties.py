@@ -343,3 +343,31 @@ def test_levels_of_a_drill_agree(data, f):
     assert len(whole) == (kpis["goods_count"] > 0)
     for r in whole:
         assert all(r[c] == kpis[c] for c in ("qty", "gmv", "normal_amt", "foreign_gmv", "goods_count", "discount_rate", "foreign_ratio"))
+
+
+def test_a_monthly_write_builds_its_rows_once(spark, frame, tmp_path):
+    built = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            built.add(b.num_rows)
+            yield b
+
+    days = day_rows(frame, *[(f"2024-{1 + i % 9:02d}-{1 + i % 28:02d}", i) for i in range(500)]).repartition(4)
+    layout.write_monthly(days.mapInArrow(counted, days.schema), str(tmp_path / "d"))
+    assert built.value == 500
+    assert sorted(v for (v,) in rows(layout.read_monthly(spark, str(tmp_path / "d")).select("v"))) == list(range(500))
+
+
+def test_a_hot_day_is_written_by_several_tasks(spark, tmp_path):
+    path, size = str(tmp_path / "d"), "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    day = F.when(F.col("id") % 50 > 0, F.lit("2024-02-21")).when(F.col("id") % 100 > 0, F.lit("2024-01-05")).cast("date")
+    spark.conf.set(size, "64k")
+    try:
+        layout.write_monthly(spark.range(0, 100_000, 1, 8).select(day.alias("sales_date"), F.xxhash64("id").alias("v")), path)
+    finally:
+        spark.conf.set(size, before)
+    months = layout.manifest(spark, path).months
+    assert {n: m.rows for n, m in months.items()} == {"2024-01": 1000, "2024-02": 98_000, layout.NO_MONTH: 1000}
+    assert layout.read_monthly(spark, path).filter("sales_date = date'2024-02-21'").select(F.input_file_name()).distinct().count() > 4
