@@ -141,3 +141,11 @@ def test_concepts_are_merged_with_the_barcodes(data):
     i = data.inputs
     text = plan(H.stock_meta(data.store_rows, data.plant_rows, data.hubs, i["hub_meta"], i["goods_main"], i["brand"], data.concepts))
     assert "SortMergeJoin [company_id" in text
+
+
+def test_warehouse_snapshot_is_scanned_once_for_all_hubs(data):
+    """The hubs start from kept rows, not from the scan of all warehouse rows."""
+    from shopfloor.plans.datasets import Datasets
+
+    text = plan(Datasets.hubs.build(data))
+    assert "l_linestatus" not in text and "l_shipdate" not in text
