@@ -413,6 +413,25 @@ def test_suffix_dedup(spark, odd, tables, monkeypatch, chunk):
     assert counted(suffixes.op10_suffix_dedup(spark, ""), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.suffix_dedup(ODD)
 
 
+def test_suffix_dedup_of_many_copies(spark, tables, monkeypatch):
+    """Copies are summed before a join or meet it as plain rows, which Spark splits; short ones, and long ones that also repeat within, count as ever."""
+    rng, plans, keep = random.Random(3), {}, suffixes.keep
+    passage = " ".join(prose(rng, 90))
+    texts = [passage] * 40 + ["rep " * 300] * 3 + [" ".join(prose(rng, 30)) + passage + f" {k}" for k in range(3)] + ["short"] * 5 + ["", None, "é" * 200, "é" * 200, "x" * 399, "x" * 399, "x" * 401]
+    rows = list(enumerate(texts))
+
+    def seen(df, name):
+        plans[name] = df
+        return keep(df, name)
+
+    monkeypatch.setattr(suffixes, "keep", seen)
+    tables(suffixes, documents=spark.createDataFrame(full(rows), DDL).repartition(3))
+    out = suffixes.op10_suffix_dedup(spark, "")
+    assert counted(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.suffix_dedup(rows)
+    inner, outer = (df._jdf.queryExecution().optimizedPlan().toString() for df in (plans["passage-texts"], out))
+    assert "Join" in inner.partition("Aggregate")[0] and "Join" in outer and "Aggregate" not in outer
+
+
 def test_automaton_matches():
     rng = random.Random(9)
     for _ in range(60):
