@@ -1,6 +1,7 @@
 """Physical plans: what must reach the scan and what must not be repeated."""
 
 import re
+import time
 
 import pytest
 
@@ -149,3 +150,72 @@ def test_warehouse_snapshot_is_scanned_once_for_all_hubs(data):
 
     text = plan(Datasets.hubs.build(data))
     assert "l_linestatus" not in text and "l_shipdate" not in text
+
+
+def _shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+def _left_behind(spark, before):
+    """Shuffle files that are new and stay; Spark removes them in the background."""
+    for _ in range(100):
+        if not (new := _shuffle_files(spark) - before):
+            break
+        time.sleep(0.1)
+    return new
+
+
+def test_writes_leave_no_shuffle_files(spark, frame, tmp_path):
+    from shopfloor.session import RELEASE
+    from shopfloor.sources import layout, tables
+
+    setting = spark.conf.get(RELEASE, None)
+    rows = frame("k INT, sales_date DATE", []).unionByName(spark.range(1000).selectExpr("cast(id % 7 as int) k", "date '2001-01-01' sales_date"))
+    sums = rows.groupBy("sales_date", "k").count()
+    before = _shuffle_files(spark)
+    store = layout.Store(spark, str(tmp_path / "store"))
+    kept = [store.keep("plain", sums), store.keep("monthly", sums, "sales_date")]
+    layout.publish(sums, str(tmp_path / "snapshot"))
+    layout.write_clustered(sums, str(tmp_path / "clustered"), "sales_date")
+    tables.export_csv(sums, str(tmp_path / "csv"), ["k", "count"])
+    assert not _left_behind(spark, before)
+    assert spark.conf.get(RELEASE, None) == setting
+    assert all(sorted((r["k"], r["count"]) for r in df.collect())[0] == (0, 143) for df in kept)
+
+
+def _watched(spark, data):
+    """Datasets of their own, and the rows that their builds put aside, with the plan and the number of rows of each."""
+    from shopfloor.plans.datasets import Datasets
+    from shopfloor.sources import layout
+
+    seen = []
+
+    class Watched(layout.Store):
+        def aside(self, df):
+            out = super().aside(df)
+            if out is not df:
+                seen.append((out.inputFiles(), plan(df), out.count()))
+            return out
+
+    return Datasets(data.inputs, data.settings, Watched(spark)), seen
+
+
+def _rows(df):
+    return sorted(map(str, df.select(*sorted(df.columns)).collect()))
+
+
+@pytest.mark.parametrize("name, build", [("sales", "net_sales"), ("sales_option", "net_sales_option"), ("receipts", "receipt_rows")])
+def test_booked_lines_are_put_aside_before_the_dimensions(spark, data, name, build):
+    """The join of the lines and the joins of the dimensions are two executions; what lies between them is removed."""
+    from shopfloor.sources.layout import path_exists
+
+    own, seen = _watched(spark, data)
+    kept = getattr(own, name)
+    assert len(seen) == 1 and seen[0][2] > 0
+    files, text, _ = seen[0]
+    assert "order_id" in text and "cat_top" not in text and "business_type" not in text
+    assert not any(path_exists(spark, f) for f in files)
+    lazy = getattr(own, build)()
+    assert len(seen) == 1  # a plan that is not written puts nothing aside
+    assert _rows(kept.select(*lazy.columns)) == _rows(lazy)
