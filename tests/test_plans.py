@@ -219,3 +219,15 @@ def test_booked_lines_are_put_aside_before_the_dimensions(spark, data, name, bui
     lazy = getattr(own, build)()
     assert len(seen) == 1  # a plan that is not written puts nothing aside
     assert _rows(kept.select(*lazy.columns)) == _rows(lazy)
+
+
+def test_refresh_puts_booked_lines_aside(spark, data, tmp_path):
+    from shopfloor.plans.datasets import read_dataset, refresh
+    from shopfloor.sources.layout import path_exists
+
+    own, seen = _watched(spark, data)
+    refresh(spark, own, str(tmp_path), "snap", ("receipts",))
+    whole = _rows(read_dataset(spark, str(tmp_path), "receipts"))
+    refresh(spark, own, str(tmp_path), "snap", ("receipts",))  # the trailing window
+    assert len(seen) == 2 and not any(path_exists(spark, f) for files, _, _ in seen for f in files)
+    assert _rows(read_dataset(spark, str(tmp_path), "receipts")) == whole
