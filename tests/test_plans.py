@@ -231,3 +231,23 @@ def test_refresh_puts_booked_lines_aside(spark, data, tmp_path):
     refresh(spark, own, str(tmp_path), "snap", ("receipts",))  # the trailing window
     assert len(seen) == 2 and not any(path_exists(spark, f) for files, _, _ in seen for f in files)
     assert _rows(read_dataset(spark, str(tmp_path), "receipts")) == whole
+
+
+def test_option_export_puts_rows_aside_before_stock_and_catalogue(spark, data):
+    from checks.queries import QUERIES, _DATA
+    from conftest import SF_DIR
+
+    from shopfloor.sources.layout import path_exists
+
+    own, seen = _watched(spark, data)
+    own.__dict__.update({n: getattr(data, n) for n in ("sales_option", "settlement_option", "stock_store", "goods_master")})
+    key = (spark.sparkContext.applicationId, SF_DIR)
+    _DATA[key] = own
+    try:
+        rows = QUERIES["a7_export_options"](spark, SF_DIR)
+    finally:
+        _DATA[key] = data
+    (shared, text, n), (stocked, then, m) = seen
+    assert "stock_store" not in text and "stock_store" in then and "style_no" not in then
+    assert rows.count() == n == m > 0
+    assert not any(path_exists(spark, f) for f in (*shared, *stocked))
